@@ -151,3 +151,11 @@ def q_html_to_markdown(spark, sf):
 @register("html_tokens")
 def q_html_tokens(spark, sf):
     return H.html_tokens_check(html_fixture(spark, sf))
+
+
+from ..operators import md2html as M  # noqa: E402
+
+
+@register("markdown_to_html")
+def q_markdown_to_html(spark, sf):
+    return M.markdown_to_html(fx.markdown_inputs(spark, sf))

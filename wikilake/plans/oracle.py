@@ -130,3 +130,7 @@ SELECT t.page_id, count(tok) AS n_tokens,
        sum(CASE WHEN kind = 'text' THEN 1 ELSE 0 END)::BIGINT AS n_text,
        coalesce(string_agg(tok, '' ORDER BY pos), '') = coalesce(any_value(s.html), '') AS lossless
 FROM tk2 t JOIN src s ON s.page_id = t.page_id GROUP BY t.page_id"""
+
+from .oracle_md import markdown_to_html_sql  # noqa: E402
+
+ORACLE["markdown_to_html"] = "WITH " + markdown_to_html_sql(S.MD_SRC) + "\nSELECT doc_id, html FROM html_docs"

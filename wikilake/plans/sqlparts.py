@@ -125,3 +125,18 @@ def clean_edit_expr(x: str) -> str:
     first = f"coalesce(list_position(list_transform({kept}, lambda l: starts_with(l, '# ')), true), 0)"
     body = f"list_filter({kept}, lambda l, i: i <> {first})"
     return strip_ws(f"array_to_string({body}, chr(10))")
+
+
+MD_SRC = """md_src AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
+    CASE (i - 1) % 8
+      WHEN 0 THEN '# ' || line
+      WHEN 1 THEN line
+      WHEN 2 THEN chr(10) || '- ' || line
+      WHEN 3 THEN '    1. ' || line
+      WHEN 4 THEN '> ' || line
+      WHEN 5 THEN '```' || chr(10) || line || chr(10) || '```'
+      WHEN 6 THEN chr(10) || '---' || chr(10) || line
+      ELSE chr(10) || '| h | n |' || chr(10) || '| --- | :---: |' || chr(10) || '| ' || line || ' | ' || CAST(i - 1 AS VARCHAR) || ' |' END),
+    chr(10)) AS md
+  FROM documents)"""
