@@ -159,3 +159,97 @@ from ..operators import md2html as M  # noqa: E402
 @register("markdown_to_html")
 def q_markdown_to_html(spark, sf):
     return M.markdown_to_html(fx.markdown_inputs(spark, sf))
+
+
+# --- requests, lookups, updates ----------------------------------------------------------
+from ..operators import requests as R  # noqa: E402
+from ..operators import updates as U  # noqa: E402
+
+LIST_SPACE = "DOCS"
+
+
+@register("validate_requests")
+def q_validate(spark, sf):
+    return R.validate_requests(fx.request_table(spark, sf)).select("request_seq", "action", "reject_reason")
+
+
+@register("pages_by_url")
+def q_pages_by_url(spark, sf):
+    u = fx.url_cases(spark, sf).withColumnRenamed("page_id", "listed_id")
+    out = R.pages_by_url(u, fx.wiki_pages(spark, sf))
+    return out.select("instance", "url", "listed_id", "page_id", "found", "title", F.col("version").cast("string").alias("version"))
+
+
+@register("pages_by_title")
+def q_pages_by_title(spark, sf):
+    keys = fx.wiki_pages(spark, sf).select("instance", "space_key", "title", F.col("page_id").alias("key_page_id"))
+    return R.pages_by_title(keys, _listing(spark, sf))
+
+
+@register("resolve_parents")
+def q_resolve_parents(spark, sf):
+    return R.resolve_parents(fx.request_table(spark, sf), _listing(spark, sf))
+
+
+@register("render_templates")
+def q_render_templates(spark, sf):
+    return R.render_templates(fx.request_table(spark, sf), fx.template_table(spark, sf))
+
+
+@register("with_base_url")
+def q_with_base_url(spark, sf):
+    r = fx.request_table(spark, sf).select("request_seq", "instance")
+    return R.with_base_url(r, fx.instances(spark, sf))
+
+
+@register("requests_from_list")
+def q_requests_from_list(spark, sf):
+    return R.requests_from_list(fx.create_list(spark, sf), LIST_SPACE)
+
+
+def _apply(spark, sf, action=None):
+    reqs = fx.request_table(spark, sf)
+    if action:
+        reqs = reqs.filter(F.col("action") == action)
+    return U.apply_requests(fx.wiki_pages(spark, sf), reqs)
+
+
+@register("apply_requests")
+def q_apply_requests(spark, sf):
+    return _apply(spark, sf)
+
+
+@register("apply_adds")
+def q_apply_adds(spark, sf):
+    return _apply(spark, sf, "add")
+
+
+@register("apply_edits")
+def q_apply_edits(spark, sf):
+    return _apply(spark, sf, "edit")
+
+
+@register("update_payloads")
+def q_update_payloads(spark, sf):
+    return U.update_payloads(_apply(spark, sf))
+
+
+def _creates(spark, sf):
+    reqs = fx.request_table(spark, sf)
+    parents = R.resolve_parents(reqs, _listing(spark, sf))
+    return U.apply_creates(reqs, parents)
+
+
+@register("apply_creates")
+def q_apply_creates(spark, sf):
+    return _creates(spark, sf)
+
+
+@register("create_payloads")
+def q_create_payloads(spark, sf):
+    return U.create_payloads(_creates(spark, sf))
+
+
+@register("request_rejects")
+def q_request_rejects(spark, sf):
+    return U.request_rejects(fx.request_table(spark, sf), fx.wiki_pages(spark, sf))

@@ -34,7 +34,7 @@ REQUESTS = f"""requests AS (
   FROM (SELECT conv_id, turn,
                CASE WHEN conv_id % 23 = 0 THEN '' ELSE text END AS txt,
                CAST(conv_id % (SELECT count(*) FROM pages) AS VARCHAR) AS target,
-               CASE WHEN turn % 11 = 10 THEN 'create' WHEN turn % 7 = 3 THEN 'edit' ELSE 'add' END AS action,
+               CASE WHEN (conv_id + turn) % 9 = 4 THEN 'create' WHEN (conv_id + turn) % 7 = 3 THEN 'edit' ELSE 'add' END AS action,
                CAST(CASE WHEN conv_id % 13 = 0 THEN conv_id % (SELECT count(*) FROM pages) % 5
                          ELSE conv_id % (SELECT count(*) FROM pages) % 5 + 1 END AS INTEGER) AS base_version
         FROM conversations) c
@@ -134,3 +134,162 @@ FROM tk2 t JOIN src s ON s.page_id = t.page_id GROUP BY t.page_id"""
 from .oracle_md import markdown_to_html_sql  # noqa: E402
 
 ORACLE["markdown_to_html"] = "WITH " + markdown_to_html_sql(S.MD_SRC) + "\nSELECT doc_id, html FROM html_docs"
+
+
+# --- requests, lookups, updates ----------------------------------------------------------
+from ..operators.requests import ACTIONS, CONTENT_TYPES, SKELETON, URL_ACTIONS  # noqa: E402
+from .catalog import LIST_SPACE  # noqa: E402
+
+
+def _in(vals) -> str:
+    return "(" + ", ".join(S.q(v) for v in vals) + ")"
+
+
+def reasons_sql(r: str = "") -> str:
+    p = r + "." if r else ""
+    pid = S.page_id_expr(f"{p}url")
+
+    def missing(c):
+        return f"({c} IS NULL OR {c} = '')"
+
+    items = [
+        f"CASE WHEN {p}action IS NULL OR {p}action NOT IN {_in(ACTIONS)} THEN 'unknown action' END",
+        f"CASE WHEN {p}action IN {_in(URL_ACTIONS)} AND {missing(p + 'url')} THEN 'url required' END",
+        f"CASE WHEN {p}action IN {_in(URL_ACTIONS)} AND NOT {missing(p + 'url')} AND {missing(pid)} THEN 'no page id in url' END",
+        f"CASE WHEN {p}action = 'create' AND {missing(p + 'space_key')} THEN 'space required' END",
+        f"CASE WHEN {p}action = 'create' AND {missing(p + 'title')} THEN 'title required' END",
+        f"CASE WHEN {p}action IN ('add', 'create') AND {missing(p + 'content')} THEN 'content required' END",
+        f"CASE WHEN coalesce({p}content_type, 'markdown') NOT IN {_in(CONTENT_TYPES)} THEN 'bad content_type' END",
+    ]
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+
+
+ORACLE["validate_requests"] = with_(S.WIKI_PAGES, REQUESTS) + f"""
+SELECT request_seq, action, nullif(array_to_string({reasons_sql()}, '; '), '') AS reject_reason FROM requests"""
+
+ORACLE["pages_by_url"] = with_(S.WIKI_PAGES, S.URLS) + f"""
+SELECT u.instance, u.url, u.listed_id, u.page_id, coalesce(p.hit, false) AND NOT (u.page_id IS NULL OR u.page_id = '') AS found,
+       p.title, CAST(p.version AS VARCHAR) AS version
+FROM (SELECT instance, url, page_id AS listed_id, {S.page_id_expr("url")} AS page_id FROM urls) u
+LEFT JOIN (SELECT instance, page_id, title, version, true AS hit FROM wiki_pages) p
+  ON p.instance = u.instance AND p.page_id = u.page_id"""
+
+LOOKUP = """lk AS (
+  SELECT instance, space_key, title, arg_min(page_id, ordinal) AS first_page_id, count(*) AS n
+  FROM listing GROUP BY instance, space_key, title)"""
+
+ORACLE["pages_by_title"] = with_(S.WIKI_PAGES, S.LISTING, LOOKUP) + """
+SELECT k.instance, k.space_key, k.title, k.page_id AS key_page_id, lk.first_page_id AS page_id, coalesce(lk.n, 0) AS n_found
+FROM wiki_pages k LEFT JOIN lk ON lk.instance = k.instance AND lk.space_key = k.space_key AND lk.title = k.title"""
+
+_ROOT = "(r.parent_title IS NULL OR r.parent_title = '' OR r.parent_title = 'No Parent')"
+PARENTS = f"""parents AS (
+  SELECT r.request_seq, r.instance, r.space_key, r.parent_title,
+         CASE WHEN {_ROOT} THEN NULL ELSE coalesce(r.parent_id, lk.first_page_id) END AS parent_id,
+         CAST(CASE WHEN {_ROOT} THEN 0 ELSE coalesce(lk.n, 0) END AS BIGINT) AS n_matches,
+         CASE WHEN {_ROOT} THEN 'root' WHEN lk.first_page_id IS NULL THEN 'missing' ELSE 'found' END AS parent_status
+  FROM requests r LEFT JOIN lk ON lk.instance = r.instance AND lk.space_key = r.space_key AND lk.title = r.parent_title
+  WHERE r.action = 'create')"""
+
+ORACLE["resolve_parents"] = with_(S.WIKI_PAGES, REQUESTS, S.LISTING, LOOKUP, PARENTS) + "SELECT * FROM parents"
+
+_SK_HEAD, _SK_TAIL = SKELETON.split("{title}")
+TEMPLATES = """tpl AS (
+  SELECT 'tpl_' || d.lang AS name, m.md AS body
+  FROM (SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang) d JOIN md_src m ON m.doc_id = d.doc_id)"""
+
+ORACLE["render_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, TEMPLATES) + f"""
+SELECT request_seq, template, template_found, b AS body, CAST(len(string_split(b, chr(10))) AS BIGINT) AS n_lines
+FROM (SELECT r.request_seq, r.template, t.body IS NOT NULL AS template_found,
+             regexp_replace(coalesce(t.body, {S.q(_SK_HEAD)} || r.title || {S.q(_SK_TAIL)}), '\\n+$', '') AS b
+      FROM requests r LEFT JOIN tpl t ON t.name = r.template WHERE r.action = 'create')"""
+
+ORACLE["with_base_url"] = with_(S.WIKI_PAGES, REQUESTS, S.INSTANCES) + """
+SELECT r.request_seq, r.instance, i.base_url, CASE WHEN i.base_url IS NULL THEN 'unknown profile' ELSE 'ok' END AS base_status
+FROM requests r LEFT JOIN instances i ON i.instance = r.instance"""
+
+ORACLE["requests_from_list"] = f"""
+SELECT split_part(line, '|', 1) AS title, CASE WHEN contains(line, '|') THEN split_part(line, '|', 2) ELSE line END AS content,
+       'create' AS action, {S.q(LIST_SPACE)} AS space_key, 'markdown' AS content_type
+FROM (SELECT 'Page ' || CAST(doc_id AS VARCHAR) || '|' || replace(text, chr(10), '\\n') AS line FROM documents)"""
+
+
+def _apply_sql(action: str | None) -> str:
+    filt = f"AND action = {S.q(action)}" if action else ""
+    chk = f"""val AS (
+  SELECT *, {reasons_sql()} AS reasons, {S.page_id_expr("url")} AS page_id_x FROM requests WHERE action <> 'create' {filt}),
+ok AS (
+  SELECT v.* FROM val v LEFT JOIN (SELECT instance, page_id, true AS hit FROM wiki_pages) p
+    ON p.instance = v.instance AND p.page_id = v.page_id_x
+  WHERE len(v.reasons) = 0 AND p.hit IS NOT NULL),
+md_src AS (
+  SELECT request_seq AS doc_id, CASE WHEN action = 'edit' THEN {S.clean_edit_expr("content")} ELSE content END AS md
+  FROM ok WHERE (coalesce(content_type, 'markdown') = 'markdown' OR action = 'edit')
+    AND (CASE WHEN action = 'edit' THEN {S.clean_edit_expr("content")} ELSE content END) IS NOT NULL)"""
+    from .oracle_md import markdown_to_html_sql
+    return "WITH " + S.WIKI_PAGES + ",\n" + REQUESTS + ",\n" + markdown_to_html_sql(chk) + """,
+conv AS (
+  SELECT ok.*, CASE WHEN coalesce(ok.content_type, 'markdown') = 'markdown' OR ok.action = 'edit'
+                    THEN coalesce(h.html, '') ELSE ok.content END AS html
+  FROM ok LEFT JOIN html_docs h ON h.doc_id = ok.request_seq),
+le AS (
+  SELECT instance, page_id_x AS page_id, max(CASE WHEN action = 'edit' THEN request_seq END) AS last_edit_seq,
+         count(*) AS n_applied, arg_max(html, request_seq) FILTER (WHERE action = 'edit') AS edit_body,
+         sum(CASE WHEN action = 'edit' THEN 1 ELSE 0 END) AS n_edits
+  FROM conv GROUP BY instance, page_id_x),
+live AS (
+  SELECT c.* FROM conv c JOIN le ON le.instance = c.instance AND le.page_id = c.page_id_x
+  WHERE le.last_edit_seq IS NULL OR c.request_seq > le.last_edit_seq),
+ag AS (
+  SELECT instance, page_id_x AS page_id,
+         string_agg(html, chr(10) ORDER BY request_seq) FILTER (WHERE append) AS appends,
+         string_agg(html, chr(10) ORDER BY request_seq DESC) FILTER (WHERE NOT append) AS prepends
+  FROM live GROUP BY instance, page_id_x),
+applied AS (
+  SELECT le.instance, le.page_id, p.title, p.version AS old_version,
+         CAST(p.version + le.n_applied AS INTEGER) AS new_version, CAST(le.n_applied AS BIGINT) AS n_applied,
+         CAST(le.n_edits AS BIGINT) AS n_edits,
+         concat_ws(chr(10), ag.prepends, coalesce(le.edit_body, p.storage_html), ag.appends) AS new_body
+  FROM le LEFT JOIN ag ON ag.instance = le.instance AND ag.page_id = le.page_id
+  JOIN wiki_pages p ON p.instance = le.instance AND p.page_id = le.page_id)
+"""
+
+
+ORACLE["apply_requests"] = _apply_sql(None) + "SELECT * FROM applied"
+ORACLE["apply_adds"] = _apply_sql("add") + "SELECT * FROM applied"
+ORACLE["apply_edits"] = _apply_sql("edit") + "SELECT * FROM applied"
+ORACLE["update_payloads"] = _apply_sql(None) + """
+SELECT instance, page_id, to_json({'version': {'number': new_version}, 'title': title, 'type': 'page',
+       'body': {'storage': {'value': new_body, 'representation': 'storage'}}})::VARCHAR AS payload FROM applied"""
+
+
+def _creates_sql() -> str:
+    ok = f"""cr AS (
+  SELECT r.*, pa.parent_id AS resolved_parent FROM requests r LEFT JOIN parents pa ON pa.request_seq = r.request_seq
+  WHERE r.action = 'create' AND len({reasons_sql("r")}) = 0),
+md_src AS (
+  SELECT request_seq AS doc_id, content AS md FROM cr WHERE coalesce(content_type, 'markdown') = 'markdown' AND content IS NOT NULL)"""
+    from .oracle_md import markdown_to_html_sql
+    return "WITH " + ",\n".join([S.WIKI_PAGES, REQUESTS, S.LISTING, LOOKUP, PARENTS]) + ",\n" + markdown_to_html_sql(ok) + """,
+created AS (
+  SELECT cr.request_seq, cr.instance, cr.space_key, cr.title, cr.resolved_parent AS parent_id,
+         CASE WHEN coalesce(cr.content_type, 'markdown') = 'markdown' THEN coalesce(h.html, '') ELSE cr.content END AS body,
+         CAST(len(string_split(regexp_replace(cr.content, '\\n+$', ''), chr(10))) AS BIGINT) AS n_lines
+  FROM cr LEFT JOIN html_docs h ON h.doc_id = cr.request_seq)
+"""
+
+
+ORACLE["apply_creates"] = _creates_sql() + "SELECT * FROM created"
+ORACLE["create_payloads"] = _creates_sql() + """
+SELECT request_seq, to_json(CASE WHEN coalesce(parent_id, '') <> ''
+  THEN {'type': 'page', 'title': title, 'space': {'key': space_key},
+        'body': {'storage': {'value': body, 'representation': 'storage'}}, 'ancestors': [{'id': parent_id}]}::JSON
+  ELSE {'type': 'page', 'title': title, 'space': {'key': space_key},
+        'body': {'storage': {'value': body, 'representation': 'storage'}}}::JSON END)::VARCHAR AS payload FROM created"""
+
+ORACLE["request_rejects"] = with_(S.WIKI_PAGES, REQUESTS) + f""",
+val AS (SELECT *, {reasons_sql()} AS reasons, {S.page_id_expr("url")} AS page_id_x FROM requests)
+SELECT v.request_seq, v.action,
+       array_to_string(CASE WHEN len(v.reasons) = 0 AND v.action <> 'create' AND p.hit IS NULL THEN ['page not found'] ELSE v.reasons END, '; ') AS reject_reason
+FROM val v LEFT JOIN (SELECT instance, page_id, true AS hit FROM wiki_pages) p ON p.instance = v.instance AND p.page_id = v.page_id_x
+WHERE len(v.reasons) > 0 OR (v.action <> 'create' AND p.hit IS NULL)"""

@@ -151,8 +151,8 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """requests(request_seq, instance, action, url, content, content_type, append,
     space_key, title, parent_id, parent_title, template, base_version), one per turn.
 
-    target page = conv_id % number of pages; action create where turn % 11 = 10, edit
-    where turn % 7 = 3, else add; html where turn % 5 = 0; prepend where turn % 3 = 0;
+    target page = conv_id % number of pages; action create where (conv_id + turn) % 9 = 4,
+    edit where (conv_id + turn) % 7 = 3, else add; html where turn % 5 = 0; prepend where turn % 3 = 0;
     empty content where conv_id % 23 = 0; stale base version where conv_id % 13 = 0.
     A create names the target page's space, and as parent the target's title, except
     'No Parent' where conv_id % 4 = 0 and an unknown title where conv_id % 9 = 0.
@@ -165,7 +165,8 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.join(pages.withColumnRenamed("page_id", "target"), "target", "left")
     tgt = F.col("target").cast("long")
     inst_n = tgt % 2
-    action = F.when(F.col("turn") % 11 == 10, "create").when(F.col("turn") % 7 == 3, "edit").otherwise("add")
+    ct = F.col("conv_id") + F.col("turn")
+    action = F.when(ct % 9 == 4, "create").when(ct % 7 == 3, "edit").otherwise("add")
     url = F.concat(_base(inst_n), F.lit("/pages/viewpage.action?pageId="), F.col("target"))
     text = F.when(F.col("conv_id") % 23 == 0, F.lit("")).otherwise(F.col("text"))
     version = (tgt % 5 + 1).cast("int")
