@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Named character references decoded by the HTML reader.
-# `&amp;` is deliberately absent here; it is decoded last so that `&amp;lt;`
-# yields the text `&lt;` and not `<`.
+# (`&amp;` → `&` is added to these; decoding is a single pass, so `&amp;lt;` stays `&lt;`.)
 NAMED_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
     ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
@@ -29,7 +28,7 @@ HEADER_LAYOUT = "# {title}\n\n**Space:** {space}  \n**Page ID:** {id}  \n**Versi
 EDIT_NOTE = "<!-- Edit the content below. Lines starting with <!-- are comments and will be ignored -->"
 # ---------------------------------------------------------------------------
 
-NUMERIC_PIECES = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&"
+ENTITY_PIECES = r"&[A-Za-z][A-Za-z0-9]{1,7};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,28 +42,22 @@ def _codepoint_char(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def decode_numeric(c) -> Column:
+def decode_entities(c) -> Column:
+    """One left-to-right pass over ``&...;`` pieces (an entity's output is never decoded
+    again): named references from the fixed list, ``&#n;`` and ``&#xh;`` code points."""
     s = _col(c)
-    pieces = F.regexp_extract_all(s, F.lit(NUMERIC_PIECES), 0)
+    names = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES + [("&amp;", "&")] for x in kv])
 
     def one(p: Column) -> Column:
         is_hex = p.rlike("^&#[xX]")
         digits = F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
         cp = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-        ok = p.rlike("^&#") & cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        return F.when(ok, _codepoint_char(cp)).otherwise(p)
-
-    return F.when(s.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(s)
-
+        ok = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+        numeric = F.when(ok, _codepoint_char(cp)).otherwise(p)
+        return F.when(p.startswith("&#"), numeric).otherwise(F.coalesce(F.try_element_at(names, p), p))
 
-def decode_entities(c) -> Column:
-    s = _col(c)
-    out = s
-    for name, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = decode_numeric(out)
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(s.contains("&"), out).otherwise(s)
+    pieces = F.regexp_extract_all(s, F.lit(ENTITY_PIECES), 0)
+    return F.when(s.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(s)
 
 
 def strip_ws(c) -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
+from ..session import partitions_for
 
 # The token pattern (Java regex; possessive forms keep long tags from
 # recursing) and the tag classes the rules use.
@@ -57,13 +58,19 @@ def _attr(tok: Column, name: str) -> Column:
     return F.when(has, decode_entities(val))
 
 
+def _ascii_lower(c: Column) -> Column:
+    # tag names are ASCII: a plain translate avoids the locale-aware lower-casing path
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """H0: one row per token, with its kind, tag name and closing flag."""
-    p = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).repartition("page_id")
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    p = p.repartition(partitions_for(p), "page_id")
     t = p.select("page_id", F.posexplode_outer(F.regexp_extract_all("html", F.lit(TOKEN_RE), 0)).alias("pos", "tok"))
     tok = F.col("tok")
-    low = F.lower(F.substring(tok, 1, 10))
-    name = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
+    low = _ascii_lower(F.substring(tok, 1, 10))
+    name = _ascii_lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
     kind = (
         F.when(tok.isNull(), "none")
         .when(~tok.startswith("<") | (tok == "<"), "text")
@@ -86,6 +93,13 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
     is_open = F.col("kind") == "open"
     is_close = F.col("kind") == "close"
     tag = F.col("tag")
+    # decoded text and the few attributes used, computed once per token
+    t = t.select(
+        "*",
+        F.when(F.col("kind") == "text", decode_entities(F.col("tok"))).alias("dtext"),
+        F.when(is_open & (tag == "a"), _attr(F.col("tok"), "href")).alias("a_href"),
+        F.when(is_open & tag.isin("a", "img"), _attr(F.col("tok"), "title")).alias("a_title"),
+    )
 
     def pm(name: str) -> Column:  # +1 on open, -1 on close of this tag
         return F.when(is_open & (tag == name), 1).when(is_close & (tag == name), -1).otherwise(0)
@@ -101,7 +115,7 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
         F.sum(pm("code")).over(_RUN).alias("code_s"),
         F.last(cell_mark, ignorenulls=True).over(_RUN).alias("cellctx"),
         F.sum(F.when(is_open & (tag == "tr"), 1).otherwise(0)).over(_RUN).alias("tr_run"),
-        F.lead("kind", 1).over(_W).alias("k1"), F.lead("tok", 1).over(_W).alias("t1"),
+        F.lead("kind", 1).over(_W).alias("k1"), F.lead("dtext", 1).over(_W).alias("t1"),
         F.lead("kind", 2).over(_W).alias("k2"), F.lead("tag", 2).over(_W).alias("g2"),
     )
     depth = {}
@@ -117,7 +131,7 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
         "block_no", F.sum(F.col("is_boundary").cast("int")).over(_RUN))
 
     # --- second window: inline pairs per (tag, block) and list items per depth -----------
-    href = F.when(is_open & (tag == "a"), _attr(F.col("tok"), "href"))
+    href = F.col("a_href")
     is_inline = (is_open | is_close) & ~in_pre & (tag.isin(*INLINE_MARK) | ((tag == "a") & (is_close | href.isNotNull())))
     list_depth = F.col("ul") + F.col("ol")
     is_list_open = is_open & tag.isin("ul", "ol")
@@ -129,12 +143,11 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
          .withColumn("list_open", is_list_open).withColumn("href", F.when(is_open & (tag == "a"), href))
     wg = Window.partitionBy("page_id", "gkey").orderBy("pos")
     g_run = wg.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g_after = wg.rowsBetween(1, Window.unboundedFollowing)
     step = F.when(F.col("inl") & is_open, 1).when(F.col("inl") & is_close, -1).otherwise(0)
     start_attr = F.coalesce(F.regexp_extract(F.col("tok"), r"(?i)\sstart\s*=\s*[\"']?([0-9]{1,9})", 1).try_cast("int"), F.lit(1))
-    title_attr = _attr(F.col("tok"), "title")
+    title_attr = F.col("a_title")
     autolink = (F.col("k1") == "text") & (F.col("k2") == "close") & (F.col("g2") == "a") & \
-        (decode_entities(F.col("t1")) == F.col("href")) & title_attr.isNull()
+        (F.col("t1") == F.col("href")) & title_attr.isNull()
     t = t.select(
         "*",
         F.sum(step).over(g_run).alias("is_s"),
@@ -149,17 +162,21 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
         (F.col("is_s") - F.least(F.lit(0), F.min("is_s").over(g_run))).alias("is_c"),
         F.last(F.when(F.col("list_open"), F.col("li_run")), ignorenulls=True).over(g_run).alias("li_base"),
     )
+    # "does a close follow?" = running minimum in reverse order (a frame reaching to the
+    # end of the partition would be recomputed per row, quadratic in the group size)
+    wg_rev = Window.partitionBy("page_id", "gkey").orderBy(F.col("pos").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     t = t.select(
         "*",
-        F.min("is_c").over(g_after).alias("is_after_min"),
-        F.lag("is_c", 1).over(wg).alias("is_prev"),
+        F.min("is_c").over(wg_rev).alias("is_after_min"),
+        F.lead("is_c", 1).over(Window.partitionBy("page_id", "gkey").orderBy(F.col("pos").desc())).alias("is_prev"),
     )
     open_ok = F.col("inl") & is_open & F.col("is_after_min").isNotNull() & (F.col("is_after_min") < F.col("is_c"))
     close_ok = F.col("inl") & is_close & (F.coalesce(F.col("is_prev"), F.lit(0)) >= 1)
 
     # --- fragments ----------------------------------------------------------------------
     raw_text = F.col("tok")
-    txt = decode_entities(raw_text)
+    txt = F.col("dtext")
     plain = F.regexp_replace(txt, r"[ \t\n\r\f]+", " ")
     escaped = F.regexp_replace(plain, r"([*_])", r"\\$1")
     text_frag = F.when(in_pre, txt).when(F.col("code") > 0, plain).otherwise(escaped)
@@ -167,7 +184,7 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
     a = F.col("a_open")
     link_tail = F.when(a["au"], F.lit(">")).otherwise(F.concat(
         F.lit("]("), a["h"], F.when(a["ti"].isNotNull(), F.concat(F.lit(' "'), a["ti"], F.lit('"'))).otherwise(F.lit("")), F.lit(")")))
-    img_title = _attr(F.col("tok"), "title")
+    img_title = F.col("a_title")
     img = F.concat(F.lit("!["), F.coalesce(_attr(F.col("tok"), "alt"), F.lit("")), F.lit("]("),
                    F.coalesce(_attr(F.col("tok"), "src"), F.lit("")),
                    F.when(img_title.isNotNull(), F.concat(F.lit(' "'), img_title, F.lit('"'))).otherwise(F.lit("")), F.lit(")"))
@@ -206,6 +223,8 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
     t = t.select("page_id", "pos", "block_no", frag.alias("frag"),
                  F.when(F.col("is_boundary"), battrs).alias("battrs"),
                  (is_open & (tag == "th") & in_cell).alias("is_th"))
+    # only fragments that render, block openers and header cells go on to the aggregates
+    t = t.filter((F.col("frag") != "") | F.col("battrs").isNotNull() | F.col("is_th") | (F.col("pos") == 0))
     return _assemble(t)
 
 

@@ -253,3 +253,22 @@ def q_create_payloads(spark, sf):
 @register("request_rejects")
 def q_request_rejects(spark, sf):
     return U.request_rejects(fx.request_table(spark, sf), fx.wiki_pages(spark, sf))
+
+
+# --- read / export / edit buffers ---------------------------------------------------------
+from ..operators import export as X  # noqa: E402
+
+
+@register("export_documents")
+def q_export_documents(spark, sf):
+    return X.export_documents(fx.wiki_pages(spark, sf), fx.instances(spark, sf))
+
+
+@register("read_pages")
+def q_read_pages(spark, sf):
+    return X.read_pages(fx.wiki_pages(spark, sf), fx.instances(spark, sf))
+
+
+@register("edit_buffers")
+def q_edit_buffers(spark, sf):
+    return X.edit_buffers(fx.wiki_pages(spark, sf))

@@ -293,3 +293,32 @@ SELECT v.request_seq, v.action,
        array_to_string(CASE WHEN len(v.reasons) = 0 AND v.action <> 'create' AND p.hit IS NULL THEN ['page not found'] ELSE v.reasons END, '; ') AS reject_reason
 FROM val v LEFT JOIN (SELECT instance, page_id, true AS hit FROM wiki_pages) p ON p.instance = v.instance AND p.page_id = v.page_id_x
 WHERE len(v.reasons) > 0 OR (v.action <> 'create' AND p.hit IS NULL)"""
+
+
+# --- read / export / edit buffers ---------------------------------------------------------
+_PAGE_MD = "WITH " + S.WIKI_PAGES + ",\n" + S.INSTANCES + ",\n" + html_to_markdown_sql(
+    "src AS (SELECT page_id, storage_html AS html FROM wiki_pages)")
+
+ORACLE["export_documents"] = _PAGE_MD + f""",
+doc AS (
+  SELECT p.instance, p.page_id, {S.slug_expr("p.title")} AS file_name,
+         {S.header_expr("p.title", "p.space_name", "p.page_id", "p.version", S.page_url_expr("i.base_url", "p.page_id"))}
+           || coalesce(m.markdown, '') AS content
+  FROM wiki_pages p LEFT JOIN md_docs m ON m.page_id = p.page_id LEFT JOIN instances i ON i.instance = p.instance)
+SELECT d.instance, d.page_id, d.file_name, d.content, s.n AS n_same_slug
+FROM doc d JOIN (SELECT instance, file_name, count(*) AS n FROM doc GROUP BY instance, file_name) s
+  ON s.instance = d.instance AND s.file_name = d.file_name"""
+
+ORACLE["read_pages"] = _PAGE_MD + f"""
+SELECT p.instance, p.page_id AS id, p.title, p.space_name AS space, p.space_key, p.version,
+       p.storage_html AS html_content, m.markdown AS markdown_content, {S.page_url_expr("i.base_url", "p.page_id")} AS url
+FROM wiki_pages p LEFT JOIN md_docs m ON m.page_id = p.page_id LEFT JOIN instances i ON i.instance = p.instance"""
+
+ORACLE["edit_buffers"] = _PAGE_MD + f""",
+b AS (
+  SELECT p.instance, p.page_id, coalesce(m.markdown, '') AS markdown,
+         {S.edit_buffer_expr("p.title", "p.page_id", "p.version", "coalesce(m.markdown, '')")} AS buffer
+  FROM wiki_pages p LEFT JOIN md_docs m ON m.page_id = p.page_id)
+SELECT instance, page_id, buffer, {S.clean_edit_expr("buffer")} AS cleaned,
+       {S.clean_edit_expr("buffer")} = {S.strip_ws("markdown")} AS unchanged
+FROM b"""

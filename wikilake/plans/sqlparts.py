@@ -15,21 +15,15 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def dec_numeric(x: str) -> str:
-    pieces = "regexp_extract_all(" + x + r", '&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&')"
+def dec(x: str) -> str:
+    """Entity decoding, one pass over pieces (same contract as the Spark side)."""
+    pieces = "regexp_extract_all(" + x + r", '&[A-Za-z][A-Za-z0-9]{1,7};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&')"
     cp = ("(CASE WHEN substr(p, 3, 1) IN ('x', 'X') THEN TRY_CAST('0x' || substr(p, 4, length(p) - 4) AS BIGINT) "
           "ELSE TRY_CAST(substr(p, 3, length(p) - 3) AS BIGINT) END)")
-    one = (f"CASE WHEN starts_with(p, '&#') AND length(p) > 3 AND {cp} BETWEEN 1 AND 1114111 "
-           f"AND NOT ({cp} BETWEEN 55296 AND 57343) THEN chr(CAST({cp} AS INTEGER)) ELSE p END")
-    return f"(CASE WHEN contains({x}, '&#') THEN array_to_string(list_transform({pieces}, lambda p: {one}), '') ELSE {x} END)"
-
-
-def dec(x: str) -> str:
-    out = x
-    for name, char in NAMED_ENTITIES:
-        out = f"replace({out}, {q(name)}, {q(char)})"
-    out = f"replace({dec_numeric(out)}, '&amp;', '&')"
-    return f"(CASE WHEN contains({x}, '&') THEN {out} ELSE {x} END)"
+    named = "CASE p " + " ".join(f"WHEN {q(n)} THEN {q(c)}" for n, c in NAMED_ENTITIES + [("&amp;", "&")]) + " ELSE p END"
+    one = (f"CASE WHEN starts_with(p, '&#') THEN CASE WHEN {cp} BETWEEN 1 AND 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
+           f"THEN chr(CAST({cp} AS INTEGER)) ELSE p END ELSE {named} END")
+    return f"(CASE WHEN contains({x}, '&') THEN array_to_string(list_transform({pieces}, lambda p: {one}), '') ELSE {x} END)"
 
 
 def strip_ws(x: str) -> str:

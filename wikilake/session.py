@@ -67,3 +67,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
+
+
+def partitions_for(df, bytes_per_partition: int = 128 * 1024 * 1024, max_partitions: int = 200_000) -> int:
+    """Shuffle width for a per-document job: the optimizer's size estimate of ``df``
+    divided by ``bytes_per_partition``, at least twice the cluster's parallelism.
+
+    A document expands about tenfold when cut into tokens or lines, so size-based
+    coalescing of the page rows would leave cores idle; an explicit count keeps AQE
+    from merging the partitions while still growing with the input.
+    """
+    spark = df.sparkSession
+    floor_n = 2 * spark.sparkContext.defaultParallelism
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # estimate unavailable (e.g. a remote session): fall back to the floor
+        size = 0
+    if size >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))) or size >= 2**60:
+        size = 0  # "unknown" (a join or aggregate below): do not read it as huge
+    return int(max(floor_n, min(max_partitions, size // bytes_per_partition + 1)))
