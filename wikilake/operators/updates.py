@@ -143,3 +143,19 @@ def request_rejects(reqs: DataFrame, pages: DataFrame) -> DataFrame:
     c = reqs.filter(F.col("action") == "create").withColumn("reasons", reject_reasons(reqs)) \
         .filter(F.size("reasons") > 0).select("request_seq", "action", F.array_join("reasons", "; ").alias("reject_reason"))
     return bad.unionByName(c)
+
+
+def edit_changes(pages: DataFrame, reqs: DataFrame) -> DataFrame:
+    """For each edit request, whether its cleaned text differs from the page's current
+    markdown (an unchanged buffer is not uploaded). Only edited pages are converted."""
+    from .export import with_markdown
+
+    edits = reqs.filter(F.col("action") == "edit").withColumn("page_id", page_id_from_url("url"))
+    targets = pages.join(edits.select("instance", "page_id").distinct(), ["instance", "page_id"], "left_semi")
+    md = with_markdown(targets.select("instance", "page_id", "storage_html"))
+    j = edits.join(md, ["instance", "page_id"], "left")
+    cleaned = clean_edit("content")
+    current = F.regexp_replace(F.regexp_replace(F.coalesce("markdown", F.lit("")), r"^[ \t\n\r\x0B\f]+", ""),
+                               r"[ \t\n\r\x0B\f]+$", "")
+    return j.select("request_seq", "instance", "page_id", F.col("markdown").isNotNull().alias("page_found"),
+                    (cleaned != current).alias("changed"))

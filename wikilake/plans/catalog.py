@@ -272,3 +272,43 @@ def q_read_pages(spark, sf):
 @register("edit_buffers")
 def q_edit_buffers(spark, sf):
     return X.edit_buffers(fx.wiki_pages(spark, sf))
+
+
+# --- streaming forms -------------------------------------------------------------------------
+from ..streaming import stream as ST  # noqa: E402
+
+
+@register("stream_listing")
+def q_stream_listing(spark, sf):
+    work = ST._run_dir(spark, "listing")
+    src = work + "/source"
+    ST.write_listing_source(fx.listing_raw(spark, sf), src)
+    return ST.stream_listing(spark, src, work)
+
+
+@register("stream_convert")
+def q_stream_convert(spark, sf):
+    return ST.stream_convert(spark, f"{sf.rstrip('/')}/pages.parquet")
+
+
+# --- file sources and edit change check --------------------------------------------------------
+from ..sources import files as FS  # noqa: E402
+
+
+@register("load_templates")
+def q_load_templates(spark, sf):
+    path = ST._run_dir(spark, "templates")
+    FS.write_templates(fx.template_table(spark, sf), path)
+    return FS.load_templates(spark, path)
+
+
+@register("load_instances")
+def q_load_instances(spark, sf):
+    path = ST._run_dir(spark, "profiles")
+    FS.write_instances(fx.instances(spark, sf), path)
+    return FS.load_instances(spark, path)
+
+
+@register("edit_changes")
+def q_edit_changes(spark, sf):
+    return U.edit_changes(fx.wiki_pages(spark, sf), fx.request_table(spark, sf))

@@ -322,3 +322,25 @@ b AS (
 SELECT instance, page_id, buffer, {S.clean_edit_expr("buffer")} AS cleaned,
        {S.clean_edit_expr("buffer")} = {S.strip_ws("markdown")} AS unchanged
 FROM b"""
+
+
+# --- streaming forms -------------------------------------------------------------------------
+ORACLE["stream_listing"] = with_(S.WIKI_PAGES, S.LISTING) + """
+SELECT instance, page_id, title, space_key, space_name, ordinal FROM listing"""
+
+ORACLE["stream_convert"] = "WITH " + html_to_markdown_sql(
+    "src AS (SELECT CAST(page_id AS VARCHAR) AS page_id, html FROM pages)") + "\nSELECT page_id, markdown FROM md_docs"
+
+
+# --- file sources and edit change check --------------------------------------------------------
+ORACLE["load_templates"] = with_(S.MD_SRC, TEMPLATES) + "SELECT name, body || chr(10) AS body FROM tpl"
+
+ORACLE["load_instances"] = with_(S.INSTANCES) + "SELECT instance, base_url FROM instances"
+
+ORACLE["edit_changes"] = "WITH " + S.WIKI_PAGES + ",\n" + REQUESTS + ",\n" + html_to_markdown_sql(
+    "src AS (SELECT page_id, storage_html AS html FROM wiki_pages)") + f""",
+e AS (SELECT request_seq, instance, content, {S.page_id_expr("url")} AS page_id FROM requests WHERE action = 'edit')
+SELECT e.request_seq, e.instance, e.page_id, m.markdown IS NOT NULL AS page_found,
+       {S.clean_edit_expr("e.content")} <> {S.strip_ws("coalesce(m.markdown, '')")} AS changed
+FROM e LEFT JOIN wiki_pages p ON p.instance = e.instance AND p.page_id = e.page_id
+LEFT JOIN md_docs m ON m.page_id = p.page_id"""
