@@ -139,8 +139,9 @@ ml6 AS (
          WHEN kind = 'li' AND is_item THEN regexp_extract(line, {q(LIST_RE)}, 3)
          WHEN kind = 'li' THEN {strip('line')}
          ELSE line END AS text
-  FROM (SELECT *, CASE WHEN heading THEN 'h' WHEN hr THEN 'hr' WHEN codeish THEN 'code' ELSE run_kind END AS kind
-        FROM ml5 WHERE NOT blank)),
+  FROM (SELECT * REPLACE (CASE WHEN blank THEN -1 ELSE block_id END AS block_id),
+               CASE WHEN blank THEN 'blank' WHEN heading THEN 'h' WHEN hr THEN 'hr' WHEN codeish THEN 'code' ELSE run_kind END AS kind
+        FROM ml5)),
 mb1 AS (
   SELECT *,
     CAST(floor(length(regexp_extract(first_line, {q(LIST_RE)}, 1)) / 4) AS INTEGER) AS lvl,
@@ -157,6 +158,7 @@ mb2 AS (
 mb3 AS (
   SELECT doc_id, block_id,
     CASE kind
+      WHEN 'blank' THEN NULL
       WHEN 'h' THEN '<h' || CAST(length(regexp_extract(first_line, '^(#{{1,6}})', 1)) AS VARCHAR) || '>' || h_html
                  || '</h' || CAST(length(regexp_extract(first_line, '^(#{{1,6}})', 1)) AS VARCHAR) || '>'
       WHEN 'hr' THEN '<hr />'
@@ -169,4 +171,4 @@ mb3 AS (
       ELSE '<p>' || {para('text')} || '</p>' END AS html
   FROM mb2),
 html_docs AS (
-  SELECT doc_id, string_agg(html, chr(10) ORDER BY block_id) AS html FROM mb3 GROUP BY doc_id)"""
+  SELECT doc_id, coalesce(string_agg(html, chr(10) ORDER BY block_id), '') AS html FROM mb3 GROUP BY doc_id)"""
