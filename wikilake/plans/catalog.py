@@ -312,3 +312,44 @@ def q_load_instances(spark, sf):
 @register("edit_changes")
 def q_edit_changes(spark, sf):
     return U.edit_changes(fx.wiki_pages(spark, sf), fx.request_table(spark, sf))
+
+
+# --- SQL functions, side tables, bag union ------------------------------------------------------
+from ..functions.sqlfuncs import register_sql_functions  # noqa: E402
+
+
+@register("sql_functions")
+def q_sql_functions(spark, sf):
+    register_sql_functions(spark)
+    p = fx.wiki_pages(spark, sf).drop("storage_html")
+    return spark.sql("""
+        SELECT p.page_id,
+               wiki_slug(p.title) AS file_name,
+               wiki_page_url(i.base_url, p.page_id) AS url,
+               wiki_header(p.title, p.space_name, p.page_id, p.version, wiki_page_url(i.base_url, p.page_id)) AS header,
+               wiki_page_id(u.url) AS url_page_id,
+               wiki_clean_edit(wiki_header(p.title, p.space_name, p.page_id, p.version, u.url)) AS cleaned_header
+        FROM {p} p JOIN {i} i ON p.instance = i.instance JOIN {u} u ON u.page_id = p.page_id""",
+                     p=p, i=fx.instances(spark, sf), u=fx.url_cases(spark, sf))
+
+
+@register("html_headings")
+def q_html_headings(spark, sf):
+    md = H.html_to_markdown(html_fixture(spark, sf))
+    lines = md.select("page_id", F.posexplode(F.split("markdown", "\n", -1)).alias("line_no", "line"))
+    h = lines.filter(F.col("line").rlike("^#{1,6} "))
+    return h.select("page_id", "line_no", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"),
+                    F.regexp_replace("line", "^#+ ", "").alias("text"))
+
+
+@register("html_links")
+def q_html_links(spark, sf):
+    t = H.tokenize(html_fixture(spark, sf))
+    a = t.filter((F.col("kind") == "open") & (F.col("tag") == "a"))
+    return a.select("page_id", "pos", H._attr(F.col("tok"), "href").alias("href")).filter(F.col("href").isNotNull())
+
+
+@register("listing_union")
+def q_listing_union(spark, sf):
+    raw = fx.listing_raw(spark, sf)
+    return L.page_listing(raw.unionByName(raw)).drop("req_space_key")

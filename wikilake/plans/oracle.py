@@ -344,3 +344,29 @@ SELECT e.request_seq, e.instance, e.page_id, m.markdown IS NOT NULL AS page_foun
        {S.clean_edit_expr("e.content")} <> {S.strip_ws("coalesce(m.markdown, '')")} AS changed
 FROM e LEFT JOIN wiki_pages p ON p.instance = e.instance AND p.page_id = e.page_id
 LEFT JOIN md_docs m ON m.page_id = p.page_id"""
+
+
+# --- SQL functions, side tables, bag union ------------------------------------------------------
+from .oracle_html import attr as _html_attr  # noqa: E402
+
+ORACLE["sql_functions"] = with_(S.WIKI_PAGES, S.INSTANCES, S.URLS) + f"""
+SELECT p.page_id, {S.slug_expr("p.title")} AS file_name, {S.page_url_expr("i.base_url", "p.page_id")} AS url,
+       {S.header_expr("p.title", "p.space_name", "p.page_id", "p.version", S.page_url_expr("i.base_url", "p.page_id"))} AS header,
+       {S.page_id_expr("u.url")} AS url_page_id,
+       {S.clean_edit_expr(S.header_expr("p.title", "p.space_name", "p.page_id", "p.version", "u.url"))} AS cleaned_header
+FROM wiki_pages p JOIN instances i ON p.instance = i.instance JOIN urls u ON u.page_id = p.page_id"""
+
+ORACLE["html_headings"] = "WITH " + S.WIKI_PAGES + ",\n" + html_to_markdown_sql(html_fixture_sql()) + """,
+ls AS (SELECT page_id, string_split(markdown, chr(10)) AS parts FROM md_docs),
+lx AS (SELECT page_id, parts, unnest(range(len(parts))) AS i FROM ls)
+SELECT page_id, CAST(i AS INTEGER) AS line_no, CAST(length(regexp_extract(parts[i + 1], '^(#+)', 1)) AS INTEGER) AS level,
+       regexp_replace(parts[i + 1], '^#+ ', '') AS text
+FROM lx WHERE regexp_matches(parts[i + 1], '^#{1,6} ')"""
+
+ORACLE["html_links"] = "WITH " + S.WIKI_PAGES + ",\n" + html_to_markdown_sql(html_fixture_sql()) + f"""
+SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM (
+  SELECT page_id, pos, {_html_attr("tok", "href")} AS href FROM tk2 WHERE kind = 'open' AND tag = 'a')
+WHERE href IS NOT NULL"""
+
+ORACLE["listing_union"] = with_(S.WIKI_PAGES, S.LISTING) + f"""
+SELECT {_LISTING_COLS} FROM listing UNION ALL SELECT {_LISTING_COLS} FROM listing"""
