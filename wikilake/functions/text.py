@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cache import cached_expr
+
 # ---------------------------------------------------------------------------
 # Named character references decoded by the HTML reader.
 # (`&amp;` → `&` is added to these; decoding is a single pass, so `&amp;lt;` stays `&lt;`.)
@@ -33,6 +35,11 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -42,11 +49,12 @@ def _codepoint_char(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
+@cached_expr
 def decode_entities(c) -> Column:
     """One left-to-right pass over ``&...;`` pieces (an entity's output is never decoded
     again): named references from the fixed list, ``&#n;`` and ``&#xh;`` code points."""
     s = _col(c)
-    names = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES + [("&amp;", "&")] for x in kv])
+    names = F.expr("map(" + ", ".join(sql_str(x) for kv in NAMED_ENTITIES + [("&amp;", "&")] for x in kv) + ")")
 
     def one(p: Column) -> Column:
         is_hex = p.rlike("^&#[xX]")
@@ -60,21 +68,25 @@ def decode_entities(c) -> Column:
     return F.when(s.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(s)
 
 
+@cached_expr
 def strip_ws(c) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(c), r"^[ \t\n\r\x0B\f]+", ""), r"[ \t\n\r\x0B\f]+$", "")
 
 
+@cached_expr
 def slug(c) -> Column:
     """ASCII upper→lower, space→'-', keep only [a-z0-9-], add '.md'."""
     t = F.translate(F.translate(_col(c), _UPPER, _LOWER), " ", "-")
     return F.concat(F.regexp_replace(t, "[^a-z0-9-]", ""), F.lit(".md"))
 
 
+@cached_expr
 def page_url(base_url, page_id) -> Column:
     """Canonical page URL; trailing '/' of the base removed (all of them)."""
     return F.concat(F.regexp_replace(_col(base_url), "/+$", ""), F.lit("/pages/viewpage.action?pageId="), _col(page_id))
 
 
+@cached_expr
 def metadata_header(title, space_name, page_id, version, url) -> Column:
     """The markdown header put before an exported page."""
     return F.concat(
@@ -87,6 +99,7 @@ def metadata_header(title, space_name, page_id, version, url) -> Column:
     )
 
 
+@cached_expr
 def edit_buffer(title, page_id, version, markdown) -> Column:
     """The text a user edits: title, two comment lines, blank line, markdown."""
     return F.concat(
@@ -97,6 +110,7 @@ def edit_buffer(title, page_id, version, markdown) -> Column:
     )
 
 
+@cached_expr
 def clean_edit(c) -> Column:
     """Drop comment lines, drop the first remaining '# ' line, join, strip."""
     lines = F.split(_col(c), "\n", -1)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cache import cached_expr
 from .text import _col, page_url  # noqa: F401  (re-export)
 
 
@@ -30,6 +31,7 @@ def url_parts(c) -> dict[str, Column]:
     return {"query": query, "path": path}
 
 
+@cached_expr
 def page_id_from_url(c) -> Column:
     url = _col(c)
     parts = url_parts(url)

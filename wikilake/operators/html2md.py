@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cache import cached_expr
+
 from ..functions.text import decode_entities
 from ..session import partitions_for
 
@@ -50,6 +52,7 @@ def _win():
     return w, w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+@cached_expr
 def _attr(tok: Column, name: str) -> Column:
     """Attribute value (quoted or bare), entities decoded; null when absent."""
     pat = r"(?i)\s" + name + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -58,6 +61,7 @@ def _attr(tok: Column, name: str) -> Column:
     return F.when(has, decode_entities(val))
 
 
+@cached_expr
 def _ascii_lower(c: Column) -> Column:
     # tag names are ASCII: a plain translate avoids the locale-aware lower-casing path
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,25 +93,32 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
                      keep_stripped_text: bool = False) -> DataFrame:
     """Convert a page table to ``(page_id, markdown)``."""
     t = tokenize(pages, id_col, html_col)
+    for op, arg in _h2m_steps(keep_stripped_text):
+        t = t.select("*", *arg) if op == "add" else t.select(*arg) if op == "project" else t.filter(arg)
+    return _assemble(t)
+
+
+@cached_expr
+def _h2m_steps(keep_stripped_text: bool) -> list:
+    """The token job as a list of column steps, built once per session."""
+    steps: list = []
     _W, _RUN = _win()
     is_open = F.col("kind") == "open"
     is_close = F.col("kind") == "close"
     tag = F.col("tag")
     # decoded text and the few attributes used, computed once per token
-    t = t.select(
-        "*",
+    steps.append(("add", [
         F.when(F.col("kind") == "text", decode_entities(F.col("tok"))).alias("dtext"),
         F.when(is_open & (tag == "a"), _attr(F.col("tok"), "href")).alias("a_href"),
         F.when(is_open & tag.isin("a", "img"), _attr(F.col("tok"), "title")).alias("a_title"),
-    )
+    ]))
 
     def pm(name: str) -> Column:  # +1 on open, -1 on close of this tag
         return F.when(is_open & (tag == name), 1).when(is_close & (tag == name), -1).otherwise(0)
 
     cell_mark = (F.when(is_open & tag.isin("td", "th"), "cell")
                  .when(tag.isin("td", "th", "tr", "table", "thead", "tbody", "tfoot"), "out"))
-    t = t.select(
-        "*",
+    steps.append(("add", [
         F.sum(pm("pre")).over(_RUN).alias("pre_s"),
         F.sum(pm("ul")).over(_RUN).alias("ul_s"),
         F.sum(pm("ol")).over(_RUN).alias("ol_s"),
@@ -117,18 +128,18 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
         F.sum(F.when(is_open & (tag == "tr"), 1).otherwise(0)).over(_RUN).alias("tr_run"),
         F.lead("kind", 1).over(_W).alias("k1"), F.lead("dtext", 1).over(_W).alias("t1"),
         F.lead("kind", 2).over(_W).alias("k2"), F.lead("tag", 2).over(_W).alias("g2"),
-    )
+    ]))
     depth = {}
     for c in ("pre", "ul", "ol", "bq", "code"):
         s = F.col(c + "_s")
         depth[c] = s - F.least(F.lit(0), F.min(s).over(_RUN))
-    t = t.select("*", *[d.alias(c) for c, d in depth.items()],
-                 F.last(F.when(is_open & (tag == "table"), F.col("tr_run")), ignorenulls=True).over(_RUN).alias("tbl_base"))
+    steps.append(("add", [*[d.alias(c) for c, d in depth.items()],
+                          F.last(F.when(is_open & (tag == "table"), F.col("tr_run")), ignorenulls=True).over(_RUN).alias("tbl_base")]))
     in_pre = F.col("pre") > 0
     in_cell = F.coalesce(F.col("cellctx"), F.lit("out")) == "cell"
     boundary = (is_open | is_close) & tag.isin(*BLOCK_TAGS) & (~in_pre | (tag == "pre")) & (~in_cell | tag.isin("tr", "table"))
-    t = t.withColumn("is_boundary", boundary).withColumn(
-        "block_no", F.sum(F.col("is_boundary").cast("int")).over(_RUN))
+    steps.append(("add", [boundary.alias("is_boundary")]))
+    steps.append(("add", [F.sum(F.col("is_boundary").cast("int")).over(_RUN).alias("block_no")]))
 
     # --- second window: inline pairs per (tag, block) and list items per depth -----------
     href = F.col("a_href")
@@ -139,8 +150,8 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
     gkey = (F.when(is_inline, F.concat(tag, F.lit("#"), F.col("block_no").cast("string")))
             .when(is_list_open | is_li, F.concat(F.lit("L#"), list_depth.cast("string")))
             .otherwise(F.lit("")))
-    t = t.withColumn("gkey", gkey).withColumn("inl", is_inline).withColumn("li_open", is_li) \
-         .withColumn("list_open", is_list_open).withColumn("href", F.when(is_open & (tag == "a"), href))
+    steps.append(("add", [gkey.alias("gkey"), is_inline.alias("inl"), is_li.alias("li_open"),
+                          is_list_open.alias("list_open"), F.when(is_open & (tag == "a"), href).alias("href")]))
     wg = Window.partitionBy("page_id", "gkey").orderBy("pos")
     g_run = wg.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("inl") & is_open, 1).when(F.col("inl") & is_close, -1).otherwise(0)
@@ -148,29 +159,26 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
     title_attr = F.col("a_title")
     autolink = (F.col("k1") == "text") & (F.col("k2") == "close") & (F.col("g2") == "a") & \
         (F.col("t1") == F.col("href")) & title_attr.isNull()
-    t = t.select(
-        "*",
+    steps.append(("add", [
         F.sum(step).over(g_run).alias("is_s"),
         F.sum(F.col("li_open").cast("int")).over(g_run).alias("li_run"),
         F.last(F.when(F.col("list_open"), tag), ignorenulls=True).over(g_run).alias("list_type"),
         F.last(F.when(F.col("list_open"), start_attr), ignorenulls=True).over(g_run).alias("list_start"),
         F.last(F.when(F.col("inl") & is_open & (tag == "a"), F.struct(
             F.col("href").alias("h"), title_attr.alias("ti"), autolink.alias("au"))), ignorenulls=True).over(g_run).alias("a_open"),
-    )
-    t = t.select(
-        "*",
+    ]))
+    steps.append(("add", [
         (F.col("is_s") - F.least(F.lit(0), F.min("is_s").over(g_run))).alias("is_c"),
         F.last(F.when(F.col("list_open"), F.col("li_run")), ignorenulls=True).over(g_run).alias("li_base"),
-    )
+    ]))
     # "does a close follow?" = running minimum in reverse order (a frame reaching to the
     # end of the partition would be recomputed per row, quadratic in the group size)
     wg_rev = Window.partitionBy("page_id", "gkey").orderBy(F.col("pos").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select(
-        "*",
+    steps.append(("add", [
         F.min("is_c").over(wg_rev).alias("is_after_min"),
         F.lead("is_c", 1).over(Window.partitionBy("page_id", "gkey").orderBy(F.col("pos").desc())).alias("is_prev"),
-    )
+    ]))
     open_ok = F.col("inl") & is_open & F.col("is_after_min").isNotNull() & (F.col("is_after_min") < F.col("is_c"))
     close_ok = F.col("inl") & is_close & (F.coalesce(F.col("is_prev"), F.lit(0)) >= 1)
 
@@ -220,12 +228,12 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
         first_row.alias("first_row"),
         F.coalesce(F.col("tbl_base"), F.lit(-1)).alias("table_id"),
     )
-    t = t.select("page_id", "pos", "block_no", frag.alias("frag"),
-                 F.when(F.col("is_boundary"), battrs).alias("battrs"),
-                 (is_open & (tag == "th") & in_cell).alias("is_th"))
+    steps.append(("project", [F.col("page_id"), F.col("pos"), F.col("block_no"), frag.alias("frag"),
+                              F.when(F.col("is_boundary"), battrs).alias("battrs"),
+                              (is_open & (tag == "th") & in_cell).alias("is_th")]))
     # only fragments that render, block openers and header cells go on to the aggregates
-    t = t.filter((F.col("frag") != "") | F.col("battrs").isNotNull() | F.col("is_th") | (F.col("pos") == 0))
-    return _assemble(t)
+    steps.append(("filter", (F.col("frag") != "") | F.col("battrs").isNotNull() | F.col("is_th") | (F.col("pos") == 0)))
+    return steps
 
 
 def _render_inline(x: Column) -> Column:
@@ -235,11 +243,22 @@ def _render_inline(x: Column) -> Column:
 
 
 def _assemble(t: DataFrame) -> DataFrame:
-    blocks = t.groupBy("page_id", "block_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "frag"))), lambda e: e["frag"]), "").alias("body"),
+    e = _assemble_exprs()
+    blocks = t.groupBy("page_id", "block_no").agg(*e["blocks"])
+    rows = blocks.select(*e["rows"])
+    pieces = rows.select(*e["pieces"])
+    docs = pieces.groupBy("page_id").agg(*e["docs"])
+    return docs.select(*e["final"])
+
+
+@cached_expr
+def _assemble_exprs() -> dict:
+    """Columns of the block and document aggregates, built once per session."""
+    e: dict = {"blocks": [
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "frag"))), lambda x: x["frag"]), "").alias("body"),
         F.first("battrs", ignorenulls=True).alias("b"),  # one boundary token per block, at its start
         F.max(F.col("is_th").cast("int")).alias("has_th"),
-    )
+    ]}
     b = F.col("b")
     kind = F.coalesce(b["kind"], F.lit("p"))
     body = F.col("body")
@@ -274,10 +293,10 @@ def _assemble(t: DataFrame) -> DataFrame:
     )
     bq = F.coalesce(b["bq"], F.lit(0))
     quoted = F.when(bq > 0, F.regexp_replace(rendered, "(?m)^", F.repeat(F.lit("> "), bq))).otherwise(rendered)
-    rows = blocks.select(
-        "page_id", "block_no", quoted.alias("md"), kind.alias("kind"), bq.alias("bq"),
+    e["rows"] = [
+        F.col("page_id"), F.col("block_no"), quoted.alias("md"), kind.alias("kind"), bq.alias("bq"),
         (ul + ol).alias("ldepth"), F.coalesce(b["table_id"], F.lit(-1)).alias("table_id"),
-    )
+    ]
     # separators look at the previous block that renders to something
     before = Window.partitionBy("page_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     kept = F.col("md").isNotNull()
@@ -289,10 +308,12 @@ def _assemble(t: DataFrame) -> DataFrame:
            .when(tight, F.lit("\n"))
            .when(both_q > 0, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), both_q)), F.lit("\n")))
            .otherwise(F.lit("\n\n")))
-    pieces = rows.select("page_id", "block_no", F.concat(sep, F.col("md")).alias("piece"))
-    docs = pieces.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "piece"))), lambda e: e["piece"]), "").alias("md"))
-    return docs.select("page_id", F.regexp_replace(F.regexp_replace("md", r"^[ \t\n\r\f]+", ""), r"[ \t\n\r\f]+$", "").alias("markdown"))
+    e["pieces"] = [F.col("page_id"), F.col("block_no"), F.concat(sep, F.col("md")).alias("piece")]
+    e["docs"] = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "piece"))),
+                                          lambda x: x["piece"]), "").alias("md")]
+    e["final"] = [F.col("page_id"),
+                  F.regexp_replace(F.regexp_replace("md", r"^[ \t\n\r\f]+", ""), r"[ \t\n\r\f]+$", "").alias("markdown")]
+    return e
 
 
 def html_tokens_check(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cache import cached_expr
 from ..functions.urls import page_id_from_url
 
 # Actions and content types the client accepts, and the reject texts.
@@ -49,7 +50,13 @@ def _missing(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
-def reject_reasons(r: DataFrame) -> Column:
+def reject_reasons(r: DataFrame | None = None) -> Column:
+    """Reasons a request is refused (argument checks of the client), as an array column."""
+    return _reject_reasons()
+
+
+@cached_expr
+def _reject_reasons() -> Column:
     action = F.col("action")
     ctype = F.coalesce(F.col("content_type"), F.lit("markdown"))
     pid = page_id_from_url(F.col("url"))
@@ -109,6 +116,7 @@ def resolve_parents(reqs: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+@cached_expr
 def skeleton(title: Column) -> Column:
     head, tail = SKELETON.split("{title}")
     return F.concat(F.lit(head), title, F.lit(tail))

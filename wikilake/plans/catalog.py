@@ -154,11 +154,13 @@ def q_html_tokens(spark, sf):
 
 
 from ..operators import md2html as M  # noqa: E402
+from ..session import partitions_for  # noqa: E402
 
 
 @register("markdown_to_html")
 def q_markdown_to_html(spark, sf):
-    return M.markdown_to_html(fx.markdown_inputs(spark, sf))
+    docs = fx.markdown_inputs(spark, sf)
+    return M.markdown_to_html(docs, num_partitions=partitions_for(docs))
 
 
 # --- requests, lookups, updates ----------------------------------------------------------
