@@ -159,3 +159,27 @@ def edit_changes(pages: DataFrame, reqs: DataFrame) -> DataFrame:
                                r"[ \t\n\r\x0B\f]+$", "")
     return j.select("request_seq", "instance", "page_id", F.col("markdown").isNotNull().alias("page_found"),
                     (cleaned != current).alias("changed"))
+
+
+def version_diff(changes: DataFrame, old_col: str = "old_body", new_col: str = "new_body") -> DataFrame:
+    """Line-level comparison of two versions of each page.
+
+    Lines are matched as a multiset: the k-th copy of a line in the old version pairs with
+    the k-th copy in the new one (full outer join on page, line and occurrence), so the
+    counts are those of a line-set diff; order changes are not edits.
+    """
+    from pyspark.sql import Window
+
+    key = ["instance", "page_id"]
+
+    def lines(col: str, side: str) -> DataFrame:
+        x = changes.select(*key, F.posexplode(F.split(F.col(col), "\n", -1)).alias("ln", "line"))
+        occ = F.row_number().over(Window.partitionBy(*key, "line").orderBy("ln"))
+        return x.select(*key, "line", occ.alias("occ"), F.lit(True).alias(side))
+
+    j = lines(old_col, "in_old").join(lines(new_col, "in_new"), key + ["line", "occ"], "full_outer")
+    return j.groupBy(*key).agg(
+        F.sum(F.when(F.col("in_old").isNull(), 1).otherwise(0)).cast("long").alias("n_added"),
+        F.sum(F.when(F.col("in_new").isNull(), 1).otherwise(0)).cast("long").alias("n_removed"),
+        F.sum(F.when(F.col("in_old") & F.col("in_new"), 1).otherwise(0)).cast("long").alias("n_kept"),
+    )

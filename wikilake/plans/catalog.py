@@ -355,3 +355,20 @@ def q_html_links(spark, sf):
 def q_listing_union(spark, sf):
     raw = fx.listing_raw(spark, sf)
     return L.page_listing(raw.unionByName(raw)).drop("req_space_key")
+
+
+# --- roadmap: search by content, version compare ------------------------------------------------
+CONTENT_QUERY = "^EN 'example.com !zzz"
+
+
+@register("search_content")
+def q_search_content(spark, sf):
+    md = X.with_markdown(fx.wiki_pages(spark, sf))
+    return search.search_content(md, CONTENT_QUERY).select("instance", "page_id", "title", "space_key")
+
+
+@register("version_diff")
+def q_version_diff(spark, sf):
+    new = _apply(spark, sf).select("instance", "page_id", "new_body")
+    old = fx.wiki_pages(spark, sf).select("instance", "page_id", F.col("storage_html").alias("old_body"))
+    return U.version_diff(new.join(old, ["instance", "page_id"]))

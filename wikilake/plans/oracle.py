@@ -370,3 +370,40 @@ WHERE href IS NOT NULL"""
 
 ORACLE["listing_union"] = with_(S.WIKI_PAGES, S.LISTING) + f"""
 SELECT {_LISTING_COLS} FROM listing UNION ALL SELECT {_LISTING_COLS} FROM listing"""
+
+
+# --- roadmap: search by content ---------------------------------------------------------------
+from .catalog import CONTENT_QUERY  # noqa: E402
+
+
+def _content_sql(query: str) -> str:
+    text = "concat_ws(' | ', p.space_key, p.space_name, p.title, p.page_id, m.markdown)"
+    conds = []
+    for group in parse_query(query):
+        alts = [("NOT " if neg else "") + f"regexp_matches({text}, {S.q(pat)})" for pat, neg in group]
+        conds.append("(" + " OR ".join(alts) + ")")
+    return _PAGE_MD + f"""
+SELECT p.instance, p.page_id, p.title, p.space_key
+FROM wiki_pages p LEFT JOIN md_docs m ON m.page_id = p.page_id WHERE {" AND ".join(conds)}"""
+
+
+ORACLE["search_content"] = _content_sql(CONTENT_QUERY)
+
+ORACLE["version_diff"] = _apply_sql(None) + """,
+pairs AS (SELECT a.instance, a.page_id, p.storage_html AS old_body, a.new_body FROM applied a
+          JOIN wiki_pages p ON p.instance = a.instance AND p.page_id = a.page_id),
+ol AS (SELECT instance, page_id, line, row_number() OVER (PARTITION BY instance, page_id, line ORDER BY i) AS occ
+       FROM (SELECT instance, page_id, parts[i + 1] AS line, i
+             FROM (SELECT instance, page_id, parts, unnest(range(len(parts))) AS i
+                   FROM (SELECT instance, page_id, string_split(old_body, chr(10)) AS parts FROM pairs)))),
+nl AS (SELECT instance, page_id, line, row_number() OVER (PARTITION BY instance, page_id, line ORDER BY i) AS occ
+       FROM (SELECT instance, page_id, parts[i + 1] AS line, i
+             FROM (SELECT instance, page_id, parts, unnest(range(len(parts))) AS i
+                   FROM (SELECT instance, page_id, string_split(new_body, chr(10)) AS parts FROM pairs))))
+SELECT coalesce(o.instance, n.instance) AS instance, coalesce(o.page_id, n.page_id) AS page_id,
+       CAST(sum(CASE WHEN o.line IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_added,
+       CAST(sum(CASE WHEN n.line IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       CAST(sum(CASE WHEN o.line IS NOT NULL AND n.line IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_kept
+FROM ol o FULL OUTER JOIN nl n
+  ON o.instance = n.instance AND o.page_id = n.page_id AND o.line = n.line AND o.occ = n.occ
+GROUP BY 1, 2"""
