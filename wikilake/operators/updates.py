@@ -46,23 +46,29 @@ def convert_contents(reqs: DataFrame) -> DataFrame:
     return j.withColumn("html", html).drop("_conv")
 
 
-def split_requests(reqs: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted add/edit requests with their page, rejects with reason) — creates excluded."""
+def split_requests(reqs: DataFrame, pages: DataFrame, check_version: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted add/edit requests with their page, rejects with reason) — creates excluded.
+
+    ``check_version``: refuse an edit whose ``base_version`` is not the stored version
+    (the server-side check of an edit started from an older snapshot)."""
     r = reqs.filter(F.col("action") != "create").withColumn("reasons", reject_reasons(reqs))
     r = r.withColumn("page_id", page_id_from_url("url"))
-    p = pages.select("instance", "page_id", F.lit(True).alias("_hit"))
+    p = pages.select("instance", "page_id", F.lit(True).alias("_hit"), F.col("version").alias("_stored_version"))
     j = r.join(p, ["instance", "page_id"], "left")
-    reasons = F.when((F.size("reasons") == 0) & F.col("_hit").isNull(),
-                     F.array(F.lit("page not found"))).otherwise(F.col("reasons"))
-    j = j.withColumn("reasons", reasons).drop("_hit")
+    conflict = (F.lit(check_version) & (F.col("action") == "edit") & F.col("base_version").isNotNull()
+                & (F.col("base_version") != F.col("_stored_version")))
+    reasons = (F.when((F.size("reasons") == 0) & F.col("_hit").isNull(), F.array(F.lit("page not found")))
+               .when((F.size("reasons") == 0) & conflict, F.array(F.lit("version conflict")))
+               .otherwise(F.col("reasons")))
+    j = j.withColumn("reasons", reasons).drop("_hit", "_stored_version")
     ok = j.filter(F.size("reasons") == 0).drop("reasons")
     bad = j.filter(F.size("reasons") > 0).select("request_seq", "action", F.array_join("reasons", "; ").alias("reject_reason"))
     return ok, bad
 
 
-def apply_requests(pages: DataFrame, reqs: DataFrame) -> DataFrame:
+def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = False) -> DataFrame:
     """U4 (and U1/U2 as special cases): new body, version and title per touched page."""
-    ok, _ = split_requests(reqs, pages)
+    ok, _ = split_requests(reqs, pages, check_version)
     ok = convert_contents(ok)
     key = ["instance", "page_id"]
     last_edit = ok.groupBy(*key).agg(
@@ -183,3 +189,11 @@ def version_diff(changes: DataFrame, old_col: str = "old_body", new_col: str = "
         F.sum(F.when(F.col("in_new").isNull(), 1).otherwise(0)).cast("long").alias("n_removed"),
         F.sum(F.when(F.col("in_old") & F.col("in_new"), 1).otherwise(0)).cast("long").alias("n_kept"),
     )
+
+
+def version_conflicts(pages: DataFrame, reqs: DataFrame) -> DataFrame:
+    """U2 option: edits whose base version differs from the stored version of their page."""
+    e = reqs.filter(F.col("action") == "edit").withColumn("page_id", page_id_from_url("url"))
+    j = e.join(pages.select("instance", "page_id", F.col("version").alias("stored_version")), ["instance", "page_id"])
+    return j.filter(F.col("base_version") != F.col("stored_version")).select(
+        "request_seq", "instance", "page_id", "base_version", "stored_version")

@@ -372,3 +372,14 @@ def q_version_diff(spark, sf):
     new = _apply(spark, sf).select("instance", "page_id", "new_body")
     old = fx.wiki_pages(spark, sf).select("instance", "page_id", F.col("storage_html").alias("old_body"))
     return U.version_diff(new.join(old, ["instance", "page_id"]))
+
+
+@register("apply_edits_checked")
+def q_apply_edits_checked(spark, sf):
+    reqs = fx.request_table(spark, sf).filter(F.col("action") == "edit")
+    return U.apply_requests(fx.wiki_pages(spark, sf), reqs, check_version=True)
+
+
+@register("version_conflicts")
+def q_version_conflicts(spark, sf):
+    return U.version_conflicts(fx.wiki_pages(spark, sf), fx.request_table(spark, sf))

@@ -214,14 +214,16 @@ SELECT split_part(line, '|', 1) AS title, CASE WHEN contains(line, '|') THEN spl
 FROM (SELECT 'Page ' || CAST(doc_id AS VARCHAR) || '|' || replace(text, chr(10), '\\n') AS line FROM documents)"""
 
 
-def _apply_sql(action: str | None) -> str:
+def _apply_sql(action: str | None, check_version: bool = False) -> str:
     filt = f"AND action = {S.q(action)}" if action else ""
+    conflict = ("AND NOT (v.action = 'edit' AND v.base_version IS NOT NULL AND v.base_version <> p.version)"
+                if check_version else "")
     chk = f"""val AS (
   SELECT *, {reasons_sql()} AS reasons, {S.page_id_expr("url")} AS page_id_x FROM requests WHERE action <> 'create' {filt}),
 ok AS (
-  SELECT v.* FROM val v LEFT JOIN (SELECT instance, page_id, true AS hit FROM wiki_pages) p
+  SELECT v.* FROM val v LEFT JOIN (SELECT instance, page_id, version, true AS hit FROM wiki_pages) p
     ON p.instance = v.instance AND p.page_id = v.page_id_x
-  WHERE len(v.reasons) = 0 AND p.hit IS NOT NULL),
+  WHERE len(v.reasons) = 0 AND p.hit IS NOT NULL {conflict}),
 md_src AS (
   SELECT request_seq AS doc_id, CASE WHEN action = 'edit' THEN {S.clean_edit_expr("content")} ELSE content END AS md
   FROM ok WHERE (coalesce(content_type, 'markdown') = 'markdown' OR action = 'edit')
@@ -407,3 +409,11 @@ SELECT coalesce(o.instance, n.instance) AS instance, coalesce(o.page_id, n.page_
 FROM ol o FULL OUTER JOIN nl n
   ON o.instance = n.instance AND o.page_id = n.page_id AND o.line = n.line AND o.occ = n.occ
 GROUP BY 1, 2"""
+
+ORACLE["apply_edits_checked"] = _apply_sql("edit", check_version=True) + "SELECT * FROM applied"
+
+ORACLE["version_conflicts"] = with_(S.WIKI_PAGES, REQUESTS) + f"""
+SELECT e.request_seq, e.instance, e.page_id, e.base_version, p.version AS stored_version
+FROM (SELECT request_seq, instance, base_version, {S.page_id_expr("url")} AS page_id FROM requests WHERE action = 'edit') e
+JOIN wiki_pages p ON p.instance = e.instance AND p.page_id = e.page_id
+WHERE e.base_version <> p.version"""
