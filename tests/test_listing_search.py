@@ -67,3 +67,14 @@ def test_search_examples(spark):
     assert _search(spark, "diet | home") == ["Vampire Lair Home", "Elephant Diet Guide"]
     assert _search(spark, "Elephant") == ["Elephant Migration Patterns", "Elephant Diet Guide"]
     assert _search(spark, "ELEPHANT") == []
+
+
+def test_stored_listing_prunes_partitions(spark, tmp_path):
+    rows = [("i0", 0, i, i, str(i), "t", "A" if i % 2 else "B", "n") for i in range(10)]
+    lst = spark.createDataFrame(rows, "instance string, resp_start int, item_pos int, ordinal long, page_id string, "
+                                      "title string, space_key string, space_name string")
+    L.write_listing(lst, str(tmp_path / "lst"))
+    df = L.read_space(spark, str(tmp_path / "lst"), "A")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(space_key" in plan and "(space_key" in plan
+    assert sorted(r.page_id for r in df.collect()) == ["1", "3", "5", "7", "9"]

@@ -87,3 +87,21 @@ def test_create_payload_has_ancestors_only_with_parent(spark):
     assert p[1] == {"type": "page", "title": "T1", "space": {"key": "S"},
                     "body": {"storage": {"value": "<h1>Hi</h1>", "representation": "storage"}}}
     assert p[2]["ancestors"] == [{"id": "42"}] and p[2]["body"]["storage"]["value"] == "<p>x</p>"
+
+
+def test_hot_page_across_ranges_equals_sequential(spark):
+    """One page gets most requests, spread over many request_seq ranges (two-phase concat)."""
+    rnd = random.Random(11)
+    reqs = []
+    for k in range(120):
+        pid = "1" if rnd.random() < 0.8 else rnd.choice(["0", "2"])
+        action = "edit" if rnd.random() < 0.05 else "add"
+        content = f"<i>h{k}</i>" if action == "add" else f"# X\nedit {k}"
+        ctype = "html" if action == "add" else "markdown"
+        reqs.append((k * 700_001, "i0", action, f"https://w/pages/viewpage.action?pageId={pid}", content, ctype,
+                     rnd.random() < 0.5, None, None, None, None, None, None))
+    rnd.shuffle(reqs)
+    pages = _pages()
+    got = U.apply_requests(spark.createDataFrame(pages, PAGE_SCHEMA), spark.createDataFrame(reqs, REQ_SCHEMA))
+    got = {r.page_id: (r.new_body, r.new_version) for r in got.collect()}
+    assert got == _sequential(pages, reqs)

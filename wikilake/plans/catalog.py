@@ -383,3 +383,10 @@ def q_apply_edits_checked(spark, sf):
 @register("version_conflicts")
 def q_version_conflicts(spark, sf):
     return U.version_conflicts(fx.wiki_pages(spark, sf), fx.request_table(spark, sf))
+
+
+@register("pages_in_space_stored")
+def q_pages_in_space_stored(spark, sf):
+    path = ST._run_dir(spark, "listing_table")
+    L.write_listing(_listing(spark, sf).drop("req_space_key"), path)
+    return L.read_space(spark, path, SPACE_FOR_S3)

@@ -417,3 +417,5 @@ SELECT e.request_seq, e.instance, e.page_id, e.base_version, p.version AS stored
 FROM (SELECT request_seq, instance, base_version, {S.page_id_expr("url")} AS page_id FROM requests WHERE action = 'edit') e
 JOIN wiki_pages p ON p.instance = e.instance AND p.page_id = e.page_id
 WHERE e.base_version <> p.version"""
+
+ORACLE["pages_in_space_stored"] = ORACLE["pages_in_space"]

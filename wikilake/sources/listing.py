@@ -143,3 +143,13 @@ def listing_counts(listing: DataFrame) -> DataFrame:
 def space_counts(spaces: DataFrame) -> DataFrame:
     """A1: spaces per instance."""
     return spaces.groupBy("instance").agg(F.count(F.lit(1)).alias("n_spaces"))
+
+
+def write_listing(listing: DataFrame, path: str) -> None:
+    """Store a listing partitioned by instance and space, so a per-space read prunes files."""
+    listing.write.mode("overwrite").partitionBy("instance", "space_key").parquet(path)
+
+
+def read_space(spark, path: str, space_key: str) -> DataFrame:
+    """S3 over a stored listing: the space filter becomes a partition filter of the scan."""
+    return spark.read.parquet(path).filter(F.col("space_key") == space_key)
