@@ -105,3 +105,21 @@ def test_hot_page_across_ranges_equals_sequential(spark):
     got = U.apply_requests(spark.createDataFrame(pages, PAGE_SCHEMA), spark.createDataFrame(reqs, REQ_SCHEMA))
     got = {r.page_id: (r.new_body, r.new_version) for r in got.collect()}
     assert got == _sequential(pages, reqs)
+
+
+def test_lost_macros_counted_on_replace(spark):
+    pages = [("i0", "1", "P", "S", "Space S", 1,
+              '<p>a</p><ac:structured-macro ac:name="info"><ac:rich-text-body><p>x</p></ac:rich-text-body></ac:structured-macro>')]
+    reqs = [(1, "i0", "edit", "https://w/pages/1", "# T\nnew", "markdown", True, None, None, None, None, None, None)]
+    r = U.apply_requests(spark.createDataFrame(pages, PAGE_SCHEMA), spark.createDataFrame(reqs, REQ_SCHEMA)).first()
+    assert r.lost_macros == 2 and r.new_body == "<p>new</p>"
+
+
+def test_write_markdown_files(spark, tmp_path):
+    from wikilake.operators.export import write_markdown
+
+    docs = spark.createDataFrame([("i0", "1", "a.md", "# A"), ("i0", "2", "a.md", "# A2"), ("i1", "3", "b.md", "# B")],
+                                 "instance string, page_id string, file_name string, content string")
+    write_markdown(docs, str(tmp_path))
+    assert (tmp_path / "i0" / "a.md").read_text() == "# A2"  # same name: the last page id wins
+    assert (tmp_path / "i1" / "b.md").read_text() == "# B"

@@ -106,6 +106,9 @@ def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = Fals
         F.col("n_applied").cast("long").alias("n_applied"),
         F.col("n_edits").cast("long").alias("n_edits"),
         body.alias("new_body"),
+        # a replace round-trips the page through markdown, so macros of the old body are lost
+        F.when(F.col("n_edits") > 0, F.size(F.split(F.col("storage_html"), "<ac:", -1)) - 1)
+        .otherwise(F.lit(0)).cast("long").alias("lost_macros"),
     )
 
 

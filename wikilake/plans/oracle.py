@@ -251,7 +251,9 @@ applied AS (
   SELECT le.instance, le.page_id, p.title, p.version AS old_version,
          CAST(p.version + le.n_applied AS INTEGER) AS new_version, CAST(le.n_applied AS BIGINT) AS n_applied,
          CAST(le.n_edits AS BIGINT) AS n_edits,
-         concat_ws(chr(10), ag.prepends, coalesce(le.edit_body, p.storage_html), ag.appends) AS new_body
+         concat_ws(chr(10), ag.prepends, coalesce(le.edit_body, p.storage_html), ag.appends) AS new_body,
+         CAST(CASE WHEN le.n_edits > 0 THEN (length(p.storage_html) - length(replace(p.storage_html, '<ac:', ''))) // 4
+              ELSE 0 END AS BIGINT) AS lost_macros
   FROM le LEFT JOIN ag ON ag.instance = le.instance AND ag.page_id = le.page_id
   JOIN wiki_pages p ON p.instance = le.instance AND p.page_id = le.page_id)
 """
