@@ -41,7 +41,6 @@ BLOCK_TAGS = ["p", "div", "article", "section", "nav", "header", "footer", "main
               "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "dl", "dt", "dd", "figure", "figcaption",
               "address", "form", "fieldset", "details", "summary", "center"]
 INLINE_MARK = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
-VOID_TAGS = ["br", "hr", "img", "meta", "link", "input", "col", "area", "base", "wbr", "source", "embed", "param", "track"]
 LIST_INDENT = {"ul": 2, "ol": 3}
 # ---------------------------------------------------------------------------
 
