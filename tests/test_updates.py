@@ -123,3 +123,9 @@ def test_write_markdown_files(spark, tmp_path):
     write_markdown(docs, str(tmp_path))
     assert (tmp_path / "i0" / "a.md").read_text() == "# A2"  # same name: the last page id wins
     assert (tmp_path / "i1" / "b.md").read_text() == "# B"
+
+
+def test_fill_templates(spark):
+    df = spark.createDataFrame([("# Meeting Notes - [Date]\n[Date] [Title] [Other]", {"Date": "2025-01-02", "Title": "T"})],
+                               "body string, vals map<string,string>")
+    assert R.fill_templates(df, "body", "vals").first().body == "# Meeting Notes - 2025-01-02\n2025-01-02 T [Other]"

@@ -157,3 +157,10 @@ def requests_from_list(lines: DataFrame, space_key: str) -> DataFrame:
         F.when(has, F.split_part(line, F.lit("|"), F.lit(2))).otherwise(line).alias("content"),
         F.lit("create").alias("action"), F.lit(space_key).alias("space_key"), F.lit("markdown").alias("content_type"),
     )
+
+
+def fill_templates(df: DataFrame, body_col: str, values_col: str) -> DataFrame:
+    """Replace each ``[name]`` in the body with its value from a per-row map column."""
+    filled = F.aggregate(F.map_entries(F.col(values_col)), F.col(body_col),
+                         lambda acc, e: F.replace(acc, F.concat(F.lit("["), e["key"], F.lit("]")), e["value"]))
+    return df.withColumn(body_col, filled)

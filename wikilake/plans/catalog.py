@@ -390,3 +390,13 @@ def q_pages_in_space_stored(spark, sf):
     path = ST._run_dir(spark, "listing_table")
     L.write_listing(_listing(spark, sf).drop("req_space_key"), path)
     return L.read_space(spark, path, SPACE_FOR_S3)
+
+
+@register("fill_templates")
+def q_fill_templates(spark, sf):
+    reqs = fx.request_table(spark, sf)
+    rendered = R.render_templates(reqs, fx.template_table(spark, sf)).join(
+        reqs.select("request_seq", "title"), "request_seq")
+    date = F.date_format(F.date_add(F.to_date(F.lit("2025-01-01")), (F.col("request_seq") % 365).cast("int")), "yyyy-MM-dd")
+    values = F.create_map(F.lit("Date"), date, F.lit("Title"), F.col("title"))
+    return R.fill_templates(rendered.withColumn("vals", values), "body", "vals").select("request_seq", "body")

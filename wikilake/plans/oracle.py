@@ -195,7 +195,7 @@ ORACLE["resolve_parents"] = with_(S.WIKI_PAGES, REQUESTS, S.LISTING, LOOKUP, PAR
 
 _SK_HEAD, _SK_TAIL = SKELETON.split("{title}")
 TEMPLATES = """tpl AS (
-  SELECT 'tpl_' || d.lang AS name, m.md AS body
+  SELECT 'tpl_' || d.lang AS name, '# Notes - [Date]' || chr(10) || chr(10) || '## [Title]' || chr(10) || chr(10) || m.md AS body
   FROM (SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang) d JOIN md_src m ON m.doc_id = d.doc_id)"""
 
 ORACLE["render_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, TEMPLATES) + f"""
@@ -421,3 +421,10 @@ JOIN wiki_pages p ON p.instance = e.instance AND p.page_id = e.page_id
 WHERE e.base_version <> p.version"""
 
 ORACLE["pages_in_space_stored"] = ORACLE["pages_in_space"]
+
+ORACLE["fill_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, TEMPLATES) + """
+SELECT request_seq, replace(replace(b, '[Date]', d), '[Title]', title) AS body
+FROM (SELECT r.request_seq, r.title,
+             strftime(DATE '2025-01-01' + CAST(r.request_seq % 365 AS INTEGER), '%Y-%m-%d') AS d,
+             regexp_replace(coalesce(t.body, """ + S.q(_SK_HEAD) + """ || r.title || """ + S.q(_SK_TAIL) + """), '\\n+$', '') AS b
+      FROM requests r LEFT JOIN tpl t ON t.name = r.template WHERE r.action = 'create')"""

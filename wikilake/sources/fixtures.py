@@ -16,6 +16,7 @@ from .tables import read_table
 
 # Fixed values of the derived data (FIXTURES.md §3).
 PAGE_LIMIT = 100
+TEMPLATE_HEAD = "# Notes - [Date]\n\n## [Title]\n\n"
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
 LANG_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]+)"
 
@@ -219,11 +220,13 @@ def markdown_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """templates(name, body): per language, the markdown of its lowest document id."""
+    """templates(name, body): per language, a placeholder header over the markdown of its
+    lowest document id."""
     md = markdown_inputs(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
-    return first.join(md, "doc_id").select(F.concat(F.lit("tpl_"), F.col("lang")).alias("name"), F.col("md").alias("body"))
+    body = F.concat(F.lit(TEMPLATE_HEAD), F.col("md"))
+    return first.join(md, "doc_id").select(F.concat(F.lit("tpl_"), F.col("lang")).alias("name"), body.alias("body"))
 
 
 def create_list(spark: SparkSession, sf_dir: str) -> DataFrame:
