@@ -400,3 +400,11 @@ def q_fill_templates(spark, sf):
     date = F.date_format(F.date_add(F.to_date(F.lit("2025-01-01")), (F.col("request_seq") % 365).cast("int")), "yyyy-MM-dd")
     values = F.create_map(F.lit("Date"), date, F.lit("Title"), F.col("title"))
     return R.fill_templates(rendered.withColumn("vals", values), "body", "vals").select("request_seq", "body")
+
+
+FIRST_N = 10
+
+
+@register("first_pages")
+def q_first_pages(spark, sf):
+    return L.first_pages(_listing(spark, sf).drop("req_space_key"), FIRST_N)

@@ -428,3 +428,10 @@ FROM (SELECT r.request_seq, r.title,
              strftime(DATE '2025-01-01' + CAST(r.request_seq % 365 AS INTEGER), '%Y-%m-%d') AS d,
              regexp_replace(coalesce(t.body, """ + S.q(_SK_HEAD) + """ || r.title || """ + S.q(_SK_TAIL) + """), '\\n+$', '') AS b
       FROM requests r LEFT JOIN tpl t ON t.name = r.template WHERE r.action = 'create')"""
+
+from .catalog import FIRST_N  # noqa: E402
+
+ORACLE["first_pages"] = with_(S.WIKI_PAGES, S.LISTING) + f"""
+SELECT {_LISTING_COLS}, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY instance, space_key ORDER BY ordinal) AS INTEGER) AS rank FROM listing)
+WHERE rank <= {FIRST_N}"""

@@ -153,3 +153,13 @@ def write_listing(listing: DataFrame, path: str) -> None:
 def read_space(spark, path: str, space_key: str) -> DataFrame:
     """S3 over a stored listing: the space filter becomes a partition filter of the scan."""
     return spark.read.parquet(path).filter(F.col("space_key") == space_key)
+
+
+def first_pages(listing: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` pages of each (instance, space) in listing order. The limit is the
+    feature; written as ``row_number() <= n`` so Spark keeps only ``n`` rows per group in
+    every task before the shuffle (partial window group limit)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("instance", "space_key").orderBy("ordinal")
+    return listing.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
