@@ -9,9 +9,9 @@ For a page that receives several requests, in ``request_seq`` order, this gives
     version = stored version + number of requests applied to the page
 
 The join of requests with pages is an equi-join on ``(instance, page_id)``; a hot page
-is split by AQE's skew-join rule. Concatenation is pre-aggregated in two phases: first
-per (page, range of request_seq), then per page, so no task ever holds all rows of one
-page, only one partial string per range.
+is split by AQE's skew-join rule. The converted requests are read once and aggregated in
+two phases, per (page, range of request_seq) and then per page, so no task ever holds all
+rows of one page, only one partial result per range.
 """
 
 from __future__ import annotations
@@ -67,37 +67,54 @@ def split_requests(reqs: DataFrame, pages: DataFrame, check_version: bool = Fals
 
 
 def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = False) -> DataFrame:
-    """U4 (and U1/U2 as special cases): new body, version and title per touched page."""
+    """U4 (and U1/U2 as special cases): new body, version and title per touched page.
+
+    One pass over the converted requests, aggregated in two phases:
+
+    1. per (page, range of request_seq): the range's last replace, its body, counts, and the
+       appends / prepends that come after that replace, already concatenated in order;
+    2. per page: the last replace overall, and the ranges from its range on (earlier ranges
+       are overwritten by it), concatenated in range order.
+
+    A page that gets a third of all requests is spread over many ranges in phase 1.
+    """
     ok, _ = split_requests(reqs, pages, check_version)
     ok = convert_contents(ok)
     key = ["instance", "page_id"]
-    last_edit = ok.groupBy(*key).agg(
-        F.max(F.when(F.col("action") == "edit", F.col("request_seq"))).alias("last_edit_seq"),
-        F.count(F.lit(1)).alias("n_applied"),
-        F.max(F.when(F.col("action") == "edit", F.struct("request_seq", "html")))["html"].alias("edit_body"),
-        F.sum(F.when(F.col("action") == "edit", 1).otherwise(0)).alias("n_edits"),
+    is_edit = F.col("action") == "edit"
+    part = ok.groupBy(*key, F.floor(F.col("request_seq") / SEQ_RANGE).alias("rng")).agg(
+        F.max(F.when(is_edit, F.col("request_seq"))).alias("last_edit"),
+        F.max(F.when(is_edit, F.struct("request_seq", "html")))["html"].alias("edit_body"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(is_edit, 1).otherwise(0)).alias("n_edits"),
+        F.collect_list(F.when(~is_edit, F.struct("request_seq", "html", "append"))).alias("entries"),
     )
-    live = ok.join(last_edit.select(*key, "last_edit_seq"), key, "left").filter(
-        F.col("last_edit_seq").isNull() | (F.col("request_seq") > F.col("last_edit_seq")))
-    # phase 1: per page and range of request_seq
-    part = live.groupBy(*key, F.floor(F.col("request_seq") / SEQ_RANGE).alias("rng")).agg(
-        F.collect_list(F.when(F.col("append"), F.struct("request_seq", "html"))).alias("app"),
-        F.collect_list(F.when(~F.col("append"), F.struct("request_seq", "html"))).alias("pre"),
-    ).select(
-        *key, "rng",
-        F.when(F.size("app") > 0, _ordered_join(F.col("app"), "request_seq", "html")).alias("app_s"),
-        F.when(F.size("pre") > 0, _ordered_join(F.col("pre"), "request_seq", "html", desc=True)).alias("pre_s"),
+    after = F.filter("entries", lambda e: F.col("last_edit").isNull() | (e["request_seq"] > F.col("last_edit")))
+    apps = F.filter(after, lambda e: e["append"])
+    pres = F.filter(after, lambda e: ~e["append"])
+    part = part.select(
+        *key, "rng", "last_edit", "edit_body", "n", "n_edits",
+        F.when(F.size(apps) > 0, _ordered_join(apps, "request_seq", "html")).alias("app_s"),
+        F.when(F.size(pres) > 0, _ordered_join(pres, "request_seq", "html", desc=True)).alias("pre_s"),
     )
-    # phase 2: per page
     whole = part.groupBy(*key).agg(
-        F.collect_list(F.when(F.col("app_s").isNotNull(), F.struct("rng", "app_s"))).alias("app"),
-        F.collect_list(F.when(F.col("pre_s").isNotNull(), F.struct("rng", "pre_s"))).alias("pre"),
-    ).select(*key,
-             F.when(F.size("app") > 0, _ordered_join(F.col("app"), "rng", "app_s")).alias("appends"),
-             F.when(F.size("pre") > 0, _ordered_join(F.col("pre"), "rng", "pre_s", desc=True)).alias("prepends"))
-    touched = last_edit.join(whole, key, "left")
+        F.max("last_edit").alias("last_edit"),
+        F.max(F.when(F.col("last_edit").isNotNull(), F.struct("last_edit", "edit_body")))["edit_body"].alias("edit_body"),
+        F.sum("n").alias("n_applied"),
+        F.sum("n_edits").alias("n_edits"),
+        F.collect_list(F.struct("rng", "app_s", "pre_s")).alias("ranges"),
+    )
+    live = F.filter("ranges", lambda r: F.col("last_edit").isNull()
+                    | (r["rng"] >= F.floor(F.col("last_edit") / SEQ_RANGE)))
+    live_app = F.filter(live, lambda r: r["app_s"].isNotNull())
+    live_pre = F.filter(live, lambda r: r["pre_s"].isNotNull())
+    whole = whole.select(
+        *key, "edit_body", "n_applied", "n_edits",
+        F.when(F.size(live_app) > 0, _ordered_join(live_app, "rng", "app_s")).alias("appends"),
+        F.when(F.size(live_pre) > 0, _ordered_join(live_pre, "rng", "pre_s", desc=True)).alias("prepends"),
+    )
     pg = pages.select(*key, "title", F.col("version").alias("old_version"), F.col("storage_html"))
-    out = touched.join(pg, key, "inner")
+    out = whole.join(pg, key, "inner")
     base = F.coalesce(F.col("edit_body"), F.col("storage_html"))
     body = F.concat_ws("\n", F.col("prepends"), base, F.col("appends"))
     return out.select(
