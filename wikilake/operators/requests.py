@@ -78,13 +78,25 @@ def validate_requests(reqs: DataFrame) -> DataFrame:
     return reqs.withColumn("reject_reason", F.when(rr != "", rr))
 
 
-def pages_by_url(urls: DataFrame, pages: DataFrame) -> DataFrame:
+HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+
+
+def pages_by_url(urls: DataFrame, pages: DataFrame, instances: DataFrame | None = None) -> DataFrame:
     """Id from the URL, then the page of the same instance; a missing page is kept
-    with ``found = false`` (the client raises there)."""
+    with ``found = false`` (the client raises there). The client ignores the URL's host and
+    asks its configured instance; with ``instances`` given, ``host_mismatch`` marks URLs
+    whose host is not the instance's."""
     u = urls.select("*", page_id_from_url("url").alias("page_id"))
     p = pages.select("instance", "page_id", "title", "version", F.lit(True).alias("_hit"))
     j = u.join(p, ["instance", "page_id"], "left")
-    return j.withColumn("found", F.coalesce("_hit", F.lit(False)) & ~_missing(F.col("page_id"))).drop("_hit")
+    j = j.withColumn("found", F.coalesce("_hit", F.lit(False)) & ~_missing(F.col("page_id"))).drop("_hit")
+    if instances is None:
+        return j
+    inst = instances.select("instance", F.lower(F.regexp_extract("base_url", HOST_RE, 1)).alias("_base_host"))
+    url_host = F.lower(F.regexp_extract(F.col("url"), HOST_RE, 1))
+    j = j.join(inst, "instance", "left")
+    return j.withColumn("host_mismatch", (url_host != "") & (url_host != F.coalesce(F.col("_base_host"), F.lit(""))))\
+        .drop("_base_host")
 
 
 def first_by_title(listing: DataFrame) -> DataFrame:

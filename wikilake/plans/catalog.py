@@ -178,8 +178,9 @@ def q_validate(spark, sf):
 @register("pages_by_url")
 def q_pages_by_url(spark, sf):
     u = fx.url_cases(spark, sf).withColumnRenamed("page_id", "listed_id")
-    out = R.pages_by_url(u, fx.wiki_pages(spark, sf))
-    return out.select("instance", "url", "listed_id", "page_id", "found", "title", F.col("version").cast("string").alias("version"))
+    out = R.pages_by_url(u, fx.wiki_pages(spark, sf), fx.instances(spark, sf))
+    return out.select("instance", "url", "listed_id", "page_id", "found", "title",
+                      F.col("version").cast("string").alias("version"), "host_mismatch")
 
 
 @register("pages_by_title")

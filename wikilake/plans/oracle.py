@@ -167,12 +167,16 @@ def reasons_sql(r: str = "") -> str:
 ORACLE["validate_requests"] = with_(S.WIKI_PAGES, REQUESTS) + f"""
 SELECT request_seq, action, nullif(array_to_string({reasons_sql()}, '; '), '') AS reject_reason FROM requests"""
 
-ORACLE["pages_by_url"] = with_(S.WIKI_PAGES, S.URLS) + f"""
+ORACLE["pages_by_url"] = with_(S.WIKI_PAGES, S.URLS, S.INSTANCES) + f"""
 SELECT u.instance, u.url, u.listed_id, u.page_id, coalesce(p.hit, false) AND NOT (u.page_id IS NULL OR u.page_id = '') AS found,
-       p.title, CAST(p.version AS VARCHAR) AS version
+       p.title, CAST(p.version AS VARCHAR) AS version,
+       split_part(split_part(split_part(split_part(lower(u.url), '://', 2), '/', 1), '?', 1), '#', 1) <> ''
+       AND split_part(split_part(split_part(split_part(lower(u.url), '://', 2), '/', 1), '?', 1), '#', 1)
+           <> coalesce(split_part(split_part(lower(i.base_url), '://', 2), '/', 1), '') AS host_mismatch
 FROM (SELECT instance, url, page_id AS listed_id, {S.page_id_expr("url")} AS page_id FROM urls) u
 LEFT JOIN (SELECT instance, page_id, title, version, true AS hit FROM wiki_pages) p
-  ON p.instance = u.instance AND p.page_id = u.page_id"""
+  ON p.instance = u.instance AND p.page_id = u.page_id
+LEFT JOIN instances i ON i.instance = u.instance"""
 
 LOOKUP = """lk AS (
   SELECT instance, space_key, title, arg_min(page_id, ordinal) AS first_page_id, count(*) AS n

@@ -54,7 +54,8 @@ URLS = """urls AS (
       WHEN 2 THEN b || '/display/' || space_key || '/' || replace(title, ' ', '+')
       WHEN 3 THEN b || '/pages/viewpage.action?src=nav&pageId=' || page_id
       WHEN 4 THEN b || '/pages/viewpage.action?xpageId=' || page_id
-      ELSE b || '/spaces/' || space_key || '/pages/' || page_id || '/x?focusedCommentId=7#comment-7' END AS url
+      ELSE 'https://mirror' || CAST(pid % 2 AS VARCHAR) || '.example.com/spaces/' || space_key || '/pages/' || page_id
+           || '/x?focusedCommentId=7#comment-7' END AS url
   FROM (SELECT *, 'https://wiki' || CAST(pid % 2 AS VARCHAR) || '.example.com' AS b FROM wiki_pages))"""
 
 # The listing as the derived responses state it, item by item (no JSON round trip).

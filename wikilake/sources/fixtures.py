@@ -57,7 +57,7 @@ def _base(n) -> F.Column:
 
 
 def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """urls(instance, page_id, url): six URL forms, by page_id % 6."""
+    """urls(instance, page_id, url): six URL forms, by page_id % 6 (the last on a mirror host)."""
     p = wiki_pages(spark, sf_dir).select("instance", "page_id", "title", "space_key")
     n = F.col("page_id").cast("long")
     base = _base(n % 2)
@@ -69,8 +69,8 @@ def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 2, F.concat(base, F.lit("/display/"), F.col("space_key"), F.lit("/"), words))
         .when(form == 3, F.concat(base, F.lit("/pages/viewpage.action?src=nav&pageId="), F.col("page_id")))
         .when(form == 4, F.concat(base, F.lit("/pages/viewpage.action?xpageId="), F.col("page_id")))
-        .otherwise(F.concat(base, F.lit("/spaces/"), F.col("space_key"), F.lit("/pages/"), F.col("page_id"),
-                            F.lit("/x?focusedCommentId=7#comment-7")))
+        .otherwise(F.concat(F.lit("https://mirror"), (n % 2).cast("string"), F.lit(".example.com/spaces/"),
+                            F.col("space_key"), F.lit("/pages/"), F.col("page_id"), F.lit("/x?focusedCommentId=7#comment-7")))
     )
     return p.select("instance", "page_id", url.alias("url"))
 
