@@ -78,3 +78,11 @@ def test_stored_listing_prunes_partitions(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(space_key" in plan and "(space_key" in plan
     assert sorted(r.page_id for r in df.collect()) == ["1", "3", "5", "7", "9"]
+
+
+def test_first_pages_per_space(spark):
+    rows = [("i0", 0, i, 10 - i, str(i), "t", "A" if i % 2 else "B", "n") for i in range(10)]
+    lst = spark.createDataFrame(rows, "instance string, resp_start int, item_pos int, ordinal long, page_id string, "
+                                      "title string, space_key string, space_name string")
+    got = sorted((r.space_key, r.rank, r.page_id) for r in L.first_pages(lst, 2).collect())
+    assert got == [("A", 1, "9"), ("A", 2, "7"), ("B", 1, "8"), ("B", 2, "6")]

@@ -129,3 +129,17 @@ def test_fill_templates(spark):
     df = spark.createDataFrame([("# Meeting Notes - [Date]\n[Date] [Title] [Other]", {"Date": "2025-01-02", "Title": "T"})],
                                "body string, vals map<string,string>")
     assert R.fill_templates(df, "body", "vals").first().body == "# Meeting Notes - 2025-01-02\n2025-01-02 T [Other]"
+
+
+def test_pages_by_url_flags_other_hosts(spark):
+    urls = spark.createDataFrame([("i0", "https://wiki.example.com/pages/viewpage.action?pageId=1"),
+                                  ("i0", "https://MIRROR.example.com/pages/2"),
+                                  ("i0", "example.com/pages/3"), ("i0", "https://wiki.example.com/display/x")],
+                                 "instance string, url string")
+    inst = spark.createDataFrame([("i0", "https://Wiki.Example.com/")], "instance string, base_url string")
+    got = {r.url: (r.page_id, r.found, r.host_mismatch)
+           for r in R.pages_by_url(urls, spark.createDataFrame(_pages(), PAGE_SCHEMA), inst).collect()}
+    assert got["https://wiki.example.com/pages/viewpage.action?pageId=1"] == ("1", True, False)
+    assert got["https://MIRROR.example.com/pages/2"] == ("2", True, True)
+    assert got["example.com/pages/3"] == ("3", True, False)
+    assert got["https://wiki.example.com/display/x"] == (None, False, False)
