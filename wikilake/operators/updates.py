@@ -40,7 +40,11 @@ def convert_contents(reqs: DataFrame) -> DataFrame:
     md_in = F.when(F.col("action") == "edit", clean_edit("content")).otherwise(F.col("content"))
     is_md = F.coalesce(F.col("content_type"), F.lit("markdown")) == "markdown"
     src = reqs.select(F.col("request_seq").alias("doc_id"), F.when(is_md | (F.col("action") == "edit"), md_in).alias("md"))
-    conv = markdown_to_html(src.filter(F.col("md").isNotNull())).withColumnRenamed("doc_id", "request_seq")
+    src = src.filter(F.col("md").isNotNull())
+    # request contents come through joins, so there is no size estimate to scale from: use
+    # twice the cluster's parallelism (line work expands the rows; AQE would pack them)
+    conv = markdown_to_html(src, num_partitions=2 * src.sparkSession.sparkContext.defaultParallelism) \
+        .withColumnRenamed("doc_id", "request_seq")
     j = reqs.join(conv.withColumnRenamed("html", "_conv"), "request_seq", "left")
     html = F.when(is_md | (F.col("action") == "edit"), F.coalesce(F.col("_conv"), F.lit(""))).otherwise(F.col("content"))
     return j.withColumn("html", html).drop("_conv")
