@@ -3,7 +3,9 @@
 Every document of a source expects ``target / source_size`` copies. Inside a source the
 documents stand in a fixed order (hash bucket, size, doc_id); the running sum of expected
 copies plus one random offset per source crosses an integer boundary once for each copy
-to emit. The order by size inside a bucket keeps the words taken close to the target.
+to emit. The order by size inside a bucket keeps the words taken close to the target; of
+``offsets`` random offsets a source uses the one whose words come nearest to it, which
+matters for small sources with a few very long documents.
 
 Scale: a source is cut into hash buckets of about ``rows_per_bucket`` rows, so a source
 holding a third of all rows is many window groups; only the bucket counts, one row per
@@ -29,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix-1"
 ROWS_PER_BUCKET = 4096
+OFFSETS = 16
 
 
 def hash32(c: Column) -> Column:
@@ -36,6 +39,12 @@ def hash32(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def offset_of(src: Column, seed: str, i: int) -> Column:
+    """The ``i``-th random offset of a source, in (0, 1), a function of seed and source."""
+    name = F.coalesce(F.concat(F.lit("s"), src), F.lit("n"))
+    return (hash32(F.concat(F.lit(f"{seed}:{i}:"), name)) % 1024 + F.lit(0.5)) / F.lit(1024.0)
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``sizes`` (src, n, source_size) with ``target`` and the sampling ``rate``.
 
@@ -70,43 +79,52 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
-             rows_per_bucket: int = ROWS_PER_BUCKET, id_col: str = "doc_id", text_col: str = "text",
+             rows_per_bucket: int = ROWS_PER_BUCKET, offsets: int = OFFSETS, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source", out: str = "mix") -> DataFrame:
     """All rows and columns of ``docs`` plus a struct ``out`` with size, source_size,
     target, copies and taken (underscores are put in front of ``out`` if taken)."""
     out = free_name(docs, out)
     size = F.regexp_count(F.coalesce(column(docs, text_col), F.lit("")), F.lit(WORD)).cast("bigint")
-    src = column(docs, source_col).cast("string")
-    sizes = docs.select(src.alias("src"), size.alias("size")).groupBy("src").agg(
-        F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(rows_per_bucket))).cast("bigint")
-    offset = (hash32(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), F.col("src")), F.lit("n")))) % 1024
-              + F.lit(0.5)) / F.lit(1024.0)
-    params = written(source_targets(sizes, weights, max_repeat).select(
-        F.col("src"), "source_size", "target", "rate", n_buckets.alias("nb"), offset.alias("u")))
     key = hash32(F.coalesce(column(docs, id_col).cast("string"), F.lit("")))
-
-    ids = docs.select(src.alias("src"), key.alias("h"))
-    counts = (ids.join(params.select("src", "nb"), ids["src"].eqNullSafe(params["src"]))
-              .select(params["src"], (F.col("h") % F.col("nb")).alias("b")).groupBy("src", "b").agg(F.count("*").alias("m")))
-    earlier = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(counts.select("src", "b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start")))
+    keys = [column(docs, source_col).cast("string").alias("s"), key.alias("h"), size.alias("size"),
+            column(docs, id_col).alias("id"), F.xxhash64(column(docs, text_col)).alias("tie")]
+    narrow = written(docs.select(*keys))  # no texts
+    sizes = narrow.groupBy(F.col("s").alias("src")).agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(rows_per_bucket))).cast("bigint")
+    params = written(source_targets(sizes, weights, max_repeat).withColumn("nb", n_buckets))
+
+    # where each hash bucket starts inside its source
+    counts = (narrow.join(params.select(F.col("src").alias("ps"), "nb"), F.col("s").eqNullSafe(F.col("ps")))
+              .select("s", (F.col("h") % F.col("nb")).alias("b")).groupBy("s", "b").agg(F.count("*").alias("m")))
+    earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select(F.col("s").alias("bs"), F.col("b").alias("bb"),
+                                   F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(params, rows["s"].eqNullSafe(params["src"])).withColumn("b", F.col("h") % F.col("nb"))
+        rows = rows.withColumn("rn", F.row_number().over(
+            Window.partitionBy("s", "b").orderBy(F.col("size"), F.col("id").asc_nulls_first(), F.col("tie"))))
+        return rows.join(starts, F.col("s").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("bb")))
+
+    def copies(u: Column) -> Column:
+        at = F.col("start") + F.col("rn")
+        return F.least(F.floor(u + at * F.col("rate")) - F.floor(u + (at - 1) * F.col("rate")), F.lit(max_repeat)).cast("bigint")
+
+    # of a few random offsets each source takes the one whose words come nearest its target
+    draws = [offset_of(F.col("s"), seed, i) for i in range(offsets)]
+    totals = placed(narrow).groupBy("s").agg(
+        *[F.sum(copies(u) * F.col("size")).alias(f"t{i}") for i, u in enumerate(draws)], F.first("target").alias("target"))
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"), u.alias("u"))
+                                 for i, u in enumerate(draws)]))
+    chosen = written(totals.select(F.col("s").alias("us"), best.getField("u").alias("u")))
 
     kept = [f"c{i}" for i in range(len(docs.columns))]  # renamed: clash-free, and unused ones are pruned
-    work = docs.select(*[column(docs, c).alias(k) for c, k in zip(docs.columns, kept)], src.alias("s"), key.alias("h"),
-                       size.alias("size"), column(docs, id_col).alias("id"), F.xxhash64(column(docs, text_col)).alias("tie"))
-    work = work.join(params, work["s"].eqNullSafe(params["src"])).drop("src").withColumn("b", F.col("h") % F.col("nb"))
-    work = work.withColumn("rn", F.row_number().over(
-        Window.partitionBy("s", "b").orderBy(F.col("size"), F.col("id").asc_nulls_first(), F.col("tie"))))
-    work = work.join(starts.withColumnRenamed("b", "b2"),
-                     F.col("s").eqNullSafe(F.col("src")) & (F.col("b") == F.col("b2")))
-    reached = F.col("u") + (F.col("start") + F.col("rn")) * F.col("rate")
-    left = F.col("u") + (F.col("start") + F.col("rn") - 1) * F.col("rate")
-    copies = F.least(F.floor(reached) - F.floor(left), F.lit(max_repeat)).cast("bigint")
+    work = placed(docs.select(*[column(docs, c).alias(k) for c, k in zip(docs.columns, kept)], *keys))
+    work = work.join(chosen, F.col("s").eqNullSafe(F.col("us")))
     return work.select(
         *[F.col(k).alias(c) for c, k in zip(docs.columns, kept)],
-        F.struct(F.col("size"), F.col("source_size"), F.col("target"), copies.alias("copies"),
-                 (copies * F.col("size")).alias("taken")).alias(out))
+        F.struct(F.col("size"), F.col("source_size"), F.col("target"), copies(F.col("u")).alias("copies"),
+                 (copies(F.col("u")) * F.col("size")).alias("taken")).alias(out))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

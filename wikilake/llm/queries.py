@@ -31,8 +31,7 @@ WITH d AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
   FROM documents),
 s AS (
-  SELECT source AS src, count(*) AS n, sum(size)::BIGINT AS source_size,
-         ((('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT % 1024) + 0.5::DOUBLE) / 1024.0::DOUBLE AS u
+  SELECT source AS src, count(*) AS n, sum(size)::BIGINT AS source_size
   FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY src NULLS LAST) - 1 AS k FROM s),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM r),
@@ -46,16 +45,22 @@ o AS (SELECT *, row_number() OVER (ORDER BY cap / w, k) AS pos FROM f),
 z AS (SELECT min(pos) AS free_pos, arg_min(level, pos) AS common FROM o WHERE cap > level * w),
 g AS (SELECT o.*, coalesce(pos < free_pos, true) AS held, common FROM o, z),
 t AS (
-  SELECT src, n, source_size::BIGINT AS source_size, u, CASE WHEN held THEN cap::DOUBLE ELSE common * w END AS target,
+  SELECT src, n, source_size::BIGINT AS source_size, CASE WHEN held THEN cap::DOUBLE ELSE common * w END AS target,
          greatest(1, ceil(n / 4096.0))::BIGINT AS nb
   FROM g),
 e AS (
-  SELECT d.*, t.src, t.source_size, t.target, t.u,
+  SELECT d.*, t.src, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, d.h % t.nb AS b
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.src),
-p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY b, size, doc_id NULLS FIRST) AS rn FROM e)
-SELECT doc_id, size, source_size, target,
-       (least(floor(u + rn * rate) - floor(u + (rn - 1) * rate), 3)::BIGINT * size)::BIGINT AS taken
-FROM p
+p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY b, size, doc_id NULLS FIRST) AS rn FROM e),
+u AS (
+  SELECT src, i, ((('0x' || substr(md5('mix-1:' || i || ':' || coalesce('s' || src, 'n')), 1, 8))::BIGINT % 1024) + 0.5::DOUBLE) / 1024.0::DOUBLE AS u
+  FROM t, range(16) AS r(i)),
+c AS (SELECT p.*, i, u, least(floor(u + rn * rate) - floor(u + (rn - 1) * rate), 3)::BIGINT AS copies
+      FROM p JOIN u ON p.src IS NOT DISTINCT FROM u.src),
+a AS (SELECT src, i, abs(sum(copies * size) - any_value(target)) AS off FROM c GROUP BY src, i),
+m AS (SELECT src, arg_min(i, struct_pack(off := off, i := i)) AS i FROM a GROUP BY src)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken
+FROM c JOIN m ON c.src IS NOT DISTINCT FROM m.src AND c.i = m.i
 """,
 }
