@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from wikilake.sources.tables import read_table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, the same on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "tokens.*")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -21,6 +35,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op3_token_counts": op3_token_counts,
     "op6_mixing": op6_mixing,
 }
 
