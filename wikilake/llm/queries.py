@@ -34,7 +34,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets, span_list
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, keep=["doc_id"])
+    base = F.filter("secrets", lambda s: s.getField("kind") != "random")
+
+    def number(kind: str):
+        return F.size(F.filter("secrets", lambda s: s.getField("kind") == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", number("assign"), number("access"), number("hex"),
+                        F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"))
+
+
 REGISTRY = {
+    "op10_secret_scans": op10_secret_scans,
     "op3_token_counts": op3_token_counts,
     "op6_mixing": op6_mixing,
 }
