@@ -19,6 +19,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "toxicity.*")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -49,6 +56,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_toxicity": op1_toxicity,
     "op10_secret_scans": op10_secret_scans,
     "op3_token_counts": op3_token_counts,
     "op6_mixing": op6_mixing,
