@@ -1,14 +1,15 @@
 """Toxicity: gradient-boosted trees over dense text features, isotonic calibration.
 
 1. Training rows: at most ``SAMPLE`` labelled documents whose crc32(doc_id) mod 5 is not 0,
-   the first ones in the order of a hash (the bound also bounds what is broadcast).
-2. Lexicon: a first third of them gives, per word and word stem (prefixes of 4 and 5 letters),
-   the documents of either label that hold it; the ``LEXICON`` keys with the largest
-   significant log-odds are kept. Counting is done by Spark, pre-aggregated per task.
+   the first ones in the order of a hash (the bound also bounds what is broadcast), equal
+   texts as one row.
+2. Lexicon: half of them give, per word and word stem (prefixes of 4 to 7 letters),
+   the documents of either label that hold it; the ``LEXICON`` keys that are most
+   significantly over-represented in toxic ones are kept with their log-odds. Counting is done by Spark, pre-aggregated per task.
 3. Features of every text, in an Arrow function: lexicon densities, log-odds mass,
    proximity of hits to second-person words, capitals, punctuation, obfuscation rates.
-4. Spark ML gradient-boosted trees on the second third, isotonic regression of their
-   probability on the last third.
+4. Spark ML gradient-boosted trees on another three tenths, isotonic regression of their
+   probability on the rest.
 
 The lexicon (bounded) is the only model part in the Arrow function; trees and calibration
 run in the JVM. Scoring needs no shuffle. Labels, language, source and doc_id are never
@@ -40,11 +41,14 @@ from .common import column, free_name, written
 SAMPLE = 20_000
 LEXICON = 300
 MIN_DOCS = 5
-MIN_Z = 3.5
+MIN_Z = 4.0
+MIN_ODDS = 1.0
 TREES = 20
 DEPTH = 4
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 NEAR = 5
+#: Of ten training rows: for the lexicon (0), the trees (1) and the calibration (2).
+PARTS = (0, 0, 0, 0, 0, 1, 1, 1, 2, 2)
 
 WORD = re.compile(r"[^\W_]+(?:[.*@$!_'-][^\W_]+)*[^\W_]?")
 #: Second-person words of the four languages, and look-alike characters.
@@ -148,8 +152,11 @@ def fit_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
         return {}
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (n[1] - F.col("toxic") + 0.5)) - F.log(b / (n[0] - F.col("clean") + 0.5))
+    rate = n[1] / (n[0] + n[1])
+    expected = (F.col("toxic") + F.col("clean")) * rate
     ranked = (key_counts(rows).filter(F.col("toxic") >= MIN_DOCS)
-              .select("key", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).filter(F.col("z") >= MIN_Z)
+              .select("key", odds.alias("odds"), ((F.col("toxic") - expected) / F.sqrt(expected * (1 - rate))).alias("z"))
+              .filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
               .orderBy(F.col("z").desc(), "key").limit(size))
     return {r["key"]: float(r["odds"]) for r in ranked.collect()}  # at most ``size`` rows
 
@@ -159,7 +166,7 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
-    """text, label and thirds (0, 1, 2) of the bounded sample of labelled rows."""
+    """text, label and part (0, 1, 2) of the bounded sample of labelled rows."""
     key = column(labels, "doc_id")
     order = F.crc32(F.concat(F.lit("fit:"), F.col("id").cast("string")).cast("binary"))
     chosen = (labels.filter(column(labels, "toxic").isNotNull() & key.isNotNull() & ~is_held_out(key))
@@ -167,8 +174,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
               .withColumn("order", order).orderBy("order", "id").limit(sample))
     chosen = written(chosen)  # at most ``sample`` narrow rows, so their size is known to the join
     texts = docs.select(column(docs, id_col).alias("doc"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select(
-        "text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), (F.col("order") % 3).cast("int").alias("third")))
+    found = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    # copies of a text are one training row, so they cannot vouch for its words
+    return written(found.groupBy("text").agg(F.when(F.avg((F.col("label") > 0).cast("int")) >= 0.5, 1).otherwise(0).alias("label"))
+                   .withColumn("part", F.element_at(
+                       F.array(*map(F.lit, PARTS)), (F.crc32(F.col("text").cast("binary")) % len(PARTS) + 1).cast("int"))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -177,14 +187,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     out = free_name(docs, out)
     rows = training_rows(docs, labels, id_col, text_col, sample)
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
-    counts = {(r["third"], r["label"]): r["n"] for r in rows.groupBy("third", "label").agg(F.count("*").alias("n")).collect()}
+    counts = {(r["part"], r["label"]): r["n"] for r in rows.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
     if all(counts.get((t, k)) for t in range(3) for k in (0, 1)):
-        lexicon = fit_lexicon(rows.filter("third = 0"))
-        known = written(rows.select("label", "third", vector_to_array(features(F.col("text"), lexicon)).alias("x"))).select(
-            "third", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features")).repartition(4).cache()
+        lexicon = fit_lexicon(rows.filter("part = 0"))
+        known = written(rows.select("label", "part", vector_to_array(features(F.col("text"), lexicon)).alias("x"))).select(
+            "part", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features")).repartition(4).cache()
         trained = GBTClassifier(maxIter=trees, maxDepth=DEPTH, stepSize=0.2, seed=11, maxBins=64, minInstancesPerNode=5).fit(
-            known.filter("third = 1"))
-        held = trained.transform(known.filter("third = 2")).select("label", vector_to_array("probability")[1].alias("raw"))
+            known.filter("part = 1"))
+        held = trained.transform(known.filter("part = 2")).select("label", vector_to_array("probability")[1].alias("raw"))
         curve = IsotonicRegression(labelCol="label", featuresCol="raw").fit(held)
         known.unpersist()
         names = {x: free_name(docs, f"toxicity_{x}") for x in ("features", "raw", "cal")}
