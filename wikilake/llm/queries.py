@@ -41,6 +41,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_tree import nearest_neighbours
+
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_threshold import exact_top_k
+
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets, span_list
 
@@ -56,6 +68,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_exact_top_k": op9_exact_top_k,
     "op1_toxicity": op1_toxicity,
     "op10_secret_scans": op10_secret_scans,
     "op3_token_counts": op3_token_counts,
@@ -63,6 +77,19 @@ REGISTRY = {
 }
 
 ORACLE = {
+    "op9_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS y
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.y, c.y), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
     "op6_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
