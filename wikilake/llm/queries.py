@@ -33,6 +33,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "tokens.*")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs).select("doc_id", F.col("near.n_shingles").alias("n_shingles"),
+                                           F.col("near.component_id").alias("component_id"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
@@ -68,6 +76,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_exact_top_k": op9_exact_top_k,
     "op1_toxicity": op1_toxicity,
