@@ -55,6 +55,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
 
 
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    from .bpe_codec import encode_documents
+
+    found = encode_documents(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id"])
+    return found.select("doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann_tree import nearest_neighbours
 
@@ -82,6 +94,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op7_bpe_codec": op7_bpe_codec,
     "op4_html_extraction": op4_html_extraction,
     "op5_jaccard_join": op5_jaccard_join,
     "op8_nearest_neighbours": op8_nearest_neighbours,
