@@ -26,18 +26,19 @@ repeated rows are encoded each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import re
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, free_name, shuffle_width
+from .packing import pack, unpack
 from .token_counts import BYTE_CHARS, PLAIN, tokenizer
 
 BATCH_CHARS = 1 << 23
@@ -49,33 +50,6 @@ BLANKS = re.compile(r"[ \t\n\r]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Variable-length bytes, seven bits each, of non-negative numbers below 2**28."""
-    n = numbers.astype(np.uint32)
-    width = 1 + (n >= 1 << 7) + (n >= 1 << 14) + (n >= 1 << 21)
-    ends = np.cumsum(width)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    start = ends - width
-    for k in range(4):
-        has = width > k
-        more = (width > k + 1)[has]
-        out[start[has] + k] = ((n[has] >> np.uint32(7 * k)) & np.uint32(127)) | (more.astype(np.uint32) << np.uint32(7))
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, dtype=np.uint8)
-    if not len(b):
-        return np.empty(0, dtype=np.int64)
-    last = np.flatnonzero(b < 128)
-    start = np.concatenate([[0], last[:-1] + 1])
-    out = np.zeros(len(last), dtype=np.int64)
-    for k in range(4):
-        has = start + k <= last
-        out[has] |= (b[start[has] + k].astype(np.int64) & 127) << (7 * k)
-    return out
-
-
 def split_words(text: str) -> list[str]:
     return [w for w in BLANKS.split(text) if w]
 

@@ -26,6 +26,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "toxicity.*")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep=["doc_id"]).select(
+        "doc_id", F.col("dedup.n_bytes").alias("n_bytes"), F.col("dedup.n_removed").alias("n_removed"),
+        F.size("dedup.spans").cast("bigint").alias("n_spans"), F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -94,6 +103,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op4_html_extraction": op4_html_extraction,
     "op5_jaccard_join": op5_jaccard_join,
