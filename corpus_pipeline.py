@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wikilake.llm.common import written
+from wikilake.llm.common import library_on_workers, written
 from wikilake.llm.jaccard_join import keep_one
 from wikilake.llm.mixing import mix_documents
 from wikilake.llm.queries import bpe_digests
@@ -29,24 +29,29 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    library_on_workers(spark)
     scored = score_toxicity(docs, read_table(spark, sf_dir, "labels"), out="toxicity_found")
     return scored.filter(F.col("toxicity_found.predicted") == 0).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    library_on_workers(spark)
     return keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    library_on_workers(spark)
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    library_on_workers(spark)
     return mix_documents(docs)
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    library_on_workers(spark)
     return bpe_digests(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,15 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def library_on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this library where it is not installed but lies on a path
+    that they share with the driver (on a cluster it comes as a package or by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = spark.sparkContext.environment
+    if root not in found.get("PYTHONPATH", "").split(os.pathsep):
+        found["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [found.get("PYTHONPATH")])])
+
+
 def shuffle_width(spark: SparkSession, n_units: int, per_task: int) -> int:
     """Partitions so that each holds about ``per_task`` of ``n_units``; never fewer than
     the session's own shuffle width."""

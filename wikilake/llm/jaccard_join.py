@@ -8,14 +8,14 @@ at least ``PERCENT`` / 100; the result is the components of the links.
    token space is cut into more parts than that, a part is the same in both. A node writes
    one signature per part for the size class it is in and for the class below, which its
    smaller partners use. Nodes that share no signature have no links and go no further.
-2. Groups. The others are partitioned by smallest token (linked nodes share it with
-   probability of at least the similarity) into groups of about ``GROUP`` nodes; a large
-   partition is cut by hash.
-3. Matrix. A group's row is the union of its nodes' tokens. A node is a query to every
-   other group that holds one of its signatures; the overlap of the query with the
-   group's row bounds its overlap with every member, and only groups whose bound reaches
-   the needed overlap are opened, member by member. Each pair of groups is asked in one
-   direction.
+2. Groups. The others are partitioned by the signature that they share with most nodes
+   (so a family of near copies stays together) into groups of about ``GROUP`` nodes; a
+   large partition is cut by hash.
+3. Matrix. A group's row is the union of its nodes' tokens. The nodes of a group are
+   queries to every other group that shares a signature with theirs; the overlap of a
+   query with the group's row bounds its overlap with every member, and only groups whose
+   bound reaches the needed overlap are opened, member by member. Each pair of groups is
+   asked in one direction.
 4. A task joins linked nodes by union-find and returns each node with its local root, so
    a group of near copies leaves as many rows as it has nodes. The components of these
    rows give the classes.
@@ -50,11 +50,11 @@ from .components import connected_components
 
 WORDS = 3
 PERCENT = 90
-GROUP = 64
+GROUP = 256
 QUERIES_PER_BLOCK = 256
 MEMO = 1 << 19
 
-SHAPE = "struct<n:bigint,digest:binary,low:bigint,sigs:array<bigint>>"
+SHAPE = "struct<n:bigint,digest:binary,sigs:array<bigint>>"
 _memo: dict[bytes, int] = {}
 
 
@@ -123,11 +123,10 @@ def part_signatures(tokens: np.ndarray, size_class: int) -> np.ndarray:
 def shape_of(text: str | None) -> dict:
     tokens = token_set(text or "")
     if not len(tokens):
-        return {"n": 0, "digest": None, "low": None, "sigs": []}
+        return {"n": 0, "digest": None, "sigs": []}
     c = int(np.searchsorted(class_ends(), len(tokens)))
     sigs = np.concatenate([part_signatures(tokens, k) for k in (c - 1, c) if k >= 0])
-    return {"n": len(tokens), "digest": hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(),
-            "low": int(tokens[:1].view(np.int64)[0]), "sigs": sigs.view(np.int64)}
+    return {"n": len(tokens), "digest": hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), "sigs": sigs.view(np.int64)}
 
 
 def links(a: np.ndarray, b: np.ndarray) -> bool:
@@ -183,19 +182,19 @@ def sets_of(table: pa.Table, node: str, tokens: str) -> list[tuple[int, np.ndarr
 
 def linked_nodes(shapes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) edges whose components are those of all links. ``shapes``: one row per node
-    (node, digest, low, sigs, id, h); ``texts``: (id, h, text) that holds every node."""
-    sigs = shapes.select("node", "low", F.explode("sigs").alias("sig"))
+    (node, digest, sigs, id, h); ``texts``: (id, h, text) that holds every node."""
+    sigs = shapes.select("node", F.explode("sigs").alias("sig"))
     by_sig = Window.partitionBy("sig")
     shared = written(sigs.withColumn("first", F.min("node").over(by_sig)).withColumn("last", F.max("node").over(by_sig))
-                     .filter("first < last").select("sig", "node", "low"))
-    active = shared.select("node", "low").distinct()
-    sizes = active.groupBy("low").agg(F.count("*").alias("c"))
+                     .withColumn("c", F.count("*").over(by_sig)).filter("first < last").select("sig", "node", "c"))
+    home = shared.groupBy("node").agg(F.max(F.struct("c", "sig"))["sig"].alias("home"))
+    sizes = home.groupBy("home").agg(F.count("*").alias("c"))
     cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP).cast("bigint"))
-    placed = written(active.join(sizes, "low").select("node", F.xxhash64("low", cut).alias("grp")))
-    reach = shared.select("sig", "node").join(placed, "node")
-    queries = (reach.alias("q").join(reach.select("sig", "grp").distinct().alias("g"), "sig")
-               .filter("q.grp > g.grp").select(F.col("q.node").alias("node"), F.col("g.grp").alias("grp")).distinct())
-    queries = written(queries)
+    placed = written(home.join(sizes, "home").select("node", F.xxhash64("home", cut).alias("grp")))
+    reach = shared.select("sig", "node").join(placed, "node").select("sig", "grp").distinct()
+    pairs = (reach.alias("q").join(reach.alias("g"), "sig").filter("q.grp > g.grp")
+             .select(F.col("q.grp").alias("asking"), F.col("g.grp").alias("asked")).distinct())
+    queries = written(placed.join(pairs, F.col("grp") == F.col("asking")).select("node", F.col("asked").alias("grp")))
 
     nodes = shapes.select("node", "digest", "id", "h").join(placed, "node")
 
@@ -240,16 +239,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = [shape_of(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([
                 pa.array([r["n"] for r in rows], pa.int64()), pa.array([r["digest"] for r in rows], pa.binary()),
-                pa.array([r["low"] for r in rows], pa.int64()), pa.array([r["sigs"] for r in rows], pa.list_(pa.int64()))],
-                ["n", "digest", "low", "sigs"])
+                pa.array([r["sigs"] for r in rows], pa.list_(pa.int64()))],
+                ["n", "digest", "sigs"])
 
     text = column(docs, text_col).cast("string")
     rows = docs.select(column(docs, id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     shaped = written(rows.select("id", "h", shapes_of("text").alias("s")).select("id", "h", "s.*"))
     nodes = shaped.filter("n > 0").groupBy("digest").agg(
         F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("named"), F.min("h").alias("any"),
-        F.first("low").alias("low"), F.first("sigs").alias("sigs"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "low", "sigs", F.col("named.id").alias("id"),
+        F.first("sigs").alias("sigs"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "sigs", F.col("named.id").alias("id"),
                                  F.coalesce(F.col("named.h"), F.col("any")).alias("h")))
     found = connected_components(linked_nodes(nodes, rows))
     named = nodes.select("node", "digest", "id").join(found, "node", "left").withColumn(

@@ -6,11 +6,15 @@ derives the contract's columns from the operator's output.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikilake.sources.tables import read_table
 
+from .common import library_on_workers
+
 
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer file, the same on every node."""
@@ -102,18 +106,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"))
 
 
-REGISTRY = {
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op7_bpe_codec": op7_bpe_codec,
-    "op4_html_extraction": op4_html_extraction,
-    "op5_jaccard_join": op5_jaccard_join,
-    "op8_nearest_neighbours": op8_nearest_neighbours,
-    "op9_exact_top_k": op9_exact_top_k,
-    "op1_toxicity": op1_toxicity,
-    "op10_secret_scans": op10_secret_scans,
-    "op3_token_counts": op3_token_counts,
-    "op6_mixing": op6_mixing,
-}
+def on_workers(query):
+    """The query, with this library importable in the Python workers of a local session."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        library_on_workers(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+REGISTRY = {query.__name__: on_workers(query) for query in (
+    op1_toxicity, op2_suffix_dedup, op3_token_counts, op4_html_extraction, op5_jaccard_join,
+    op6_mixing, op7_bpe_codec, op8_nearest_neighbours, op9_exact_top_k, op10_secret_scans)}
 
 ORACLE = {
     "op9_exact_top_k": """
