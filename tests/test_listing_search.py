@@ -86,3 +86,29 @@ def test_first_pages_per_space(spark):
                                       "title string, space_key string, space_name string")
     got = sorted((r.space_key, r.rank, r.page_id) for r in L.first_pages(lst, 2).collect())
     assert got == [("A", 1, "9"), ("A", 2, "7"), ("B", 1, "8"), ("B", 2, "6")]
+
+
+def test_corrupt_and_empty_responses_are_flagged_not_lost(spark):
+    items = [{"id": str(i)} for i in range(30)]
+    whole = _body(items[10:20], 10, limit=10)
+    responses = [(0, _body(items[0:10], 0, limit=10)), (10, whole[:40]), (20, ""), (30, '{"statusCode":500}')]
+    raw = _raw(spark, responses)
+    assert L.page_listing(raw).count() == 10
+    assert {r.start: r.body for r in L.listing_rejects(raw).collect()} == {10: whole[:40], 30: '{"statusCode":500}'}
+    a = {r.start: r for r in L.listing_audit(raw).collect()}
+    assert [a[s].is_corrupt for s in (0, 10, 20, 30)] == [False, True, False, True]
+    assert not a[10].is_last and a[10].gap_after and not a[30].is_last
+    assert not a[0].is_last and not a[0].gap_after and a[0].fetched_so_far == 10  # the response's own limit
+
+
+def test_parent_is_the_last_ancestor(spark):
+    body = json.dumps({"id": "9", "title": "t", "ancestors": [{"id": "root"}, {"id": "mid"}, {"id": "parent"}]})
+    rows = spark.createDataFrame([("i0", body), ("i0", body[:30])], "instance string, body string")
+    got = sorted(L.page_details(rows).collect(), key=lambda r: r.is_corrupt)
+    assert got[0].parent_id == "parent" and got[0].bad_text is None
+    assert got[1].is_corrupt and got[1].bad_text == body[:30]
+
+
+def test_audit_parses_each_response_once(spark):
+    plan = L.listing_audit(_raw(spark, [(0, _body([{"id": "1"}], 0))]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(instance") <= 4

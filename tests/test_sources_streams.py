@@ -63,8 +63,22 @@ def test_stream_listing_keeps_latest_capture(spark):
     assert sorted(first.collect()) == sorted(expected.collect())
     # a second capture with changed titles arrives: the same work folder picks up only the new files
     renamed = raw.withColumn("body", F.regexp_replace("body", '"title":"', '"title":"v2 '))
-    renamed.withColumn("capture", F.lit(1).cast("long")).write.mode("append").json(src)
+    ST.write_listing_source(renamed, src, capture=1)
     second = ST.stream_listing(spark, src, os.path.join(work, "w"))
     titles = [r.title for r in second.collect()]
     assert len(titles) == len(expected.collect())
     assert all(t.startswith("v2 ") or t == "Untitled" for t in titles)
+
+
+def test_stream_listing_orders_by_capture_whatever_the_batches(spark):
+    def raw(title, start):
+        body = '{"results":[{"id":"p","title":"%s"}],"start":%d,"limit":100,"size":1}' % (title, start)
+        return spark.createDataFrame([("i0", "page", None, start, body)], "instance string, kind string, space_key string, start int, body string")
+
+    for order in ((1, 2), (2, 1)):
+        for max_files in (1, 64):
+            src = os.path.join(_tmp(), "source")
+            for capture in order:  # the older capture lists the page further down
+                ST.write_listing_source(raw("OLD", 100) if capture == 1 else raw("NEW", 0), src, capture=capture)
+            got = ST.stream_listing(spark, src, _tmp(), max_files=max_files).collect()
+            assert [r.title for r in got] == ["NEW"]

@@ -71,7 +71,14 @@ def q_header(spark, sf):
 
 @register("page_listing")
 def q_page_listing(spark, sf):
-    return _listing(spark, sf).drop("req_space_key")
+    raw = _all_raw(spark, sf).unionByName(fx.odd_listing_raw(spark, sf))
+    return L.page_listing(raw).drop("req_space_key")
+
+
+@register("listing_rejects")
+def q_listing_rejects(spark, sf):
+    raw = _all_raw(spark, sf).unionByName(fx.odd_listing_raw(spark, sf))
+    return L.listing_rejects(raw).select("instance", "kind", "start", F.length("body").alias("n_chars"), F.col("body").alias("bad_text"))
 
 
 @register("space_listing")
@@ -91,7 +98,7 @@ def q_page_details(spark, sf):
 
 @register("listing_audit")
 def q_listing_audit(spark, sf):
-    return L.listing_audit(_all_raw(spark, sf))
+    return L.listing_audit(_all_raw(spark, sf).unionByName(fx.odd_listing_raw(spark, sf)))
 
 
 @register("listing_counts")
@@ -285,8 +292,12 @@ from ..streaming import stream as ST  # noqa: E402
 def q_stream_listing(spark, sf):
     work = ST._run_dir(spark, "listing")
     src = work + "/source"
-    ST.write_listing_source(fx.listing_raw(spark, sf), src)
-    return ST.stream_listing(spark, src, work)
+    # two captures: in the later one, written first, pages stand ten places earlier and are renamed
+    raw = fx.listing_raw(spark, sf)
+    later = raw.withColumn("body", F.regexp_replace("body", '"title":"', '"title":"new ')).withColumn("start", F.col("start") - 10)
+    ST.write_listing_source(later, src, capture=2)
+    ST.write_listing_source(raw, src, capture=1)
+    return ST.stream_listing(spark, src, work, max_files=3)
 
 
 @register("stream_convert")

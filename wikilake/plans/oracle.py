@@ -57,7 +57,27 @@ FROM wiki_pages p LEFT JOIN instances i ON p.instance = i.instance"""
 
 _LISTING_COLS = "instance, resp_start, item_pos, ordinal, page_id, title, space_key, space_name"
 
-ORACLE["page_listing"] = with_(S.WIKI_PAGES, S.LISTING) + f"SELECT {_LISTING_COLS} FROM listing"
+# Faulty responses of ten items (r: response number), item by item.
+ODD = """odd AS (
+  SELECT 'a' || CAST(pid % 2 AS VARCHAR) AS instance, CAST(floor(floor(pid / 2) / 10) AS INTEGER) AS r,
+         CAST(floor(pid / 2) AS BIGINT) % 10 AS pos, page_id, title, space_key, space_name
+  FROM wiki_pages),
+odd_resp AS (SELECT instance, r, r % 5 AS k, count(*) AS n FROM odd GROUP BY 1, 2)"""
+
+ORACLE["page_listing"] = with_(S.WIKI_PAGES, S.LISTING, ODD) + f"""
+SELECT {_LISTING_COLS} FROM listing
+UNION ALL
+SELECT instance, r * 10, CAST(pos AS INTEGER), r * 10 + pos, page_id, title, space_key, space_name
+FROM odd JOIN odd_resp USING (instance, r)
+WHERE k IN (3, 4) OR (k = 0 AND NOT (r > 0 AND n = 10 AND pos = 9))
+UNION ALL
+SELECT instance, r * 10, CAST(n AS INTEGER), r * 10 + n, page_id, title, space_key, space_name
+FROM odd JOIN odd_resp USING (instance, r) WHERE k = 3 AND pos = 0"""
+
+ORACLE["listing_rejects"] = with_(S.WIKI_PAGES, ODD) + """
+SELECT o.instance, 'page' AS kind, o.r * 10 AS start, length(bad_text)::INTEGER AS n_chars, bad_text
+FROM (SELECT instance, r, substr('{"results":[{"id":"' || page_id || '","title":"' || title || '","space":{"key":"' || space_key || '","name":"' || space_name, 1, 60) AS bad_text
+      FROM odd WHERE pos = 0 AND r % 5 = 1) o"""
 
 SPACES = """spaces AS (
   SELECT instance,
@@ -79,24 +99,34 @@ SELECT instance,
        CASE WHEN pid % 29 <> 0 THEN CAST(version AS VARCHAR) END AS version,
        CASE WHEN pid % 29 <> 0 THEN storage_html END AS storage_html,
        CASE WHEN pid % 29 <> 0 AND pid % 3 <> 0 THEN CAST(pid - 1 AS VARCHAR) END AS parent_id,
-       pid % 29 = 0 AS is_corrupt
+       pid % 29 = 0 AS is_corrupt,
+       CASE WHEN pid % 29 = 0 THEN substr('{"id":"' || page_id || '","title":"' || title || '","space":{"key":"' || space_key || '","name":"' || space_name, 1, 50) END AS bad_text
 FROM wiki_pages"""
 
-ORACLE["listing_audit"] = with_(S.WIKI_PAGES, SPACES) + """,
+ORACLE["listing_audit"] = with_(S.WIKI_PAGES, SPACES, ODD) + """,
 resp AS (
-  SELECT instance, 'page' AS kind, CAST(floor(pid / 2 / 100) * 100 AS INTEGER) AS start, count(*) AS n
+  SELECT instance, 'page' AS kind, CAST(floor(pid / 2 / 100) * 100 AS INTEGER) AS start, count(*) AS n, 100 AS lim,
+         false AS empty, false AS bad, count(*) = 100 AS nxt
   FROM wiki_pages GROUP BY 1, 2, 3
   UNION ALL
-  SELECT instance, 'space', CAST(floor(ordinal / 100) * 100 AS INTEGER), count(*) FROM spaces GROUP BY 1, 2, 3)
+  SELECT instance, 'space', CAST(floor(ordinal / 100) * 100 AS INTEGER), count(*), 100, false, false, count(*) = 100
+  FROM spaces GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT instance, 'page', r * 10,
+         CASE k WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN n + 1 WHEN 0 THEN CASE WHEN r > 0 AND n = 10 THEN 9 ELSE n END ELSE n END,
+         CASE WHEN k IN (1, 2) THEN 100 ELSE 10 END, k = 2, k = 1, n = 10 AND k NOT IN (1, 2)
+  FROM odd_resp),
+lasts AS (SELECT *, empty OR (NOT bad AND n < lim) AS is_last FROM resp),
+dups AS (SELECT instance, count(*) AS d FROM odd_resp WHERE k = 3 GROUP BY 1)
 SELECT r.instance, r.kind, CAST(NULL AS VARCHAR) AS space_key, r.start, CAST(r.n AS INTEGER) AS n_items,
-       false AS empty_body, r.n < 100 AS is_last, r.start + 100 AS fetched_so_far,
-       r.n = 100 AS has_next_link, false AS stops_early,
-       r.n = 100 AND s.start IS NULL AS gap_after, CAST(0 AS BIGINT) AS n_dup_ids
-FROM resp r LEFT JOIN resp s ON s.instance = r.instance AND s.kind = r.kind AND s.start = r.start + r.n"""
+       r.empty AS empty_body, r.bad AS is_corrupt, r.is_last, r.start + r.lim AS fetched_so_far,
+       r.nxt AS has_next_link, r.is_last AND r.nxt AS stops_early,
+       r.bad OR (NOT r.is_last AND NOT EXISTS (SELECT 1 FROM resp s WHERE s.instance = r.instance AND s.kind = r.kind AND s.start = r.start + r.n))
+         AS gap_after, coalesce(d, 0) AS n_dup_ids
+FROM lasts r LEFT JOIN dups ON dups.instance = r.instance"""
 
 ORACLE["listing_counts"] = with_(S.WIKI_PAGES, S.LISTING) + """
-SELECT instance, space_key, count(*) AS n_pages, count(DISTINCT page_id) AS n_distinct_pages
-FROM listing GROUP BY ROLLUP (instance, space_key)"""
+SELECT instance, space_key, count(*) AS n_pages FROM listing GROUP BY ROLLUP (instance, space_key)"""
 
 ORACLE["space_counts"] = with_(S.WIKI_PAGES, SPACES) + "SELECT instance, count(*) AS n_spaces FROM spaces GROUP BY instance"
 
@@ -334,7 +364,8 @@ FROM b"""
 
 # --- streaming forms -------------------------------------------------------------------------
 ORACLE["stream_listing"] = with_(S.WIKI_PAGES, S.LISTING) + """
-SELECT instance, page_id, title, space_key, space_name, ordinal FROM listing"""
+SELECT instance, page_id, CASE WHEN title = 'Untitled' THEN title ELSE 'new ' || title END AS title,
+       space_key, space_name, ordinal - 10 AS ordinal FROM listing"""
 
 ORACLE["stream_convert"] = "WITH " + html_to_markdown_sql(
     "src AS (SELECT CAST(page_id AS VARCHAR) AS page_id, html FROM pages)") + "\nSELECT page_id, markdown FROM md_docs"

@@ -108,6 +108,30 @@ def listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "start", body.alias("body"))
 
 
+def odd_listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing responses with faults, of the instances ``a0`` and ``a1``: pages in responses
+    of 10; by response number mod 5: whole, cut short, empty, first item listed twice, and
+    (mod 5 = 0 after the first, when full) last item missing although a next link is given."""
+    p = wiki_pages(spark, sf_dir).select("page_id", "title", "space_key", "space_name")
+    n = F.col("page_id").cast("long")
+    ordinal = F.floor(n / 2)
+    item = F.struct(F.col("page_id").alias("id"), F.col("title"),
+                    F.struct(F.col("space_key").alias("key"), F.col("space_name").alias("name")).alias("space"))
+    chunks = (p.select(F.concat(F.lit("a"), (n % 2).cast("string")).alias("instance"), F.floor(ordinal / 10).cast("int").alias("r"),
+                       F.struct(ordinal.alias("o"), item.alias("item")).alias("e"))
+              .groupBy("instance", "r").agg(F.array_sort(F.collect_list("e")).alias("es")))
+    items = F.transform("es", lambda e: e["item"])
+    k = F.col("r") % 5
+    shown = (F.when(k == 3, F.concat(items, F.slice(items, 1, 1)))
+             .when((k == 0) & (F.col("r") > 0) & (F.size("es") == 10), F.slice(items, 1, 9)).otherwise(items))
+    nxt = F.when(F.size("es") == 10, F.concat(F.lit("/rest/api/content?limit=10&start="), (F.col("r") * 10 + 10).cast("string")))
+    body = F.to_json(F.struct(shown.alias("results"), (F.col("r") * 10).alias("start"), F.lit(10).alias("limit"),
+                              F.size(shown).alias("size"), F.struct(nxt.alias("next")).alias("_links")))
+    body = F.when(k == 1, F.substring(body, 1, 60)).when(k == 2, F.lit("")).otherwise(body)
+    return chunks.select("instance", F.lit("page").alias("kind"), F.lit(None).cast("string").alias("space_key"),
+                         (F.col("r") * 10).alias("start"), body.alias("body"))
+
+
 def space_listing_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Space listing responses: the distinct spaces of each instance, 100 per response.
 
@@ -135,8 +159,12 @@ def page_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_raw(instance, body): page detail responses; every 29th one is cut short (corrupt)."""
     p = wiki_pages(spark, sf_dir)
     n = F.col("page_id").cast("long")
-    anc = F.when(n % 3 != 0, F.array(F.struct((n - 1).cast("string").alias("id")))).otherwise(
-        F.array().cast("array<struct<id:string>>"))
+    # from the top of the tree down: the root, a page in between (every second one), the parent
+    anc = F.when(n % 3 != 0, F.concat(
+        F.array(F.struct(F.lit("root").alias("id"))),
+        F.when(n % 2 == 0, F.array(F.struct(F.concat(F.lit("m"), F.col("page_id")).alias("id")))).otherwise(
+            F.array().cast("array<struct<id:string>>")),
+        F.array(F.struct((n - 1).cast("string").alias("id"))))).otherwise(F.array().cast("array<struct<id:string>>"))
     js = F.to_json(F.struct(
         F.col("page_id").alias("id"), F.col("title"),
         F.struct(F.col("space_key").alias("key"), F.col("space_name").alias("name")).alias("space"),

@@ -15,30 +15,53 @@ from pyspark.sql import functions as F
 # Defaults a listing uses for missing keys.
 PAGE_DEFAULTS = {"id": "", "title": "Untitled", "space_key": "UNKNOWN", "space_name": "Unknown Space"}
 SPACE_DEFAULTS = {"key": "UNKNOWN", "name": "Unknown Space", "type": "unknown"}
-REQUEST_LIMIT = 100
+REQUEST_LIMIT = 100  # assumed where a response does not state its own limit
 
 PAGE_BODY = ("struct<results:array<struct<id:string,title:string,space:struct<key:string,name:string>>>,"
-             "start:int,limit:int,size:int,_links:struct<next:string>>")
+             "start:int,limit:int,size:int,_links:struct<next:string>,_corrupt_record:string>")
 SPACE_BODY = ("struct<results:array<struct<key:string,name:string,type:string>>,"
-              "start:int,limit:int,size:int,_links:struct<next:string>>")
+              "start:int,limit:int,size:int,_links:struct<next:string>,_corrupt_record:string>")
 DETAIL_BODY = ("struct<id:string,title:string,space:struct<key:string,name:string>,version:struct<number:int>,"
                "ancestors:array<struct<id:string>>,body:struct<storage:struct<value:string>>,_corrupt_record:string>")
-AUDIT_BODY = "struct<results:array<struct<id:string,key:string>>,_links:struct<next:string>>"
+AUDIT_BODY = ("struct<results:array<struct<id:string,key:string>>,limit:int,_links:struct<next:string>,"
+              "_corrupt_record:string>")
+JSON_MODE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
-def _parse(raw: DataFrame, kind: str, schema: str) -> DataFrame:
+def _blank(body):
+    return body.isNull() | (F.trim(body) == "")
+
+
+def _is_corrupt(j, body):
+    """A response that is not empty and yet not a whole JSON object with a results list."""
+    return ~_blank(body) & (j.isNull() | j["_corrupt_record"].isNotNull() | j["results"].isNull())
+
+
+def _parse(raw: DataFrame, kind: str, schema: str, *more: str) -> DataFrame:
+    """Responses of one kind. A corrupt response contributes no rows (its text is in
+    ``listing_rejects`` and flagged by ``listing_audit``), never some of its rows."""
+    j = F.from_json("body", schema, JSON_MODE)
     return raw.filter(F.col("kind") == kind).select(
-        "instance", F.col("space_key").alias("req_space_key"), "start",
-        F.from_json("body", schema, {"mode": "PERMISSIVE"}).alias("j"))
+        "instance", F.col("space_key").alias("req_space_key"), "start", "body", *more, j.alias("j")) \
+        .filter(~_is_corrupt(F.col("j"), F.col("body"))).drop("body")
 
 
-def page_listing(raw: DataFrame) -> DataFrame:
-    """S1 + P4 + L1 + X1: one row per listed page, defaults filled, ordinal kept.
+def listing_rejects(raw: DataFrame) -> DataFrame:
+    """Corrupt listing responses (any kind) with their whole text, so nothing is lost
+    silently; the client stops with an error on such a response."""
+    j = F.from_json("body", AUDIT_BODY, JSON_MODE)
+    parsed = raw.select("instance", "kind", "space_key", "start", "body", j.alias("j"))
+    return parsed.filter(_is_corrupt(F.col("j"), F.col("body"))).select("instance", "kind", "space_key", "start", "body")
+
+
+def page_listing(raw: DataFrame, *more: str) -> DataFrame:
+    """S1 + P4 + L1 + X1: one row per listed page, defaults filled, ordinal kept, with the
+    columns ``more`` of its response.
 
     ``raw`` may be the union of several captures (bag union, no dedupe).
     """
-    items = _parse(raw, "page", PAGE_BODY).select(
-        "instance", "req_space_key", "start", F.posexplode("j.results").alias("pos", "it"))
+    items = _parse(raw, "page", PAGE_BODY, *more).select(
+        "instance", "req_space_key", "start", *more, F.posexplode("j.results").alias("pos", "it"))
     d = PAGE_DEFAULTS
     return items.select(
         "instance",
@@ -49,7 +72,7 @@ def page_listing(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("it.title"), F.lit(d["title"])).alias("title"),
         F.coalesce(F.col("it.space.key"), F.lit(d["space_key"])).alias("space_key"),
         F.coalesce(F.col("it.space.name"), F.lit(d["space_name"])).alias("space_name"),
-        F.col("req_space_key"),
+        F.col("req_space_key"), *more,
     )
 
 
@@ -75,9 +98,11 @@ def pages_in_space(listing: DataFrame, space_key: str) -> DataFrame:
 
 
 def page_details(raw: DataFrame) -> DataFrame:
-    """Page detail responses flattened to the page table; bad JSON is flagged, not dropped."""
-    j = F.from_json("body", DETAIL_BODY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    parsed = raw.select("instance", j.alias("j"))
+    """Page detail responses flattened to the page table; bad JSON is flagged and kept
+    as text in ``bad_text``. Ancestors run from the top of the tree down, so the last one
+    is the parent."""
+    j = F.from_json("body", DETAIL_BODY, JSON_MODE)
+    parsed = raw.select("instance", "body", j.alias("j"))
     corrupt = F.col("j._corrupt_record").isNotNull() | F.col("j").isNull()
 
     def ok(c):  # a corrupt record keeps no partial fields
@@ -91,53 +116,73 @@ def page_details(raw: DataFrame) -> DataFrame:
         ok(F.col("j.space.name")).alias("space_name"),
         ok(F.col("j.version.number")).cast("string").alias("version"),
         ok(F.col("j.body.storage.value")).alias("storage_html"),
-        ok(F.get(F.col("j.ancestors"), 0)["id"]).alias("parent_id"),
+        ok(F.get(F.col("j.ancestors"), F.size("j.ancestors") - 1)["id"]).alias("parent_id"),
         corrupt.alias("is_corrupt"),
+        F.when(corrupt, F.col("body")).alias("bad_text"),
     )
 
 
 def listing_audit(raw: DataFrame) -> DataFrame:
     """Per response, the stop rule and completeness checks.
 
-    * ``is_last``: empty body, or fewer items than the requested limit (the client's stop rule);
+    * ``is_corrupt``: not empty, but not a whole JSON object with a results list; such a
+      response is never ``is_last`` and its items count as missing (``gap_after``);
+    * ``is_last``: empty body, or fewer items than the response's own limit (the client's
+      stop rule; ``REQUEST_LIMIT`` where none is stated);
     * ``fetched_so_far``: the running figure the client prints, ``start + limit``;
     * ``has_next_link`` / ``stops_early``: a "last" response that still links onwards;
-    * ``gap_after``: a non-last response with no response starting right after its items
-      (an equi-join on the next offset, so no window over a whole listing);
+    * ``gap_after``: a non-last response with no response starting right after its items;
     * ``n_dup_ids``: ids listed more than once in the same listing.
+
+    Every response is read and parsed once: it is cut into marks (its start, the offset
+    after its items, its ids) that one aggregate counts per listing and value, so neither a
+    self-join nor a window over a whole listing is needed.
     """
-    j = F.from_json("body", AUDIT_BODY, {"mode": "PERMISSIVE"})
+    j = F.from_json("body", AUDIT_BODY, JSON_MODE)
     key = ["instance", "kind", "space_key"]
-    resp = raw.select(*key, "start", "body", j.alias("j")).select(
-        *key, "start",
-        (F.col("body").isNull() | (F.trim("body") == "")).alias("empty_body"),
-        F.coalesce(F.size("j.results"), F.lit(0)).cast("int").alias("n_items"),
-        F.col("j._links.next").isNotNull().alias("has_next_link"),
-        F.when(F.col("kind") == "space", F.col("j.results.key")).otherwise(F.col("j.results.id")).alias("ids"),
+    resp = raw.select(*key, "start", "body", j.alias("j"))
+    corrupt = _is_corrupt(F.col("j"), F.col("body"))
+    resp = resp.select(
+        *key, "start", _blank(F.col("body")).alias("empty_body"), corrupt.alias("is_corrupt"),
+        F.when(corrupt, 0).otherwise(F.coalesce(F.size("j.results"), F.lit(0))).cast("int").alias("n_items"),
+        F.coalesce(F.when(~corrupt, F.col("j.limit")), F.lit(REQUEST_LIMIT)).alias("page_limit"),
+        (~corrupt & F.col("j._links.next").isNotNull()).alias("has_next_link"),
+        F.when(~corrupt, F.when(F.col("kind") == "space", F.col("j.results.key")).otherwise(F.col("j.results.id"))).alias("ids"),
     )
-    resp = resp.withColumn("is_last", F.col("empty_body") | (F.col("n_items") < REQUEST_LIMIT))
-    starts = resp.select(*[F.col(k).alias("n_" + k) for k in key], F.col("start").alias("n_start")).distinct()
-    cond = [F.col(k).eqNullSafe(F.col("n_" + k)) for k in key] + [F.col("n_start") == F.col("start") + F.col("n_items")]
-    with_next = resp.join(starts, cond, "left").withColumn("has_successor", F.col("n_start").isNotNull())
-    dups = (resp.select(*key, F.explode("ids").alias("id")).filter(F.col("id").isNotNull())
-            .groupBy(*key, "id").agg(F.count(F.lit(1)).alias("c"))
-            .filter("c > 1").groupBy(*key).agg(F.sum(F.col("c") - 1).cast("long").alias("n_dup_ids")))
-    out = with_next.join(dups, [with_next[k].eqNullSafe(dups[k]) for k in key], "left")
+    resp = resp.withColumn("is_last", F.col("empty_body") | (~F.col("is_corrupt") & (F.col("n_items") < F.col("page_limit"))))
+    own = F.struct("start", "n_items", "empty_body", "is_corrupt", "is_last", "page_limit", "has_next_link")
+    none = F.lit(None).cast(resp.select(own.alias("o")).schema["o"].dataType)
+
+    def mark(tag: str, value, response, begins: bool):
+        return F.struct(F.lit(tag).alias("tag"), value.cast("string").alias("value"), response.alias("own"), F.lit(begins).alias("begins"))
+
+    ids = F.transform(F.filter(F.coalesce("ids", F.array().cast("array<string>")), lambda x: x.isNotNull()),
+                      lambda x: mark("id", x, none, False))
+    marks = resp.select(*key, F.explode(F.concat(F.array(
+        mark("at", F.col("start"), none, True), mark("at", F.col("start") + F.col("n_items"), own, False)), ids)).alias("m"))
+    met = marks.groupBy(*key, "m.tag", "m.value").agg(
+        F.max("m.begins").alias("has_successor"), F.collect_list("m.own").alias("owns"), F.count(F.lit(1)).alias("c"))
+    dups = met.groupBy(*key).agg(F.sum(F.when(F.col("tag") == "id", F.col("c") - 1).otherwise(0)).cast("long").alias("n_dup_ids"))
+    dups = dups.select(*[F.col(k).alias("d_" + k) for k in key], "n_dup_ids")
+    out = met.select(*key, "has_successor", F.explode("owns").alias("o")).join(
+        dups, [F.col(k).eqNullSafe(F.col("d_" + k)) for k in key], "left")
     return out.select(
-        *[with_next[k] for k in key], "start", "n_items", "empty_body", "is_last",
-        (F.col("start") + REQUEST_LIMIT).cast("int").alias("fetched_so_far"),
-        "has_next_link",
-        (F.col("is_last") & F.col("has_next_link")).alias("stops_early"),
-        (~F.col("is_last") & ~F.col("has_successor")).alias("gap_after"),
+        *key, F.col("o.start").alias("start"), F.col("o.n_items").alias("n_items"), F.col("o.empty_body").alias("empty_body"),
+        F.col("o.is_corrupt").alias("is_corrupt"), F.col("o.is_last").alias("is_last"),
+        (F.col("o.start") + F.col("o.page_limit")).cast("int").alias("fetched_so_far"),
+        F.col("o.has_next_link").alias("has_next_link"),
+        (F.col("o.is_last") & F.col("o.has_next_link")).alias("stops_early"),
+        (F.col("o.is_corrupt") | (~F.col("o.is_last") & ~F.col("has_successor"))).alias("gap_after"),
         F.coalesce(F.col("n_dup_ids"), F.lit(0).cast("long")).alias("n_dup_ids"),
     )
 
 
 def listing_counts(listing: DataFrame) -> DataFrame:
-    """A1: pages per (instance, space), per instance and in all; partial aggregation
-    before the shuffle keeps one hot space from loading one task."""
-    return (listing.rollup("instance", "space_key")
-            .agg(F.count(F.lit(1)).alias("n_pages"), F.countDistinct("page_id").alias("n_distinct_pages")))
+    """A1: pages per (instance, space), per instance and in all. Rows are counted per space
+    first (partial counts before the shuffle, so one hot space loads no task) and only the
+    counts are rolled up."""
+    per_space = listing.groupBy("instance", "space_key").agg(F.count(F.lit(1)).alias("n"))
+    return per_space.rollup("instance", "space_key").agg(F.sum("n").cast("long").alias("n_pages"))
 
 
 def space_counts(spaces: DataFrame) -> DataFrame:

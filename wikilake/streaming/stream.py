@@ -4,8 +4,9 @@ Listings arrive response by response and pages gain versions; both ingest paths
 Structured Streaming file sources feeding ``foreachBatch`` sinks:
 
 * T1 ``stream_listing``: new listing-response files → listing rows (S1, stateless), each
-  micro-batch written idempotently under ``batch_id=N``; the table view keeps the latest
-  row per ``(instance, page_id)`` (latest capture, then highest ordinal).
+  micro-batch written idempotently under ``batch_id=N`` with the number of the capture; the
+  table view keeps the latest row per ``(instance, page_id)``: latest capture, then highest
+  ordinal, whatever batches the files fell into.
 * T2 ``stream_convert``: new page rows → markdown. Row-based windows are not allowed on a
   streaming DataFrame, so the token job runs on each micro-batch inside ``foreachBatch``.
 
@@ -38,15 +39,17 @@ def _batch_writer(out_dir: str, transform):
     return write
 
 
-def stream_listing(spark: SparkSession, source_dir: str, work_dir: str | None = None) -> DataFrame:
+def stream_listing(spark: SparkSession, source_dir: str, work_dir: str | None = None, max_files: int = 64) -> DataFrame:
     """Ingest every response file now in ``source_dir`` (JSON lines of ``RAW_SCHEMA``)
-    and return the listing table with the latest row per page."""
+    and return the listing table with the latest row per page. ``max_files`` per micro-batch
+    bounds a batch; it does not change the result."""
     work = work_dir or _run_dir(spark, "listing")
     out_dir, ckpt = os.path.join(work, "table"), os.path.join(work, "_checkpoint")
-    src = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", 64).json(source_dir)
+    src = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").json(source_dir)
 
     def to_rows(batch: DataFrame) -> DataFrame:
-        return page_listing(batch.withColumn("kind", F.coalesce("kind", F.lit("page"))))
+        raw = batch.withColumn("kind", F.coalesce("kind", F.lit("page")))
+        return page_listing(raw, "capture").withColumn("capture", F.coalesce("capture", F.lit(0).cast("long")))
 
     q = (src.writeStream.foreachBatch(_batch_writer(out_dir, to_rows))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -55,14 +58,13 @@ def stream_listing(spark: SparkSession, source_dir: str, work_dir: str | None =
     # latest per page as a partial aggregate (an id shared by many rows, e.g. the '' default,
     # is combined map-side instead of landing whole in one window group)
     latest = rows.groupBy("instance", "page_id").agg(F.max_by(
-        F.struct("title", "space_key", "space_name", "ordinal"), F.struct("batch_id", "ordinal")).alias("r"))
+        F.struct("title", "space_key", "space_name", "ordinal"), F.struct("capture", "ordinal")).alias("r"))
     return latest.select("instance", "page_id", "r.title", "r.space_key", "r.space_name", "r.ordinal")
 
 
-def write_listing_source(raw: DataFrame, source_dir: str) -> None:
-    """Capture listing responses as JSON-lines files (one folder per capture), the form a
-    fetcher drops them in."""
-    raw.withColumn("capture", F.lit(0).cast("long")).write.mode("append").json(source_dir)
+def write_listing_source(raw: DataFrame, source_dir: str, capture: int = 0) -> None:
+    """Capture listing responses as JSON-lines files, the form a fetcher drops them in."""
+    raw.withColumn("capture", F.lit(capture).cast("long")).write.mode("append").json(source_dir)
 
 
 def stream_convert(spark: SparkSession, pages_path: str, work_dir: str | None = None,
