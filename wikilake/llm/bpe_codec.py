@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, free_name, shuffle_width
-from .packing import pack, unpack
+from .packing import pack, squeeze, unpack, unsqueeze
 from .token_counts import BYTE_CHARS, PLAIN, tokenizer
 
 BATCH_CHARS = 1 << 23
@@ -162,15 +162,15 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: l
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(of[p[0]]) for p in parts], pa.int32()), pa.array(np.full(len(parts), name)),
                      pa.array([pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
-                     pa.array(["\n".join([words[i] for i in p]) for p in parts], pa.string())],
+                     pa.array([squeeze("\n".join([words[i] for i in p]).encode()) for p in parts], pa.binary())],
                     ["bucket", "batch", "at", "words"])
 
     def encode_bucket(asked: pa.Table) -> pa.Table:
-        lists = [w.split("\n") for w in asked.column("words").to_pylist()]
+        lists = [unsqueeze(w).decode().split("\n") for w in asked.column("words").to_pylist()]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
         ids = dict(zip(distinct, encode_words(distinct, path)))
         sizes = [pack(np.array([len(ids[w]) for w in words])) for words in lists]
-        flat = [pack(np.array([i for w in words for i in ids[w]], dtype=np.int64)) for words in lists]
+        flat = [squeeze(pack(np.array([i for w in words for i in ids[w]], dtype=np.int64))) for words in lists]
         return pa.table({"batch": asked.column("batch"), "at": asked.column("at"),
                          "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(flat, pa.binary())})
 
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: l
         pieces = pa.array(piece_table(path))
         at = [np.cumsum(unpack(b)) for b in answers.column("at").to_pylist()]
         sizes = [unpack(b) for b in answers.column("sizes").to_pylist()]
-        flat = [unpack(b) for b in answers.column("ids").to_pylist()]
+        flat = [unpack(unsqueeze(b)) for b in answers.column("ids").to_pylist()]
         known = np.concatenate(at) if at else np.empty(0, dtype=np.int64)
         n_words = int(known.max()) + 1 if len(known) else 0
         size = np.full(n_words, -1)
@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: l
         return pa.table([*[mine.column(c) for c in names], pa.array(n, pa.int64()), pa.array(packed, pa.binary()),
                          pa.array(decoded, pa.string())], names=[*names, "n_tokens", "ids", "decoded"])
 
-    asked = rows.select("text").mapInArrow(split_vocabulary, "bucket int, batch bigint, at binary, words string")
+    asked = rows.select("text").mapInArrow(split_vocabulary, "bucket int, batch bigint, at binary, words binary")
     answers = asked.groupBy("bucket").applyInArrow(encode_bucket, "batch bigint, at binary, sizes binary, ids binary")
     numbered = rows.mapInArrow(split_documents, doc_schema)
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in given.schema], T.StructField("n_tokens", T.LongType()),
