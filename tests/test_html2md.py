@@ -2,7 +2,7 @@
 
 import pytest
 
-from wikilake.operators.html2md import html_to_markdown, html_tokens_check
+from wikilake.operators.html2md import html_headings, html_tables, html_to_markdown, html_tokens_check
 
 CASES = [
     ("<h2>Title</h2><p>Content</p>", "## Title\n\nContent"),
@@ -23,11 +23,23 @@ CASES = [
     ("<p><b>bold but never closed<br>next</p>", "bold but never closed  \nnext"),
     ("<p>keep</p><script>var t=\"</p>\";</script><style>p{}</style><p>this</p>", "keep\n\nthis"),
     ("<p>2 * 3 = x_y</p>", "2 \\* 3 = x\\_y"),
-    ("<p>caf&eacute; &#233;t&#xE9; &amp;amp;</p>", "caf&eacute; été &amp;"),
+    ("<p>caf&eacute; &#233;t&#xE9; &amp;amp;</p>", "café été &amp;"),
     ("<blockquote><p>one</p><p>two</p></blockquote>", "> one\n>\n> two"),
     ("<p>x</p><hr><p>y</p>", "x\n\n---\n\ny"),
     ('<p><img src="/i.png" alt="pic" title="T"> and <code>a_b*c</code></p>', '![pic](/i.png "T") and `a_b*c`'),
     ("<!-- note --><p>  spaced \n\n  text </p>", "spaced text"),
+    ("<p>&uuml;&rarr;&NotEqualTilde;&CounterClockwiseContourIntegral; &nosuchname; &#0000000233; &#99999999999; &equals;</p>",
+     "ü→≂̸∳ &nosuchname; é &#99999999999; ="),
+    ("<p>a<b> x </b>b<b></b><i><b> </b></i>c</p>", "a **x** b c"),
+    ('<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA[print("&amp;")\nif a < b: pass]]></ac:plain-text-body>'
+     "</ac:structured-macro><p>x</p>", '```\nprint("&amp;")\nif a < b: pass\n```\n\nx'),
+    ("<p>see <ac:link><ac:plain-text-link-body><![CDATA[this page]]></ac:plain-text-link-body></ac:link></p>", "see this page"),
+    ("<pre>a\n```\nb</pre>", "````\na\n```\nb\n````"),
+    ("<ul><li>x<pre>a\nb</pre></li></ul>", "- x\n  ```\n  a\n  b\n  ```"),
+    ("<table><tr><td><p>one</p><p>two</p><ul><li>x</li><li>y</li></ul></td><td>a|b</td></tr></table>",
+     "|  |  |\n| --- | --- |\n| one two x y | a\\|b |"),
+    ("<table><tr><td>p<table><tr><td>q</td><td>r</td></tr></table>s</td><td>t</td></tr><tr><td>u</td><td>v</td></tr></table>",
+     "|  |  |\n| --- | --- |\n| p q r s | t |\n| u | v |"),
     ("", ""),
 ]
 
@@ -58,3 +70,17 @@ def test_plan_has_one_exchange_and_no_python(spark):
     plan = html_to_markdown(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Python" not in plan
+
+
+def test_no_internal_mark_is_left(spark):
+    html = "<p>a\x01b\x02c\x03d</p><table><tr><td>x\x02y</td></tr></table></td><b>z</b><td>w"
+    got = html_to_markdown(spark.createDataFrame([("p", html)], "page_id string, html string")).first().markdown
+    assert not any(ord(c) < 9 for c in got)
+
+
+def test_headings_and_tables_come_from_blocks(spark):
+    html = "<h1>T <b>x</b></h1><pre># no heading</pre><table><tr><th>k</th></tr><tr><td>a|b</td></tr></table><h2>U</h2>"
+    df = spark.createDataFrame([("p", html)], "page_id string, html string")
+    assert [(r.level, r.text) for r in html_headings(df).orderBy("block_no").collect()] == [(1, "T **x**"), (2, "U")]
+    rows = html_tables(df).orderBy("row_no").collect()
+    assert [(r.row_no, r.is_header, r.n_cells, r.cells) for r in rows] == [(1, True, 1, "k"), (2, False, 1, "a\\|b")]

@@ -6,23 +6,19 @@ expression supports it and never leave the JVM.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .cache import cached_expr
 
 # ---------------------------------------------------------------------------
-# Named character references decoded by the HTML reader.
-# (`&amp;` → `&` is added to these; decoding is a single pass, so `&amp;lt;` stays `&lt;`.)
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&bull;", "•"), ("&deg;", "°"), ("&euro;", "€"),
-    ("&pound;", "£"), ("&yen;", "¥"), ("&cent;", "¢"), ("&sect;", "§"),
-    ("&para;", "¶"), ("&times;", "×"), ("&divide;", "÷"),
-]
+# Named character references decoded by the HTML reader (H13): the HTML standard's table, as
+# Python's standard library has it. Decoding is a single pass, so `&amp;lt;` stays `&lt;`.
+# A short list of common names is looked up first.
+COMMON_NAMES = "amp lt gt quot apos nbsp copy reg trade middot hellip mdash ndash lsquo rsquo ldquo rdquo euro".split()
+NAMED_ENTITIES = {f"&{n}": " " if c == "\xa0" else c for n, c in html5.items() if n.endswith(";")}
 # Fixed value: whitespace removed by the edit-buffer strip and the final trim.
 STRIP_CHARS = " \t\n\r\x0b\x0c"
 # The metadata header and edit buffer layouts.
@@ -30,7 +26,7 @@ HEADER_LAYOUT = "# {title}\n\n**Space:** {space}  \n**Page ID:** {id}  \n**Versi
 EDIT_NOTE = "<!-- Edit the content below. Lines starting with <!-- are comments and will be ignored -->"
 # ---------------------------------------------------------------------------
 
-ENTITY_PIECES = r"&[A-Za-z][A-Za-z0-9]{1,7};|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&"
+ENTITY_PIECES = r"&[A-Za-z][A-Za-z0-9]+;|&#[0-9]+;|&#[xX][0-9a-fA-F]+;|[^&]+|&"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,17 +48,30 @@ def _codepoint_char(cp: Column) -> Column:
 @cached_expr
 def decode_entities(c) -> Column:
     """One left-to-right pass over ``&...;`` pieces (an entity's output is never decoded
-    again): named references from the fixed list, ``&#n;`` and ``&#xh;`` code points."""
+    again): named references of the HTML table, ``&#n;`` and ``&#xh;`` code points of any
+    number of digits. What names no character stays as it is."""
     s = _col(c)
-    names = F.expr("map(" + ", ".join(sql_str(x) for kv in NAMED_ENTITIES + [("&amp;", "&")] for x in kv) + ")")
+
+    def table(entities: dict[str, str]) -> Column:
+        return F.expr("map(" + ", ".join(sql_str(x) for kv in entities.items() for x in kv) + ")")
+
+    common = table({f"&{n};": NAMED_ENTITIES[f"&{n};"] for n in COMMON_NAMES})
+    # the whole table as one literal: a map of its size in every expression would make plans large
+    names = F.lit("\x01" + "\x01".join(f"{n}\x02{c}" for n, c in NAMED_ENTITIES.items()) + "\x01")
+
+    def listed(p: Column) -> Column:
+        entry = F.concat(F.lit("\x01"), p, F.lit("\x02"))
+        return F.when(names.contains(entry), F.substring_index(F.call_function("substring_index", names, entry, F.lit(-1)), "\x01", 1))
 
     def one(p: Column) -> Column:
         is_hex = p.rlike("^&#[xX]")
         digits = F.regexp_extract(p, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-        cp = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        short = F.regexp_replace(digits, "^0+", "")  # more than seven digits are no code point
+        cp = F.when(F.length(short) <= 7, F.when(is_hex, F.conv(short, 16, 10)).otherwise(short)).try_cast("long")
         ok = cp.between(1, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
         numeric = F.when(ok, _codepoint_char(cp)).otherwise(p)
-        return F.when(p.startswith("&#"), numeric).otherwise(F.coalesce(F.try_element_at(names, p), p))
+        return F.when(p.startswith("&#"), numeric).when(~(p.startswith("&") & p.endswith(";")), p).otherwise(
+            F.coalesce(F.try_element_at(common, p), listed(p), p))
 
     pieces = F.regexp_extract_all(s, F.lit(ENTITY_PIECES), 0)
     return F.when(s.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(s)

@@ -41,7 +41,14 @@ BLOCK_TAGS = ["p", "div", "article", "section", "nav", "header", "footer", "main
               "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "dl", "dt", "dd", "figure", "figcaption",
               "address", "form", "fieldset", "details", "summary", "center"]
 INLINE_MARK = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+CELL_BREAKS = [*BLOCK_TAGS, "td", "th"]
+# Internal marks of a fragment, all resolved before the output: 1 line break, 2 cell start,
+# 3 / 4 strong opens / closes, 5 / 6 emphasis opens / closes. They are removed from inputs.
+MARKS = "\x01\x02\x03\x04\x05\x06"
+OPEN_MARK = {"b": "\x03", "strong": "\x03", "i": "\x05", "em": "\x05", "code": "`"}
+CLOSE_MARK = {"b": "\x04", "strong": "\x04", "i": "\x06", "em": "\x06", "code": "`"}
 LIST_INDENT = {"ul": 2, "ol": 3}
+CODE_BODY = "ac:plain-text-body"
 # ---------------------------------------------------------------------------
 
 
@@ -74,6 +81,7 @@ def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     tok = F.col("tok")
     low = _ascii_lower(F.substring(tok, 1, 10))
     name = _ascii_lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9:_-]*)", 1))
+    name = F.when(name == CODE_BODY, F.lit("pre")).otherwise(name)  # a code macro's body is preformatted
     kind = (
         F.when(tok.isNull(), "none")
         .when(~tok.startswith("<") | (tok == "<"), "text")
@@ -91,10 +99,7 @@ def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                      keep_stripped_text: bool = False) -> DataFrame:
     """Convert a page table to ``(page_id, markdown)``."""
-    t = tokenize(pages, id_col, html_col)
-    for op, arg in _h2m_steps(keep_stripped_text):
-        t = t.select("*", *arg) if op == "add" else t.select(*arg) if op == "project" else t.filter(arg)
-    return _assemble(t)
+    return _assemble(_token_steps(tokenize(pages, id_col, html_col), keep_stripped_text))
 
 
 @cached_expr
@@ -107,7 +112,8 @@ def _h2m_steps(keep_stripped_text: bool) -> list:
     tag = F.col("tag")
     # decoded text and the few attributes used, computed once per token
     steps.append(("add", [
-        F.when(F.col("kind") == "text", decode_entities(F.col("tok"))).alias("dtext"),
+        F.when(F.col("kind") == "text", F.translate(decode_entities(F.col("tok")), MARKS, ""))
+        .when(F.col("kind") == "cdata", F.translate(F.regexp_extract("tok", r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1), MARKS, "")).alias("dtext"),
         F.when(is_open & (tag == "a"), _attr(F.col("tok"), "href")).alias("a_href"),
         F.when(is_open & tag.isin("a", "img"), _attr(F.col("tok"), "title")).alias("a_title"),
     ]))
@@ -115,30 +121,38 @@ def _h2m_steps(keep_stripped_text: bool) -> list:
     def pm(name: str) -> Column:  # +1 on open, -1 on close of this tag
         return F.when(is_open & (tag == name), 1).when(is_close & (tag == name), -1).otherwise(0)
 
-    cell_mark = (F.when(is_open & tag.isin("td", "th"), "cell")
-                 .when(tag.isin("td", "th", "tr", "table", "thead", "tbody", "tfoot"), "out"))
     steps.append(("add", [
         F.sum(pm("pre")).over(_RUN).alias("pre_s"),
         F.sum(pm("ul")).over(_RUN).alias("ul_s"),
         F.sum(pm("ol")).over(_RUN).alias("ol_s"),
         F.sum(pm("blockquote")).over(_RUN).alias("bq_s"),
         F.sum(pm("code")).over(_RUN).alias("code_s"),
-        F.last(cell_mark, ignorenulls=True).over(_RUN).alias("cellctx"),
-        F.sum(F.when(is_open & (tag == "tr"), 1).otherwise(0)).over(_RUN).alias("tr_run"),
+        F.sum(pm("table")).over(_RUN).alias("tbl_s"),
         F.lead("kind", 1).over(_W).alias("k1"), F.lead("dtext", 1).over(_W).alias("t1"),
         F.lead("kind", 2).over(_W).alias("k2"), F.lead("tag", 2).over(_W).alias("g2"),
     ]))
     depth = {}
-    for c in ("pre", "ul", "ol", "bq", "code"):
+    for c in ("pre", "ul", "ol", "bq", "code", "tbl"):
         s = F.col(c + "_s")
         depth[c] = s - F.least(F.lit(0), F.min(s).over(_RUN))
-    steps.append(("add", [*[d.alias(c) for c, d in depth.items()],
-                          F.last(F.when(is_open & (tag == "table"), F.col("tr_run")), ignorenulls=True).over(_RUN).alias("tbl_base")]))
+    steps.append(("add", [d.alias(c) for c, d in depth.items()]))
+    # a table inside a cell is part of the cell: only outer tables make rows and cells
+    inner = (F.col("tbl") > 1) | (is_close & (tag == "table") & (F.col("tbl") == 1))
+    cell_mark = F.when(~inner, F.when(is_open & tag.isin("td", "th"), "cell")
+                       .when(tag.isin("td", "th", "tr", "table", "thead", "tbody", "tfoot"), "out"))
+    steps.append(("add", [
+        inner.alias("inner"),
+        F.last(cell_mark, ignorenulls=True).over(_RUN).alias("cellctx"),
+        F.sum(F.when(is_open & (tag == "tr") & ~inner, 1).otherwise(0)).over(_RUN).alias("tr_run"),
+    ]))
     in_pre = F.col("pre") > 0
     in_cell = F.coalesce(F.col("cellctx"), F.lit("out")) == "cell"
-    boundary = (is_open | is_close) & tag.isin(*BLOCK_TAGS) & (~in_pre | (tag == "pre")) & (~in_cell | tag.isin("tr", "table"))
+    boundary = (is_open | is_close) & tag.isin(*BLOCK_TAGS) & (~in_pre | (tag == "pre")) & (~in_cell | (tag.isin("tr", "table") & ~F.col("inner")))
     steps.append(("add", [boundary.alias("is_boundary")]))
-    steps.append(("add", [F.sum(F.col("is_boundary").cast("int")).over(_RUN).alias("block_no")]))
+    steps.append(("add", [
+        F.sum(F.col("is_boundary").cast("int")).over(_RUN).alias("block_no"),
+        F.last(F.when(is_open & (tag == "table") & ~F.col("inner"), F.col("tr_run")), ignorenulls=True).over(_RUN).alias("tbl_base"),
+    ]))
 
     # --- second window: inline pairs per (tag, block) and list items per depth -----------
     href = F.col("a_href")
@@ -154,7 +168,7 @@ def _h2m_steps(keep_stripped_text: bool) -> list:
     wg = Window.partitionBy("page_id", "gkey").orderBy("pos")
     g_run = wg.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("inl") & is_open, 1).when(F.col("inl") & is_close, -1).otherwise(0)
-    start_attr = F.coalesce(F.regexp_extract(F.col("tok"), r"(?i)\sstart\s*=\s*[\"']?([0-9]{1,9})", 1).try_cast("int"), F.lit(1))
+    start_attr = F.coalesce(F.regexp_extract(F.col("tok"), r"(?i)\sstart\s*=\s*[\"']?([0-9]+)", 1).try_cast("int"), F.lit(1))
     title_attr = F.col("a_title")
     autolink = (F.col("k1") == "text") & (F.col("k2") == "close") & (F.col("g2") == "a") & \
         (F.col("t1") == F.col("href")) & title_attr.isNull()
@@ -186,8 +200,11 @@ def _h2m_steps(keep_stripped_text: bool) -> list:
     txt = F.col("dtext")
     plain = F.regexp_replace(txt, r"[ \t\n\r\f]+", " ")
     escaped = F.regexp_replace(plain, r"([*_])", r"\\$1")
-    text_frag = F.when(in_pre, txt).when(F.col("code") > 0, plain).otherwise(escaped)
-    mark = F.element_at(F.create_map(*[x for kv in INLINE_MARK.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]), tag)
+    text_frag = F.when(in_pre & ~in_cell, txt).when(F.col("code") > 0, plain).otherwise(escaped)
+    text_frag = F.when(in_cell, F.replace(text_frag, F.lit("|"), F.lit("\\|"))).otherwise(text_frag)
+
+    def mark_of(marks: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for kv in marks.items() for x in kv]), tag)
     a = F.col("a_open")
     link_tail = F.when(a["au"], F.lit(">")).otherwise(F.concat(
         F.lit("]("), a["h"], F.when(a["ti"].isNotNull(), F.concat(F.lit(' "'), a["ti"], F.lit('"'))).otherwise(F.lit("")), F.lit(")")))
@@ -198,18 +215,20 @@ def _h2m_steps(keep_stripped_text: bool) -> list:
     skip_text = F.lit("") if not keep_stripped_text else F.regexp_replace(
         F.regexp_replace(raw_text, r"(?is)^<[^>]*>", ""), r"(?is)</[a-z]+\s*>$", "")
     frag = (
-        F.when(F.col("kind") == "text", text_frag)
+        F.when(F.col("kind").isin("text", "cdata"), text_frag)
         .when(F.col("kind") == "skip", skip_text)
         .when(open_ok & (tag == "a"), F.when(a["au"], F.lit("<")).otherwise(F.lit("[")))
         .when(close_ok & (tag == "a"), link_tail)
-        .when(open_ok | close_ok, F.when((tag != "code") & (F.col("code") > 0), F.lit("")).otherwise(mark))
+        .when(open_ok | close_ok, F.when((tag != "code") & (F.col("code") > 0), F.lit(""))
+              .when(open_ok, mark_of(OPEN_MARK)).otherwise(mark_of(CLOSE_MARK)))
         .when(is_open & (tag == "br"), F.when(in_pre, F.lit("\n")).otherwise(F.lit("\u0001")))
         .when(is_open & (tag == "img"), img)
-        .when(is_open & tag.isin("td", "th") & in_cell, F.lit("\u0002"))
+        .when(is_open & tag.isin("td", "th") & in_cell & ~F.col("inner"), F.lit("\u0002"))
+        .when(in_cell & (is_open | is_close) & tag.isin(*CELL_BREAKS), F.lit(" "))  # blocks of a cell stay apart
         .otherwise(F.lit(""))
     )
     # block attributes, taken from the boundary token that opens the block
-    first_row = is_open & (tag == "tr") & ((F.col("tr_run") - F.coalesce(F.col("tbl_base"), F.lit(0))) == 1)
+    first_row = is_open & (tag == "tr") & ~F.col("inner") & ((F.col("tr_run") - F.coalesce(F.col("tbl_base"), F.lit(0))) == 1)
     bkind = (F.when(~F.col("is_boundary"), F.lit(None))
              .when(is_open & tag.rlike("^h[1-6]$"), F.lit("h"))
              .when(F.col("li_open"), F.lit("li"))
@@ -229,27 +248,69 @@ def _h2m_steps(keep_stripped_text: bool) -> list:
     )
     steps.append(("project", [F.col("page_id"), F.col("pos"), F.col("block_no"), frag.alias("frag"),
                               F.when(F.col("is_boundary"), battrs).alias("battrs"),
-                              (is_open & (tag == "th") & in_cell).alias("is_th")]))
+                              (is_open & (tag == "th") & in_cell & ~F.col("inner")).alias("is_th")]))
     # only fragments that render, block openers and header cells go on to the aggregates
     steps.append(("filter", (F.col("frag") != "") | F.col("battrs").isNotNull() | F.col("is_th") | (F.col("pos") == 0)))
     return steps
 
 
 def _render_inline(x: Column) -> Column:
+    """Text of a block: pairs with nothing inside go (also nested ones), blanks at the inner
+    edge of a pair move outside, marks and breaks become markdown."""
     y = F.regexp_replace(x, " {2,}", " ")
+    for _ in range(2):
+        y = F.regexp_replace(F.regexp_replace(y, "\u0003( ?)\u0004", "$1"), "\u0005( ?)\u0006", "$1")
+    y = F.regexp_replace(F.regexp_replace(y, "([\u0003\u0005]+) +", " $1"), " +([\u0004\u0006]+)", "$1 ")
+    y = F.regexp_replace(F.regexp_replace(y, "[\u0003\u0004]", "**"), "[\u0005\u0006]", "*")
+    y = F.regexp_replace(y, " {2,}", " ")
     y = F.regexp_replace(y, " ?\u0001 ?", "  \n")
     return F.regexp_replace(F.regexp_replace(y, r"^[ \t\n\r\f]+", ""), r"[ \t\n\r\f]+$", "")
 
 
 def _assemble(t: DataFrame) -> DataFrame:
     e = _assemble_exprs()
-    blocks = t.groupBy("page_id", "block_no").agg(*e["blocks"])
-    rows = blocks.select(*e["rows"])
-    pieces = rows.select(*e["pieces"])
+    pieces = _blocks(t).select(*e["pieces"])
     docs = pieces.groupBy("page_id").agg(*e["docs"])
     return docs.select(*e["final"])
 
 
+def _blocks(t: DataFrame) -> DataFrame:
+    """One row per block of a page: rendered text, kind, heading and table cells."""
+    e = _assemble_exprs()
+    return t.groupBy("page_id", "block_no").agg(*e["blocks"]).select(*e["rows"])
+
+
+def _token_steps(t: DataFrame, keep_stripped_text: bool = False) -> DataFrame:
+    for op, arg in _h2m_steps(keep_stripped_text):
+        t = t.select("*", *arg) if op == "add" else t.select(*arg) if op == "project" else t.filter(arg)
+    return t
+
+
+def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Side table of headings, from the blocks themselves (a line of a code block that looks
+    like a heading is none): page_id, block_no, level, text."""
+    rows = _blocks(_token_steps(tokenize(pages, id_col, html_col)))
+    return rows.filter((F.col("kind") == "h") & (F.col("heading") != "")).select(
+        "page_id", F.col("block_no").cast("long").alias("block_no"), "level", F.col("heading").alias("text"))
+
+
+def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Side table of table rows: page_id, table_id (rows of the page before the table),
+    row_no within the table, is_header, n_cells and the cells joined as in markdown."""
+    rows = _blocks(_token_steps(tokenize(pages, id_col, html_col))).filter(F.col("cells").isNotNull())
+    no = F.row_number().over(Window.partitionBy("page_id", "table_id").orderBy("block_no"))
+    return rows.select("page_id", F.col("table_id").cast("long").alias("table_id"), no.cast("long").alias("row_no"),
+                       F.col("has_th").alias("is_header"), F.size("cells").cast("long").alias("n_cells"),
+                       F.array_join("cells", " | ").alias("cells"))
+
+
+def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Side table of link targets: page_id, pos, href."""
+    t = tokenize(pages, id_col, html_col)
+    a = t.filter((F.col("kind") == "open") & (F.col("tag") == "a"))
+    return a.select("page_id", "pos", _attr(F.col("tok"), "href").alias("href")).filter(F.col("href").isNotNull())
+
+
 @cached_expr
 def _assemble_exprs() -> dict:
     """Columns of the block and document aggregates, built once per session."""
@@ -278,9 +339,13 @@ def _assemble_exprs() -> dict:
     indent = F.greatest(F.lit(0), ul * LIST_INDENT["ul"] + ol * LIST_INDENT["ol"] - width)
     bullet = F.when(ltype == "ol", F.concat(b["number"].cast("string"), F.lit("."))).otherwise(F.lit("-"))
     pre_text = F.regexp_replace(body, r"^\n", "")
+    # a fence longer than any run of backticks inside
+    ticks = F.array_max(F.transform(F.regexp_extract_all(pre_text, F.lit("`+"), 0), F.length))
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(ticks, F.lit(0)) + 1))
+    fenced = F.concat(fence, F.lit("\n"), pre_text, F.lit("\n"), fence)
     cont_indent = F.repeat(F.lit(" "), ul * LIST_INDENT["ul"] + ol * LIST_INDENT["ol"])
     rendered = (
-        F.when(kind == "pre", F.when(pre_text != "", F.concat(F.lit("```\n"), pre_text, F.lit("\n```"))))
+        F.when(kind == "pre", F.when(pre_text != "", F.when(ul + ol > 0, F.regexp_replace(fenced, "(?m)^", cont_indent)).otherwise(fenced)))
         .when(kind == "hr", F.lit("---"))
         .when(kind == "tr", F.when(n > 0, table_row))
         .when(inline == "", F.lit(None))
@@ -295,6 +360,8 @@ def _assemble_exprs() -> dict:
     e["rows"] = [
         F.col("page_id"), F.col("block_no"), quoted.alias("md"), kind.alias("kind"), bq.alias("bq"),
         (ul + ol).alias("ldepth"), F.coalesce(b["table_id"], F.lit(-1)).alias("table_id"),
+        b["level"].alias("level"), F.when(kind == "h", F.regexp_replace(inline, r"\s*\n\s*", " ")).alias("heading"),
+        F.when((kind == "tr") & (n > 0), cells).alias("cells"), (F.coalesce(F.col("has_th"), F.lit(0)) == 1).alias("has_th"),
     ]
     # separators look at the previous block that renders to something
     before = Window.partitionBy("page_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -311,7 +378,7 @@ def _assemble_exprs() -> dict:
     e["docs"] = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "piece"))),
                                           lambda x: x["piece"]), "").alias("md")]
     e["final"] = [F.col("page_id"),
-                  F.regexp_replace(F.regexp_replace("md", r"^[ \t\n\r\f]+", ""), r"[ \t\n\r\f]+$", "").alias("markdown")]
+                  F.regexp_replace(F.regexp_replace(F.translate("md", MARKS, ""), r"^[ \t\n\r\f]+", ""), r"[ \t\n\r\f]+$", "").alias("markdown")]
     return e
 
 

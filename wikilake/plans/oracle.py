@@ -395,12 +395,14 @@ SELECT p.page_id, {S.slug_expr("p.title")} AS file_name, {S.page_url_expr("i.bas
        {S.clean_edit_expr(S.header_expr("p.title", "p.space_name", "p.page_id", "p.version", "u.url"))} AS cleaned_header
 FROM wiki_pages p JOIN instances i ON p.instance = i.instance JOIN urls u ON u.page_id = p.page_id"""
 
-ORACLE["html_headings"] = "WITH " + S.WIKI_PAGES + ",\n" + html_to_markdown_sql(html_fixture_sql()) + """,
-ls AS (SELECT page_id, string_split(markdown, chr(10)) AS parts FROM md_docs),
-lx AS (SELECT page_id, parts, unnest(range(len(parts))) AS i FROM ls)
-SELECT page_id, CAST(i AS INTEGER) AS line_no, CAST(length(regexp_extract(parts[i + 1], '^(#+)', 1)) AS INTEGER) AS level,
-       regexp_replace(parts[i + 1], '^#+ ', '') AS text
-FROM lx WHERE regexp_matches(parts[i + 1], '^#{1,6} ')"""
+ORACLE["html_headings"] = "WITH " + S.WIKI_PAGES + ",\n" + html_to_markdown_sql(html_fixture_sql()) + """
+SELECT page_id, block_no, b_level AS level, regexp_replace(inline, '\\s*\\n\\s*', ' ', 'g') AS text
+FROM bl2 WHERE kind = 'h' AND inline <> ''"""
+
+ORACLE["html_tables"] = "WITH " + S.WIKI_PAGES + ",\n" + html_to_markdown_sql(html_fixture_sql()) + """
+SELECT page_id, table_id, row_number() OVER (PARTITION BY page_id, table_id ORDER BY block_no) AS row_no,
+       coalesce(has_th, 0) = 1 AS is_header, len(cells) AS n_cells, array_to_string(cells, ' | ') AS cells
+FROM bl2 WHERE kind = 'tr' AND len(cells) > 0"""
 
 ORACLE["html_links"] = "WITH " + S.WIKI_PAGES + ",\n" + html_to_markdown_sql(html_fixture_sql()) + f"""
 SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM (

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from ..operators.html2md import BLOCK_TAGS, INLINE_MARK
 from .sqlparts import dec, q
 
+# Fixed values, stated here on their own: block and inline tags of the contract.
+BLOCK_TAGS = ("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
+              "h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody tfoot thead title tr ul").split()
+INLINE_TAGS = ["b", "strong", "i", "em", "code"]
+
 TOKEN_RE2 = (r"(?is)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
              r"""|<[/!?A-Za-z](?:[^"'<>]+|"[^"]*"|'[^']*')*>|[^<]+|<""")
 
@@ -21,13 +25,21 @@ def attr(tok: str, name: str) -> str:
 
 def render_inline(x: str) -> str:
     y = f"regexp_replace({x}, ' {{2,}}', ' ', 'g')"
+    for _ in range(2):
+        for a, b in ((3, 4), (5, 6)):
+            y = f"regexp_replace({y}, '\\x0{a}( ?)\\x0{b}', '\\1', 'g')"
+    y = f"regexp_replace(regexp_replace({y}, '([\\x03\\x05]+) +', ' \\1', 'g'), ' +([\\x04\\x06]+)', '\\1 ', 'g')"
+    y = f"replace(replace(replace(replace({y}, chr(3), '**'), chr(4), '**'), chr(5), '*'), chr(6), '*')"
+    y = f"regexp_replace({y}, ' {{2,}}', ' ', 'g')"
     y = f"regexp_replace({y}, ' ?' || chr(1) || ' ?', '  ' || chr(10), 'g')"
     return f"regexp_replace(regexp_replace({y}, '^[ \\t\\n\\r\\f]+', ''), '[ \\t\\n\\r\\f]+$', '')"
 
 
 def html_to_markdown_sql(src_cte: str) -> str:
     """CTE chain ending in ``md_docs(page_id, markdown)``; ``src_cte`` defines src(page_id, html)."""
-    mark_case = "CASE tag " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in INLINE_MARK.items()) + " END"
+    mark_case = ("CASE WHEN tag = 'code' THEN '`' WHEN tag IN ('b', 'strong') THEN CASE WHEN open_ok THEN chr(3) ELSE chr(4) END "
+                 "ELSE CASE WHEN open_ok THEN chr(5) ELSE chr(6) END END")
+    clean = lambda x: f"regexp_replace({x}, '[\\x01-\\x06]', '', 'g')"
     href = attr("tok", "href")
     title = attr("tok", "title")
     return f"""{src_cte},
@@ -38,7 +50,8 @@ tk1 AS (
   SELECT page_id, CASE WHEN coalesce(len(toks), 0) = 0 THEN 0 ELSE i END AS pos, toks[i + 1] AS tok FROM tk0),
 tk2 AS (
   SELECT page_id, pos, tok, kind,
-         CASE WHEN kind IN ('open', 'close') THEN lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:_-]*)', 1)) ELSE '' END AS tag
+         CASE WHEN kind IN ('open', 'close') THEN CASE lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:_-]*)', 1)) WHEN 'ac:plain-text-body' THEN 'pre'
+              ELSE lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9:_-]*)', 1)) END ELSE '' END AS tag
   FROM (SELECT *, CASE WHEN tok IS NULL THEN 'none'
          WHEN NOT starts_with(tok, '<') OR tok = '<' THEN 'text'
          WHEN starts_with(tok, '<!--') THEN 'comment'
@@ -54,9 +67,7 @@ tk3 AS (
     sum(CASE WHEN kind = 'open' AND tag = 'ol' THEN 1 WHEN kind = 'close' AND tag = 'ol' THEN -1 ELSE 0 END) OVER w AS ol_s,
     sum(CASE WHEN kind = 'open' AND tag = 'blockquote' THEN 1 WHEN kind = 'close' AND tag = 'blockquote' THEN -1 ELSE 0 END) OVER w AS bq_s,
     sum(CASE WHEN kind = 'open' AND tag = 'code' THEN 1 WHEN kind = 'close' AND tag = 'code' THEN -1 ELSE 0 END) OVER w AS code_s,
-    last_value(CASE WHEN kind = 'open' AND tag IN ('td', 'th') THEN 'cell'
-                    WHEN tag IN ('td', 'th', 'tr', 'table', 'thead', 'tbody', 'tfoot') THEN 'out' END IGNORE NULLS) OVER w AS cellctx,
-    CAST(sum(CASE WHEN kind = 'open' AND tag = 'tr' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS tr_run,
+    sum(CASE WHEN kind = 'open' AND tag = 'table' THEN 1 WHEN kind = 'close' AND tag = 'table' THEN -1 ELSE 0 END) OVER w AS tbl_s,
     lead(kind, 1) OVER wo AS k1, lead(tok, 1) OVER wo AS t1, lead(kind, 2) OVER wo AS k2, lead(tag, 2) OVER wo AS g2
   FROM tk2
   WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -68,22 +79,31 @@ tk4 AS (
     CAST(ol_s - least(0, min(ol_s) OVER w) AS BIGINT) AS ol,
     CAST(bq_s - least(0, min(bq_s) OVER w) AS BIGINT) AS bq,
     CAST(code_s - least(0, min(code_s) OVER w) AS BIGINT) AS code,
-    last_value(CASE WHEN kind = 'open' AND tag = 'table' THEN tr_run END IGNORE NULLS) OVER w AS tbl_base
+    CAST(tbl_s - least(0, min(tbl_s) OVER w) AS BIGINT) AS tbl
   FROM tk3
   WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+tk4b AS (
+  SELECT *,
+    last_value(CASE WHEN nested THEN NULL WHEN kind = 'open' AND tag IN ('td', 'th') THEN 'cell'
+                    WHEN tag IN ('td', 'th', 'tr', 'table', 'thead', 'tbody', 'tfoot') THEN 'out' END IGNORE NULLS) OVER w AS cellctx,
+    CAST(sum(CASE WHEN kind = 'open' AND tag = 'tr' AND NOT nested THEN 1 ELSE 0 END) OVER w AS BIGINT) AS tr_run
+  FROM (SELECT *, tbl > 1 OR (kind = 'close' AND tag = 'table' AND tbl = 1) AS nested FROM tk4)
+  WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 tk5 AS (
-  SELECT *, CAST(sum(CAST(is_boundary AS INTEGER)) OVER (PARTITION BY page_id ORDER BY pos
+  SELECT *, last_value(CASE WHEN kind = 'open' AND tag = 'table' AND NOT nested THEN tr_run END IGNORE NULLS)
+              OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tbl_base,
+         CAST(sum(CAST(is_boundary AS INTEGER)) OVER (PARTITION BY page_id ORDER BY pos
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS block_no
   FROM (SELECT *, coalesce(cellctx, 'out') = 'cell' AS in_cell, pre > 0 AS in_pre,
           kind IN ('open', 'close') AND tag IN {_in(BLOCK_TAGS)} AND (NOT pre > 0 OR tag = 'pre')
-          AND (NOT coalesce(cellctx, 'out') = 'cell' OR tag IN ('tr', 'table')) AS is_boundary
-        FROM tk4)),
+          AND (NOT coalesce(cellctx, 'out') = 'cell' OR (tag IN ('tr', 'table') AND NOT nested)) AS is_boundary
+        FROM tk4b)),
 tk6 AS (
   SELECT *,
     CASE WHEN inl THEN tag || '#' || CAST(block_no AS VARCHAR)
          WHEN list_open OR li_open THEN 'L#' || CAST(ul + ol AS VARCHAR) ELSE '' END AS gkey
   FROM (SELECT *,
-          kind IN ('open', 'close') AND NOT in_pre AND (tag IN {_in(INLINE_MARK)} OR (tag = 'a' AND (kind = 'close' OR href IS NOT NULL))) AS inl,
+          kind IN ('open', 'close') AND NOT in_pre AND (tag IN {_in(INLINE_TAGS)} OR (tag = 'a' AND (kind = 'close' OR href IS NOT NULL))) AS inl,
           kind = 'open' AND tag IN ('ul', 'ol') AS list_open,
           kind = 'open' AND tag = 'li' AND NOT in_pre AS li_open
         FROM (SELECT *, CASE WHEN kind = 'open' AND tag = 'a' THEN {href} END AS href FROM tk5))),
@@ -92,11 +112,11 @@ tk7 AS (
     CAST(sum(CASE WHEN inl AND kind = 'open' THEN 1 WHEN inl AND kind = 'close' THEN -1 ELSE 0 END) OVER g AS BIGINT) AS is_s,
     CAST(sum(CAST(li_open AS INTEGER)) OVER g AS BIGINT) AS li_run,
     last_value(CASE WHEN list_open THEN tag END IGNORE NULLS) OVER g AS list_type,
-    last_value(CASE WHEN list_open THEN coalesce(TRY_CAST(nullif(regexp_extract(tok, '(?i)\\sstart\\s*=\\s*["'']?([0-9]{{1,9}})', 1), '') AS INTEGER), 1) END IGNORE NULLS) OVER g AS list_start,
+    last_value(CASE WHEN list_open THEN coalesce(TRY_CAST(nullif(regexp_extract(tok, '(?i)\\sstart\\s*=\\s*["'']?([0-9]+)', 1), '') AS INTEGER), 1) END IGNORE NULLS) OVER g AS list_start,
     last_value(CASE WHEN inl AND kind = 'open' AND tag = 'a' THEN href END IGNORE NULLS) OVER g AS a_h,
     last_value(CASE WHEN inl AND kind = 'open' AND tag = 'a' THEN coalesce({title}, chr(1)) END IGNORE NULLS) OVER g AS a_ti,
     last_value(CASE WHEN inl AND kind = 'open' AND tag = 'a'
-                    THEN coalesce(k1 = 'text' AND k2 = 'close' AND g2 = 'a' AND {dec("t1")} = href AND {title} IS NULL, false) END IGNORE NULLS) OVER g AS a_au
+                    THEN coalesce(k1 = 'text' AND k2 = 'close' AND g2 = 'a' AND {clean(dec("t1"))} = href AND {title} IS NULL, false) END IGNORE NULLS) OVER g AS a_au
   FROM tk6
   WINDOW g AS (PARTITION BY page_id, gkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 tk8 AS (
@@ -113,9 +133,10 @@ tk9 AS (
 tk10 AS (
   SELECT page_id, pos, block_no, is_boundary,
     CASE
-      WHEN kind = 'text' THEN CASE WHEN in_pre THEN {dec("tok")}
-           WHEN code > 0 THEN regexp_replace({dec("tok")}, '[ \\t\\n\\r\\f]+', ' ', 'g')
-           ELSE regexp_replace(regexp_replace({dec("tok")}, '[ \\t\\n\\r\\f]+', ' ', 'g'), '([*_])', '\\\\\\1', 'g') END
+      WHEN kind IN ('text', 'cdata') THEN replace(CASE WHEN in_pre AND NOT in_cell THEN said
+           WHEN code > 0 THEN regexp_replace(said, '[ \\t\\n\\r\\f]+', ' ', 'g')
+           ELSE regexp_replace(regexp_replace(said, '[ \\t\\n\\r\\f]+', ' ', 'g'), '([*_])', '\\\\\\1', 'g') END,
+           '|', CASE WHEN in_cell THEN chr(92) || '|' ELSE '|' END)
       WHEN kind = 'skip' THEN ''
       WHEN open_ok AND tag = 'a' THEN CASE WHEN a_au THEN '<' ELSE '[' END
       WHEN close_ok AND tag = 'a' THEN CASE WHEN a_au THEN '>' ELSE '](' || a_h ||
@@ -124,9 +145,10 @@ tk10 AS (
       WHEN kind = 'open' AND tag = 'br' THEN CASE WHEN in_pre THEN chr(10) ELSE chr(1) END
       WHEN kind = 'open' AND tag = 'img' THEN '![' || coalesce({attr("tok", "alt")}, '') || '](' || coalesce({attr("tok", "src")}, '') ||
            CASE WHEN {title} IS NOT NULL THEN ' "' || {title} || '"' ELSE '' END || ')'
-      WHEN kind = 'open' AND tag IN ('td', 'th') AND in_cell THEN chr(2)
+      WHEN kind = 'open' AND tag IN ('td', 'th') AND in_cell AND NOT nested THEN chr(2)
+      WHEN in_cell AND kind IN ('open', 'close') AND tag IN {_in(BLOCK_TAGS + ["td", "th"])} THEN ' '
       ELSE '' END AS frag,
-    kind = 'open' AND tag IN ('th') AND in_cell AS is_th,
+    kind = 'open' AND tag IN ('th') AND in_cell AND NOT nested AS is_th,
     CASE WHEN NOT is_boundary THEN NULL
          WHEN kind = 'open' AND regexp_full_match(tag, 'h[1-6]') THEN 'h'
          WHEN li_open THEN 'li'
@@ -138,9 +160,10 @@ tk10 AS (
     CASE WHEN is_boundary THEN bq END AS b_bq,
     CASE WHEN is_boundary THEN coalesce(list_type, 'ul') END AS b_list_type,
     CASE WHEN is_boundary THEN coalesce(list_start, 1) + li_run - coalesce(li_base, 0) - 1 END AS b_number,
-    CASE WHEN is_boundary THEN kind = 'open' AND tag = 'tr' AND tr_run - coalesce(tbl_base, 0) = 1 END AS b_first_row,
+    CASE WHEN is_boundary THEN kind = 'open' AND tag = 'tr' AND NOT nested AND tr_run - coalesce(tbl_base, 0) = 1 END AS b_first_row,
     CASE WHEN is_boundary THEN coalesce(tbl_base, -1) END AS b_table_id
   FROM (SELECT *,
+          CASE kind WHEN 'text' THEN {clean(dec("tok"))} WHEN 'cdata' THEN {clean("substr(tok, 10, length(tok) - 12)")} END AS said,
           inl AND kind = 'open' AND is_after_min IS NOT NULL AND is_after_min < is_c AS open_ok,
           inl AND kind = 'close' AND coalesce(is_prev, 0) >= 1 AS close_ok
         FROM tk9)),
@@ -158,12 +181,13 @@ bl1 AS (
     CASE WHEN b_list_type = 'ol' THEN 3 ELSE 2 END AS width
   FROM bl0),
 bl2 AS (
-  SELECT page_id, block_no, kind, bq, ul + ol AS ldepth, coalesce(b_table_id, -1) AS table_id,
+  SELECT page_id, block_no, kind, b_level, inline, cells, has_th, bq, ul + ol AS ldepth, coalesce(b_table_id, -1) AS table_id,
     CASE WHEN bq > 0 THEN regexp_replace(rendered, '(?m)^', repeat('> ', bq), 'g') ELSE rendered END AS md
   FROM (SELECT *,
     CASE
-      WHEN kind = 'pre' THEN CASE WHEN regexp_replace(body, '^\\n', '') <> ''
-           THEN '```' || chr(10) || regexp_replace(body, '^\\n', '') || chr(10) || '```' END
+      WHEN kind = 'pre' THEN CASE WHEN code_text <> ''
+           THEN CASE WHEN ul + ol > 0 THEN regexp_replace(fence || chr(10) || code_text || chr(10) || fence, '(?m)^', repeat(' ', ul * 2 + ol * 3), 'g')
+                ELSE fence || chr(10) || code_text || chr(10) || fence END END
       WHEN kind = 'hr' THEN '---'
       WHEN kind = 'tr' THEN CASE WHEN len(cells) > 0 THEN
            CASE WHEN NOT coalesce(b_first_row, false) THEN row_text
@@ -180,7 +204,8 @@ bl2 AS (
       '| ' || array_to_string(cells, ' | ') || ' |' AS row_text,
       '| ' || array_to_string(list_transform(range(len(cells)), lambda x: '---'), ' | ') || ' |' AS delim,
       '| ' || array_to_string(list_transform(range(len(cells)), lambda x: ''), ' | ') || ' |' AS blank
-      FROM bl1))),
+      FROM (SELECT *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(code_text, '`+'), lambda t: length(t))), 0))::INTEGER) AS fence
+            FROM (SELECT *, regexp_replace(body, '^\\n', '') AS code_text FROM bl1))))),
 bl3 AS (
   SELECT page_id, block_no,
     CASE WHEN p_kind IS NULL THEN ''
@@ -196,11 +221,19 @@ bl3 AS (
     WINDOW bw AS (PARTITION BY page_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
 md_docs AS (
   SELECT page_id,
-    regexp_replace(regexp_replace(coalesce(string_agg(piece, '' ORDER BY block_no), ''), '^[ \\t\\n\\r\\f]+', ''),
+    regexp_replace(regexp_replace({clean("coalesce(string_agg(piece, '' ORDER BY block_no), '')")}, '^[ \\t\\n\\r\\f]+', ''),
                    '[ \\t\\n\\r\\f]+$', '') AS markdown
   FROM bl3 GROUP BY page_id)"""
 
 
+# Fixed value of the derived data: what every seventh page gets before its article ends.
+ODD_HTML = ("<p>caf&eacute; &rarr; &NotEqualTilde; &#00233; &nosuchname; a<b> x </b>b<b></b><i><b> </b></i>c</p>"
+            "<ac:structured-macro ac:name=\"code\"><ac:plain-text-body><![CDATA[x = \"&amp;\"\n```\n# no heading]]></ac:plain-text-body>"
+            "</ac:structured-macro><ul><li>code<pre>in\n  list</pre></li></ul><table><tr><th>k|v</th><td><p>one</p><p>two</p>"
+            "<ul><li>x</li></ul></td></tr><tr><td>p<table><tr><td>q</td></tr></table>s</td><td><em>t </em>u</td></tr></table>"
+            "<p>see <ac:link><ac:plain-text-link-body><![CDATA[this * page]]></ac:plain-text-link-body></ac:link></p></article>")
+
+
 def html_fixture_sql() -> str:
     """src(page_id, html): the same deterministic rewrites as ``catalog.html_fixture``."""
     h = "storage_html"
@@ -216,6 +249,8 @@ def html_fixture_sql() -> str:
           + q("</h1><ul><li>one<ul><li>two<ol><li>three</li></ol></li></ul></li>"
               "<li><a href=\"http://x.org\">http://x.org</a></li></ul><table><tr><td>a</td><td>b</td></tr></table>")
           + ", 'g') ELSE h3 END")
+    h5 = (f"CASE WHEN pid % 7 = 3 THEN regexp_replace(h4, '</article>', " + q(ODD_HTML) + ", 'g') ELSE h4 END")
     return f"""src AS (
-  SELECT page_id, {h4} AS html FROM (
-    SELECT *, {h3} AS h3 FROM (SELECT *, {h2} AS h2 FROM (SELECT *, {h1} AS h1 FROM wiki_pages))))"""
+  SELECT page_id, {h5} AS html FROM (
+  SELECT *, {h4} AS h4 FROM (
+    SELECT *, {h3} AS h3 FROM (SELECT *, {h2} AS h2 FROM (SELECT *, {h1} AS h1 FROM wiki_pages)))))"""
