@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,14 @@ def library_on_workers(spark: SparkSession) -> None:
         found["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [found.get("PYTHONPATH")])])
 
 
+def pieces(batches: Iterator, rows: int = 512) -> Iterator:
+    """The Arrow arrays of ``batches`` in slices of at most ``rows``, so that a function's
+    working memory does not follow the size of Spark's batches."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_width(spark: SparkSession, n_units: int, per_task: int) -> int:
     """Partitions so that each holds about ``per_task`` of ``n_units``; never fewer than
     the session's own shuffle width."""

@@ -45,14 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, free_name, written
+from .common import column, free_name, pieces, written
 from .components import connected_components
 
 WORDS = 3
 PERCENT = 90
 GROUP = 256
 QUERIES_PER_BLOCK = 256
-MEMO = 1 << 19
+MEMO = 1 << 17
 
 SHAPE = "struct<n:bigint,digest:binary,sigs:array<bigint>>"
 _memo: dict[bytes, int] = {}
@@ -200,7 +200,7 @@ def linked_nodes(shapes: DataFrame, texts: DataFrame) -> DataFrame:
 
     @F.arrow_udf("struct<digest:binary,tokens:binary>")
     def tokens_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [token_set(t.as_py() or "").tobytes() for t in batch]
             yield pa.StructArray.from_arrays([
                 pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())],
@@ -235,7 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     @F.arrow_udf(SHAPE)
     def shapes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [shape_of(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([
                 pa.array([r["n"] for r in rows], pa.int64()), pa.array([r["digest"] for r in rows], pa.binary()),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_name, written
+from .common import column, free_name, pieces, written
 
 FDR = 0.01
 MIN_RUN = 20
@@ -150,7 +150,7 @@ def scanned(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 
     @F.arrow_udf(SCAN_TYPE)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in pieces(batches):
             yield pa.array((scan_text(t.as_py() or "") for t in texts), kind)
 
     return docs.withColumn(out, scan(F.coalesce(column(docs, text_col).cast("string"), F.lit(""))))

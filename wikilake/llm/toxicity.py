@@ -30,13 +30,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_name, written
+from .common import column, free_name, pieces, written
 
 SAMPLE = 20_000
 LEXICON = 300
@@ -113,9 +110,11 @@ def text_features(text: str, lexicon: dict[str, float]) -> list[float]:
 
 
 def features(text: Column, lexicon: dict[str, float]) -> Column:
+    from pyspark.ml.functions import array_to_vector  # here, not above: Python workers need no Spark ML
+
     @F.arrow_udf("array<double>")
     def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in pieces(batches):
             yield pa.array((text_features(t.as_py() or "", lexicon) for t in texts), pa.list_(pa.float64()))
 
     return array_to_vector(dense(text))
@@ -184,6 +183,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    sample: int = SAMPLE, trees: int = TREES, out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``out``: held_out, score, predicted."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     out = free_name(docs, out)
     rows = training_rows(docs, labels, id_col, text_col, sample)
     text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
