@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_edit
+from ..functions.text import clean_edit, strip_ws
 from ..functions.urls import page_id_from_url
 from .md2html import markdown_to_html
 from .requests import reject_reasons
@@ -70,8 +70,30 @@ def split_requests(reqs: DataFrame, pages: DataFrame, check_version: bool = Fals
     return ok, bad
 
 
+def drop_unchanged(ok: DataFrame, pages: DataFrame) -> DataFrame:
+    """Accepted requests without the edits whose cleaned text is the page's own
+    markdown; the client does not upload those, so they step no version and keep macros.
+
+    In a batch the text is compared with the state the edit was made from, the stored page:
+    an edit started from another version (``base_version``) is never taken for unchanged, and
+    earlier requests of the batch do not make an untouched buffer a change. Only pages with
+    an edit are converted.
+    """
+    from .export import with_markdown
+
+    key = ["instance", "page_id"]
+    edited = ok.filter(F.col("action") == "edit").select(*key).distinct()
+    current = with_markdown(pages.select(*key, "storage_html").join(edited, key, "left_semi"))
+    current = current.join(pages.select(*key, "version"), key).select(
+        *key, strip_ws(F.coalesce("markdown", F.lit(""))).alias("_current"), F.col("version").alias("_stored"))
+    same = ((F.col("action") == "edit") & (F.coalesce("base_version", "_stored") == F.col("_stored"))
+            & (clean_edit("content") == F.col("_current")))
+    return ok.join(current, key, "left").filter(~F.coalesce(same, F.lit(False))).drop("_current", "_stored")
+
+
 def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = False) -> DataFrame:
-    """U4 (and U1/U2 as special cases): new body, version and title per touched page.
+    """U4 (and U1/U2 as special cases): new body, version and title per touched page. Edits
+    that change nothing are left out (P14, ``drop_unchanged``).
 
     One pass over the converted requests, aggregated in two phases:
 
@@ -83,7 +105,7 @@ def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = Fals
     A page that gets a third of all requests is spread over many ranges in phase 1.
     """
     ok, _ = split_requests(reqs, pages, check_version)
-    ok = convert_contents(ok)
+    ok = convert_contents(drop_unchanged(ok, pages))
     key = ["instance", "page_id"]
     is_edit = F.col("action") == "edit"
     part = ok.groupBy(*key, F.floor(F.col("request_seq") / SEQ_RANGE).alias("rng")).agg(
@@ -185,8 +207,7 @@ def edit_changes(pages: DataFrame, reqs: DataFrame) -> DataFrame:
     md = with_markdown(targets.select("instance", "page_id", "storage_html"))
     j = edits.join(md, ["instance", "page_id"], "left")
     cleaned = clean_edit("content")
-    current = F.regexp_replace(F.regexp_replace(F.coalesce("markdown", F.lit("")), r"^[ \t\n\r\x0B\f]+", ""),
-                               r"[ \t\n\r\x0B\f]+$", "")
+    current = strip_ws(F.coalesce("markdown", F.lit("")))
     return j.select("request_seq", "instance", "page_id", F.col("markdown").isNotNull().alias("page_found"),
                     (cleaned != current).alias("changed"))
 

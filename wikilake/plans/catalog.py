@@ -250,6 +250,29 @@ def q_apply_edits(spark, sf):
     return _apply(spark, sf, "edit")
 
 
+def edit_buffer_requests(spark, sf):
+    """One edit per page with the page's own buffer: untouched for even page ids, with a
+    line added for odd ones."""
+    pages = fx.wiki_pages(spark, sf)
+    buf = X.edit_buffers(pages).select("instance", "page_id", "buffer")
+    n = F.col("page_id").cast("long")
+    meta = pages.select("instance", "page_id", "version")
+    return buf.join(meta, ["instance", "page_id"]).select(
+        n.alias("request_seq"), "instance", F.lit("edit").alias("action"),
+        F.concat(F.lit("https://wiki.example.com/pages/viewpage.action?pageId="), F.col("page_id")).alias("url"),
+        F.when(n % 2 == 0, F.col("buffer")).otherwise(F.concat("buffer", F.lit("\n\nadded line\n"))).alias("content"),
+        F.lit("markdown").alias("content_type"), F.lit(True).alias("append"),
+        *[F.lit(None).cast("string").alias(c) for c in ("space_key", "title", "parent_id", "parent_title", "template")],
+        F.col("version").alias("base_version"))
+
+
+@register("apply_edit_buffers")
+def q_apply_edit_buffers(spark, sf):
+    out = U.apply_requests(fx.wiki_pages(spark, sf), edit_buffer_requests(spark, sf))
+    return out.select("instance", "page_id", "old_version", "new_version", "n_applied", "n_edits", "lost_macros",
+                      F.col("new_body").endswith("<p>added line</p>").alias("has_added_line"))
+
+
 @register("update_payloads")
 def q_update_payloads(spark, sf):
     return U.update_payloads(_apply(spark, sf))

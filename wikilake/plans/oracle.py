@@ -293,6 +293,11 @@ applied AS (
 """
 
 
+ORACLE["apply_edit_buffers"] = with_(S.WIKI_PAGES) + """
+SELECT instance, page_id, version AS old_version, version + 1 AS new_version, CAST(1 AS BIGINT) AS n_applied, CAST(1 AS BIGINT) AS n_edits,
+       CAST((length(storage_html) - length(replace(storage_html, '<ac:', ''))) // 4 AS BIGINT) AS lost_macros, true AS has_added_line
+FROM wiki_pages WHERE pid % 2 = 1"""
+
 ORACLE["apply_requests"] = _apply_sql(None) + "SELECT * FROM applied"
 ORACLE["apply_adds"] = _apply_sql("add") + "SELECT * FROM applied"
 ORACLE["apply_edits"] = _apply_sql("edit") + "SELECT * FROM applied"
