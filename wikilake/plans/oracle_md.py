@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
-import re
-
-from ..operators.md2html import DELIM_RE, ESCAPES, FENCE_RE, HEADING_RE, HR_RE, INLINE_RULES, LIST_RE, QUOTE_RE
 from .sqlparts import q
 
+# Fixed values of the markdown contract, stated here on their own (RE2 syntax).
+FENCE_RE = r"^ {0,3}(```|~~~)"
+HEADING_RE = r"^#{1,6}"
+HR_RE = r"^ {0,3}(?:(?:- {0,2}){3,}|(?:_ {0,2}){3,}|(?:\* {0,2}){3,})$"
+QUOTE_RE = r"^ {0,3}>"
+LIST_RE = r"^( *)([-*+]|[0-9]+\.)[ \t]+(.*)$"
+DELIM_RE = r"^ *\|? *:?-+:? *(\| *:?-+:? *)*\|? *$"
+BLOCK_TAGS = ("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr iframe "
+              "main nav ol p pre section summary table tbody td tfoot th thead tr ul").split()
+RAW_RE = r"(?i)^ {0,3}(?:<!--|</?(?:" + "|".join(BLOCK_TAGS) + r")(?:[\s/>]|$))"
+ESCAPED = [("\\\\", 16), ("\\*", 17), ("\\_", 18), ("\\`", 19)]
+TARGET = r"\(((?:[^()\s]|\([^()\s]*\))*)"
+LINKS = [
+    (r"!\[([^\]]*)\]" + TARGET + r"\s+\"([^\"]*)\"\)", r'<img alt="\1" src="\2" title="\3" />'),
+    (r"!\[([^\]]*)\]" + TARGET + r"\)", r'<img alt="\1" src="\2" />'),
+    (r"\[([^\]]+)\]" + TARGET + r"\s+\"([^\"]*)\"\)", r'<a href="\2" title="\3">\1</a>'),
+    (r"\[([^\]]+)\]" + TARGET + r"\)", r'<a href="\2">\1</a>'),
+    (r"<(https?://[^>\s]+)>", r'<a href="\1">\1</a>'),
+]
+EMPHASIS = [
+    (r"\*\*\*([^*]+)\*\*\*", r"<strong><em>\1</em></strong>"),
+    (r"\*\*((?:[^*]|\*[^*]+\*)+)\*\*", r"<strong>\1</strong>"),
+    (r"\*([^*\s](?:[^*]*[^*\s])?)\*", r"<em>\1</em>"),
+    (r"\b__([^_\s](?:[^_]*[^_\s])?)__\b", r"<strong>\1</strong>"),
+    (r"\b_([^_\s](?:[^_]*[^_\s])?)_\b", r"<em>\1</em>"),
+]
+
 WS = r"[ \t\n\r\x0B\f]"
 
 
@@ -18,26 +42,43 @@ def esc(x: str) -> str:
     return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-def _rep(r: str) -> str:
-    return re.sub(r"\$(\d)", r"\\\1", r)
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _kept_apart(tag: str, text: str, pattern: str, a: int, b: int, rules: str, render) -> str:
+    """Numbered stand-ins for the matches of ``pattern`` while ``rules`` (over ``y_tag``) run."""
+    s, y, f = f"s_{tag}", f"y_{tag}", f"f_{tag}"
+    hidden = (f"array_to_string(list_transform(string_split_regex({s}, {q(pattern)}), lambda p, i: CASE WHEN i = 1 THEN p "
+              f"ELSE chr({a}) || CAST(i - 2 AS VARCHAR) || chr({b}) || p END), '')")
+    mark = q(f"\\x{a:02x}([0-9]+)\\x{b:02x}")
+    shown = render(f"{f}[CAST(regexp_extract_all(z_{tag}, {mark}, 1)[i - 1] AS INTEGER) + 1]")
+    back = (f"array_to_string(list_transform(string_split_regex(z_{tag}, {mark}), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"ELSE {shown} || p END), '')")
+    body = _let(f, f"regexp_extract_all({s}, {q(pattern)})", _let(y, hidden, _let(f"z_{tag}", rules, back)))
+    return _let(s, text, body)
 
 
 def inline(x: str) -> str:
     s = x
-    for seq, ch in ESCAPES:
-        s = f"replace({s}, {q(seq)}, {q(ch)})"
-    t = "regexp_replace(p, '&(#?[A-Za-z0-9]+;)', chr(20) || '\\1', 'g')"
+    for seq, n in ESCAPED:
+        s = f"replace({s}, {q(seq)}, chr({n}))"
+    t = "regexp_replace(y_code, '&(#?[A-Za-z0-9]+;)', chr(20) || '\\1', 'g')"
     t = f"replace({t}, '&', '&amp;')"
     t = f"regexp_replace({t}, '<([A-Za-z/!?])', chr(21) || '\\1', 'g')"
     t = f"replace({t}, '<', '&lt;')"
     t = f"replace(replace({t}, chr(20), '&'), chr(21), '<')"
-    for pat, rep in INLINE_RULES:
-        t = f"regexp_replace({t}, {q(pat)}, {q(_rep(rep))}, 'g')"
-    code = f"'<code>' || {esc(strip('substr(p, 2, length(p) - 2)'))} || '</code>'"
-    one = f"CASE WHEN regexp_full_match(p, '`[^`]+`') THEN {code} ELSE {t} END"
-    out = f"array_to_string(list_transform(regexp_extract_all({s}, '`[^`]+`|[^`]+|`'), lambda p: {one}), '')"
-    for seq, ch in ESCAPES:
-        out = f"replace({out}, {q(ch)}, {q(seq[1])})"
+    for pat, rep in LINKS:
+        t = f"regexp_replace({t}, {q(pat)}, {q(rep)}, 'g')"
+    e = "y_tag"
+    for pat, rep in EMPHASIS:
+        e = f"regexp_replace({e}, {q(pat)}, {q(rep)}, 'g')"
+    rules = _kept_apart("tag", t, "<[A-Za-z/!?][^<>]*>", 24, 25, e, lambda m: m)
+    out = _kept_apart("code", s, "`[^`]+`", 22, 23, rules,
+                      lambda m: f"'<code>' || {esc(strip(f'substr({m}, 2, length({m}) - 2)'))} || '</code>'")
+    for seq, n in ESCAPED:
+        out = f"replace({out}, chr({n}), {q(seq[1])})"
     return out
 
 
@@ -68,8 +109,10 @@ def list_html(items: str) -> str:
 
 
 def cells(row: str) -> str:
-    core = f"regexp_replace(regexp_replace({strip(row)}, '^\\|', ''), '\\|$', '')"
-    return f"list_transform(string_split({core}, '|'), lambda c: {strip('c')})"
+    safe = (f"array_to_string(list_transform(regexp_extract_all(replace({strip(row)}, chr(92) || '|', chr(14)), '`[^`]+`|[^`]+|`'), "
+            f"lambda p: CASE WHEN regexp_full_match(p, '`[^`]+`') THEN replace(p, '|', chr(14)) ELSE p END), '')")
+    core = f"regexp_replace(regexp_replace({safe}, '^\\|', ''), '\\|$', '')"
+    return f"list_transform(string_split({core}, '|'), lambda c: replace({strip('c')}, chr(14), '|'))"
 
 
 def table_html(text: str) -> str:
@@ -127,7 +170,7 @@ ml4 AS (
 ml5 AS (
   SELECT *,
     CAST(sum(CAST(heading OR hr OR fence_open OR run_start AS INTEGER)) OVER r AS BIGINT) AS block_id,
-    last_value(CASE WHEN run_start THEN CASE WHEN quote THEN 'q' WHEN is_item THEN 'li'
+    last_value(CASE WHEN run_start THEN CASE WHEN quote THEN 'q' WHEN is_item THEN 'li' WHEN regexp_matches(line, {q(RAW_RE)}) THEN 'raw'
                     WHEN contains(line, '|') AND next_delim THEN 'tbl' ELSE 'p' END END IGNORE NULLS) OVER r AS run_kind,
     CAST(sum(CAST(is_item AND NOT is_sep AS INTEGER)) OVER r AS BIGINT) AS item_seq
   FROM ml4 WINDOW r AS (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -168,6 +211,7 @@ mb3 AS (
       WHEN 'q' THEN '<blockquote>' || chr(10) || '<p>' || {para('text')} || '</p>' || chr(10) || '</blockquote>'
       WHEN 'li' THEN {list_html('items')}
       WHEN 'tbl' THEN {table_html('text')}
+      WHEN 'raw' THEN text
       ELSE '<p>' || {para('text')} || '</p>' END AS html
   FROM mb2),
 html_docs AS (

@@ -127,11 +127,14 @@ def clean_edit_expr(x: str) -> str:
     return strip_ws(f"array_to_string({body}, chr(10))")
 
 
+# Fixed value of the derived data: what every sixteenth document line stands after.
+MD_ODD = ("**use `x*y` now** [`code`](http://u/a_b_(c)) **bold *it* x** __s__ _e_ snake_case *a **b** c* ![p_q](/i_j.png \"T\")\n\n"
+          "<div class=\"n\">raw *kept*</div>\n\n| a \\| b | `c|d` |\n| --- | --- |\n| 1 | 2 |\n\n")
 MD_SRC = """md_src AS (
   SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
     CASE (i - 1) % 8
       WHEN 0 THEN '# ' || line
-      WHEN 1 THEN line
+      WHEN 1 THEN CASE WHEN (i - 1) % 16 = 1 THEN """ + q(MD_ODD) + """ || line ELSE line END
       WHEN 2 THEN chr(10) || '- ' || line
       WHEN 3 THEN '    1. ' || line
       WHEN 4 THEN '> ' || line

@@ -17,6 +17,9 @@ from .tables import read_table
 # Fixed values of the derived data (FIXTURES.md §3).
 PAGE_LIMIT = 100
 TEMPLATE_HEAD = "# Notes - [Date]\n\n## [Title]\n\n"
+# Fixed value of the derived data: what every sixteenth document line stands after.
+MD_ODD = ("**use `x*y` now** [`code`](http://u/a_b_(c)) **bold *it* x** __s__ _e_ snake_case *a **b** c* ![p_q](/i_j.png \"T\")\n\n"
+          "<div class=\"n\">raw *kept*</div>\n\n| a \\| b | `c|d` |\n| --- | --- |\n| 1 | 2 |\n\n")
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
 LANG_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]+)"
 
@@ -235,7 +238,7 @@ def markdown_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         k = i % 8
         return (
             F.when(k == 0, F.concat(F.lit("# "), line))
-            .when(k == 1, line)
+            .when(k == 1, F.when(i % 16 == 1, F.concat(F.lit(MD_ODD), line)).otherwise(line))
             .when(k == 2, F.concat(F.lit("\n- "), line))
             .when(k == 3, F.concat(F.lit("    1. "), line))
             .when(k == 4, F.concat(F.lit("> "), line))
