@@ -34,31 +34,21 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
     left = list(range(-1, n))  # left[i + 1]: i while suffix i is open, else something to its left
     smaller = [-1] * n
 
-    def split_off(h: int, suffixes: list[int]) -> None:
-        """A new group of these suffixes of group h, just above it."""
-        new, a = len(lists), above[h]
-        size[h] -= len(suffixes)
-        lists.append(suffixes)
-        size.append(len(suffixes))
-        for j in suffixes:
-            group[j] = new
-        above.append(a)
-        below.append(h)
-        above[h] = new
-        if a >= 0:
-            below[a] = new
-
     k = len(lists) - 1
     while k >= 0:
         mine = lists[k]
+        moved: list[tuple[int, list[int]]] = []
         if size[k] == 1:
-            s = mine[0] if len(mine) == 1 else next(s for s in mine if group[s] == k)
+            s = mine[0]
+            if group[s] != k:
+                s = next(s for s in mine if group[s] == k)
             j = left[s]
-            while left[j + 1] != j:
-                j = left[j + 1]
+            i = left[j + 1]
+            while i != j:
+                j, i = i, left[i + 1]
             left[s + 1] = smaller[s] = j
             if j >= 0 and size[group[j]] > 1:
-                split_off(group[j], [j])
+                moved.append((group[j], [j]))
         else:
             if len(mine) != size[k]:
                 mine = [s for s in mine if group[s] == k]
@@ -67,21 +57,38 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]
             count: dict[int, int] = {}
             for s in mine:
                 j = s - 1
-                while left[j + 1] != j:
-                    j = left[j + 1]
+                i = left[s]
+                while i != j:
+                    j, i = i, left[i + 1]
                 i = s
                 while i != j and left[i + 1] != j:
                     left[i + 1], i = j, left[i + 1]
                 smaller[s] = j
-                if j >= 0:
-                    count[j] = count.get(j, 0) + 1
-            levels: dict[int, dict[int, list[int]]] = {}
-            for j, c in count.items():
-                levels.setdefault(c, {}).setdefault(group[j], []).append(j)
-            for c in sorted(levels, reverse=True):
-                for h, suffixes in levels[c].items():
-                    if len(suffixes) < size[h]:
-                        split_off(h, suffixes)
+                count[j] = count.get(j, 0) + 1
+            count.pop(-1, None)
+            if len(count) == 1:
+                for j in count:
+                    moved.append((group[j], [j]))
+            elif count:
+                levels: dict[int, dict[int, list[int]]] = {}
+                for j, c in count.items():
+                    levels.setdefault(c, {}).setdefault(group[j], []).append(j)
+                for c in sorted(levels, reverse=True):
+                    moved.extend(levels[c].items())
+        for h, suffixes in moved:  # a new group just above the old one, unless the old one goes as a whole
+            n_moved = len(suffixes)
+            if n_moved < size[h]:
+                new, a = len(lists), above[h]
+                size[h] -= n_moved
+                lists.append(suffixes)
+                size.append(n_moved)
+                for j in suffixes:
+                    group[j] = new
+                above.append(a)
+                below.append(h)
+                above[h] = new
+                if a >= 0:
+                    below[a] = new
         k = below[k]
 
     start = [0] * len(lists)
@@ -98,13 +105,19 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     n = len(text)
     group, smaller, free = lyndon_groups(text)
     order = [-1] * n
-    placed = bytearray(n + 1)
-    for i in range(-1, n):
-        s = (order[i] if i >= 0 else n) - 1
-        while s >= 0 and not placed[s]:
+    placed = bytearray(n + 1)  # the last one stands for "no smaller suffix"
+    placed[n] = 1
+    s = n - 1
+    at = -1
+    while True:
+        while not placed[s]:
             placed[s] = 1
             k = group[s]
-            order[free[k]] = s
-            free[k] += 1
+            p = free[k]
+            order[p] = s
+            free[k] = p + 1
             s = smaller[s]
-    return order
+        at += 1
+        if at >= n:
+            return order
+        s = order[at] - 1

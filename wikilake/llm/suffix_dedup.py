@@ -14,7 +14,9 @@ Every start of such a string (a window) is compared with all windows of the tabl
    side and sorts their suffixes (``lyndon.suffix_array``: descending groups, previous
    smaller pointers, second phase without renaming); suffixes that agree in ``LENGTH``
    bytes are neighbours, and the smallest id of each such class goes back to the batches.
-   An anchor with one distinct segment needs no sorting.
+   An anchor with one distinct segment needs no sorting, nor does a segment that differs
+   from all others of its anchor on each of the stretches beside the anchor of which an
+   equal window would hold at least one.
 4. Removal. A batch covers the windows whose class has a smaller id than the document.
 
 Scale: no text leaves its batch but the segments of shared anchors. An anchor with more
@@ -29,6 +31,7 @@ bytes; spans are in bytes, may cut a character, and touching spans are one.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +53,13 @@ SLICE = 1 << 19
 LONGEST = 256
 HOT = 8192
 #: Suffixes are sorted in strings of about this many bytes (whole anchors).
-SORTED_BYTES = 1 << 13
+SORTED_BYTES = 1 << 12
 LAST_ID = (1 << 63) - 1
+#: A window has r bytes before its anchor and LENGTH - GRAM - r after it. For each range of r
+#: the bytes (before, after) that all its windows hold; equal windows agree on one of them.
+ROOM = LENGTH - GRAM
+CUTS = [i * (ROOM + 1) // 4 for i in range(5)]
+BESIDE = [(low, ROOM - (high - 1)) for low, high in zip(CUTS, CUTS[1:])]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -271,8 +279,8 @@ def window_classes(pieces: list[bytes], ids: list[int]) -> np.ndarray:
     for p, i in zip(pieces, ids):
         starts.append(np.arange(len(text), len(text) + len(p) - LENGTH + 1))
         own.append(np.full(len(p) - LENGTH + 1, i, dtype=np.int64))
-        text += [b + 1 for b in p]
-        text.append(0)
+        text += p
+        text.append(-1)  # below every byte
     starts, own = np.concatenate(starts), np.concatenate(own)
     at = np.full(len(text), -1, dtype=np.int64)
     at[starts] = np.arange(len(starts))
@@ -288,6 +296,36 @@ def window_classes(pieces: list[bytes], ids: list[int]) -> np.ndarray:
     return out
 
 
+def anchors_in(pieces: list[bytes]) -> np.ndarray:
+    """Where each piece's anchor begins; -1 where its gram occurs more than once."""
+    sizes = np.array([len(p) for p in pieces])
+    first = np.cumsum(sizes) - sizes
+    grams = np.append(gram_hashes(np.frombuffer(b"".join(pieces), dtype=np.uint8)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    ends = first + sizes - GRAM + 1
+    least = np.minimum.reduceat(grams, np.stack([first, ends], axis=1).ravel())[::2]
+    n = ends - first
+    which = np.repeat(np.arange(len(pieces)), n)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    hit = grams[first[which] + nth] == least[which]
+    out = np.zeros(len(pieces), dtype=np.int64)
+    out[which[hit]] = nth[hit]
+    out[np.bincount(which[hit], minlength=len(pieces)) != 1] = -1
+    return out
+
+
+def may_share(pieces: list[bytes], at: list[int]) -> list[int]:
+    """Numbers of the pieces of one anchor that can have a window in common with another."""
+    if min(at) < 0:
+        return list(range(len(pieces)))
+    beside = []
+    for p, a in zip(pieces, at):
+        b = a + GRAM
+        beside.append([(k, p[a - before:a], p[b:b + after]) for k, (before, after) in enumerate(BESIDE)
+                       if a >= before and len(p) - b >= after])
+    seen = Counter(x for mine in beside for x in mine)
+    return [i for i, mine in enumerate(beside) if any(seen[x] > 1 for x in mine)]
+
+
 def answer_segments(blobs: list[bytes]) -> list[bytes]:
     """For each blob, per window of its segments, the smallest id of the window's class
     over all blobs, run-length coded."""
@@ -316,14 +354,19 @@ def answer_segments(blobs: list[bytes]) -> list[bytes]:
         where = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in held])
         classes[where] = found
 
-    for _, a, b in slices(keys[order]):
-        if b - a == 1:
-            continue  # one distinct segment: its windows have its id
-        held += order[a:b].tolist()
-        size += sum(len(pieces[i]) for i in order[a:b])
-        if size >= SORTED_BYTES:
-            sort_held()
-            held, size = [], 0
+    several = [order[a:b].tolist() for _, a, b in slices(keys[order]) if b - a > 1]
+    for lot in range(0, len(several), 4096):
+        lots = several[lot:lot + 4096]
+        places = anchors_in([pieces[i] for mine in lots for i in mine]).tolist()
+        at_lot = 0
+        for mine in lots:
+            chosen = may_share([pieces[i] for i in mine], places[at_lot:at_lot + len(mine)])
+            at_lot += len(mine)
+            held += [mine[i] for i in chosen]
+            size += sum(len(pieces[mine[i]]) for i in chosen)
+            if size >= SORTED_BYTES:
+                sort_held()
+                held, size = [], 0
     if held:
         sort_held()
     out = []
