@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from conftest import SMALL
 from wikilake.operators import requests as R
 from wikilake.operators import updates as U
 
@@ -143,3 +146,36 @@ def test_pages_by_url_flags_other_hosts(spark):
     assert got["https://MIRROR.example.com/pages/2"] == ("2", True, True)
     assert got["example.com/pages/3"] == ("3", True, False)
     assert got["https://wiki.example.com/display/x"] == (None, False, False)
+
+
+def test_untouched_edit_buffers_step_no_version(spark):
+    html = '<p>one <b>two</b></p><ac:structured-macro ac:name="info"><p>three</p></ac:structured-macro>'
+    pages = spark.createDataFrame([("i0", str(i), f"T{i}", "K", "N", 3, html) for i in range(4)],
+                                  "instance string, page_id string, title string, space_key string, space_name string, version int, storage_html string")
+    md = "one **two**\n\nthree"
+    url = "https://w/pages/viewpage.action?pageId="
+    cols = ("request_seq long, instance string, action string, url string, body string, content_type string, append boolean, space_key string, "
+            "title string, parent_id string, parent_title string, template string, base_version int, page_id string")
+    rows = [(1, "i0", "edit", url + "0", md, "markdown", True, None, None, None, None, None, 3, "0"),          # untouched
+            (2, "i0", "edit", url + "1", md + "\n\nfour", "markdown", True, None, None, None, None, None, 3, "1"),  # changed
+            (3, "i0", "edit", url + "2", md, "markdown", True, None, None, None, None, None, 2, "2"),          # from another version
+            (4, "i0", "edit", url + "3", md, "markdown", True, None, None, None, None, None, None, "3")]
+    reqs = spark.createDataFrame(rows, cols)
+    reqs = reqs.withColumn("content", F.concat(F.lit("# T\n\n<!-- note -->\n\n"), "body")).drop("body", "page_id")
+    got = {r.page_id: (r.new_version, r.n_edits, r.lost_macros) for r in U.apply_requests(pages, reqs).collect()}
+    assert got == {"1": (4, 1, 1), "2": (4, 1, 1)}
+
+
+def test_export_shuffles_bodies_once_and_nothing_by_instance_alone(spark):
+    import re
+
+    from wikilake.operators.export import export_documents
+    from wikilake.sources import fixtures as fx
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = export_documents(fx.wiki_pages(spark, SMALL), fx.instances(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not any(re.match(r"instance#\d+, \d+$", k) for k in keys)

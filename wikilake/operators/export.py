@@ -1,14 +1,14 @@
 """Page read / export / edit-buffer operators.
 
 They all sit on top of the HTML → markdown job: one token job per page table, whose
-result is joined back to the page metadata on ``(instance, page_id)``.
+result meets the page metadata on a key made of ``instance`` and ``page_id``.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,20 +18,26 @@ from .requests import with_base_url
 _KEY = "_doc_key"
 
 
+def _key() -> Column:
+    return F.concat_ws("\u0000", "instance", "page_id")
+
+
+def _markdown(pages: DataFrame) -> DataFrame:
+    """(key, markdown) of every page: the one shuffle that carries bodies."""
+    keyed = pages.select(_key().alias(_KEY), "storage_html")
+    return html_to_markdown(keyed, id_col=_KEY, html_col="storage_html").withColumnRenamed("page_id", _KEY)
+
+
 def with_markdown(pages: DataFrame) -> DataFrame:
-    """pages + ``markdown`` (the converted storage HTML)."""
-    key = F.concat_ws("\u0000", "instance", "page_id")
-    keyed = pages.withColumn(_KEY, key)
-    md = html_to_markdown(keyed.select(_KEY, "storage_html"), id_col=_KEY, html_col="storage_html")
-    meta = keyed.drop("storage_html") if "storage_html" in pages.columns else keyed
-    return meta.join(md.withColumnRenamed("page_id", _KEY), _KEY, "left").drop(_KEY)
+    """pages (without their body) + ``markdown`` (the converted storage HTML)."""
+    return pages.drop("storage_html").withColumn(_KEY, _key()).join(_markdown(pages), _KEY, "left").drop(_KEY)
 
 
 def read_pages(pages: DataFrame, instances: DataFrame) -> DataFrame:
-    """The read result: id, title, space, space_key, version, html, markdown, url."""
-    md = with_markdown(pages.select("instance", "page_id", "storage_html"))
-    j = with_base_url(pages, instances).join(md, ["instance", "page_id"], "left")
-    return j.select(
+    """The read result: id, title, space, space_key, version, html, markdown, url. The URL
+    is put to the page row before the bodies meet, by the page key."""
+    meta = with_base_url(pages, instances).withColumn(_KEY, _key())
+    return meta.join(_markdown(pages), _KEY, "left").select(
         "instance", F.col("page_id").alias("id"), "title", F.col("space_name").alias("space"), "space_key", "version",
         F.col("storage_html").alias("html_content"), F.col("markdown").alias("markdown_content"),
         T.page_url("base_url", "page_id").alias("url"),
@@ -41,17 +47,16 @@ def read_pages(pages: DataFrame, instances: DataFrame) -> DataFrame:
 def export_documents(pages: DataFrame, instances: DataFrame) -> DataFrame:
     """K1: one markdown document per page: metadata header + converted body, with the
     file name the list tool gives it and how many pages of the instance share that name
-    (files of one name overwrite each other when written one by one)."""
-    md = with_markdown(pages)
-    j = with_base_url(md, instances)
-    url = T.page_url("base_url", "page_id")
-    doc = j.select(
-        "instance", "page_id", T.slug("title").alias("file_name"),
-        F.concat(T.metadata_header("title", "space_name", "page_id", "version", url),
-                 F.coalesce(F.col("markdown"), F.lit(""))).alias("content"),
-    )
-    same = doc.groupBy("instance", "file_name").agg(F.count(F.lit(1)).alias("n_same_slug"))
-    return doc.join(same, ["instance", "file_name"], "left")
+    (files of one name overwrite each other when written one by one).
+
+    File names, their counts and URLs are made from metadata alone; the converted bodies
+    join last, by the page key, and are not shuffled again."""
+    meta = pages.drop("storage_html").withColumn("file_name", T.slug("title"))
+    same = meta.groupBy("instance", "file_name").agg(F.count(F.lit(1)).alias("n_same_slug"))
+    meta = with_base_url(meta.join(same, ["instance", "file_name"], "left"), instances).withColumn(_KEY, _key())
+    header = T.metadata_header("title", "space_name", "page_id", "version", T.page_url("base_url", "page_id"))
+    return meta.withColumn("_header", header).join(_markdown(pages), _KEY, "left").select(
+        "instance", "file_name", "page_id", F.concat("_header", F.coalesce(F.col("markdown"), F.lit(""))).alias("content"), "n_same_slug")
 
 
 def edit_buffers(pages: DataFrame) -> DataFrame:

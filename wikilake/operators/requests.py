@@ -94,7 +94,7 @@ def pages_by_url(urls: DataFrame, pages: DataFrame, instances: DataFrame | None
         return j
     inst = instances.select("instance", F.lower(F.regexp_extract("base_url", HOST_RE, 1)).alias("_base_host"))
     url_host = F.lower(F.regexp_extract(F.col("url"), HOST_RE, 1))
-    j = j.join(inst, "instance", "left")
+    j = join_profiles(j, inst)
     return j.withColumn("host_mismatch", (url_host != "") & (url_host != F.coalesce(F.col("_base_host"), F.lit(""))))\
         .drop("_base_host")
 
@@ -148,11 +148,26 @@ def render_templates(reqs: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
+PROFILE_ROWS = 10_000  # instance profiles that may be broadcast
+PROFILE_SALTS = 32
+
+
+def join_profiles(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``df`` left-joined with ``profiles`` on ``instance``, without shuffling ``df`` by that
+    column (few values, so few partitions). The number of profiles is checked first: up to
+    ``PROFILE_ROWS`` they are broadcast, beyond that the join key is salted."""
+    if profiles.limit(PROFILE_ROWS + 1).count() <= PROFILE_ROWS:
+        return df.join(F.broadcast(profiles), "instance", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(PROFILE_SALTS - 1))).alias("_salt")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "instance"]), F.lit(PROFILE_SALTS)).cast("int"))
+    return salted.join(profiles.select("*", salts), ["instance", "_salt"], "left").drop("_salt")
+
+
 def with_base_url(df: DataFrame, instances: DataFrame, given: str | None = None) -> DataFrame:
     """Base URL per row: an explicit one wins, else the instance profile's; rows of an
     unknown profile get ``base_status = 'unknown profile'``."""
     inst = instances.select("instance", F.col("base_url").alias("_profile_url"))
-    j = df.join(inst, "instance", "left")
+    j = join_profiles(df, inst)
     explicit = F.col(given) if given else F.lit(None).cast("string")
     base = F.coalesce(F.when(explicit != "", explicit), F.col("_profile_url"))
     return j.withColumn("base_url", base).withColumn(

@@ -51,7 +51,7 @@ def q_page_id_from_url(spark, sf):
 def q_page_url(spark, sf):
     p = fx.wiki_pages(spark, sf).select("instance", "page_id")
     inst = fx.instances(spark, sf)
-    return p.join(inst, "instance", "left").select("instance", "page_id", T.page_url("base_url", "page_id").alias("url"))
+    return R.join_profiles(p, inst).select("instance", "page_id", T.page_url("base_url", "page_id").alias("url"))
 
 
 @register("slug")
@@ -64,7 +64,7 @@ def q_slug(spark, sf):
 def q_header(spark, sf):
     p = fx.wiki_pages(spark, sf).drop("storage_html")
     inst = fx.instances(spark, sf)
-    j = p.join(inst, "instance", "left")
+    j = R.join_profiles(p, inst)
     url = T.page_url("base_url", "page_id")
     return j.select("page_id", T.metadata_header("title", "space_name", "page_id", "version", url).alias("header"))
 
