@@ -215,24 +215,23 @@ def edit_changes(pages: DataFrame, reqs: DataFrame) -> DataFrame:
 def version_diff(changes: DataFrame, old_col: str = "old_body", new_col: str = "new_body") -> DataFrame:
     """Line-level comparison of two versions of each page.
 
-    Lines are matched as a multiset: the k-th copy of a line in the old version pairs with
-    the k-th copy in the new one (full outer join on page, line and occurrence), so the
-    counts are those of a line-set diff; order changes are not edits.
+    Lines are compared as multisets (order changes are not edits): one pass cuts both
+    versions into (side, line), one aggregate counts each line on both sides, and a line
+    that occurs o times before and n times after is kept min(o, n), added max(n - o, 0) and
+    removed max(o - n, 0) times.
     """
-    from pyspark.sql import Window
-
     key = ["instance", "page_id"]
 
-    def lines(col: str, side: str) -> DataFrame:
-        x = changes.select(*key, F.posexplode(F.split(F.col(col), "\n", -1)).alias("ln", "line"))
-        occ = F.row_number().over(Window.partitionBy(*key, "line").orderBy("ln"))
-        return x.select(*key, "line", occ.alias("occ"), F.lit(True).alias(side))
+    def side(col: str, old: int):
+        return F.transform(F.split(F.col(col), "\n", -1), lambda line: F.struct(F.lit(old).alias("old"), line.alias("line")))
 
-    j = lines(old_col, "in_old").join(lines(new_col, "in_new"), key + ["line", "occ"], "full_outer")
-    return j.groupBy(*key).agg(
-        F.sum(F.when(F.col("in_old").isNull(), 1).otherwise(0)).cast("long").alias("n_added"),
-        F.sum(F.when(F.col("in_new").isNull(), 1).otherwise(0)).cast("long").alias("n_removed"),
-        F.sum(F.when(F.col("in_old") & F.col("in_new"), 1).otherwise(0)).cast("long").alias("n_kept"),
+    empty = F.array().cast("array<struct<old:int,line:string>>")
+    lines = changes.select(*key, F.explode(F.concat(F.coalesce(side(old_col, 1), empty), F.coalesce(side(new_col, 0), empty))).alias("l"))
+    per_line = lines.groupBy(*key, "l.line").agg(F.sum("l.old").alias("o"), F.sum(1 - F.col("l.old")).alias("n"))
+    return per_line.groupBy(*key).agg(
+        F.sum(F.greatest(F.col("n") - F.col("o"), F.lit(0))).cast("long").alias("n_added"),
+        F.sum(F.greatest(F.col("o") - F.col("n"), F.lit(0))).cast("long").alias("n_removed"),
+        F.sum(F.least("o", "n")).cast("long").alias("n_kept"),
     )
 
 

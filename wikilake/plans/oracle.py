@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import sqlparts as S
 from .catalog import SEARCH_QUERY, SEARCH_QUERY_EXTENDED, SPACE_FOR_S3
-from ..operators.search import parse_query
 
 ORACLE: dict[str, str] = {}
 
@@ -131,13 +130,29 @@ SELECT instance, space_key, count(*) AS n_pages FROM listing GROUP BY ROLLUP (in
 ORACLE["space_counts"] = with_(S.WIKI_PAGES, SPACES) + "SELECT instance, count(*) AS n_spaces FROM spaces GROUP BY instance"
 
 
+def _term_sql(text: str, term: str) -> str:
+    """One search term as LIKE patterns (a plain term: its letters in order on one line)."""
+    neg, t = term.startswith("!"), term.removeprefix("!")
+    quoted, t = neg or t.startswith("'"), t.removeprefix("'")
+    head, t = t.startswith("^"), t.removeprefix("^")
+    tail, t = len(t) > 1 and t.endswith("$"), t[:-1] if len(t) > 1 and t.endswith("$") else t
+    like = "ILIKE" if t == t.lower() else "LIKE"
+    safe = [("!" + c if c in "!%_" else c) for c in t]
+    if quoted or head or tail:
+        found = f"{text} {like} {S.q(('' if head else '%') + ''.join(safe) + ('' if tail else '%'))} ESCAPE '!'"
+    else:
+        one = f"line {like} {S.q('%' + '%'.join(safe) + '%')} ESCAPE '!'"
+        found = f"len(list_filter(string_split({text}, chr(10)), lambda line: {one})) > 0"
+    return f"NOT ({found})" if neg else f"({found})"
+
+
+def _where(text: str, query: str) -> str:
+    groups = " ".join(query.split()).replace(" | ", "\0").split(" ")
+    return " AND ".join("(" + " OR ".join(_term_sql(text, t) for t in g.split("\0")) + ")" for g in groups if g) or "true"
+
+
 def _search_sql(query: str) -> str:
-    text = "concat_ws(' | ', space_key, space_name, title, page_id)"
-    conds = []
-    for group in parse_query(query):
-        alts = [("NOT " if neg else "") + f"regexp_matches({text}, {S.q(pat)})" for pat, neg in group]
-        conds.append("(" + " OR ".join(alts) + ")")
-    where = " AND ".join(conds) or "true"
+    where = _where("concat_ws(' | ', space_key, space_name, title, page_id)", query)
     return with_(S.WIKI_PAGES, S.LISTING) + f"SELECT {_LISTING_COLS} FROM listing WHERE {where}"
 
 
@@ -423,14 +438,10 @@ from .catalog import CONTENT_QUERY  # noqa: E402
 
 
 def _content_sql(query: str) -> str:
-    text = "concat_ws(' | ', p.space_key, p.space_name, p.title, p.page_id, m.markdown)"
-    conds = []
-    for group in parse_query(query):
-        alts = [("NOT " if neg else "") + f"regexp_matches({text}, {S.q(pat)})" for pat, neg in group]
-        conds.append("(" + " OR ".join(alts) + ")")
+    where = _where("concat_ws(' | ', p.space_key, p.space_name, p.title, p.page_id, m.markdown)", query)
     return _PAGE_MD + f"""
 SELECT p.instance, p.page_id, p.title, p.space_key
-FROM wiki_pages p LEFT JOIN md_docs m ON m.page_id = p.page_id WHERE {" AND ".join(conds)}"""
+FROM wiki_pages p LEFT JOIN md_docs m ON m.page_id = p.page_id WHERE {where}"""
 
 
 ORACLE["search_content"] = _content_sql(CONTENT_QUERY)
