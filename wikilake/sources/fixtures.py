@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cache import cached_expr
 from ..functions.text import decode_entities, edit_buffer
 from .tables import read_table
 
@@ -24,6 +25,11 @@ TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
 LANG_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]+)"
 
 
+@cached_expr
+def _page_title(html: str) -> F.Column:
+    return decode_entities(F.regexp_extract(html, TITLE_RE, 1))
+
+
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages(instance, page_id, title, space_key, space_name, version, storage_html)."""
     raw = read_table(spark, sf_dir, "pages")
@@ -31,7 +37,7 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(
         F.concat(F.lit("i"), (F.col("page_id") % 2).cast("string")).alias("instance"),
         F.col("page_id").cast("string").alias("page_id"),
-        decode_entities(F.regexp_extract("html", TITLE_RE, 1)).alias("title"),
+        _page_title("html").alias("title"),
         key.alias("space_key"),
         F.concat(F.lit("Space "), key).alias("space_name"),
         (F.col("page_id") % 5 + 1).cast("int").alias("version"),
