@@ -83,8 +83,7 @@ def drop_unchanged(ok: DataFrame, pages: DataFrame) -> DataFrame:
 
     key = ["instance", "page_id"]
     edited = ok.filter(F.col("action") == "edit").select(*key).distinct()
-    current = with_markdown(pages.select(*key, "storage_html").join(edited, key, "left_semi"))
-    current = current.join(pages.select(*key, "version"), key).select(
+    current = with_markdown(pages.select(*key, "version", "storage_html").join(edited, key, "left_semi")).select(
         *key, strip_ws(F.coalesce("markdown", F.lit(""))).alias("_current"), F.col("version").alias("_stored"))
     same = ((F.col("action") == "edit") & (F.coalesce("base_version", "_stored") == F.col("_stored"))
             & (clean_edit("content") == F.col("_current")))
