@@ -217,6 +217,11 @@ def q_render_templates(spark, sf):
     return R.render_templates(fx.request_table(spark, sf), fx.template_table(spark, sf))
 
 
+@register("render_document_templates")
+def q_render_document_templates(spark, sf):
+    return R.render_templates(fx.document_template_requests(spark, sf), fx.document_templates(spark, sf))
+
+
 @register("with_base_url")
 def q_with_base_url(spark, sf):
     r = fx.request_table(spark, sf).select("request_seq", "instance")
@@ -350,6 +355,13 @@ def q_load_templates(spark, sf):
     return FS.load_templates(spark, path)
 
 
+@register("load_document_templates")
+def q_load_document_templates(spark, sf):
+    path = ST._run_dir(spark, "document_templates")
+    FS.write_templates(fx.document_templates(spark, sf), path)
+    return FS.load_templates(spark, path)
+
+
 @register("load_instances")
 def q_load_instances(spark, sf):
     path = ST._run_dir(spark, "profiles")
@@ -437,16 +449,23 @@ def q_pages_in_space_stored(spark, sf):
     return L.read_space(spark, path, SPACE_FOR_S3)
 
 
-@register("fill_templates")
-def q_fill_templates(spark, sf):
-    reqs = fx.request_table(spark, sf)
-    rendered = R.render_templates(reqs, fx.template_table(spark, sf)).join(
-        reqs.select("request_seq", "title"), "request_seq")
+def _filled(reqs, templates):
+    rendered = R.render_templates(reqs, templates).join(reqs.select("request_seq", "title"), "request_seq")
     date = F.date_format(F.date_add(F.to_date(F.lit("2025-01-01")), (F.col("request_seq") % 365).cast("int")), "yyyy-MM-dd")
     values = F.create_map(F.lit("Date"), date, F.lit("Title"), F.col("title"))
     return R.fill_templates(rendered.withColumn("vals", values), "body", "vals").select("request_seq", "body")
 
 
+@register("fill_templates")
+def q_fill_templates(spark, sf):
+    return _filled(fx.request_table(spark, sf), fx.template_table(spark, sf))
+
+
+@register("fill_document_templates")
+def q_fill_document_templates(spark, sf):
+    return _filled(fx.document_template_requests(spark, sf), fx.document_templates(spark, sf))
+
+
 FIRST_N = 10
 
 

@@ -482,6 +482,28 @@ FROM (SELECT r.request_seq, r.title,
              regexp_replace(coalesce(t.body, """ + S.q(_SK_HEAD) + """ || r.title || """ + S.q(_SK_TAIL) + """), '\\n+$', '') AS b
       FROM requests r LEFT JOIN tpl t ON t.name = r.template WHERE r.action = 'create')"""
 
+# Every document a template, and the creates' template names over all of them.
+DOCUMENT_TEMPLATES = """tpl AS (
+  SELECT 'tpl_' || CAST(doc_id AS VARCHAR) AS name, '# Notes - [Date]' || chr(10) || chr(10) || '## [Title]' || chr(10) || chr(10) || md AS body
+  FROM md_src),
+creates AS (
+  SELECT request_seq, title, 'tpl_' || CASE WHEN request_seq // 100000 % 3 = 0 THEN 'xx'
+         ELSE CAST(request_seq // 100000 % (SELECT count(*) FROM documents) AS VARCHAR) END AS template
+  FROM requests WHERE action = 'create'),
+rendered AS (
+  SELECT r.request_seq, r.title, r.template, t.body IS NOT NULL AS template_found,
+         regexp_replace(coalesce(t.body, """ + S.q(_SK_HEAD) + """ || r.title || """ + S.q(_SK_TAIL) + """), '\\n+$', '') AS b
+  FROM creates r LEFT JOIN tpl t ON t.name = r.template)"""
+
+ORACLE["load_document_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, DOCUMENT_TEMPLATES) + "SELECT name, body || chr(10) AS body FROM tpl"
+
+ORACLE["render_document_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, DOCUMENT_TEMPLATES) + """
+SELECT request_seq, template, template_found, b AS body, CAST(len(string_split(b, chr(10))) AS BIGINT) AS n_lines FROM rendered"""
+
+ORACLE["fill_document_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, DOCUMENT_TEMPLATES) + """
+SELECT request_seq, replace(replace(b, '[Date]', strftime(DATE '2025-01-01' + CAST(request_seq % 365 AS INTEGER), '%Y-%m-%d')),
+                            '[Title]', title) AS body FROM rendered"""
+
 from .catalog import FIRST_N  # noqa: E402
 
 ORACLE["first_pages"] = with_(S.WIKI_PAGES, S.LISTING) + f"""

@@ -266,6 +266,22 @@ def template_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(md, "doc_id").select(F.concat(F.lit("tpl_"), F.col("lang")).alias("name"), body.alias("body"))
 
 
+def document_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """templates(name, body): every document as a template, named by its id."""
+    name = F.concat(F.lit("tpl_"), F.col("doc_id").cast("string"))
+    return markdown_inputs(spark, sf_dir).select(name.alias("name"), F.concat(F.lit(TEMPLATE_HEAD), F.col("md")).alias("body"))
+
+
+def document_template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request table, its creates naming templates over all documents: ``conv_id`` %
+    number of documents, and a name without a template where ``conv_id % 3 = 0``."""
+    n_docs = read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+    return spark.sql("""SELECT * EXCEPT (template), CASE WHEN action = 'create' THEN 'tpl_' || CASE
+        WHEN request_seq DIV 100000 % 3 = 0 THEN 'xx'
+        ELSE CAST(request_seq DIV 100000 % (SELECT n FROM {nd}) AS STRING) END END AS template FROM {reqs}""",
+                     reqs=request_table(spark, sf_dir), nd=n_docs)
+
+
 def create_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """create_list(line): 'title|content' lines, content on one line with literal '\\n'."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
