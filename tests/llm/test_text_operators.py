@@ -148,6 +148,36 @@ def test_unmarked_pages_lose_shared_lines(spark):
     assert found[50].startswith("Site name Story 3") and found[51] == ""
 
 
+def test_pages_alone_in_their_directory_meet_the_host(spark):
+    rows = [(k, f"http://h/story-{k}/index.html", f"<p>Site name<p>Story {k} starts<p>and ends {k * k}<p>All rights kept") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.main.text for r in html_extract.extract_main_text(pages).collect()}
+    assert all(found[k] == f"Story {k} starts and ends {k * k}" for k in range(20))
+
+
+def test_template_heavy_pages_are_no_versions(spark):
+    template = "".join(f"<p>menu {i}" for i in range(12))
+    rows = [(k, f"http://h/a/{k}", f"{template}<p>Story {k}") for k in range(20)]
+    article = "".join(f"<p>Long line {i}" for i in range(14))
+    rows += [(50, "http://h/a/zz", template + article + "<p>first"), (51, "http://h/a/zz-print", template + article + "<p>second")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.main.text for r in html_extract.extract_main_text(pages).collect()}
+    whole = " ".join(f"Long line {i}" for i in range(14))
+    assert all(found[k] == f"Story {k}" for k in range(20))
+    assert found[50] == whole + " first" and found[51] == whole + " second"
+
+
+def test_nearest_paths_over_ranges(spark):
+    rnd = random.Random(4)
+    rows = sorted({(rnd.choice("hhhhgf"), "/" + "".join(rnd.choices("ab/", k=rnd.randint(0, 9)))) for _ in range(400)})
+    got = {(r.host, r.path): r.near for r in html_extract.nearest_paths(spark.createDataFrame(rows, "host string, path string")).collect()}
+    assert len(got) == len(rows)
+    for host, path in rows:
+        rest = [p for h, p in rows if h == host and p != path]
+        best = max((html_extract.common_prefix(path, p) for p in rest), default=None)
+        assert html_extract.common_prefix(path, got[host, path]) == best if rest else got[host, path] is None
+
+
 def test_given_pages_give_their_article(spark):
     import html
 
