@@ -95,6 +95,28 @@ def test_corpus_bounds_accept_keys_and_leave_words(spark):
     assert sum(len(got[i]) for i in range(40, 3000)) == 0
 
 
+def test_a_single_key_is_found_in_a_small_corpus(spark):
+    rnd = random.Random(11)
+    alphabet = secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGIT + "+/"
+    keys = ["".join(rnd.choices(alphabet, k=40)) for _ in range(60)] + ["".join(rnd.choices(alphabet[:52], k=24)) for _ in range(60)]
+    found = []
+    for at in range(0, len(keys), 12):  # each group is a corpus of its own, without any long word
+        rows = [(i, f"the value {k} here") for i, k in enumerate(keys[at:at + 12])] + [(99, "see getElementsByClassNameOrDefault2 and INTERNATIONALIZATION2024")]
+        got = {r.doc_id: [r.text[s.start:s.end] for s in r.secrets]
+               for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got[99] == []
+        found += [keys[at + i] in got[i] for i in range(12)]
+    assert np.mean(found[:60]) > 0.85 and np.mean(found[60:]) > 0.6
+
+
+def test_null_tails_are_those_of_the_word_model():
+    e = len(secret_scan.ENCODINGS)
+    for i, kept in enumerate(secret_scan.NULL_TAILS):
+        for a, b in zip(secret_scan.null_tail(i // e, i % e, 300, 2), kept, strict=True):
+            p = b / secret_scan.DECOYS
+            assert abs(a / 300 - p) < 5 * (p * (1 - p) / 300) ** 0.5 + 0.01
+
+
 def test_redaction(spark):
     text = "é token = 'abcdef0123' and deadbeefdeadbeefdeadbeef, password: 0123456789abcdef0123456789abcdef!"
     rows = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id bigint, text string")
