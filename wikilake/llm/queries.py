@@ -7,6 +7,7 @@ derives the contract's columns from the operator's output.
 from __future__ import annotations
 
 import functools
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("secrets")).alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import FIELDS, folded, leaf_digest, manifest, proof_digest
+
+    docs = read_table(spark, sf_dir, "documents").select(*FIELDS)
+    small = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    altered = leaf_digest([small if f == "text" else F.col(f) for f in FIELDS])
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = manifest(docs, carry={"altered": F.unhex(F.when(chosen, altered))})
+    leaf, root, proof = (F.col(f"merkle.{c}") for c in ("leaf", "root", "proof"))
+    start = F.coalesce(F.lower(F.hex("altered")), leaf)
+    return found.select("doc_id", leaf.alias("leaf"), F.col("merkle.subroot").alias("subroot"), root.alias("root"),
+                        proof_digest(proof).alias("proof_sha256"), folded(start, proof).alias("folded_root")
+                        ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def on_workers(query):
     """The query, with this library importable in the Python workers of a local session."""
     @functools.wraps(query)
@@ -117,9 +133,54 @@ def on_workers(query):
 
 REGISTRY = {query.__name__: on_workers(query) for query in (
     op1_toxicity, op2_suffix_dedup, op3_token_counts, op4_html_extraction, op5_jaccard_join,
-    op6_mixing, op7_bpe_codec, op8_nearest_neighbours, op9_exact_top_k, op10_secret_scans)}
+    op6_mixing, op7_bpe_codec, op8_nearest_neighbours, op9_exact_top_k, op10_secret_scans, op11_merkle_manifest)}
+
+
+
+def merkle_sql(levels: int = 8, top_levels: int = 6) -> str:
+    """Level by level, as the contract words it: nodes of a tree, their runs, and every
+    leaf's folded digest and proof text; ``levels`` covers 16**levels rows a source."""
+    def field(expr: str) -> str:
+        return f"coalesce(strlen({expr})::VARCHAR || ':' || {expr}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = ("list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda acc, b: "
+           "list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(acc, b)), 4294967295)")
+    parts = [f"""
+d AS (SELECT doc_id, source AS src, {leaf('text')} AS leaf,
+             CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(low)} END AS altered FROM documents),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n,
+              leaf AS h FROM d),
+p0 AS (SELECT doc_id, src, pos, n, leaf, coalesce(altered, leaf) AS f, '' AS proof FROM n0)"""]
+
+    def level(nodes: str, paths: str, to_nodes: str, to_paths: str) -> str:
+        return f"""
+{nodes}g AS (SELECT src, pos // 16 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM {nodes} GROUP BY src, pos // 16),
+{to_nodes} AS (SELECT src, run AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {nodes}g),
+{to_paths} AS (
+  SELECT p.* REPLACE (p.pos // 16 AS pos, (p.n + 15) // 16 AS n,
+    CASE WHEN p.n = 1 THEN f ELSE sha256(array_to_string(hs[:p.pos % 16], '') || f || array_to_string(hs[p.pos % 16 + 2:], '')) END AS f,
+    CASE WHEN p.n = 1 THEN proof ELSE proof || array_to_string(hs[:p.pos % 16], '') || array_to_string(hs[p.pos % 16 + 2:], '') END AS proof)
+  FROM {paths} p JOIN {nodes}g g ON p.src IS NOT DISTINCT FROM g.src AND p.pos // 16 = g.run)"""
+
+    for i in range(levels):
+        parts.append(level(f"n{i}", f"p{i}", f"n{i + 1}", f"p{i + 1}"))
+    parts.append(f"""
+s AS (SELECT src AS name, h AS subroot, row_number() OVER (ORDER BY src NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM n{levels}),
+t0 AS (SELECT 0 AS src, pos, n, subroot AS h FROM s),
+u0 AS (SELECT p.* REPLACE (0 AS src, s.pos AS pos, s.n AS n), s.subroot FROM p{levels} p JOIN s ON p.src IS NOT DISTINCT FROM s.name)""")
+    for i in range(top_levels):
+        parts.append(level(f"t{i}", f"u{i}", f"t{i + 1}", f"u{i + 1}"))
+    return "WITH" + ",".join(parts) + f"""
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+FROM u{top_levels}, t{top_levels} r"""
+
 
 ORACLE = {
+    "op11_merkle_manifest": merkle_sql(),
     "op9_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS y
