@@ -122,6 +122,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_filters import identify_languages
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_languages(docs).select("doc_id", "language.*")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rtree import hard_negatives
+
+    def relabel(vec_id, label):
+        return F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), relabel=relabel)
+
+
 def on_workers(query):
     """The query, with this library importable in the Python workers of a local session."""
     @functools.wraps(query)
@@ -133,7 +149,8 @@ def on_workers(query):
 
 REGISTRY = {query.__name__: on_workers(query) for query in (
     op1_toxicity, op2_suffix_dedup, op3_token_counts, op4_html_extraction, op5_jaccard_join,
-    op6_mixing, op7_bpe_codec, op8_nearest_neighbours, op9_exact_top_k, op10_secret_scans, op11_merkle_manifest)}
+    op6_mixing, op7_bpe_codec, op8_nearest_neighbours, op9_exact_top_k, op10_secret_scans, op11_merkle_manifest,
+    op12_language_id, op13_hard_negatives)}
 
 
 
@@ -181,6 +198,28 @@ FROM u{top_levels}, t{top_levels} r"""
 
 ORACLE = {
     "op11_merkle_manifest": merkle_sql(),
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS y
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         list_sum(list_transform(list_zip(a.y, c.y), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id)::INTEGER AS positive_rank
+  FROM s WHERE same),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_rank ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+  WHERE positive_rank <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank FROM n WHERE rank <= 10
+""",
     "op9_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS y
