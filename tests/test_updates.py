@@ -179,3 +179,60 @@ def test_export_shuffles_bodies_once_and_nothing_by_instance_alone(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert keys and not any(re.match(r"instance#\d+, \d+$", k) for k in keys)
+
+
+def _mixed(seed, n, hot=0.5):
+    """Requests with repeated numbers, one page taking ``hot`` of them."""
+    rnd = random.Random(seed)
+    out = []
+    for k in range(n):
+        pid = "1" if rnd.random() < hot else rnd.choice(["0", "2", "3"])
+        action = "edit" if rnd.random() < 0.04 else "add"
+        content = f"<i>c{k % 37}</i>" if action == "add" else f"# X\nedit {k}"
+        out.append((rnd.randrange(n // 3), "i0", action, f"https://w/pages/viewpage.action?pageId={pid}", content,
+                    "html" if action == "add" else "markdown", rnd.random() < 0.5, None, None, None, None, None, None))
+    return out
+
+
+def _in_order(reqs):
+    """The order of requests that share a number, as the operator states it."""
+    from hashlib import sha256
+    def src(r):
+        return r[4].split("\n", 1)[1] if r[2] == "edit" else r[4]
+    return [(i, *r[1:]) for i, r in enumerate(sorted(reqs, key=lambda r: (r[0], r[2], r[6], r[5], sha256(src(r).encode()).hexdigest())))]
+
+
+def test_hot_page_with_repeated_numbers_in_small_segments(spark):
+    pages, reqs = _pages(), _mixed(3, 400)
+    p, r = spark.createDataFrame(pages, PAGE_SCHEMA), spark.createDataFrame(reqs, REQ_SCHEMA).repartition(5)
+    expect = _sequential(pages, _in_order(reqs))
+    for segment_rows in (3, 16, 1000):  # five rounds, three rounds, one group a page
+        got = {x.page_id: (x.new_body, x.new_version) for x in U.apply_requests(p, r, segment_rows=segment_rows).collect()}
+        assert got == expect
+
+
+def test_no_group_is_larger_than_a_segment(spark):
+    """The rows that one merge puts into a list, read from the merged table itself."""
+    rows = spark.range(1000).select(F.lit("i0").alias("instance"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("page_id"),
+                                    F.col("id").alias("request_seq"), F.lit("add").alias("action"), F.lit(True).alias("append"),
+                                    F.lit("html").alias("content_type"), F.sha2(F.col("id").cast("string"), 256).alias("src_key"))
+    placed = U.numbered(U.staged(rows), U.KEY, U.ORDER, 1000)
+    hot = placed.filter("page_id = 'hot'").orderBy("pos").collect()
+    assert [(x.pos, x.request_seq) for x in hot] == [(i, 3 * i) for i in range(334)]
+    sizes = placed.groupBy(*U.KEY, F.floor(F.col("pos") / 32)).count().agg(F.max("count")).first()[0]
+    assert sizes == 32
+
+
+def test_batch_reads_its_requests_once(spark):
+    """Everything after the check reads the staged table, never the requests again."""
+    from wikilake.plans import catalog as C
+    plan = C.REGISTRY["apply_requests"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "staged-" not in SMALL and plan.count("conv_id") == 0
+    assert "cartesian" not in plan.lower()
+
+
+def test_equal_numbers_of_creates_stay_two_pages(spark):
+    reqs = [(1, "i0", "create", None, "# A", "markdown", True, "S", "T1", None, None, None, None),
+            (1, "i0", "create", None, "# B", "markdown", True, "S", "T2", None, None, None, None)]
+    got = sorted((r.title, r.body) for r in U.apply_creates(spark.createDataFrame(reqs, REQ_SCHEMA)).collect())
+    assert got == [("T1", "<h1>A</h1>"), ("T2", "<h1>B</h1>")]

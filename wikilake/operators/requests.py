@@ -114,15 +114,24 @@ def pages_by_title(keys: DataFrame, listing: DataFrame) -> DataFrame:
         .withColumnRenamed("first_page_id", "page_id")
 
 
+def _at_root() -> Column:
+    return _missing(F.col("parent_title")) | (F.col("parent_title") == NO_PARENT)
+
+
+def resolved_parent() -> Column:
+    """No parent at the root; else the id given, else the first page of that title."""
+    return F.when(~_at_root(), F.coalesce(F.col("parent_id"), F.col("first_page_id")))
+
+
 def resolve_parents(reqs: DataFrame, listing: DataFrame) -> DataFrame:
     """Parent id of create requests by title within the chosen space."""
     creates = reqs.filter(F.col("action") == "create")
-    root = _missing(F.col("parent_title")) | (F.col("parent_title") == NO_PARENT)
+    root = _at_root()
     lk = first_by_title(listing).withColumnRenamed("title", "parent_title")
     j = creates.join(lk, ["instance", "space_key", "parent_title"], "left")
     return j.select(
         "request_seq", "instance", "space_key", "parent_title",
-        F.when(root, F.lit(None)).otherwise(F.coalesce(F.col("parent_id"), F.col("first_page_id"))).alias("parent_id"),
+        resolved_parent().alias("parent_id"),
         F.when(root, F.lit(0)).otherwise(F.coalesce(F.col("n_matches"), F.lit(0))).cast("long").alias("n_matches"),
         F.when(root, F.lit("root")).when(F.col("first_page_id").isNull(), F.lit("missing")).otherwise(F.lit("found")).alias("parent_status"),
     )

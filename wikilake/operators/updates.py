@@ -8,10 +8,16 @@ For a page that receives several requests, in ``request_seq`` order, this gives
     base    = the last replace's body, or the stored body when there is none
     version = stored version + number of requests applied to the page
 
-The join of requests with pages is an equi-join on ``(instance, page_id)``; a hot page
-is split by AQE's skew-join rule. The converted requests are read once and aggregated in
-two phases, per (page, range of request_seq) and then per page, so no task ever holds all
-rows of one page, only one partial result per range.
+A run of requests is summed up by its last replace, the prepends and the appends after it, and
+counts. Two neighbouring runs sum up to such a summary again, so the requests of a page are
+merged in rounds: every round groups at most ``SEGMENT_ROWS`` neighbours by (page, position div
+SEGMENT_ROWS). No group is larger, however many requests one page gets. Positions come from
+``ranges.numbered`` and only where a page has more requests than one segment.
+
+Requests with the same ``request_seq`` are separate requests, taken in the order of ``ORDER``.
+
+The requests are read once: the accepted ones, with their texts cleaned and hashed, are
+staged. Each distinct text is converted once and joined back by its hash.
 """
 
 from __future__ import annotations
@@ -21,53 +27,59 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_edit, strip_ws
 from ..functions.urls import page_id_from_url
+from ..session import partitions_for, staged
 from .md2html import markdown_to_html
-from .requests import reject_reasons
+from .ranges import numbered
+from .requests import first_by_title, reject_reasons, resolved_parent
 
-SEQ_RANGE = 1 << 20  # request_seq values per pre-aggregation range
+SEGMENT_ROWS = 128  # requests, or summaries of requests, merged by one group
+KEY = ["instance", "page_id"]
+ORDER = ["request_seq", "action", "append", "content_type", "src_key"]
 
 
-def _ordered_join(entries: Column, key: str, val: str, desc: bool = False) -> Column:
-    s = F.array_sort(entries)
-    if desc:
-        s = F.reverse(s)
-    return F.array_join(F.transform(s, lambda e: e[val]), "\n")
+def with_source(reqs: DataFrame) -> DataFrame:
+    """``is_md``, ``src`` (the text to store or to convert: edits are cleaned, P13; html is
+    taken as it is, G11) and ``src_key``, its hash."""
+    is_edit = F.col("action") == "edit"
+    is_md = is_edit | (F.coalesce(F.col("content_type"), F.lit("markdown")) == "markdown")
+    src = F.when(is_edit, clean_edit("content")).otherwise(F.col("content"))
+    return reqs.select("*", is_md.alias("is_md"), src.alias("src")).withColumn("src_key", F.sha2("src", 256))
 
 
-def convert_contents(reqs: DataFrame) -> DataFrame:
-    """Request → storage HTML: edits are cleaned (P13) then converted; markdown adds and
-    creates are converted; html passes through (G11)."""
-    md_in = F.when(F.col("action") == "edit", clean_edit("content")).otherwise(F.col("content"))
-    is_md = F.coalesce(F.col("content_type"), F.lit("markdown")) == "markdown"
-    src = reqs.select(F.col("request_seq").alias("doc_id"), F.when(is_md | (F.col("action") == "edit"), md_in).alias("md"))
-    src = src.filter(F.col("md").isNotNull())
-    # request contents come through joins, so there is no size estimate to scale from: use
-    # twice the cluster's parallelism (line work expands the rows; AQE would pack them)
-    conv = markdown_to_html(src, num_partitions=2 * src.sparkSession.sparkContext.defaultParallelism) \
-        .withColumnRenamed("doc_id", "request_seq")
-    j = reqs.join(conv.withColumnRenamed("html", "_conv"), "request_seq", "left")
-    html = F.when(is_md | (F.col("action") == "edit"), F.coalesce(F.col("_conv"), F.lit(""))).otherwise(F.col("content"))
-    return j.withColumn("html", html).drop("_conv")
+def with_html(rows: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """``rows`` of ``with_source`` with ``html``. Every distinct markdown text of ``source``
+    (the staged table behind ``rows``) is converted once."""
+    source = rows if source is None else source
+    width = partitions_for(source)
+    texts = source.filter("is_md AND src IS NOT NULL").select("src_key", "src")
+    texts = texts.repartition(width, "src_key").dropDuplicates(["src_key"])
+    html = markdown_to_html(texts, id_col="src_key", md_col="src", partitioned=True).select(
+        F.col("doc_id").alias("src_key"), F.col("html").alias("_html"))
+    j = rows.join(html, "src_key", "left")
+    return j.withColumn("html", F.when(F.col("is_md"), F.coalesce("_html", F.lit(""))).otherwise(F.col("src"))).drop("_html")
 
 
-def split_requests(reqs: DataFrame, pages: DataFrame, check_version: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(accepted add/edit requests with their page, rejects with reason) — creates excluded.
+def checked_requests(reqs: DataFrame, pages: DataFrame, check_version: bool = False) -> DataFrame:
+    """Requests other than creates with ``page_id``, ``stored_version`` and ``reasons``.
 
     ``check_version``: refuse an edit whose ``base_version`` is not the stored version
     (the server-side check of an edit started from an older snapshot)."""
     r = reqs.filter(F.col("action") != "create").withColumn("reasons", reject_reasons(reqs))
     r = r.withColumn("page_id", page_id_from_url("url"))
-    p = pages.select("instance", "page_id", F.lit(True).alias("_hit"), F.col("version").alias("_stored_version"))
-    j = r.join(p, ["instance", "page_id"], "left")
+    j = r.join(pages.select(*KEY, F.lit(True).alias("_hit"), F.col("version").alias("stored_version")), KEY, "left")
     conflict = (F.lit(check_version) & (F.col("action") == "edit") & F.col("base_version").isNotNull()
-                & (F.col("base_version") != F.col("_stored_version")))
+                & (F.col("base_version") != F.col("stored_version")))
     reasons = (F.when((F.size("reasons") == 0) & F.col("_hit").isNull(), F.array(F.lit("page not found")))
                .when((F.size("reasons") == 0) & conflict, F.array(F.lit("version conflict")))
                .otherwise(F.col("reasons")))
-    j = j.withColumn("reasons", reasons).drop("_hit", "_stored_version")
-    ok = j.filter(F.size("reasons") == 0).drop("reasons")
-    bad = j.filter(F.size("reasons") > 0).select("request_seq", "action", F.array_join("reasons", "; ").alias("reject_reason"))
-    return ok, bad
+    return j.withColumn("reasons", reasons).drop("_hit")
+
+
+def accepted_requests(reqs: DataFrame, pages: DataFrame, check_version: bool = False) -> DataFrame:
+    """The accepted requests with their source texts, staged: all later steps read this."""
+    ok = checked_requests(reqs, pages, check_version).filter(F.size("reasons") == 0)
+    ok = ok.withColumn("append", F.coalesce("append", F.lit(True)))
+    return staged(with_source(ok).select(*KEY, *ORDER, "base_version", "stored_version", "is_md", "src"))
 
 
 def drop_unchanged(ok: DataFrame, pages: DataFrame) -> DataFrame:
@@ -77,76 +89,74 @@ def drop_unchanged(ok: DataFrame, pages: DataFrame) -> DataFrame:
     In a batch the text is compared with the state the edit was made from, the stored page:
     an edit started from another version (``base_version``) is never taken for unchanged, and
     earlier requests of the batch do not make an untouched buffer a change. Only pages with
-    an edit are converted.
+    such an edit are converted, and texts are compared by their hashes.
     """
     from .export import with_markdown
 
-    key = ["instance", "page_id"]
-    edited = ok.filter(F.col("action") == "edit").select(*key).distinct()
-    current = with_markdown(pages.select(*key, "version", "storage_html").join(edited, key, "left_semi")).select(
-        *key, strip_ws(F.coalesce("markdown", F.lit(""))).alias("_current"), F.col("version").alias("_stored"))
-    same = ((F.col("action") == "edit") & (F.coalesce("base_version", "_stored") == F.col("_stored"))
-            & (clean_edit("content") == F.col("_current")))
-    return ok.join(current, key, "left").filter(~F.coalesce(same, F.lit(False))).drop("_current", "_stored")
-
-
-def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = False) -> DataFrame:
-    """U4 (and U1/U2 as special cases): new body, version and title per touched page. Edits
-    that change nothing are left out (P14, ``drop_unchanged``).
+    fresh = (F.col("action") == "edit") & (F.coalesce("base_version", "stored_version") == F.col("stored_version"))
+    edited = ok.filter(fresh).select(*KEY).distinct()
+    current = with_markdown(pages.select(*KEY, "storage_html").join(edited, KEY, "left_semi"))
+    own = staged(current.select(*KEY, F.sha2(strip_ws(F.coalesce("markdown", F.lit(""))), 256).alias("_probe")))
+    return ok.withColumn("_probe", F.when(fresh, F.col("src_key"))).join(own, [*KEY, "_probe"], "left_anti").drop("_probe")
 
-    One pass over the converted requests, aggregated in two phases:
 
-    1. per (page, range of request_seq): the range's last replace, its body, counts, and the
-       appends / prepends that come after that replace, already concatenated in order;
-    2. per page: the last replace overall, and the ranges from its range on (earlier ranges
-       are overwritten by it), concatenated in range order.
-
-    A page that gets a third of all requests is spread over many ranges in phase 1.
-    """
-    ok, _ = split_requests(reqs, pages, check_version)
-    ok = convert_contents(drop_unchanged(ok, pages))
-    key = ["instance", "page_id"]
+def request_summaries(rows: DataFrame, at: Column) -> DataFrame:
+    """Each converted request as the summary of itself, at its place ``at``."""
     is_edit = F.col("action") == "edit"
-    part = ok.groupBy(*key, F.floor(F.col("request_seq") / SEQ_RANGE).alias("rng")).agg(
-        F.max(F.when(is_edit, F.col("request_seq"))).alias("last_edit"),
-        F.max(F.when(is_edit, F.struct("request_seq", "html")))["html"].alias("edit_body"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(is_edit, 1).otherwise(0)).alias("n_edits"),
-        F.collect_list(F.when(~is_edit, F.struct("request_seq", "html", "append"))).alias("entries"),
-    )
-    after = F.filter("entries", lambda e: F.col("last_edit").isNull() | (e["request_seq"] > F.col("last_edit")))
-    apps = F.filter(after, lambda e: e["append"])
-    pres = F.filter(after, lambda e: ~e["append"])
-    part = part.select(
-        *key, "rng", "last_edit", "edit_body", "n", "n_edits",
-        F.when(F.size(apps) > 0, _ordered_join(apps, "request_seq", "html")).alias("app_s"),
-        F.when(F.size(pres) > 0, _ordered_join(pres, "request_seq", "html", desc=True)).alias("pre_s"),
-    )
-    whole = part.groupBy(*key).agg(
-        F.max("last_edit").alias("last_edit"),
-        F.max(F.when(F.col("last_edit").isNotNull(), F.struct("last_edit", "edit_body")))["edit_body"].alias("edit_body"),
-        F.sum("n").alias("n_applied"),
-        F.sum("n_edits").alias("n_edits"),
-        F.collect_list(F.struct("rng", "app_s", "pre_s")).alias("ranges"),
-    )
-    live = F.filter("ranges", lambda r: F.col("last_edit").isNull()
-                    | (r["rng"] >= F.floor(F.col("last_edit") / SEQ_RANGE)))
-    live_app = F.filter(live, lambda r: r["app_s"].isNotNull())
-    live_pre = F.filter(live, lambda r: r["pre_s"].isNotNull())
-    whole = whole.select(
-        *key, "edit_body", "n_applied", "n_edits",
-        F.when(F.size(live_app) > 0, _ordered_join(live_app, "rng", "app_s")).alias("appends"),
-        F.when(F.size(live_pre) > 0, _ordered_join(live_pre, "rng", "pre_s", desc=True)).alias("prepends"),
-    )
-    pg = pages.select(*key, "title", F.col("version").alias("old_version"), F.col("storage_html"))
-    out = whole.join(pg, key, "inner")
-    base = F.coalesce(F.col("edit_body"), F.col("storage_html"))
-    body = F.concat_ws("\n", F.col("prepends"), base, F.col("appends"))
+    return rows.select(
+        *KEY, at.alias("at"), is_edit.alias("replaced"), F.when(is_edit, F.col("html")).alias("base"),
+        F.when(~is_edit & ~F.col("append"), F.col("html")).alias("prepends"), F.when(~is_edit & F.col("append"), F.col("html")).alias("appends"),
+        F.lit(1).cast("long").alias("n"), is_edit.cast("long").alias("n_edits"))
+
+
+def merged_summaries(parts: DataFrame, group: list[Column]) -> DataFrame:
+    """The summaries of neighbouring runs, by group and in the order of ``at``, as one each:
+    what stands before the last replace is overwritten by it."""
+    run = parts.groupBy(*KEY, *group).agg(
+        F.array_sort(F.collect_list(F.struct("at", "replaced", "base", "prepends", "appends"))).alias("run"),  # at most SEGMENT_ROWS
+        F.sum("n").alias("n"), F.sum("n_edits").alias("n_edits"))
+    last = F.array_max(F.transform("run", lambda s, i: F.when(s["replaced"], i)))
+    run = run.withColumn("last", last).withColumn("live", F.filter("run", lambda s, i: i >= F.coalesce("last", F.lit(0))))
+
+    def text(part: str, newest_first: bool) -> Column:
+        found = F.filter(F.transform("live", lambda s: s[part]), lambda x: x.isNotNull())
+        found = F.reverse(found) if newest_first else found
+        return F.when(F.size(found) > 0, F.array_join(found, "\n")).alias(part)
+
+    names = [c for c in run.columns if c not in KEY + ["run", "n", "n_edits", "last", "live"]]
+    return run.select(*KEY, *names, F.col("last").isNotNull().alias("replaced"), F.get("run", F.col("last"))["base"].alias("base"),
+                      text("prepends", True), text("appends", False), "n", "n_edits")
+
+
+def summed_up(ok: DataFrame, source: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """One summary per page of the requests ``ok`` (rows of the staged table ``source``)."""
+    per_page = source.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    most, total = per_page.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if most <= segment_rows:
+        return merged_summaries(request_summaries(with_html(ok, source), F.struct(*ORDER)), [])
+    placed = numbered(ok, KEY, ORDER, total)
+    parts = request_summaries(with_html(placed, source), F.col("pos"))
+    while most > segment_rows:
+        parts = merged_summaries(parts, [F.floor(F.col("at") / segment_rows).alias("next")]).withColumnRenamed("next", "at")
+        most = -(-most // segment_rows)
+    return merged_summaries(parts, [])
+
+
+def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = False, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """U4 (and U1/U2 as special cases): new body, version and title per touched page. Edits
+    that change nothing are left out (P14, ``drop_unchanged``)."""
+    source = accepted_requests(reqs, pages, check_version)
+    ok = source
+    if not source.filter("action = 'edit'").isEmpty():
+        ok = drop_unchanged(source, pages)
+    whole = summed_up(ok, source, segment_rows)
+    pg = pages.select(*KEY, "title", F.col("version").alias("old_version"), F.col("storage_html"))
+    out = whole.join(pg, KEY, "inner")
+    body = F.concat_ws("\n", F.col("prepends"), F.coalesce(F.col("base"), F.col("storage_html")), F.col("appends"))
     return out.select(
-        *key, "title", "old_version",
-        (F.col("old_version") + F.col("n_applied")).cast("int").alias("new_version"),
-        F.col("n_applied").cast("long").alias("n_applied"),
-        F.col("n_edits").cast("long").alias("n_edits"),
+        *KEY, "title", "old_version",
+        (F.col("old_version") + F.col("n")).cast("int").alias("new_version"),
+        F.col("n").alias("n_applied"), "n_edits",
         body.alias("new_body"),
         # a replace round-trips the page through markdown, so macros of the old body are lost
         F.when(F.col("n_edits") > 0, F.size(F.split(F.col("storage_html"), "<ac:", -1)) - 1)
@@ -164,16 +174,18 @@ def update_payloads(updated: DataFrame) -> DataFrame:
     return updated.select("instance", "page_id", payload.alias("payload"))
 
 
-def apply_creates(reqs: DataFrame, parents: DataFrame | None = None) -> DataFrame:
-    """Accepted create requests with converted body, parent and line count."""
+def apply_creates(reqs: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Accepted create requests with converted body, parent and line count. With a page
+    ``listing`` the parent is looked up by its title (J2)."""
     c = reqs.filter(F.col("action") == "create").withColumn("reasons", reject_reasons(reqs))
     c = c.filter(F.size("reasons") == 0).drop("reasons")
-    if parents is not None:
-        c = c.drop("parent_id").join(parents.select("request_seq", "parent_id"), "request_seq", "left")
-    c = convert_contents(c)
+    if listing is not None:
+        titles = first_by_title(listing).withColumnRenamed("title", "parent_title")
+        c = c.join(titles, ["instance", "space_key", "parent_title"], "left").withColumn("parent_id", resolved_parent())
     n_lines = F.size(F.split(F.regexp_replace(F.col("content"), "\n+$", ""), "\n", -1))
-    return c.select("request_seq", "instance", "space_key", "title", "parent_id", F.col("html").alias("body"),
-                    n_lines.cast("long").alias("n_lines"))
+    c = staged(with_source(c).select("request_seq", "instance", "space_key", "title", "parent_id", "is_md", "src", "src_key",
+                                     n_lines.cast("long").alias("n_lines")))
+    return with_html(c).select("request_seq", "instance", "space_key", "title", "parent_id", F.col("html").alias("body"), "n_lines")
 
 
 def create_payloads(creates: DataFrame) -> DataFrame:
@@ -190,7 +202,8 @@ def create_payloads(creates: DataFrame) -> DataFrame:
 
 def request_rejects(reqs: DataFrame, pages: DataFrame) -> DataFrame:
     """Rejected requests of a batch with their reasons (argument checks and missing pages)."""
-    _, bad = split_requests(reqs, pages)
+    bad = checked_requests(reqs, pages).filter(F.size("reasons") > 0).select(
+        "request_seq", "action", F.array_join("reasons", "; ").alias("reject_reason"))
     c = reqs.filter(F.col("action") == "create").withColumn("reasons", reject_reasons(reqs)) \
         .filter(F.size("reasons") > 0).select("request_seq", "action", F.array_join("reasons", "; ").alias("reject_reason"))
     return bad.unionByName(c)

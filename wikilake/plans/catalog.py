@@ -245,6 +245,11 @@ def q_apply_requests(spark, sf):
     return _apply(spark, sf)
 
 
+@register("apply_requests_hot")
+def q_apply_requests_hot(spark, sf):
+    return U.apply_requests(fx.wiki_pages(spark, sf), fx.hot_requests(spark, sf))
+
+
 @register("apply_adds")
 def q_apply_adds(spark, sf):
     return _apply(spark, sf, "add")
@@ -284,9 +289,7 @@ def q_update_payloads(spark, sf):
 
 
 def _creates(spark, sf):
-    reqs = fx.request_table(spark, sf)
-    parents = R.resolve_parents(reqs, _listing(spark, sf))
-    return U.apply_creates(reqs, parents)
+    return U.apply_creates(fx.request_table(spark, sf), _listing(spark, sf))
 
 
 @register("apply_creates")

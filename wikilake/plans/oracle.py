@@ -263,26 +263,28 @@ SELECT split_part(line, '|', 1) AS title, CASE WHEN contains(line, '|') THEN spl
 FROM (SELECT 'Page ' || CAST(doc_id AS VARCHAR) || '|' || replace(text, chr(10), '\\n') AS line FROM documents)"""
 
 
-def _apply_sql(action: str | None, check_version: bool = False) -> str:
+def _apply_sql(action: str | None, check_version: bool = False, requests: str = "requests", more: str = "") -> str:
     filt = f"AND action = {S.q(action)}" if action else ""
     conflict = ("AND NOT (v.action = 'edit' AND v.base_version IS NOT NULL AND v.base_version <> p.version)"
                 if check_version else "")
-    chk = f"""val AS (
-  SELECT *, {reasons_sql()} AS reasons, {S.page_id_expr("url")} AS page_id_x FROM requests WHERE action <> 'create' {filt}),
+    chk = f"""{more}val AS (
+  SELECT *, {reasons_sql()} AS reasons, {S.page_id_expr("url")} AS page_id_x FROM {requests} WHERE action <> 'create' {filt}),
 ok AS (
-  SELECT v.* FROM val v LEFT JOIN (SELECT instance, page_id, version, true AS hit FROM wiki_pages) p
+  SELECT v.*, CASE WHEN v.action = 'edit' THEN {S.clean_edit_expr("content")} ELSE content END AS src
+  FROM val v LEFT JOIN (SELECT instance, page_id, version, true AS hit FROM wiki_pages) p
     ON p.instance = v.instance AND p.page_id = v.page_id_x
   WHERE len(v.reasons) = 0 AND p.hit IS NOT NULL {conflict}),
 md_src AS (
-  SELECT request_seq AS doc_id, CASE WHEN action = 'edit' THEN {S.clean_edit_expr("content")} ELSE content END AS md
-  FROM ok WHERE (coalesce(content_type, 'markdown') = 'markdown' OR action = 'edit')
-    AND (CASE WHEN action = 'edit' THEN {S.clean_edit_expr("content")} ELSE content END) IS NOT NULL)"""
+  SELECT DISTINCT src AS doc_id, src AS md FROM ok
+  WHERE (coalesce(content_type, 'markdown') = 'markdown' OR action = 'edit') AND src IS NOT NULL)"""
     from .oracle_md import markdown_to_html_sql
     return "WITH " + S.WIKI_PAGES + ",\n" + REQUESTS + ",\n" + markdown_to_html_sql(chk) + """,
 conv AS (
-  SELECT ok.*, CASE WHEN coalesce(ok.content_type, 'markdown') = 'markdown' OR ok.action = 'edit'
-                    THEN coalesce(h.html, '') ELSE ok.content END AS html
-  FROM ok LEFT JOIN html_docs h ON h.doc_id = ok.request_seq),
+  SELECT ok.* REPLACE (row_number() OVER (PARTITION BY ok.instance, page_id_x
+                        ORDER BY ok.request_seq, ok.action, ok.append, ok.content_type, sha256(ok.src)) AS request_seq),
+         CASE WHEN coalesce(ok.content_type, 'markdown') = 'markdown' OR ok.action = 'edit'
+              THEN coalesce(h.html, '') ELSE ok.content END AS html
+  FROM ok LEFT JOIN html_docs h ON h.doc_id = ok.src),
 le AS (
   SELECT instance, page_id_x AS page_id, max(CASE WHEN action = 'edit' THEN request_seq END) AS last_edit_seq,
          count(*) AS n_applied, arg_max(html, request_seq) FILTER (WHERE action = 'edit') AS edit_body,
@@ -316,6 +318,14 @@ FROM wiki_pages WHERE pid % 2 = 1"""
 ORACLE["apply_requests"] = _apply_sql(None) + "SELECT * FROM applied"
 ORACLE["apply_adds"] = _apply_sql("add") + "SELECT * FROM applied"
 ORACLE["apply_edits"] = _apply_sql("edit") + "SELECT * FROM applied"
+# a third of the conversations write to one page, all turns of a conversation under one number
+HOT = """hot_requests AS (
+  SELECT * REPLACE (request_seq // 100000 AS request_seq,
+                    CASE WHEN request_seq // 100000 % 3 = 0 THEN 'i0' ELSE instance END AS instance,
+                    CASE WHEN request_seq // 100000 % 3 = 0 AND url IS NOT NULL
+                         THEN 'https://wiki0.example.com/pages/viewpage.action?pageId=0' ELSE url END AS url) FROM requests),
+"""
+ORACLE["apply_requests_hot"] = _apply_sql(None, requests="hot_requests", more=HOT) + "SELECT * FROM applied"
 ORACLE["update_payloads"] = _apply_sql(None) + """
 SELECT instance, page_id, to_json({'version': {'number': new_version}, 'title': title, 'type': 'page',
        'body': {'storage': {'value': new_body, 'representation': 'storage'}}})::VARCHAR AS payload FROM applied"""

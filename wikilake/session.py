@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+def staged(df):
+    """``df`` written as Parquet into the shared scratch folder and read again.
+
+    Used where a plan would compute the same rows several times: the source is then read
+    once, a lost executor costs a read of the file, and the optimizer knows the true size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def partitions_for(df, bytes_per_partition: int = 128 * 1024 * 1024, max_partitions: int = 200_000) -> int:
     """Shuffle width for a per-document job: the optimizer's size estimate of ``df``
     divided by ``bytes_per_partition``, at least twice the cluster's parallelism.

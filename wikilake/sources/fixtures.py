@@ -235,6 +235,17 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request table with one number per conversation (all its turns share it), a third
+    of the conversations writing to page 0 of ``i0``."""
+    number = F.floor(F.col("request_seq") / 100000).cast("long")
+    hot = number % 3 == 0
+    url = F.when(F.col("url").isNotNull(), F.lit("https://wiki0.example.com/pages/viewpage.action?pageId=0"))
+    return request_table(spark, sf_dir).withColumns({
+        "instance": F.when(hot, F.lit("i0")).otherwise(F.col("instance")), "url": F.when(hot, url).otherwise(F.col("url")),
+        "request_seq": number})
+
+
 def markdown_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """md_docs(doc_id, md): each document line gets a markdown form by its index % 8."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
