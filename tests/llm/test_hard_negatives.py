@@ -72,7 +72,7 @@ def test_tree_prunes_and_boxes_hold_their_rows():
     order = packed_order(v, 32)
     assert sorted(order.tolist()) == list(range(5000))
     ids, labels = np.arange(5000), rng.integers(0, 4, 5000)
-    tree = RTree(v, ids, labels)
+    tree = RTree(v, ids, labels, leaf=32, fanout=32)
     q = np.array([250, -100, 30])
     for (low, high), size in zip(tree.levels, (32, 32 ** 2)):
         bottom, top = spans(q, low, high)

@@ -4,7 +4,7 @@ Packing (sort, tile, recurse) happens twice. Over the table: the rows are cut at
 the dimension of largest variance, each slab again at quantiles of the next one, into at most
 ``TILES`` tiles; quantiles come from a bounded sample, every row is placed by them. A tile of more
 than ``ROWS_PER_BLOCK`` rows is split by hash, so that a vector repeated by a third of all rows is
-many blocks. Inside a block, a task packs its rows into nodes of ``FANOUT`` entries, bottom up.
+many blocks. Inside a block, a task packs its rows into leaves of ``LEAF`` rows and nodes of ``FANOUT`` boxes, bottom up.
 
 Every node has its minimum bounding box. For an anchor q each coordinate of the box gives an
 interval of products, and their sum an interval [low, high] that holds the score of every row
@@ -39,12 +39,13 @@ from pyspark.sql.window import Window
 
 from .common import column, written
 from .topk_threshold import scaled
-from .vectors import matrix
+from .vectors import best, matrix
 
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH, WHOLE = 30, 90, 100
-FANOUT = 32
+LEAF = 256
+FANOUT = 16
 TILES = 1024
 ROWS_PER_BLOCK = 8192
 ANCHORS_PER_BLOCK = 1024
@@ -116,57 +117,76 @@ def packed_order(v: np.ndarray, leaf: int) -> np.ndarray:
     return np.concatenate(go(np.arange(len(v)), 0)) if len(v) else np.empty(0, dtype=np.int64)
 
 
+def exact_numbers(y: np.ndarray) -> np.ndarray:
+    """Integers as doubles where every inner product is exact in them (and fast)."""
+    if y.dtype == object or not y.size or float(np.abs(y).max()) ** 2 * y.shape[1] >= 2.0**52:
+        return y
+    return y.astype(np.float64)
+
+
 class RTree:
-    """Boxes of ``FANOUT`` consecutive entries per level, over rows in packed order."""
+    """Rows in packed order, ``leaf`` to a leaf; boxes of the leaves and, level by level, of
+    ``fanout`` consecutive boxes."""
 
-    def __init__(self, v: np.ndarray, ids: np.ndarray, labels: np.ndarray, fanout: int = FANOUT) -> None:
-        order = packed_order(v, fanout)
-        self.v, self.ids, self.labels, self.fanout = v[order], ids[order], labels[order], fanout
+    def __init__(self, v: np.ndarray, ids: np.ndarray, labels: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> None:
+        order = packed_order(v, leaf)
+        self.v, self.ids, self.labels, self.leaf, self.fanout = v[order], ids[order], labels[order], leaf, fanout
         self.levels = []
-        low = high = self.v
+        low, high, step = self.v, self.v, leaf
         while True:
-            starts = np.arange(0, len(low), fanout)
-            low, high = np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0)
+            starts = np.arange(0, len(low), step)
+            low, high, step = np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0), fanout
             self.levels.append((low, high))
             if len(low) == 1:
                 break
         self.opened = 0
 
-    def search(self, query: np.ndarray, own: int, label: int, same: bool, windows: list[tuple], k: int) -> list[tuple[list, list]]:
+    def bounds(self, queries: np.ndarray) -> list[tuple[list, list]]:
+        """Per level the score intervals of every query (row) with every box."""
+        return [tuple(x.T.tolist() for x in spans(queries.T, low, high)) for low, high in self.levels]
+
+    def search(self, query: np.ndarray, own: int, label: int, same: bool, windows: list[tuple], k: int,
+               bounds: list[tuple[list, list]] | None = None) -> list[tuple[list, list]]:
         """Per window (low, high, floor): ids and scores of the k best rows with low <= score
-        <= high, ties to smaller ids; rows scoring under ``floor`` are not needed."""
-        best: list[list[tuple]] = [[] for _ in windows]  # (-score, id), ascending
-        least = [max(w[0], w[2]) for w in windows]
+        <= high, ties to smaller ids; rows scoring under ``floor`` are not needed. ``bounds``:
+        the query's own intervals per level."""
+        if bounds is None:
+            bounds = [(low[0], high[0]) for low, high in self.bounds(query[None])]
+        best_of: list[list[tuple]] = [[] for _ in windows]  # (-score, id), ascending
+        need = [max(w[0], w[2]) for w in windows]
+        most = [w[1] for w in windows]
         top = len(self.levels) - 1
-        low, high = spans(query, *self.levels[top])
-        queue = [(-high[0], low[0], top, 0)]
+        queue = [(-bounds[top][1][0], bounds[top][0][0], top, 0)]
         while queue:
             minus_high, lowest, level, node = heapq.heappop(queue)
-            if -minus_high < min(least):
+            least = min(need)
+            if -minus_high < least:
                 break
-            if not any(-minus_high >= need and lowest <= w[1] for need, w in zip(least, windows)):
+            if not any(-minus_high >= n and lowest <= m for n, m in zip(need, most)):
                 continue
             self.opened += 1
-            at = slice(node * self.fanout, (node + 1) * self.fanout)
             if level:
-                below_low, below_high = self.levels[level - 1]
-                low, high = spans(query, below_low[at], below_high[at])
-                floor = min(least)
-                for i in range(len(low)):
-                    if high[i] >= floor:
-                        heapq.heappush(queue, (-high[i], low[i], level - 1, at.start + i))
+                low, high = bounds[level - 1]
+                for child in range(node * self.fanout, min((node + 1) * self.fanout, len(high))):
+                    if high[child] >= least:
+                        heapq.heappush(queue, (-high[child], low[child], level - 1, child))
+                continue
+            at = slice(node * self.leaf, (node + 1) * self.leaf)
+            scores = self.v[at] @ query
+            fit = ((self.labels[at] == label) == same) & (scores >= least) & (self.ids[at] != own)
+            rows = np.flatnonzero(fit)
+            if not len(rows):
                 continue
-            ids, scores = self.ids[at], self.v[at] @ query
-            fit = (self.labels[at] == label) == same
-            fit &= ids != own
-            for j, (w_low, w_high, _) in enumerate(windows):
-                good = np.flatnonzero(fit & (scores >= least[j]) & (scores <= w_high))
+            scores, ids = scores[rows], self.ids[at][rows]
+            for j in range(len(windows)):
+                good = np.flatnonzero((scores >= need[j]) & (scores <= most[j]))
                 if len(good):
-                    both = sorted(best[j] + [(-int(scores[i]), int(ids[i])) for i in good])[:k]
-                    best[j] = both
+                    good = good[best(scores[good], ids[good], k)]
+                    both = sorted(best_of[j] + [(-int(scores[i]), int(ids[i])) for i in good])[:k]
+                    best_of[j] = both
                     if len(both) == k:
-                        least[j] = max(least[j], -both[-1][0])
-        return [([b[1] for b in found], [-b[0] for b in found]) for found in best]
+                        need[j] = max(need[j], -both[-1][0])
+        return [([b[1] for b in found], [-b[0] for b in found]) for found in best_of]
 
 
 FOUND = "anchor bigint, slot int, ids array<bigint>, scores array<bigint>"
@@ -190,12 +210,14 @@ def search_blocks(blocks: DataFrame, asked: DataFrame, cuts: DataFrame, same: bo
         out: list[tuple] = []
         if len(block) and len(asking):
             n = len(block)
-            both = scaled(np.concatenate([matrix(block.column("v")), matrix(asking.column("q"))]), SCALE)
+            both = exact_numbers(scaled(np.concatenate([matrix(block.column("v")), matrix(asking.column("q"))]), SCALE))
             tree = RTree(both[:n], block.column("id").to_numpy(), block.column("label").to_numpy())
+            bounds = tree.bounds(both[n:])
             rest = zip(asking.column("anchor").to_pylist(), asking.column("own_label").to_pylist(),
                        *(asking.column(c).to_pylist() for c in ("lows", "highs", "floors")))
             for i, (anchor, label, lows, highs, floors) in enumerate(rest):
-                for slot, (ids, scores) in enumerate(tree.search(both[n + i], anchor, label, same, list(zip(lows, highs, floors)), k)):
+                for slot, (ids, scores) in enumerate(tree.search(
+                        both[n + i], anchor, label, same, list(zip(lows, highs, floors)), k, [(low[i], high[i]) for low, high in bounds])):
                     if ids:
                         out.append((anchor, slot, ids, clipped(scores)))
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
@@ -230,7 +252,7 @@ def mined(blocks: DataFrame, asked: DataFrame, cuts: DataFrame, boxes: tuple[np.
         out = []
         for at in range(0, len(q), 256):
             asking = matrix(pa.chunked_array([q.slice(at, 256)]))
-            y = scaled(np.concatenate([asking, low / SCALE, high / SCALE]), SCALE)
+            y = exact_numbers(scaled(np.concatenate([asking, low / SCALE, high / SCALE]), SCALE))
             y_q, y_low, y_high = np.split(y, [len(asking), len(asking) + len(low)])
             for i in range(len(asking)):
                 bottom, top = spans(y_q[i], y_low, y_high)
