@@ -31,3 +31,19 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], n_rows: int, o
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return dealt.join(shifts, same).withColumn(out, F.col("_at") + F.col("_shift")).select(*rows.columns, out)
+
+
+def last_before(rows: DataFrame, group: list[str], order: list[str], value: str, n_rows: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: the last ``value`` that is not null at the row or before it in
+    its group (by ``order``, nulls first; ``order`` must tell the rows of a group apart)."""
+    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-n_rows // ROWS_PER_RANGE))
+    by = [F.col(c).asc_nulls_first() for c in group + order]
+    dealt = staged(rows.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()))
+    place = F.struct(*order)
+    ends = dealt.filter(F.col(value).isNotNull()).groupBy(*group, "_range").agg(F.max_by(value, place).alias("_end"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = dealt.select(*group, "_range").distinct().join(ends, [*group, "_range"], "left")
+    carried = staged(every.select(*group, "_range", F.last("_end", ignorenulls=True).over(earlier).alias("_carried")))
+    inside = Window.partitionBy(*group, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    here = dealt.withColumn(out, F.last(value, ignorenulls=True).over(inside))
+    return here.join(carried, [*group, "_range"], "left").withColumn(out, F.coalesce(out, "_carried")).select(*rows.columns, out)

@@ -6,6 +6,7 @@ the DuckDB twins in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -475,3 +476,54 @@ FIRST_N = 10
 @register("first_pages")
 def q_first_pages(spark, sf):
     return L.first_pages(_listing(spark, sf).drop("req_space_key"), FIRST_N)
+
+
+# --- history, restore (R4) and dry run (R6) ------------------------------------------------------
+
+from ..operators import dryrun as DR  # noqa: E402
+from ..operators import history as HI  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+
+
+def _versions(spark, sf):
+    """The version table over stored pages and later versions, written in two batches."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    HI.append_versions(HI.stored_versions(fx.wiki_pages(spark, sf)), path, 0)
+    HI.append_versions(fx.version_batch(spark, sf), path, 1)
+    return path, HI.read_versions(spark, path)
+
+
+@register("page_history")
+def q_page_history(spark, sf):
+    return HI.page_history(_versions(spark, sf)[1])
+
+
+@register("page_as_of")
+def q_page_as_of(spark, sf):
+    found = HI.page_as_of(_versions(spark, sf)[1], fx.version_asks(spark, sf))
+    return found.select("request_seq", "instance", "page_id", "as_of", "found_version", "title", F.sha2("storage_html", 256).alias("body_sha256"))
+
+
+@register("restore_versions")
+def q_restore_versions(spark, sf):
+    path, versions = _versions(spark, sf)
+    HI.append_versions(HI.restore(versions, fx.version_asks(spark, sf).filter("request_seq % 4 = 0")), path, 2)
+    after = HI.read_versions(spark, path)
+    return after.filter("change = 'restore'").select("instance", "page_id", "version", "title", F.sha2("storage_html", 256).alias("body_sha256"))
+
+
+@register("current_pages")
+def q_current_pages(spark, sf):
+    return HI.current_pages(_versions(spark, sf)[1]).select("instance", "page_id", "version", "title", "change", F.sha2("storage_html", 256).alias("body_sha256"))
+
+
+@register("dry_run")
+def q_dry_run(spark, sf):
+    report = DR.change_report(DR.dry_run(fx.wiki_pages(spark, sf), fx.request_table(spark, sf)))
+    return report.select("instance", "page_id", "old_version", "new_version", "lost_macros", (F.col("n_added") - F.col("n_removed")).alias("net_lines"),
+                         "rebuilt_sha256", "exact", "backup_sha256")
+
+
+@register("dry_run_hunks")
+def q_dry_run_hunks(spark, sf):
+    return DR.dry_run(fx.wiki_pages(spark, sf), fx.request_table(spark, sf)).hunks

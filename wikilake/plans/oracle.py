@@ -520,3 +520,44 @@ ORACLE["first_pages"] = with_(S.WIKI_PAGES, S.LISTING) + f"""
 SELECT {_LISTING_COLS}, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY instance, space_key ORDER BY ordinal) AS INTEGER) AS rank FROM listing)
 WHERE rank <= {FIRST_N}"""
+
+
+VERSIONS = """versions AS (
+  SELECT instance, page_id, version, title, storage_html, 'stored' AS change FROM wiki_pages
+  UNION ALL
+  SELECT 'i' || n % 2, n::VARCHAR, (doc_id + 10)::INTEGER, 'Draft ' || doc_id,
+         '<p>' || replace(coalesce(text, ''), chr(10), '</p>' || chr(10) || '<p>') || '</p>', 'update'
+  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % (SELECT count(*) FROM pages) END AS n FROM documents)),
+asks AS (
+  SELECT conv_id * 100000 + turn AS request_seq, 'i' || n % 2 AS instance, n::VARCHAR AS page_id,
+         CASE WHEN turn % 6 <> 5 THEN v END::INTEGER AS as_of
+  FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id % (SELECT count(*) FROM pages) END AS n,
+               (conv_id * 31 + turn * 17) % (20 + (SELECT count(*) FROM documents)) AS v FROM conversations)),
+found AS (
+  SELECT a.*, v.version AS found_version, v.title, v.storage_html
+  FROM (SELECT *, coalesce(as_of, 2147483647) AS upto FROM asks) a
+  ASOF LEFT JOIN versions v ON a.instance = v.instance AND a.page_id = v.page_id AND a.upto >= v.version)"""
+
+ORACLE["page_history"] = with_(S.WIKI_PAGES, VERSIONS) + """
+SELECT instance, page_id, version, row_number() OVER w - 1 AS position, title, change, lag(version) OVER w AS previous_version,
+       length(storage_html) AS n_chars, length(storage_html) - lag(length(storage_html)) OVER w AS chars_added,
+       storage_html IS DISTINCT FROM lag(storage_html) OVER w AS body_changed, lead(version) OVER w IS NULL AS is_latest
+FROM versions WINDOW w AS (PARTITION BY instance, page_id ORDER BY version)"""
+ORACLE["page_as_of"] = with_(S.WIKI_PAGES, VERSIONS) + """
+SELECT request_seq, instance, page_id, as_of, found_version, title, sha256(storage_html) AS body_sha256 FROM found"""
+ORACLE["restore_versions"] = with_(S.WIKI_PAGES, VERSIONS) + """,
+turns AS (
+  SELECT f.*, n.newest, coalesce(lag(found_version) OVER (PARTITION BY f.instance, f.page_id ORDER BY request_seq), newest) AS state
+  FROM found f JOIN (SELECT instance, page_id, max(version) AS newest FROM versions GROUP BY ALL) n USING (instance, page_id)
+  WHERE found_version IS NOT NULL AND request_seq % 4 = 0)
+SELECT instance, page_id, (newest + row_number() OVER (PARTITION BY instance, page_id ORDER BY request_seq))::INTEGER AS version,
+       title, sha256(storage_html) AS body_sha256
+FROM turns WHERE found_version <> state"""
+ORACLE["current_pages"] = with_(S.WIKI_PAGES, VERSIONS) + """
+SELECT instance, page_id, version, title, change, sha256(storage_html) AS body_sha256 FROM versions
+QUALIFY version = max(version) OVER (PARTITION BY instance, page_id)"""
+ORACLE["dry_run"] = _apply_sql(None) + """
+SELECT a.instance, a.page_id, old_version, new_version, lost_macros,
+       (len(string_split(new_body, chr(10))) - len(string_split(storage_html, chr(10))))::BIGINT AS net_lines,
+       sha256(new_body) AS rebuilt_sha256, true AS exact, sha256(storage_html) AS backup_sha256
+FROM applied a JOIN wiki_pages p ON p.instance = a.instance AND p.page_id = a.page_id"""

@@ -70,6 +70,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+def library_on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this library where it is not installed but lies on a path
+    that they share with the driver (on a cluster it comes as a package or by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = spark.sparkContext.environment
+    if root not in found.get("PYTHONPATH", "").split(os.pathsep):
+        found["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [found.get("PYTHONPATH")])])
+
+
 def staged(df):
     """``df`` written as Parquet into the shared scratch folder and read again.
 

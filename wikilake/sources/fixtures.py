@@ -246,6 +246,27 @@ def hot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_seq": number})
 
 
+def version_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later versions of pages, one per document: of page 0 where doc_id % 3 = 0, else of page
+    doc_id % number of pages; version 10 + doc_id; every line of the text a paragraph."""
+    docs, pages = (read_table(spark, sf_dir, t) for t in ("documents", "pages"))
+    n = spark.sql("SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % (SELECT count(*) FROM {p}) END AS n FROM {d}", p=pages, d=docs)
+    body = F.concat(F.lit("<p>"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p>"))
+    return n.select(F.concat(F.lit("i"), (F.col("n") % 2).cast("string")).alias("instance"), F.col("n").cast("string").alias("page_id"),
+                    (F.col("doc_id") + 10).cast("int").alias("version"), F.concat(F.lit("Draft "), F.col("doc_id").cast("string")).alias("title"),
+                    body.alias("storage_html"), F.lit("update").alias("change"))
+
+
+def version_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asks(request_seq, instance, page_id, as_of), one per turn: of page 0 where conv_id % 3 =
+    0, else of page conv_id % number of pages; the newest version where turn % 6 = 5."""
+    conv, docs, pages = (read_table(spark, sf_dir, t) for t in ("conversations", "documents", "pages"))
+    n = spark.sql("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id % (SELECT count(*) FROM {p}) END AS n,
+                            (conv_id * 31 + turn * 17) % (20 + (SELECT count(*) FROM {d})) AS v FROM {c}""", p=pages, d=docs, c=conv)
+    return n.select((F.col("conv_id") * 100000 + F.col("turn")).alias("request_seq"), F.concat(F.lit("i"), (F.col("n") % 2).cast("string")).alias("instance"),
+                    F.col("n").cast("string").alias("page_id"), F.when(F.col("turn") % 6 != 5, F.col("v")).cast("int").alias("as_of"))
+
+
 def markdown_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """md_docs(doc_id, md): each document line gets a markdown form by its index % 8."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
