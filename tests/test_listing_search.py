@@ -112,3 +112,34 @@ def test_parent_is_the_last_ancestor(spark):
 def test_audit_parses_each_response_once(spark):
     plan = L.listing_audit(_raw(spark, [(0, _body([{"id": "1"}], 0))]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(instance") <= 4
+
+
+def test_many_queries_in_one_join_find_what_each_finds_alone(spark, monkeypatch):
+    """Against the one-query search, with a hot key in many parts and every odd query form."""
+    from wikilake.operators import search_many as SM
+    monkeypatch.setattr(SM, "ROWS_PER_KEY", 7)
+    titles = ["Vampire Lair Home", "Elephant Diet Guide", "TEST", "a|b $x ^y", "Straße ÄÖ", "", "x", "Lair | Home!", "two\nlines vlh", "V\nlh"] + \
+        [f"Page {i} {'odd' if i % 2 else 'even'}" for i in range(40)]
+    rows = [("i0", i, str(i), t, "EN" if i % 3 else "DE", "Space", "k") for i, t in enumerate(titles)] + [("i0", 1, "1", titles[1], "DE", "Space", "k")]
+    listing = spark.createDataFrame(rows, "instance string, ordinal int, page_id string, title string, space_key string, space_name string, own string")
+    queries = ["vlh", "TEST", "test", "'lair home", "^EN page odd", "!page", "!page !lair", "lair | diet", "lair | !page", "| x |", "a | | b", "", "   ",
+               "x$", "^DE 'diet 1$", "qzx", "!a | b", "Page even 'en", "$x", "^", "'", "ÄÖ", "äö", "straße", "7 | 8 | 9 odd", "p", "pg", "xx | yy", "vlh two", "!"]
+    asked = spark.createDataFrame(list(enumerate(queries)) + [(99, None)], "query_id int, query string").repartition(3)
+    found = SM.search_many(listing, asked)
+    assert found.columns == ["query_id", *listing.columns]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.ordinal, r.page_id))
+    for i, q in list(enumerate(queries)) + [(99, "")]:
+        alone = sorted((r.ordinal, r.page_id) for r in search_pages(listing, q).collect())
+        assert sorted(got.get(i, [])) == alone, q
+
+
+def test_many_queries_need_no_cross_join(spark):
+    from wikilake.operators import search_many as SM
+    listing = spark.createDataFrame([("i0", 1, "1", "A", "EN", "S")], "instance string, ordinal int, page_id string, title string, space_key string, space_name string")
+    found = SM.search_many(listing, spark.createDataFrame([(1, "a")], "query_id int, query string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    assert SM.search_many(listing.limit(0), spark.createDataFrame([(1, "a")], "query_id int, query string")).count() == 0
+    assert SM.search_many(listing, spark.createDataFrame([], "query_id int, query string")).count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import page_id_from_url
-from ..operators import search
+from ..operators import search, search_many
 from ..sources import fixtures as fx
 from ..sources import listing as L
 
@@ -122,6 +122,12 @@ def q_search_ext(spark, sf):
     return search.search_pages(_listing(spark, sf).drop("req_space_key"), SEARCH_QUERY_EXTENDED)
 
 
+@register("search_many")
+def q_search_many(spark, sf):
+    found = search_many.search_many(_listing(spark, sf).drop("req_space_key"), fx.search_queries(spark, sf))
+    return found.select("query_id", "instance", "ordinal", "page_id", "title", "space_key")
+
+
 @register("clean_edit")
 def q_clean_edit(spark, sf):
     r = fx.request_table(spark, sf).filter(F.col("action") == "edit")

@@ -159,6 +159,39 @@ def _search_sql(query: str) -> str:
 ORACLE["search_pages"] = _search_sql(SEARCH_QUERY)
 ORACLE["search_pages_extended"] = _search_sql(SEARCH_QUERY_EXTENDED)
 
+# every query against every row; terms become LIKE patterns, groups are cut at ' | '
+ORACLE["search_many"] = with_(S.WIKI_PAGES, S.LISTING) + r""",
+w AS (SELECT page_id::BIGINT AS query_id, page_id, space_key, list_filter(string_split(title, ' '), lambda x: length(x) > 2) AS ws FROM wiki_pages),
+ab AS (SELECT *, coalesce(ws[1], '') AS a, coalesce(ws[2], '') AS b FROM w),
+q AS (SELECT query_id, CASE query_id % 8
+        WHEN 0 THEN substr(lower(a), 1, 1) || substr(lower(a), 3, 1) || substr(lower(a), 5, 2) || ' ' || chr(39) || lower(b)
+        WHEN 1 THEN '^' || space_key || ' ' || lower(a)
+        WHEN 2 THEN chr(39) || lower(a) || ' | ' || chr(39) || lower(b) || ' !' || page_id
+        WHEN 3 THEN page_id || '$ ' || a
+        WHEN 4 THEN a || ' | ' || b || ' | qqq ' || substr(page_id, 1, 1)
+        WHEN 5 THEN lower(substr(a, 1, 3)) || lower(substr(b, 1, 3))
+        WHEN 6 THEN '!' || lower(substr(a, 1, 2)) || ' ' || chr(39) || substr(lower(b), 1, 3) || ' ' || page_id
+        ELSE '| ' || a || ' |' END AS query FROM ab),
+n AS (SELECT query_id, regexp_replace(' ' || query || ' ', '( +\|)+ +', ' | ', 'g') AS qn FROM q),
+g AS (SELECT query_id, unnest(list_filter(string_split(replace(regexp_replace(regexp_replace(qn, '^ \| ', ''), ' \| $', ''), ' | ', chr(1)), ' '),
+                                          lambda x: x <> '')) AS grp FROM n),
+gn AS (SELECT query_id, grp, row_number() OVER (PARTITION BY query_id) AS no FROM g),
+t0 AS (SELECT query_id, no, unnest(string_split(grp, chr(1))) AS tok FROM gn),
+t1 AS (SELECT *, starts_with(tok, '!') AS neg, regexp_replace(tok, '^!', '') AS r1 FROM t0),
+t2 AS (SELECT *, starts_with(r1, chr(39)) AS quoted, regexp_replace(r1, '^\x27', '') AS r2 FROM t1),
+t3 AS (SELECT *, starts_with(r2, '^') AS head, regexp_replace(r2, '^\^', '') AS r3 FROM t2),
+t4 AS (SELECT *, length(r3) > 1 AND ends_with(r3, '$') AS tail, CASE WHEN length(r3) > 1 THEN regexp_replace(r3, '\$$', '') ELSE r3 END AS txt FROM t3),
+pat AS (SELECT *, neg OR quoted OR head OR tail AS exact, list_transform(string_split(txt, ''), lambda c: CASE WHEN c IN ('!', '%', '_') THEN '!' || c ELSE c END) AS cs FROM t4),
+pt AS (SELECT query_id, no, neg, txt = lower(txt) AS fold,
+         CASE WHEN exact THEN (CASE WHEN head THEN '' ELSE '%' END) || array_to_string(cs, '') || (CASE WHEN tail THEN '' ELSE '%' END)
+              ELSE '%' || array_to_string(cs, '%') || '%' END AS p FROM pat),
+shown AS (SELECT row_number() OVER () AS rid, *, concat_ws(' | ', space_key, space_name, title, page_id) AS row_txt FROM listing),
+hit AS (SELECT query_id, rid, no, bool_or((CASE WHEN fold THEN lower(row_txt) LIKE p ESCAPE '!' ELSE row_txt LIKE p ESCAPE '!' END) <> neg) AS ok
+        FROM pt, shown GROUP BY query_id, rid, no),
+yes AS (SELECT query_id, rid FROM hit GROUP BY query_id, rid HAVING bool_and(ok)
+        UNION ALL SELECT query_id, rid FROM q, shown WHERE query_id NOT IN (SELECT query_id FROM t0))
+SELECT y.query_id, r.instance, r.ordinal, r.page_id, r.title, r.space_key FROM yes y JOIN shown r ON r.rid = y.rid"""
+
 ORACLE["clean_edit"] = with_(S.WIKI_PAGES, REQUESTS) + f"""
 SELECT request_seq, {S.clean_edit_expr("content")} AS cleaned FROM requests WHERE action = 'edit'"""
 

@@ -246,6 +246,23 @@ def hot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_seq": number})
 
 
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """queries(query_id, query), one per page, made of the words a, b of its title and its id in
+    one of eight forms (page_id % 8)."""
+    words = F.filter(F.split("title", " ", -1), lambda w: F.length(w) > 2)
+    p = wiki_pages(spark, sf_dir).select(F.col("page_id").cast("long").alias("query_id"), "page_id", "space_key",
+                                         F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("a"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("b"))
+    return p.select("query_id", F.expr("""CASE query_id % 8
+        WHEN 0 THEN concat(substr(lower(a), 1, 1), substr(lower(a), 3, 1), substr(lower(a), 5, 2), " '", lower(b))
+        WHEN 1 THEN concat('^', space_key, ' ', lower(a))
+        WHEN 2 THEN concat("'", lower(a), " | '", lower(b), ' !', page_id)
+        WHEN 3 THEN concat(page_id, '$ ', a)
+        WHEN 4 THEN concat(a, ' | ', b, ' | qqq ', substr(page_id, 1, 1))
+        WHEN 5 THEN concat(lower(substr(a, 1, 3)), lower(substr(b, 1, 3)))
+        WHEN 6 THEN concat('!', lower(substr(a, 1, 2)), " '", substr(lower(b), 1, 3), ' ', page_id)
+        ELSE concat('| ', a, ' |') END""").alias("query"))
+
+
 def version_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later versions of pages, one per document: of page 0 where doc_id % 3 = 0, else of page
     doc_id % number of pages; version 10 + doc_id; every line of the text a paragraph."""
