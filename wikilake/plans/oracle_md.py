@@ -5,7 +5,7 @@ from __future__ import annotations
 from .sqlparts import q
 
 # Fixed values of the markdown contract, stated here on their own (RE2 syntax).
-FENCE_RE = r"^ {0,3}(```|~~~)"
+FENCE_RE = r"^ {0,3}(`{3,}|~{3,})(.*)$"
 HEADING_RE = r"^#{1,6}"
 HR_RE = r"^ {0,3}(?:(?:- {0,2}){3,}|(?:_ {0,2}){3,}|(?:\* {0,2}){3,})$"
 QUOTE_RE = r"^ {0,3}>"
@@ -143,21 +143,33 @@ ml0 AS (
   SELECT doc_id, parts, unnest(range(len(parts))) AS i
   FROM (SELECT doc_id, string_split(coalesce(md, ''), chr(10)) AS parts FROM md_src)),
 ml1 AS (
-  SELECT doc_id, i AS ln, regexp_replace(parts[i + 1], '\\r$', '') AS line,
-         regexp_matches(regexp_replace(parts[i + 1], '\\r$', ''), {q(FENCE_RE)}) AS is_fence FROM ml0),
+  SELECT doc_id, i AS ln, regexp_replace(parts[i + 1], '\\r$', '') AS line FROM ml0),
+fz AS (
+  SELECT doc_id, ln, run, {strip('rest')} = '' AS bare, NOT (run[1] = '`' AND contains(rest, '`')) AS may_open
+  FROM (SELECT doc_id, ln, regexp_extract(line, {q(FENCE_RE)}, 1) AS run, regexp_extract(line, {q(FENCE_RE)}, 2) AS rest FROM ml1)
+  WHERE run <> ''),
+fc AS (
+  SELECT a.doc_id, a.ln, coalesce(min(b.ln), 2000000000) AS upto
+  FROM fz a LEFT JOIN fz b ON b.doc_id = a.doc_id AND b.ln > a.ln AND b.bare AND starts_with(b.run, a.run)
+  WHERE a.may_open GROUP BY a.doc_id, a.ln),
+fb AS (
+  SELECT doc_id, unnest(list_reduce(list({{'ln': ln, 'upto': upto}} ORDER BY ln),
+           lambda acc, x: CASE WHEN x.ln > acc[-1].upto THEN list_append(acc, x) ELSE acc END, [{{'ln': -1, 'upto': -1}}])) AS f
+  FROM (SELECT doc_id, CAST(ln AS BIGINT) AS ln, CAST(upto AS BIGINT) AS upto FROM fc) GROUP BY doc_id),
 ml2 AS (
-  SELECT *, CAST(sum(CAST(is_fence AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY ln
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fcount FROM ml1),
+  SELECT m.doc_id, m.ln, m.line, coalesce(m.ln = f.ln, false) AS opens, coalesce(m.ln <= f.upto, false) AS inside,
+         coalesce(m.ln = f.ln OR m.ln = f.upto, false) AS is_fence
+  FROM ml1 m ASOF LEFT JOIN (SELECT doc_id, f.ln AS ln, f.upto AS upto FROM fb) f ON m.doc_id = f.doc_id AND m.ln >= f.ln),
 ml3 AS (
   SELECT *, blank OR heading OR hr OR codeish AS is_sep FROM (
     SELECT *,
-      is_fence AND fcount % 2 = 1 AS fence_open,
-      fcount % 2 = 1 AND NOT is_fence AS in_code,
-      is_fence OR (fcount % 2 = 1) AS codeish,
-      NOT (is_fence OR (fcount % 2 = 1)) AND {strip('line')} = '' AS blank,
-      NOT (is_fence OR (fcount % 2 = 1)) AND regexp_matches(line, {q(HEADING_RE)}) AS heading,
-      NOT (is_fence OR (fcount % 2 = 1)) AND NOT regexp_matches(line, {q(HEADING_RE)}) AND regexp_matches(line, {q(HR_RE)}) AS hr,
-      NOT (is_fence OR (fcount % 2 = 1)) AND NOT regexp_matches(line, {q(HEADING_RE)}) AND NOT regexp_matches(line, {q(HR_RE)})
+      opens AS fence_open,
+      inside AND NOT is_fence AS in_code,
+      inside AS codeish,
+      NOT inside AND {strip('line')} = '' AS blank,
+      NOT inside AND regexp_matches(line, {q(HEADING_RE)}) AS heading,
+      NOT inside AND NOT regexp_matches(line, {q(HEADING_RE)}) AND regexp_matches(line, {q(HR_RE)}) AS hr,
+      NOT inside AND NOT regexp_matches(line, {q(HEADING_RE)}) AND NOT regexp_matches(line, {q(HR_RE)})
         AND regexp_matches(line, {q(QUOTE_RE)}) AS quote,
       regexp_matches(line, {q(LIST_RE)}) AS is_item,
       contains(line, '|') AND regexp_matches(line, {q(DELIM_RE)}) AS is_delim
@@ -205,8 +217,8 @@ mb3 AS (
       WHEN 'h' THEN '<h' || CAST(length(regexp_extract(first_line, '^(#{{1,6}})', 1)) AS VARCHAR) || '>' || h_html
                  || '</h' || CAST(length(regexp_extract(first_line, '^(#{{1,6}})', 1)) AS VARCHAR) || '>'
       WHEN 'hr' THEN '<hr />'
-      WHEN 'code' THEN '<pre><code' || CASE WHEN regexp_extract(first_line, {q(r"^ {0,3}(?:```|~~~)[ \t]*([^\s`]*)")}, 1) <> ''
-                 THEN ' class="language-' || regexp_extract(first_line, {q(r"^ {0,3}(?:```|~~~)[ \t]*([^\s`]*)")}, 1) || '"' ELSE '' END
+      WHEN 'code' THEN '<pre><code' || CASE WHEN regexp_extract(first_line, {q(r"^ {0,3}(?:`{3,}|~{3,})[ \t]*([^\s`]*)")}, 1) <> ''
+                 THEN ' class="language-' || regexp_extract(first_line, {q(r"^ {0,3}(?:`{3,}|~{3,})[ \t]*([^\s`]*)")}, 1) || '"' ELSE '' END
                  || '>' || CASE WHEN n_text > 0 THEN {esc('text')} || chr(10) ELSE '' END || '</code></pre>'
       WHEN 'q' THEN '<blockquote>' || chr(10) || '<p>' || {para('text')} || '</p>' || chr(10) || '</blockquote>'
       WHEN 'li' THEN {list_html('items')}

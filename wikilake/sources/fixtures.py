@@ -20,7 +20,7 @@ PAGE_LIMIT = 100
 TEMPLATE_HEAD = "# Notes - [Date]\n\n## [Title]\n\n"
 # Fixed value of the derived data: what every sixteenth document line stands after.
 MD_ODD = ("**use `x*y` now** [`code`](http://u/a_b_(c)) **bold *it* x** __s__ _e_ snake_case *a **b** c* ![p_q](/i_j.png \"T\")\n\n"
-          "<div class=\"n\">raw *kept*</div>\n\n| a \\| b | `c|d` |\n| --- | --- |\n| 1 | 2 |\n\n")
+          "<div class=\"n\">raw *kept*</div>\n\n| a \\| b | `c|d` |\n| --- | --- |\n| 1 | 2 |\n\n~~~~ md\n```\n~~~\n# kept\n~~~~ no end\n~~~~~  \n``` a `b`\n")
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
 LANG_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]+)"
 
