@@ -82,3 +82,12 @@ def test_stream_listing_orders_by_capture_whatever_the_batches(spark):
                 ST.write_listing_source(raw("OLD", 100) if capture == 1 else raw("NEW", 0), src, capture=capture)
             got = ST.stream_listing(spark, src, _tmp(), max_files=max_files).collect()
             assert [r.title for r in got] == ["NEW"]
+
+
+def test_template_store_keeps_bodies_exactly(spark, tmp_path):
+    rows = [("a", "x\n\ny\n"), ("b/../c", ""), ("ä", "\"q\" \\ \t \u2028 end"), ("a", "second of the name"), ("n", None)]
+    path = str(tmp_path / "store")
+    FS.write_template_store(spark.createDataFrame(rows, "name string, body string").repartition(2), path)
+    got = FS.load_template_store(spark, path)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+    assert len([f for f in (tmp_path / "store").iterdir() if f.name.startswith("part-")]) <= 2

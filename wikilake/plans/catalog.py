@@ -221,7 +221,7 @@ def q_resolve_parents(spark, sf):
 
 @register("render_templates")
 def q_render_templates(spark, sf):
-    return R.render_templates(fx.request_table(spark, sf), fx.template_table(spark, sf))
+    return R.render_templates(fx.document_template_requests(spark, sf), fx.document_templates(spark, sf))
 
 
 @register("render_document_templates")
@@ -361,8 +361,8 @@ from ..sources import files as FS  # noqa: E402
 @register("load_templates")
 def q_load_templates(spark, sf):
     path = ST._run_dir(spark, "templates")
-    FS.write_templates(fx.template_table(spark, sf), path)
-    return FS.load_templates(spark, path)
+    FS.write_template_store(fx.document_templates(spark, sf), path)
+    return FS.load_template_store(spark, path)
 
 
 @register("load_document_templates")
@@ -468,7 +468,7 @@ def _filled(reqs, templates):
 
 @register("fill_templates")
 def q_fill_templates(spark, sf):
-    return _filled(fx.request_table(spark, sf), fx.template_table(spark, sf))
+    return _filled(fx.document_template_requests(spark, sf), fx.document_templates(spark, sf))
 
 
 @register("fill_document_templates")

@@ -276,16 +276,6 @@ PARENTS = f"""parents AS (
 ORACLE["resolve_parents"] = with_(S.WIKI_PAGES, REQUESTS, S.LISTING, LOOKUP, PARENTS) + "SELECT * FROM parents"
 
 _SK_HEAD, _SK_TAIL = SKELETON.split("{title}")
-TEMPLATES = """tpl AS (
-  SELECT 'tpl_' || d.lang AS name, '# Notes - [Date]' || chr(10) || chr(10) || '## [Title]' || chr(10) || chr(10) || m.md AS body
-  FROM (SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang) d JOIN md_src m ON m.doc_id = d.doc_id)"""
-
-ORACLE["render_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, TEMPLATES) + f"""
-SELECT request_seq, template, template_found, b AS body, CAST(len(string_split(b, chr(10))) AS BIGINT) AS n_lines
-FROM (SELECT r.request_seq, r.template, t.body IS NOT NULL AS template_found,
-             regexp_replace(coalesce(t.body, {S.q(_SK_HEAD)} || r.title || {S.q(_SK_TAIL)}), '\\n+$', '') AS b
-      FROM requests r LEFT JOIN tpl t ON t.name = r.template WHERE r.action = 'create')"""
-
 ORACLE["with_base_url"] = with_(S.WIKI_PAGES, REQUESTS, S.INSTANCES) + """
 SELECT r.request_seq, r.instance, i.base_url, CASE WHEN i.base_url IS NULL THEN 'unknown profile' ELSE 'ok' END AS base_status
 FROM requests r LEFT JOIN instances i ON i.instance = r.instance"""
@@ -435,7 +425,6 @@ ORACLE["stream_convert"] = "WITH " + html_to_markdown_sql(
 
 
 # --- file sources and edit change check --------------------------------------------------------
-ORACLE["load_templates"] = with_(S.MD_SRC, TEMPLATES) + "SELECT name, body || chr(10) AS body FROM tpl"
 
 ORACLE["load_instances"] = with_(S.INSTANCES) + "SELECT instance, base_url FROM instances"
 
@@ -518,13 +507,6 @@ WHERE e.base_version <> p.version"""
 
 ORACLE["pages_in_space_stored"] = ORACLE["pages_in_space"]
 
-ORACLE["fill_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, TEMPLATES) + """
-SELECT request_seq, replace(replace(b, '[Date]', d), '[Title]', title) AS body
-FROM (SELECT r.request_seq, r.title,
-             strftime(DATE '2025-01-01' + CAST(r.request_seq % 365 AS INTEGER), '%Y-%m-%d') AS d,
-             regexp_replace(coalesce(t.body, """ + S.q(_SK_HEAD) + """ || r.title || """ + S.q(_SK_TAIL) + """), '\\n+$', '') AS b
-      FROM requests r LEFT JOIN tpl t ON t.name = r.template WHERE r.action = 'create')"""
-
 # Every document a template, and the creates' template names over all of them.
 DOCUMENT_TEMPLATES = """tpl AS (
   SELECT 'tpl_' || CAST(doc_id AS VARCHAR) AS name, '# Notes - [Date]' || chr(10) || chr(10) || '## [Title]' || chr(10) || chr(10) || md AS body
@@ -594,3 +576,8 @@ SELECT a.instance, a.page_id, old_version, new_version, lost_macros,
        (len(string_split(new_body, chr(10))) - len(string_split(storage_html, chr(10))))::BIGINT AS net_lines,
        sha256(new_body) AS rebuilt_sha256, true AS exact, sha256(storage_html) AS backup_sha256
 FROM applied a JOIN wiki_pages p ON p.instance = a.instance AND p.page_id = a.page_id"""
+
+# The three template operators over every document; the twins named after documents read files.
+ORACLE["load_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, DOCUMENT_TEMPLATES) + "SELECT name, body FROM tpl"
+ORACLE["render_templates"] = ORACLE["render_document_templates"]
+ORACLE["fill_templates"] = ORACLE["fill_document_templates"]

@@ -26,6 +26,16 @@ def write_templates(templates: DataFrame, path: str) -> None:
     templates.select("name", "body").write.mode("overwrite").partitionBy("name").text(path)
 
 
+def write_template_store(templates: DataFrame, path: str) -> None:
+    """Store templates as JSON lines: as many files as partitions, however many names."""
+    templates.select("name", "body").write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+def load_template_store(spark: SparkSession, path: str) -> DataFrame:
+    """S6 from a store: ``(name, body)``, bodies exactly as written."""
+    return spark.read.schema("name string, body string").json(path)
+
+
 def load_instances(spark: SparkSession, path: str) -> DataFrame:
     """Profile config files (``{"name": {"base_url": ..., ...}, ...}``) → ``(instance, base_url)``."""
     raw = spark.read.text(path, wholetext=True)

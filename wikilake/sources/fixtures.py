@@ -305,16 +305,6 @@ def markdown_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.transform(lines, shape), "\n").alias("md"))
 
 
-def template_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """templates(name, body): per language, a placeholder header over the markdown of its
-    lowest document id."""
-    md = markdown_inputs(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
-    first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
-    body = F.concat(F.lit(TEMPLATE_HEAD), F.col("md"))
-    return first.join(md, "doc_id").select(F.concat(F.lit("tpl_"), F.col("lang")).alias("name"), body.alias("body"))
-
-
 def document_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """templates(name, body): every document as a template, named by its id."""
     name = F.concat(F.lit("tpl_"), F.col("doc_id").cast("string"))
