@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +54,39 @@ def library_on_workers(spark: SparkSession) -> None:
         found["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [found.get("PYTHONPATH")])])
 
 
-def pieces(batches: Iterator, rows: int = 512) -> Iterator:
-    """The Arrow arrays of ``batches`` in slices of at most ``rows``, so that a function's
-    working memory does not follow the size of Spark's batches."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+#: What tasks may keep in a worker for their own length: each entry empties one memo.
+MEMOS: list[Callable[[], object]] = []
+
+
+def release() -> None:
+    """Gives back what a finished task leaves in its Python worker, which Spark keeps for
+    later tasks of other operators: memos, Arrow's unused pages, freed heap."""
+    for forget in MEMOS:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches: Iterator, rows: int = 512, most_bytes: int = 4 << 20) -> Iterator:
+    """The Arrow arrays of ``batches`` in slices of at most ``rows`` and about ``most_bytes``
+    (one row at least), so that a function's working memory does not follow the size of
+    Spark's batches; memory is given back after the last one. Batches of several arrays
+    (tuples) are sliced alike."""
+    try:
+        for batch in batches:
+            parts = batch if isinstance(batch, tuple) else (batch,)
+            at, n = 0, len(parts[0])
+            while at < n:
+                step = min(rows, n - at)
+                while step > 1 and sum(p.slice(at, step).nbytes for p in parts) > most_bytes:
+                    step //= 2
+                cut = tuple(p.slice(at, step) for p in parts)
+                yield cut if isinstance(batch, tuple) else cut[0]
+                at += step
+    finally:
+        release()
 
 
 def shuffle_width(spark: SparkSession, n_units: int, per_task: int) -> int:

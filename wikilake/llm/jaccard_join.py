@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, free_name, pieces, written
+from .common import MEMOS, column, free_name, pieces, written
 from .components import connected_components
 
 WORDS = 3
@@ -56,6 +56,7 @@ MEMO = 1 << 17
 
 SHAPE = "struct<n:bigint,digest:binary,sigs:array<bigint>>"
 _memo: dict[bytes, int] = {}
+MEMOS.append(_memo.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -379,7 +379,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", fdr: float = FDR) ->
 
     @F.arrow_udf("string")
     def redact(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, spans in batches:
+        for texts, spans in pieces(batches):
             yield pa.array((redact_text(t, s) if s and t else t for t, s in zip(texts.to_pylist(), spans.to_pylist())), pa.string())
 
     return found.select(*[redact(column(docs, c), F.col(out)).alias(c) if c == text_col else column(docs, c)
