@@ -10,6 +10,7 @@ HEADING_RE = r"^#{1,6}"
 HR_RE = r"^ {0,3}(?:(?:- {0,2}){3,}|(?:_ {0,2}){3,}|(?:\* {0,2}){3,})$"
 QUOTE_RE = r"^ {0,3}>"
 LIST_RE = r"^( *)([-*+]|[0-9]+\.)[ \t]+(.*)$"
+INDENT_RE = r"^(?: {4}|\t)"
 DELIM_RE = r"^ *\|? *:?-+:? *(\| *:?-+:? *)*\|? *$"
 BLOCK_TAGS = ("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr iframe "
               "main nav ol p pre section summary table tbody td tfoot th thead tr ul").split()
@@ -96,15 +97,28 @@ def close_from(stack: str, keep: str, sep_last: bool) -> str:
     return f"(CASE WHEN length({stack}) > {keep} THEN {joined} ELSE '' END)"
 
 
+def element_block(x: str) -> str:
+    """A loose element as a block inside its item."""
+    ls = f"string_split({x}.dedented, chr(10))"
+    code = f"'<pre><code>' || {esc(f"array_to_string(list_transform({ls}[2:len({ls}) - 1], lambda l: l || chr(10)), '')")} || '</code></pre>'"
+    quote = f"'<blockquote>' || chr(10) || '<p>' || {para(f"regexp_replace({x}.txt, '(?m)^> ?', '', 'g')")} || '</p>' || chr(10) || '</blockquote>'"
+    run = f"regexp_extract({ls}[1], {q('^(`{3,}|~{3,})[^`]*$')}, 1)"
+    is_code = f"{run} <> '' AND len({ls}) >= 2 AND starts_with({ls}[-1], {run}) AND regexp_full_match({ls}[-1], '`+|~+')"
+    return f"(CASE WHEN {is_code} THEN {code} WHEN starts_with({x}.txt, '>') THEN {quote} ELSE '<p>' || coalesce({x}.item_html, '') || '</p>' END || chr(10))"
+
+
 def list_html(items: str) -> str:
+    """One pass over the elements of a list with the open lists as a stack of letters."""
     d = "length(acc.stack)"
-    eff = f"least(x.lvl, {d})"
+    eff = f"CASE WHEN x.own THEN least(x.lvl, {d}) ELSE least(greatest(x.lvl - 1, 0), {d} - 1) END"
     tag = "CASE WHEN x.ltype = 'o' THEN 'ol' ELSE 'ul' END"
-    piece = (f"CASE WHEN {eff} = {d} THEN '<' || {tag} || '>' || chr(10) || '<li>' "
-             f"ELSE {close_from('acc.stack', f'({eff} + 1)', False)} || '</li>' || chr(10) || '<li>' END")
-    stack = f"CASE WHEN {eff} = {d} THEN acc.stack || x.ltype ELSE substr(acc.stack, 1, {eff} + 1) END"
-    red = (f"list_reduce({items}, lambda acc, x: {{'html': acc.html || {piece} || coalesce(x.item_html, ''), "
-           f"'stack': {stack}}}, {{'html': '', 'stack': ''}})")
+    back = close_from('acc.stack', '(x.eff + 1)', False)
+    piece = (f"CASE WHEN NOT x.own THEN {back} WHEN x.eff = {d} THEN '<' || {tag} || '>' || chr(10) || '<li>' "
+             f"ELSE {back} || '</li>' || chr(10) || '<li>' END")
+    stack = f"CASE WHEN x.own AND x.eff = {d} THEN acc.stack || x.ltype ELSE substr(acc.stack, 1, x.eff + 1) END"
+    step = f"{{'html': acc.html || {piece} || x.body, 'stack': {stack}}}"
+    step = f"list_transform([struct_insert(x0, eff := {eff.replace('x.', 'x0.')})], lambda x: {step})[1]"
+    red = f"list_reduce({items}, lambda acc, x0: {step}, {{'html': '', 'stack': ''}})"
     return f"(SELECT r.html || {close_from('r.stack', '0', True)} FROM (SELECT {red} AS r))"
 
 
@@ -179,15 +193,21 @@ ml4 AS (
     NOT is_sep AND (coalesce(lag(is_sep) OVER w, true) OR quote <> coalesce(lag(quote) OVER w, false)) AS run_start,
     coalesce(lead(is_delim) OVER w AND NOT lead(is_sep) OVER w, false) AS next_delim
   FROM ml3 WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+ml4b AS (
+  SELECT *, max(CASE WHEN heading OR hr OR codeish OR (run_start AND NOT may_go_on) THEN ln END) OVER (PARTITION BY doc_id ORDER BY ln
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_break,
+            max(CASE WHEN run_start AND is_item THEN ln END) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_item_run
+  FROM (SELECT *, run_start AND NOT quote AND (is_item OR regexp_matches(line, {q(INDENT_RE)})) AS may_go_on FROM ml4)),
 ml5 AS (
   SELECT *,
-    CAST(sum(CAST(heading OR hr OR fence_open OR run_start AS INTEGER)) OVER r AS BIGINT) AS block_id,
-    last_value(CASE WHEN run_start THEN CASE WHEN quote THEN 'q' WHEN is_item THEN 'li' WHEN regexp_matches(line, {q(RAW_RE)}) THEN 'raw'
+    CAST(sum(CAST(heading OR hr OR fence_open OR (run_start AND NOT goes_on) AS INTEGER)) OVER r AS BIGINT) AS block_id,
+    last_value(CASE WHEN run_start THEN CASE WHEN goes_on THEN 'li' WHEN quote THEN 'q' WHEN is_item THEN 'li' WHEN regexp_matches(line, {q(RAW_RE)}) THEN 'raw'
                     WHEN contains(line, '|') AND next_delim THEN 'tbl' ELSE 'p' END END IGNORE NULLS) OVER r AS run_kind,
-    CAST(sum(CAST(is_item AND NOT is_sep AS INTEGER)) OVER r AS BIGINT) AS item_seq
-  FROM ml4 WINDOW r AS (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    CAST(sum(CAST((is_item AND NOT is_sep) OR goes_on AS INTEGER)) OVER r AS BIGINT) AS item_seq
+  FROM (SELECT *, may_go_on AND coalesce(last_item_run > coalesce(last_break, -1), false) AS goes_on FROM ml4b)
+  WINDOW r AS (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ml6 AS (
-  SELECT doc_id, block_id, ln, kind, line,
+  SELECT doc_id, block_id, ln, kind, line, goes_on,
     CASE WHEN kind = 'li' THEN item_seq ELSE 0 END AS sub,
     CASE WHEN kind = 'code' THEN CASE WHEN in_code THEN line END
          WHEN kind = 'q' THEN regexp_replace(line, '^ {{0,3}}> ?', '')
@@ -199,17 +219,26 @@ ml6 AS (
         FROM ml5)),
 mb1 AS (
   SELECT *,
-    CAST(floor(length(regexp_extract(first_line, {q(LIST_RE)}, 1)) / 4) AS INTEGER) AS lvl,
+    regexp_matches(first_line, {q(LIST_RE)}) AS own,
+    CAST(floor(length(replace(regexp_extract(first_line, '^([ \\t]*)', 1), chr(9), '    ')) / 4) AS INTEGER) AS lvl,
+    array_to_string(list_transform(string_split(raw, chr(10)), lambda l: CASE
+      WHEN length(l) - length(ltrim(l, ' ' || chr(9))) >= length(regexp_extract(first_line, '^([ \\t]*)', 1))
+      THEN substr(l, length(regexp_extract(first_line, '^([ \\t]*)', 1)) + 1) ELSE ltrim(l, ' ' || chr(9)) END), chr(10)) AS dedented,
     CASE WHEN ends_with(regexp_extract(first_line, {q(LIST_RE)}, 2), '.') THEN 'o' ELSE 'u' END AS ltype,
     CASE WHEN kind IN ('li', 'h') THEN {inline(f"CASE WHEN kind = 'h' THEN {strip(chr(39) + '' + chr(39) + ' || regexp_extract(first_line, ' + q('^#{1,6}(.*?)#*$') + ', 1)')} ELSE text END")} END AS item_html
-  FROM (SELECT doc_id, block_id, sub, coalesce(string_agg(text, chr(10) ORDER BY ln), '') AS text,
+  FROM (SELECT doc_id, block_id, sub, coalesce(string_agg(text, chr(10) ORDER BY ln), '') AS text, bool_or(goes_on) AS goes_on,
+               coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE kind = 'li'), '') AS raw,
                arg_min(line, ln) AS first_line, any_value(kind) AS kind, count(text) AS n_text
         FROM ml6 GROUP BY doc_id, block_id, sub)),
+mb1b AS (
+  SELECT *, CASE WHEN goes_on OR next_loose OR NOT own THEN CASE WHEN own THEN chr(10) ELSE '' END || {element_block('e')} ELSE coalesce(item_html, '') END AS body
+  FROM (SELECT *, {{'dedented': dedented, 'txt': text, 'item_html': item_html}} AS e,
+               coalesce(lead(goes_on) OVER (PARTITION BY doc_id, block_id ORDER BY sub), false) AS next_loose FROM mb1)),
 mb2 AS (
   SELECT doc_id, block_id, any_value(kind) AS kind, arg_min(first_line, sub) AS first_line, arg_min(text, sub) AS text,
          arg_min(n_text, sub) AS n_text, arg_min(item_html, sub) AS h_html,
-         list({{'sub': sub, 'lvl': lvl, 'ltype': ltype, 'item_html': item_html}} ORDER BY sub) AS items
-  FROM mb1 GROUP BY doc_id, block_id),
+         list({{'own': own, 'lvl': lvl, 'ltype': ltype, 'body': body}} ORDER BY sub) AS items
+  FROM mb1b GROUP BY doc_id, block_id),
 mb3 AS (
   SELECT doc_id, block_id,
     CASE kind

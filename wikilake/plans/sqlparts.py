@@ -129,7 +129,9 @@ def clean_edit_expr(x: str) -> str:
 
 # Fixed value of the derived data: what every sixteenth document line stands after.
 MD_ODD = ("**use `x*y` now** [`code`](http://u/a_b_(c)) **bold *it* x** __s__ _e_ snake_case *a **b** c* ![p_q](/i_j.png \"T\")\n\n"
-          "<div class=\"n\">raw *kept*</div>\n\n| a \\| b | `c|d` |\n| --- | --- |\n| 1 | 2 |\n\n~~~~ md\n```\n~~~\n# kept\n~~~~ no end\n~~~~~  \n``` a `b`\n")
+          "<div class=\"n\">raw *kept*</div>\n\n| a \\| b | `c|d` |\n| --- | --- |\n| 1 | 2 |\n\n~~~~ md\n```\n~~~\n# kept\n~~~~ no end\n~~~~~  \n``` a `b`\n\n"
+          "1. one\n\n2. two\n   more\n\n    para *of* two\n\n    > quoted\n    > twice\n\n    ```py\n      code <x>\n    ```\n\n    - inner\n\n    - last\n"
+          "        1. deep\n3. three\n4. four\n\n- other\n\nend\n\n    not listed\n\n* a\n\n        far\n\n")
 MD_SRC = """md_src AS (
   SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line, i:
     CASE (i - 1) % 8
