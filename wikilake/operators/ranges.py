@@ -24,7 +24,8 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], n_rows: int, o
     dealt = staged(rows.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
     in_range = F.shiftright("_at", 33)  # the upper bits are the partition
     counts = dealt.groupBy(*group, in_range.alias("_range")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(group or [F.lit(0)]))  # rows: ranges
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
     shifts = staged(counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_range", shift.alias("_shift")))
     same = F.col("_range") == in_range

@@ -488,6 +488,7 @@ def q_first_pages(spark, sf):
 
 from ..operators import dryrun as DR  # noqa: E402
 from ..operators import history as HI  # noqa: E402
+from ..operators import selection as SE  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
 
 
@@ -523,6 +524,21 @@ def q_current_pages(spark, sf):
     return HI.current_pages(_versions(spark, sf)[1]).select("instance", "page_id", "version", "title", "change", F.sha2("storage_html", 256).alias("body_sha256"))
 
 
+def _selected(spark, sf):
+    return SE.expand_requests(fx.selector_table(spark, sf), _listing(spark, sf).drop("req_space_key"), fx.instances(spark, sf))
+
+
+@register("expand_requests")
+def q_expand_requests(spark, sf):
+    return _selected(spark, sf).select("request_seq", "selector_id", "instance", "url", "content", "content_type", "append")
+
+
+@register("apply_selected")
+def q_apply_selected(spark, sf):
+    done = U.apply_requests(fx.wiki_pages(spark, sf), _selected(spark, sf).drop("selector_id"))
+    return done.select("instance", "page_id", "old_version", "new_version", "n_applied", F.sha2("new_body", 256).alias("body_sha256"))
+
+
 @register("dry_run")
 def q_dry_run(spark, sf):
     report = DR.change_report(DR.dry_run(fx.wiki_pages(spark, sf), fx.request_table(spark, sf)))

@@ -581,3 +581,32 @@ FROM applied a JOIN wiki_pages p ON p.instance = a.instance AND p.page_id = a.pa
 ORACLE["load_templates"] = with_(S.WIKI_PAGES, REQUESTS, S.MD_SRC, DOCUMENT_TEMPLATES) + "SELECT name, body FROM tpl"
 ORACLE["render_templates"] = ORACLE["render_document_templates"]
 ORACLE["fill_templates"] = ORACLE["fill_document_templates"]
+
+SELECTED = """selectors AS (
+  SELECT DISTINCT 's/' || instance || '/' || space_key AS selector_id, instance, 'space' AS select_by, space_key AS select_value,
+         'Note to **' || space_key || '**' AS content, 'markdown' AS content_type, true AS append FROM wiki_pages
+  UNION ALL
+  SELECT 'p/' || page_id, instance, CASE WHEN pid % 16 = 0 THEN 'search' ELSE 'list' END,
+         CASE WHEN pid % 16 = 0 THEN lower(coalesce(list_filter(string_split(title, ' '), lambda x: length(x) > 2)[1], 'qqq'))
+              ELSE page_id || ', ' || (pid + 2) || ', ' || (pid + 900000000) END,
+         '<p>see ' || page_id || '</p>', 'html', pid % 8 = 0
+  FROM wiki_pages WHERE pid % 4 = 0),
+firsts AS (SELECT instance, page_id, min(ordinal) AS ordinal FROM listing GROUP BY ALL),
+picked AS (
+  SELECT s.selector_id, l.instance, l.page_id, l.ordinal FROM selectors s JOIN listing l
+    ON s.instance = l.instance AND (s.select_by = 'space' AND s.select_value = l.space_key
+       OR s.select_by = 'search' AND contains(lower(concat_ws(' | ', l.space_key, l.space_name, l.title, l.page_id)), s.select_value))
+  UNION ALL
+  SELECT s.selector_id, s.instance, s.page_id, f.ordinal
+  FROM (SELECT *, trim(unnest(string_split(select_value, ','))) AS page_id FROM selectors WHERE select_by = 'list') s
+  LEFT JOIN firsts f ON f.instance = s.instance AND f.page_id = s.page_id),
+once AS (SELECT selector_id, instance, page_id, min(ordinal) AS ordinal FROM picked GROUP BY ALL),
+expanded AS (
+  SELECT row_number() OVER (ORDER BY selector_id, ordinal NULLS FIRST, o.page_id, o.instance) - 1 AS request_seq, o.selector_id, o.instance,
+         rtrim(i.base_url, '/') || '/pages/viewpage.action?pageId=' || o.page_id AS url, s.content, s.content_type, s.append,
+         'add' AS action, o.page_id AS target, NULL::INTEGER AS base_version, NULL::VARCHAR AS space_key, NULL::VARCHAR AS title
+  FROM once o JOIN selectors s USING (selector_id) JOIN instances i ON i.instance = o.instance)"""
+ORACLE["expand_requests"] = with_(S.WIKI_PAGES, S.INSTANCES, S.LISTING, SELECTED) + """
+SELECT request_seq, selector_id, instance, url, content, content_type, append FROM expanded"""
+ORACLE["apply_selected"] = _apply_sql(None, requests="expanded", more=",\n".join([S.INSTANCES, S.LISTING, SELECTED]) + ",\n") + """
+SELECT instance, page_id, old_version, new_version, n_applied, sha256(new_body) AS body_sha256 FROM applied"""

@@ -265,6 +265,25 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE concat('| ', a, ' |') END""").alias("query"))
 
 
+def selector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """selectors: for each (instance, space) of the pages a note to every page of the space; for
+    every page whose id is divisible by 4 an html remark to its neighbours by list (ids n, n + 2
+    and one that no page has) or, where divisible by 16, to what its title's first word finds."""
+    pages = wiki_pages(spark, sf_dir)
+    spaces = pages.select("instance", "space_key").distinct().select(
+        F.concat_ws("/", F.lit("s"), "instance", "space_key").alias("selector_id"), "instance", F.lit("space").alias("select_by"),
+        F.col("space_key").alias("select_value"), F.concat(F.lit("Note to **"), "space_key", F.lit("**")).alias("content"),
+        F.lit("markdown").alias("content_type"), F.lit(True).alias("append"))
+    n = F.col("page_id").cast("long")
+    word = F.coalesce(F.get(F.filter(F.split("title", " ", -1), lambda w: F.length(w) > 2), F.lit(0)), F.lit("qqq"))
+    some = pages.filter(n % 4 == 0).select(
+        F.concat(F.lit("p/"), "page_id").alias("selector_id"), "instance", F.when(n % 16 == 0, "search").otherwise("list").alias("select_by"),
+        F.when(n % 16 == 0, F.concat(F.lit("'"), F.lower(word))).otherwise(
+            F.concat_ws(", ", "page_id", (n + 2).cast("string"), (n + 900000000).cast("string"))).alias("select_value"),
+        F.concat(F.lit("<p>see "), "page_id", F.lit("</p>")).alias("content"), F.lit("html").alias("content_type"), (n % 8 == 0).alias("append"))
+    return spaces.unionByName(some).withColumn("action", F.lit("add"))
+
+
 def version_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later versions of pages, one per document: of page 0 where doc_id % 3 = 0, else of page
     doc_id % number of pages; version 10 + doc_id; every line of the text a paragraph."""
