@@ -487,6 +487,7 @@ def q_first_pages(spark, sf):
 # --- history, restore (R4) and dry run (R6) ------------------------------------------------------
 
 from ..operators import dryrun as DR  # noqa: E402
+from ..operators import export_store as ES  # noqa: E402
 from ..operators import history as HI  # noqa: E402
 from ..operators import selection as SE  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
@@ -524,6 +525,15 @@ def q_current_pages(spark, sf):
     return HI.current_pages(_versions(spark, sf)[1]).select("instance", "page_id", "version", "title", "change", F.sha2("storage_html", 256).alias("body_sha256"))
 
 
+@register("export_space")
+def q_export_space(spark, sf):
+    """Every space of the store, each read back from its files."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    ES.write_page_store(fx.wiki_pages(spark, sf), f"{base}/store")
+    ES.export_space(spark, f"{base}/store", fx.instances(spark, sf), f"{base}/out")
+    return ES.checked_files(spark, f"{base}/out").drop("path")
+
+
 def _selected(spark, sf):
     return SE.expand_requests(fx.selector_table(spark, sf), _listing(spark, sf).drop("req_space_key"), fx.instances(spark, sf))
 

@@ -610,3 +610,8 @@ ORACLE["expand_requests"] = with_(S.WIKI_PAGES, S.INSTANCES, S.LISTING, SELECTED
 SELECT request_seq, selector_id, instance, url, content, content_type, append FROM expanded"""
 ORACLE["apply_selected"] = _apply_sql(None, requests="expanded", more=",\n".join([S.INSTANCES, S.LISTING, SELECTED]) + ",\n") + """
 SELECT instance, page_id, old_version, new_version, n_applied, sha256(new_body) AS body_sha256 FROM applied"""
+
+ORACLE["export_space"] = ORACLE["export_documents"].split("SELECT d.instance")[0] + """,
+spaced AS (SELECT doc.*, p.space_key FROM doc JOIN wiki_pages p ON p.instance = doc.instance AND p.page_id = doc.page_id)
+SELECT instance, space_key, file_name, page_id, strlen(content)::BIGINT AS n_bytes, sha256(content) AS sha256, true AS intact
+FROM spaced QUALIFY page_id = max(page_id) OVER (PARTITION BY instance, space_key, file_name)"""
