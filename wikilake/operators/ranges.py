@@ -48,3 +48,21 @@ def last_before(rows: DataFrame, group: list[str], order: list[str], value: str,
     inside = Window.partitionBy(*group, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     here = dealt.withColumn(out, F.last(value, ignorenulls=True).over(inside))
     return here.join(carried, [*group, "_range"], "left").withColumn(out, F.coalesce(out, "_carried")).select(*rows.columns, out)
+
+
+def prefix_sums(rows: DataFrame, group: list[str], order: list[str], value: str, n_rows: int, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``value`` over the row and those before it in its
+    group (by ``order``, nulls first; ``order`` must tell the rows of a group apart)."""
+    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-n_rows // ROWS_PER_RANGE))
+    by = [F.col(c).asc_nulls_first() for c in group + order]
+    dealt = staged(rows.repartitionByRange(width, *by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = staged(sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"),
+                                 F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried")))
+    inside = Window.partitionBy(*group, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    here = dealt.withColumn(out, F.sum(value).over(inside))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return here.join(carried, same).withColumn(out, F.col(out) + F.col("_carried")).select(*rows.columns, out)

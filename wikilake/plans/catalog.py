@@ -486,6 +486,7 @@ def q_first_pages(spark, sf):
 
 # --- history, restore (R4) and dry run (R6) ------------------------------------------------------
 
+from ..operators import coverage as CO  # noqa: E402
 from ..operators import dryrun as DR  # noqa: E402
 from ..operators import export_store as ES  # noqa: E402
 from ..operators import history as HI  # noqa: E402
@@ -534,6 +535,16 @@ def q_export_space(spark, sf):
     return ES.checked_files(spark, f"{base}/out").drop("path")
 
 
+@register("listing_coverage")
+def q_listing_coverage(spark, sf):
+    return CO.listing_coverage(L.response_extents(fx.captures(spark, sf)))
+
+
+@register("listing_moves")
+def q_listing_moves(spark, sf):
+    return CO.listing_moves(L.page_listing(fx.captures(spark, sf), "capture"))
+
+
 def _selected(spark, sf):
     return SE.expand_requests(fx.selector_table(spark, sf), _listing(spark, sf).drop("req_space_key"), fx.instances(spark, sf))
 

@@ -615,3 +615,27 @@ ORACLE["export_space"] = ORACLE["export_documents"].split("SELECT d.instance")[0
 spaced AS (SELECT doc.*, p.space_key FROM doc JOIN wiki_pages p ON p.instance = doc.instance AND p.page_id = doc.page_id)
 SELECT instance, space_key, file_name, page_id, strlen(content)::BIGINT AS n_bytes, sha256(content) AS sha256, true AS intact
 FROM spaced QUALIFY page_id = max(page_id) OVER (PARTITION BY instance, space_key, file_name)"""
+
+# offset by offset: every item of every response is a row
+CAPTURED = """captured AS (
+  SELECT instance, 1 AS capture, page_id, ordinal, ordinal // 100 AS resp FROM listing
+  UNION ALL
+  SELECT instance, 2, page_id, CASE WHEN ordinal // 100 % 3 = 1 THEN ordinal - 10 ELSE ordinal END, ordinal // 100
+  FROM listing WHERE ordinal >= 100),
+spots AS (SELECT instance, capture, ordinal, count(*) AS depth FROM captured GROUP BY ALL),
+line AS (
+  SELECT *, lag(ordinal) OVER w AS before, lag(depth) OVER w AS last_depth FROM spots WINDOW w AS (PARTITION BY instance, capture ORDER BY ordinal))"""
+ORACLE["listing_coverage"] = with_(S.WIKI_PAGES, S.LISTING, CAPTURED) + """
+SELECT instance, 'page' AS kind, CAST(NULL AS VARCHAR) AS space_key, CAST(capture AS BIGINT) AS capture, r.n_responses, r.n_items,
+       min(ordinal) AS first_offset, max(ordinal) + 1 AS end_offset, count(*) AS covered,
+       count(*) FILTER (WHERE ordinal > before + 1) AS n_gaps, coalesce(sum(ordinal - before - 1) FILTER (WHERE ordinal > before + 1), 0)::BIGINT AS gap_items,
+       count(*) FILTER (WHERE depth >= 2 AND (before IS NULL OR ordinal > before + 1 OR last_depth < 2)) AS n_overlaps, sum(depth - 1)::BIGINT AS extra_items
+FROM line JOIN (SELECT instance, capture, count(DISTINCT resp) AS n_responses, count(*) AS n_items FROM captured GROUP BY ALL) r USING (instance, capture)
+GROUP BY instance, capture, r.n_responses, r.n_items"""
+ORACLE["listing_moves"] = with_(S.WIKI_PAGES, S.LISTING, CAPTURED) + """,
+f AS (SELECT instance, capture, page_id, min(ordinal) AS o FROM captured GROUP BY ALL),
+m AS (SELECT coalesce(a.instance, b.instance) AS instance, a.o AS was, b.o AS now
+      FROM (SELECT * FROM f WHERE capture = 1) a FULL JOIN (SELECT * FROM f WHERE capture = 2) b ON a.instance = b.instance AND a.page_id = b.page_id)
+SELECT instance, 1 AS capture, 2 AS next_capture, count(*) FILTER (WHERE was = now) AS n_kept, count(*) FILTER (WHERE was <> now) AS n_moved,
+       count(*) FILTER (WHERE was IS NULL) AS n_added, count(*) FILTER (WHERE now IS NULL) AS n_removed
+FROM m WHERE instance IN (SELECT instance FROM f WHERE capture = 2) GROUP BY instance"""

@@ -265,6 +265,14 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE concat('| ', a, ' |') END""").alias("query"))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listing_raw captured twice: in capture 2 every third response (start / 100 % 3 = 1) begins
+    ten places earlier, and the first response of each listing is missing."""
+    raw = listing_raw(spark, sf_dir)
+    early = F.when(F.floor(F.col("start") / 100) % 3 == 1, F.col("start") - 10).otherwise(F.col("start")).cast("int")
+    return raw.withColumn("capture", F.lit(1)).unionByName(raw.filter("start > 0").withColumn("start", early).withColumn("capture", F.lit(2)))
+
+
 def selector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """selectors: for each (instance, space) of the pages a note to every page of the space; for
     every page whose id is divisible by 4 an html remark to its neighbours by list (ids n, n + 2

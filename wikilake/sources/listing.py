@@ -177,6 +177,16 @@ def listing_audit(raw: DataFrame) -> DataFrame:
     )
 
 
+def response_extents(raw: DataFrame) -> DataFrame:
+    """(instance, kind, space_key, capture, start, n_items): what each response covers; a
+    corrupt response covers nothing. Without a ``capture`` column all is one capture, 0."""
+    j = F.from_json("body", AUDIT_BODY, JSON_MODE)
+    capture = F.col("capture") if "capture" in raw.columns else F.lit(0)
+    parsed = raw.select("instance", "kind", "space_key", capture.cast("long").alias("capture"), "start", "body", j.alias("j"))
+    n = F.when(_is_corrupt(F.col("j"), F.col("body")), 0).otherwise(F.greatest(F.coalesce(F.size("j.results"), F.lit(0)), F.lit(0)))
+    return parsed.select("instance", "kind", "space_key", "capture", "start", n.cast("int").alias("n_items"))
+
+
 def listing_counts(listing: DataFrame) -> DataFrame:
     """A1: pages per (instance, space), per instance and in all. Rows are counted per space
     first (partial counts before the shuffle, so one hot space loads no task) and only the
