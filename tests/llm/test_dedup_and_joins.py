@@ -140,6 +140,66 @@ def test_components_on_given_documents(spark):
     assert sorted([tuple(r) for r in found], key=str) == components_by_brute_force(token_sets(rows))
 
 
+def components_by_matrix(rows, n_words, percent):
+    """As ``components_by_brute_force``, for larger tables: all overlaps by one product."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i:i + n_words]) for i in range(max(1, len(w) - n_words + 1))} if w else set())
+    at = {t: k for k, t in enumerate(set().union(*sets))}
+    has = np.zeros((len(sets), len(at)), dtype=np.float32)
+    for k, one in enumerate(sets):
+        has[k, [at[t] for t in one]] = 1
+    size = np.array([len(one) for one in sets])
+    shared = (has @ has.T).astype(np.int64)
+    link = (100 * shared >= percent * (size[:, None] + size[None, :] - shared)) & (shared > 0)
+    least = np.array([i for i, _ in rows])
+    while True:
+        now = np.array([least[row].min() if row.any() else own for row, own in zip(link, least)])
+        if (now == least).all():
+            return sorted(zip([i for i, _ in rows], size.tolist(), least.tolist()))
+        least = now
+
+
+def family(n, seed=11):
+    """``n`` near copies of one text, each changed in its own places; one in 97 links with none."""
+    rnd = random.Random(seed)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rnd.choice([1, 1, 1, 2, 2]) if i % 97 else 7):
+            words[rnd.randrange(200)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_family_of_near_copies_takes_rows_in_proportion(spark, monkeypatch):
+    asked, real = [], J.cross_queries
+
+    def counted(rows, placed):
+        found = real(rows, placed)
+        asked.append(found.count())
+        return found
+
+    monkeypatch.setattr(J, "GROUP", 16)
+    monkeypatch.setattr(J, "cross_queries", counted)
+    rows = family(1200)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = J.jaccard_components(table).select("doc_id", "near.n_shingles", "near.component_id").collect()
+    assert sorted(tuple(r) for r in found) == components_by_matrix(rows, 3, 90)
+    assert sum(asked) < 3 * len(rows)  # every pair of groups once would be 37 rows a node
+
+
+def test_components_with_other_shingles_and_similarity(spark):
+    rows = [(i, t) for i, t in near_copies() if i is not None]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = J.jaccard_components(table, words=5, percent=80).select("doc_id", "near.n_shingles", "near.component_id").collect()
+    assert sorted(tuple(r) for r in found) == components_by_matrix(rows, 5, 80)
+    assert sorted(r.doc_id for r in J.keep_one(table, words=5, percent=80).collect()) == sorted(
+        {c for _, n, c in components_by_matrix(rows, 5, 80)})
+
+
 def test_parts_lose_no_pair():
     """Any two sets at the threshold share a signature."""
     rnd = np.random.default_rng(3)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -63,3 +64,22 @@ def test_small_batches_and_kept_columns(spark):
     for r in rows:
         ids = t.encode(r.text, add_special_tokens=False).ids
         assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
+
+
+def test_batches_of_equal_words_have_names_of_their_own(spark):
+    def names(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe_codec.batch_name(["a"], k) for k in (1, 2)])], ["name"])
+
+    found = spark.range(4).repartition(2).mapInArrow(names, "name bigint").collect()
+    assert len({r.name for r in found}) == len(found) == 4
+
+
+def test_copies_that_fill_many_batches(spark):
+    path = vocabulary("word_bpe_49k.json")
+    rows = [(i, "the same old text " * 40) for i in range(200)] + [(900 + i, "") for i in range(50)] + [(999, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = {r.doc_id: r.decoded for r in bpe_codec.encode_documents(docs, path, batch_chars=2_000).select("doc_id", "bpe.decoded").collect()}
+    lib = Tokenizer.from_file(path)
+    one = lib.decode(lib.encode("the same old text " * 40, add_special_tokens=False).ids, skip_special_tokens=False)
+    assert found == {i: one if t else "" for i, t in rows}

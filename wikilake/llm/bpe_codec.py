@@ -15,9 +15,10 @@ in a row.
 
 Texts are never shuffled: what moves is a batch's distinct words, their ids, and the word
 numbers. A batch and a bucket are bounded in size; the number of buckets grows with the
-input. A frequent word is one row per batch. A batch is named by a hash of its content, so
-a batch that is computed again after a loss finds the same answers (or, if the input
-itself is not reproducible, the job fails rather than answer wrongly).
+input. A frequent word is one row per batch. A batch is named by a hash of its partition,
+its number there and its words, so batches of equal texts stay apart, and a batch that is
+computed again after a loss finds the same answers (or, if the input itself is not
+reproducible, the job fails rather than answer wrongly).
 
 Defined results: null or empty text, or only blanks, has no ids and decodes to the empty
 string; special strings inside a text become their ids, as the library does by default;
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,12 @@ def number_words(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
     return [words[i] for i in order], [number[r] for r in rows]
 
 
+def batch_name(words: list[str], number: int) -> int:
+    """Names the ``number``-th batch of this task's partition by its place and its words."""
+    place = f"{TaskContext.get().partitionId()} {number}\n"
+    return int(np.uint64(xxhash.xxh3_64_intdigest((place + "\n".join(words)).encode())).view(np.int64))
+
+
 def encode_words(words: list[str], path: str) -> list[list[int]]:
     """Ids of each word. Words of plain Latin letters go through the model's merge step
     alone, the others through the whole encoder, in calls of bounded size."""
@@ -139,22 +147,26 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: l
                                T.StructField("batch", T.LongType()), T.StructField("numbers", T.BinaryType())])
 
     def split_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for got in batches:
             texts = got.column("text").to_pylist()
             for start, end in batches_of(texts, batch_chars):
+                number += 1
                 words, numbers = number_words(texts[start:end])
                 n = end - start
-                name = np.int64(np.uint64(xxhash.xxh3_64_intdigest("\n".join(words).encode())).view(np.int64))
+                name = batch_name(words, number)
                 yield pa.RecordBatch.from_arrays(
                     [*[got.column(c).slice(start, n) for c in names], pa.array(np.full(n, name)),
                      pa.array([pack(x) for x in numbers], pa.binary())], [*names, "batch", "numbers"])
 
     def split_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for got in batches:
             texts = got.column("text").to_pylist()
             for start, end in batches_of(texts, batch_chars):
+                number += 1
                 words, _ = number_words(texts[start:end])
-                name = np.int64(np.uint64(xxhash.xxh3_64_intdigest("\n".join(words).encode())).view(np.int64))
+                name = batch_name(words, number)
                 of = np.array([xxhash.xxh32_intdigest(w.encode()) % buckets for w in words], dtype=np.int64)
                 order = np.argsort(of, kind="stable")
                 cuts = np.flatnonzero(np.diff(of[order])) + 1
