@@ -143,3 +143,25 @@ def test_many_queries_need_no_cross_join(spark):
     assert "Join Cross" not in plan and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
     assert SM.search_many(listing.limit(0), spark.createDataFrame([(1, "a")], "query_id int, query string")).count() == 0
     assert SM.search_many(listing, spark.createDataFrame([], "query_id int, query string")).count() == 0
+
+
+def test_blocks_of_queries_look_for_each_term_once(spark, monkeypatch):
+    import pyarrow as pa
+    from wikilake.operators import search_many as SM
+    looked = []
+    real = SM.term_hits
+    monkeypatch.setattr(SM, "term_hits", lambda term, text, low: looked.append(term) or real(term, text, low))
+    term = {"negate": False, "exact": True, "head": False, "tail": False, "fold": True, "text": "ab"}
+    own = {"_group": 1, "_no": 0, "t": term}
+    rows = pa.table({"_row": ["xAB", "b a", "ab"], "_low": ["xab", "b a", "ab"], "own": [{"n": i} for i in range(3)]})
+    asked = pa.table({"_q": list(range(50)), "_via": [0] * 50, "_terms": [[own]] * 50})
+    assert sorted(map(str, SM.found_in_block(rows, asked).to_pylist())) == sorted(str({"q": q, "own": {"n": n}}) for q in range(50) for n in (0, 2))
+    assert len(looked) == 1
+    # blocks of two rows and two queries find the same
+    monkeypatch.setattr(SM, "ROWS_PER_KEY", 2)
+    monkeypatch.setattr(SM, "QUERIES_PER_BLOCK", 2)
+    listing = spark.createDataFrame([("i0", i, str(i), f"T{i % 3}", "EN", "S") for i in range(9)],
+                                    "instance string, ordinal int, page_id string, title string, space_key string, space_name string")
+    asked = spark.createDataFrame([(i, "en") for i in range(7)] + [(9, "!t1 | t2")], "query_id int, query string")
+    got = sorted((r.query_id, r.ordinal) for r in SM.search_many(listing, asked).collect())
+    assert got == sorted([(q, i) for q in range(7) for i in range(9)] + [(9, i) for i in range(9) if i % 3 != 1])
