@@ -222,3 +222,34 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500)], "a bigint, b bigint")
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_a_question_is_asked_once_however_many_signatures_are_shared(spark):
+    """Against the questions signature by signature; the joins make fewer rows than those."""
+    rnd = random.Random(5)
+    rows = spark.createDataFrame([(sig, node, node % 40 if node % 3 else 0, 0) for sig in range(30) for node in range(120) if rnd.random() < 0.7],
+                                 "sig bigint, node bigint, component bigint, dominant bigint")
+    placed = spark.createDataFrame([(node, node % 7 + 100) for node in range(120)], "node bigint, grp bigint")
+    at = rows.join(placed, "node").collect()
+    reach, each = {}, []
+    for r in at:
+        reach.setdefault((r.sig, r.grp), []).append(r.component)
+    for r in at:
+        each += [(r.node, r.component, g) for (sig, g), held in reach.items() if sig == r.sig and r.component != r.dominant and g != r.grp
+                 and (r.dominant in held or r.grp > g) and (min(held) != r.component or max(held) != r.component)]
+    found = J.cross_queries(rows, placed)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == set(each)
+
+    def most(p):
+        own = int(p.metrics().apply("numOutputRows").value()) if p.metrics().contains("numOutputRows") and "Join" in p.nodeName() else 0
+        return max([own] + [most(p.children().apply(i)) for i in range(p.children().size())])
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = J.cross_queries(rows, placed)
+        executed = again._jdf.queryExecution().executedPlan()
+        executed.executeCollect()
+        assert most(executed) * 3 < len(each)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -18,7 +18,8 @@ at least ``percent`` / 100; the result is the components of the links.
    groups: a family of near copies is one component after two or three rounds, and each
    costs as many rows as there are open nodes.
 4. Matrix. A group's row is the union of its nodes' tokens. At each signature still open,
-   the nodes outside its largest component are queries to the other groups that hold it;
+   the nodes outside its largest component are queries to the other groups that hold it,
+   found by pairs of groups and made once, however many signatures a node shares with a group;
    the overlap of a query with the group's row bounds its overlap with every member, and
    only groups whose bound reaches the needed overlap are opened, member by member. Two
    nodes outside the largest component are asked in one direction.
@@ -215,13 +216,23 @@ def open_rows(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def cross_queries(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """(node, component, grp): which node of ``rows`` (see ``open_rows``) asks which group."""
+    """(node, component, grp): which node of ``rows`` (see ``open_rows``) asks which group.
+
+    Which group asks which at which signatures is found first, with a row per signature and
+    pair of groups; of these, a node outside a largest component asks the groups that its own
+    group asks at a signature of the node. A family shares many signatures, and a row per
+    signature, node and group would repeat each question at every one of them."""
     at = rows.join(placed, "node")
     reach = at.groupBy("sig", F.col("grp").alias("asked")).agg(
         F.max(F.col("component") == F.col("dominant")).alias("dominant_there"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return at.filter("component <> dominant").join(reach, "sig").filter(
-        "grp <> asked and (dominant_there or grp > asked) and (low <> component or high <> component)").select(
-        "node", "component", F.col("asked").alias("grp")).distinct()
+    outside = at.filter("component <> dominant")
+    asking = outside.groupBy("sig", "grp").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    pairs = asking.join(reach, "sig").filter(
+        "grp <> asked and (dominant_there or grp > asked) and (least <> most or low <> high or low <> least)").groupBy("grp", "asked").agg(
+        F.collect_set("sig").alias("sigs"), F.min("low").alias("low"), F.max("high").alias("high"))  # at most the signatures of a group
+    nodes = outside.groupBy("node", "component", "grp").agg(F.collect_set("sig").alias("own"))
+    return nodes.join(pairs, (nodes["grp"] == pairs["grp"]) & F.arrays_overlap("own", "sigs") & (
+        (F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))).select("node", "component", F.col("asked").alias("grp"))
 
 
 def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
