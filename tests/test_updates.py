@@ -236,3 +236,17 @@ def test_equal_numbers_of_creates_stay_two_pages(spark):
             (1, "i0", "create", None, "# B", "markdown", True, "S", "T2", None, None, None, None)]
     got = sorted((r.title, r.body) for r in U.apply_creates(spark.createDataFrame(reqs, REQ_SCHEMA)).collect())
     assert got == [("T1", "<h1>A</h1>"), ("T2", "<h1>B</h1>")]
+
+
+def test_untouched_buffers_are_not_converted(spark, monkeypatch):
+    converted = []
+    real = U.markdown_to_html
+    monkeypatch.setattr(U, "markdown_to_html", lambda texts, **k: converted.extend(r.src for r in texts.select("src").collect()) or real(texts, **k))
+    pages = spark.createDataFrame([("i0", str(i), "T", "S", "S", 1, f"<p>body {i}</p>") for i in range(4)],
+                                  "instance string, page_id string, title string, space_key string, space_name string, version int, storage_html string")
+    reqs = spark.createDataFrame([(i, "i0", "edit", f"http://h/pages/viewpage.action?pageId={i}", f"body {i}" + ("\n\nmore" if i == 3 else ""), "markdown", True, 1) for i in range(4)],
+                                 "request_seq long, instance string, action string, url string, content string, content_type string, append boolean, base_version int")
+    for c in ("space_key", "title", "parent_id", "parent_title", "template"):
+        reqs = reqs.withColumn(c, F.lit(None).cast("string"))
+    got = [(r.page_id, r.new_body) for r in U.apply_requests(pages, reqs).collect()]
+    assert got == [("3", "<p>body 3</p>\n<p>more</p>")] and converted == ["body 3\n\nmore"]

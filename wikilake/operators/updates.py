@@ -148,8 +148,8 @@ def apply_requests(pages: DataFrame, reqs: DataFrame, check_version: bool = Fals
     source = accepted_requests(reqs, pages, check_version)
     ok = source
     if not source.filter("action = 'edit'").isEmpty():
-        ok = drop_unchanged(source, pages)
-    whole = summed_up(ok, source, segment_rows)
+        ok = staged(drop_unchanged(source, pages))
+    whole = summed_up(ok, ok, segment_rows)  # texts that go are not converted
     pg = pages.select(*KEY, "title", F.col("version").alias("old_version"), F.col("storage_html"))
     out = whole.join(pg, KEY, "inner")
     body = F.concat_ws("\n", F.col("prepends"), F.coalesce(F.col("base"), F.col("storage_html")), F.col("appends"))
