@@ -250,3 +250,14 @@ def test_untouched_buffers_are_not_converted(spark, monkeypatch):
         reqs = reqs.withColumn(c, F.lit(None).cast("string"))
     got = [(r.page_id, r.new_body) for r in U.apply_requests(pages, reqs).collect()]
     assert got == [("3", "<p>body 3</p>\n<p>more</p>")] and converted == ["body 3\n\nmore"]
+
+
+def test_shuffle_width_follows_the_stored_size(spark, tmp_path):
+    import os
+    from wikilake.session import partitions_for
+    rows = [(i, os.urandom(2000).hex(), *range(12)) for i in range(1000)]
+    spark.createDataFrame(rows, ["id", "text", *[f"n{i}" for i in range(12)]]).coalesce(1).write.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    table = spark.read.parquet(str(tmp_path / "t")).select("id", "text")
+    assert partitions_for(table, 20_000) >= size // 20_000
+    assert partitions_for(table) == 2 * spark.sparkContext.defaultParallelism
