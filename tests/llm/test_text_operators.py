@@ -189,6 +189,38 @@ def test_template_heavy_pages_are_no_versions(spark):
     assert found[50] == whole + " first" and found[51] == whole + " second"
 
 
+def test_marked_pages_are_differenced(spark):
+    """Lines outside the article go if the nearest page has them; those inside stay."""
+    def page(k):
+        return (f"<body><nav>menu</nav><p>Site name<p>Own words {k} before<article class=teaser><p>Quoted passage<p>Look at {k * k}</article>"
+                f"<p>Own words {k} after<p>All rights kept<div class=ad>buy {k}</div><footer>f</footer>")
+
+    rows = [(k, f"http://h/news/{k}", page(k)) for k in range(20)] + [(0, "http://h/news/0", page(0))]
+    rows += [(50, "http://alone/x", page(50)), (51, "http://empty/x", page(51)), (52, "http://empty/y", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = [(r.page_id, r.main.text) for r in html_extract.extract_main_text(pages).collect()]
+    own = [(k, f"Own words {k} before Quoted passage Look at {k * k} Own words {k} after") for k in [0, *range(20)]]
+    lone = [(k, f"Site name Own words {k} before Quoted passage Look at {k * k} Own words {k} after All rights kept") for k in (50, 51)]
+    assert sorted(found) == own + lone + [(52, "")]
+
+
+def test_marked_and_unmarked_pages_are_neighbours(spark):
+    rows = [(k, f"http://h/news/{k}", f"<p>Site name<p>All rights kept{'<article>' if k != 7 else ''}<p>Story {k}<p>and so on") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.main.text for r in html_extract.extract_main_text(pages).collect()}
+    assert found == {k: f"Story {k}{' and so on' * (k != 7)}" for k in range(20)}
+
+
+def test_two_addresses_of_a_marked_page_keep_its_text(spark):
+    body = "".join(f"<p>Long line {i}" for i in range(14))
+    rows = [(k, f"http://h/a/{k}", f"<p>Site name<article><p>Story {k}</article>") for k in range(20)]
+    rows += [(k, f"http://h/z/{k}", f"<p>Site name<article><p>See also</article>{body}") for k in (50, 51)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.main.text for r in html_extract.extract_main_text(pages).collect()}
+    assert all(found[k] == f"Story {k}" for k in range(20))
+    assert found[50] == found[51] == "See also " + " ".join(f"Long line {i}" for i in range(14))
+
+
 def test_nearest_paths_over_ranges(spark):
     rnd = random.Random(4)
     rows = sorted({(rnd.choice("hhhhgf"), "/" + "".join(rnd.choices("ab/", k=rnd.randint(0, 9)))) for _ in range(400)})

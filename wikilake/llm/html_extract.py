@@ -1,33 +1,36 @@
-"""Main text of web pages: structure where a page marks its article, nearest-URL page
-differencing where it does not.
+"""Main text of web pages by nearest-URL page differencing; the structure a page marks
+protects its article and drops its boilerplate.
 
 A task reads each page's tags in order and splits its text into lines, one per block.
 Lines inside elements that are boilerplate by tag, role, visibility or name (menus, page
-headers, footers, sidebars, notices, adverts, forms, comments) go. Where the page has an
-article (or else a main element), its lines are the text. They are not differenced: on
-pages that mark the article, lines shared with a neighbour are passages of the article
-itself (the same article under two addresses, quoted passages), and deleting them loses
-text.
+headers, footers, sidebars, notices, adverts, forms, comments) go.
 
-The lines of all other pages are differenced: all pages of a host stand in the order of
+The other lines of every page are differenced: all pages of a host stand in the order of
 their path, each is paired with the neighbour of another path that shares the longest path
 prefix, the lines of both are aligned by longest common subsequence, and the shared ones
 are deleted as template.
 
+Shared lines inside the page's article (or else its main element) are put back: there they
+are passages of the article itself (the same article under two addresses, quoted passages),
+and deleting them loses text. Lines outside it stay if the differencing leaves them, so an
+article element that only points elsewhere does not hide the text beside it.
+
 Two versions of one page share their article as well. Lines that recur on many different
 pages of the host are template in any case and go; if most of the other lines of a pair are
 shared, the pair is one page and those lines stay.
 
-Scale: one pass without shuffle for pages with a marked article. Of the others the distinct
-paths are dealt by ranges of (host, path); the last path of a range is carried to the next
-one and the first to the one before, so no host has to fit a task. Each path's neighbour is
-named by one page, the one of the smallest line hash, and its lines join back by path. Lines
-are counted by hash, once per distinct content, in partial sums.
+Scale: lines are aligned by 64-bit hash, once per distinct content of a path, so of the
+texts only those of pages that lose a line may move (if the list of these pages is too long
+to send to every task). The distinct paths are dealt by ranges of (host, path); the last
+path of a range is carried to the next one and the first to the one before, so no host has
+to fit a task. Each path's neighbour is named by one page, the one of the smallest content
+hash, and its line hashes join back by path. Lines are counted by hash, once per distinct
+content, in partial sums.
 
 Defined results: null or empty html has the empty text; a null url is the empty host and
-path; a page without a neighbour keeps its lines; repeated rows are extracted each. A family
-of versions that is itself ``MANY_PAGES`` different pages and ``HOST_SHARE`` of its host
-cannot be told from a template.
+path; a page without lines is no neighbour; a page without a neighbour keeps its lines;
+repeated rows are extracted each. A family of versions that is itself ``MANY_PAGES``
+different pages and ``HOST_SHARE`` of its host cannot be told from a template.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, free_name, shuffle_width, written
+from .common import column, free_name, pieces, shuffle_width, written
 
 #: Two pages that share more than this part of the shorter one's lines are one page; lines
 #: that recur on the host do not count.
@@ -167,16 +170,29 @@ class PageLines(HTMLParser):
         pass
 
 
-def page_lines(html: str | None) -> tuple[bool, list[str]]:
-    """(is the article marked, lines)."""
+def leveled_lines(html: str | None) -> list[tuple[int, str]]:
+    """(container, line) of all lines outside marked boilerplate."""
     if not html:
-        return True, []
+        return []
     parser = PageLines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    best = max((level for level, _ in parser.lines), default=0)
-    return best > 0, [line for level, line in parser.lines if level == best]
+    return parser.lines
+
+
+def protected_lines(html: str | None) -> tuple[list[bool], list[str]]:
+    """(is the line in the page's article or else its main element, line), as two lists."""
+    found = leveled_lines(html)
+    best = max((level for level, _ in found), default=0)
+    return [level == best > 0 for level, _ in found], [line for _, line in found]
+
+
+def page_lines(html: str | None) -> tuple[bool, list[str]]:
+    """(is the article marked, its lines or else all lines): what the structure alone says."""
+    protected, lines = protected_lines(html)
+    marked = any(protected) or not html
+    return marked, [line for line, inside in zip(lines, protected) if inside or not marked]
 
 
 def shared_lines(a: list, b: list) -> list[bool]:
@@ -241,14 +257,14 @@ def nearest(path: str, before: str | None, after: str | None) -> str | None:
     return after if common_prefix(path, after) > common_prefix(path, before) else before
 
 
-def difference(lines: list[str], other: list[str] | None, recurring: set[str]) -> list[str]:
-    """The lines of a page that are not template, by its nearest page."""
+def difference(lines: list, protected: list[bool], other: list | None, recurring: set) -> list[bool]:
+    """For each line of a page whether it stays: protected or no template by its nearest page."""
     if other is None:
-        return lines
+        return [True] * len(lines)
     shared = shared_lines(lines, other)
     own = [gone for line, gone in zip(lines, shared) if line not in recurring]
     versions = sum(own) > SAME_PAGE * min(len(own), sum(line not in recurring for line in other))
-    return [line for line, gone in zip(lines, shared) if not gone or versions and line not in recurring]
+    return [inside or not gone or versions and line not in recurring for line, inside, gone in zip(lines, protected, shared)]
 
 
 def nearest_paths(paths: DataFrame) -> DataFrame:
@@ -289,19 +305,39 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
         F.collect_list("h").alias("recurring"))
 
 
+def kept_lines(pages: DataFrame) -> DataFrame:
+    """(host, path, content, keep) of distinct (host, path, content, hashes, protected): for
+    each line whether it stays after the differencing with the page of the nearest path."""
+    one = pages.groupBy("host", "path").agg(F.min_by("hashes", "content").alias("other"))
+    near = nearest_paths(pages.select("host", "path").distinct())
+    pairs = near.join(one.withColumnRenamed("path", "near"), ["host", "near"]).select("host", "path", "other")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    recurring = recurring_lines(pages).select("host", "recurring", salts)
+    placed = pages.join(pairs, ["host", "path"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("path", "content"), F.lit(SALTS)).cast("int")).join(recurring, ["host", "salt"], "left")
+    known = F.array_intersect(F.array_union("hashes", "other"), "recurring")
+
+    @F.arrow_udf("array<boolean>")
+    def stay(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in pieces(batches):
+            yield pa.array((difference(lines, protected, other, set(often or ()))
+                            for lines, protected, other, often in zip(*(c.to_pylist() for c in columns))), pa.list_(pa.bool_()))
+
+    return placed.select("host", "path", "content", stay("hashes", "protected", "other", known).alias("keep"))
+
+
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None,
                       out: str = "main") -> DataFrame:
     """Columns ``keep`` of ``pages`` (all by default) with a struct ``out``: text, n_chars."""
     keep = pages.columns if keep is None else keep
     out = free_name(pages, out)
 
-    @F.arrow_udf("struct<marked:boolean,lines:array<string>>")
+    @F.arrow_udf("struct<protected:array<boolean>,lines:array<string>>")
     def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = [page_lines(h.as_py()) for h in batch]
-            yield pa.StructArray.from_arrays([
-                pa.array([m for m, _ in found], pa.bool_()),
-                pa.array([[" ".join(x)] if m else x for m, x in found], pa.list_(pa.string()))], ["marked", "lines"])
+        for batch in pieces(batches):
+            found = [protected_lines(h.as_py()) for h in batch]
+            yield pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.list_(pa.bool_())),
+                                              pa.array([x for _, x in found], pa.list_(pa.string()))], ["protected", "lines"])
 
     names = [f"c{i}" for i in range(len(keep))]
     url = F.coalesce(column(pages, url_col).cast("string"), F.lit(""))
@@ -310,28 +346,13 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
                                 F.lower(F.regexp_extract(bare, r"^[^/]*", 0)).alias("host"),
                                 F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"(?:/|\.html?)$", "").alias("path"),
                                 parse(column(pages, html_col).cast("string")).alias("p")).select(
-        *names, "host", "path", "p.marked", "p.lines"))
-    marked = read.filter("marked").select(*names, F.coalesce(F.element_at("lines", 1), F.lit("")).alias("text"))
-
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    open_pages = read.filter("not marked").withColumn("hashes", hashes).withColumn("content", F.xxhash64("lines"))
-    one = open_pages.groupBy("host", "path").agg(F.min_by("lines", "content").alias("other"))
-    near = nearest_paths(open_pages.select("host", "path").distinct())
-    pairs = near.join(one.withColumnRenamed("path", "near"), ["host", "near"]).select("host", "path", "other")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    recurring = recurring_lines(open_pages).select("host", "recurring", salts)
-    placed = open_pages.join(pairs, ["host", "path"], "left").withColumn(
-        "salt", F.pmod(F.xxhash64("path", "content"), F.lit(SALTS)).cast("int")).join(recurring, ["host", "salt"], "left")
-    repeated = F.filter(F.array_distinct("lines"), lambda x: F.array_contains("recurring", F.xxhash64(x)))
-    repeated = F.array_union(repeated, F.filter(F.array_distinct("other"), lambda x: F.array_contains("recurring", F.xxhash64(x))))
-
-    @F.arrow_udf("string")
-    def strip(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lines, others, known in batches:
-            yield pa.array((" ".join(difference(x.as_py(), y.as_py(), set(z.as_py() or ())))
-                            for x, y, z in zip(lines, others, known)), pa.string())
-
-    unmarked = placed.select(*names, strip("lines", "other", repeated).alias("text"))
-    return marked.unionByName(unmarked).select(
-        *[F.col(n).alias(c) for c, n in zip(keep, names)],
-        F.struct(F.col("text"), F.length("text").cast("bigint").alias("n_chars")).alias(out))
+        *names, "host", "path", "p.lines", "p.protected", F.xxhash64("p.lines", "p.protected").alias("content")))
+
+    hashes = F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes")
+    distinct = written(read.filter(F.size("lines") > 0).select("host", "path", "content", hashes, "protected").dropDuplicates(
+        ["host", "path", "content"]))
+    shortened = written(kept_lines(distinct).filter(F.array_contains("keep", False)))
+    lines = F.when(F.col("keep").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: F.get("keep", i)))
+    text = read.join(shortened, ["host", "path", "content"], "left").select(*names, F.concat_ws(" ", lines).alias("text"))
+    return text.select(*[F.col(n).alias(c) for c, n in zip(keep, names)],
+                       F.struct(F.col("text"), F.length("text").cast("bigint").alias("n_chars")).alias(out))
