@@ -165,3 +165,39 @@ def test_blocks_of_queries_look_for_each_term_once(spark, monkeypatch):
     asked = spark.createDataFrame([(i, "en") for i in range(7)] + [(9, "!t1 | t2")], "query_id int, query string")
     got = sorted((r.query_id, r.ordinal) for r in SM.search_many(listing, asked).collect())
     assert got == sorted([(q, i) for q in range(7) for i in range(9)] + [(9, i) for i in range(9) if i % 3 != 1])
+
+
+def records_shuffled(node) -> int:
+    """Records written by the exchanges of a plan that was run."""
+    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return records_shuffled(node.executedPlan())
+    if "QueryStage" in node.getClass().getSimpleName():
+        return records_shuffled(node.plan())
+    own = node.metrics().get("shuffleRecordsWritten")
+    below = node.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(records_shuffled(below.apply(i)) for i in range(below.size()))
+
+
+def test_rows_are_not_sent_for_every_common_key(spark):
+    """A row with the keys of 60 queries was sent 60 times."""
+    from wikilake.operators import search_many as SM
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(60)]
+    listing = spark.createDataFrame([("i0", i, str(i), " ".join(words[i % 2:]), "EN", "S") for i in range(200)],
+                                    "instance string, ordinal int, page_id string, title string, space_key string, space_name string")
+    asked = spark.createDataFrame([(n, "'" + w) for n, w in enumerate(words)] + [(99, "'q 'en 7$")], "query_id int, query string")
+    found = SM.search_many(listing, asked)
+    got = sorted((r.query_id, r.ordinal) for r in found.collect())
+    assert got == sorted([(n, i) for n in range(60) for i in range(200) if n or i % 2 == 0] + [(99, i) for i in range(7, 200, 10)])
+    assert records_shuffled(found._jdf.queryExecution().executedPlan()) < 200 * 60 / 2
+
+
+def test_common_keys_of_few_queries_keep_to_their_rows(spark):
+    from wikilake.operators import search_many as SM
+    drivers = spark.createDataFrame([(1, 0, "3abc"), (2, 0, "3abc"), (2, 1, "1x"), (3, 0, "3rare")], "_q int, _via int, _key string")
+    counts = spark.createDataFrame([("3abc", 100), ("1x", 5), ("3rare", 3), (SM.ANY, 1000)], "_key string, _n long")
+    kept = SM.on_every_row(drivers, counts, 4, 1000)  # 92 copies saved are not worth 1,000
+    assert sorted(map(tuple, kept.collect())) == [(1, 0, "3abc"), (2, 0, "3abc"), (2, 1, "1x"), (3, 0, "3rare")]
+    moved = SM.on_every_row(drivers, counts, 4, 80)  # query 2 moves with all its alternatives
+    assert sorted(map(tuple, moved.collect()), key=str) == [(1, None, SM.ANY), (2, None, SM.ANY), (3, 0, "3rare")]
+    with_open = drivers.union(spark.createDataFrame([(4, None, SM.ANY)], drivers.schema))
+    assert {r._q for r in SM.on_every_row(with_open, counts, 4, 1000).filter(f"_key = '{SM.ANY}'").collect()} == {1, 2, 4}
