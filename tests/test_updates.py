@@ -261,3 +261,14 @@ def test_shuffle_width_follows_the_stored_size(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t")).select("id", "text")
     assert partitions_for(table, 20_000) >= size // 20_000
     assert partitions_for(table) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_the_url_of_a_request_is_taken_apart_once(spark):
+    reqs, pages = spark.createDataFrame(_requests(), REQ_SCHEMA), spark.createDataFrame(_pages(), PAGE_SCHEMA)
+    plan = U.checked_requests(reqs, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("pageId=") == 1 and plan.count("^//[^/?#]*") == 1
+    urls = ["https://w/pages/viewpage.action?pageId=1", "https://w/x/pages/2/T", "https://w/x", "", None, "https://w/p?pageId=", "https://w/pages/99"]
+    odd = [(i, "i0", "add", u, "c", "html", True, None, None, None, None, None, None) for i, u in enumerate(urls)]
+    got = {r.request_seq: (r.page_id, r.reasons) for r in U.checked_requests(spark.createDataFrame(odd, REQ_SCHEMA), pages).collect()}
+    assert got == {0: ("1", []), 1: ("2", []), 2: (None, ["no page id in url"]), 3: (None, ["url required"]), 4: (None, ["url required"]),
+                   5: ("", ["no page id in url"]), 6: ("99", ["page not found"])}
